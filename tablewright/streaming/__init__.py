@@ -1,0 +1 @@
+"""Empty on purpose: the inputs are finished tables, so there are no streaming operators."""
