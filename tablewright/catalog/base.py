@@ -33,10 +33,14 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison, negative zero made zero."""
+    """Doubles rounded for comparison, negative zero made zero.
+
+    A thousandth of the last digit is added first: sums taken in another order
+    then still round a half the same way.
+    """
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f"`{f.name}`") + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -46,7 +50,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expr: str, digits: int = 6) -> str:
     """SQL text of the same rounding."""
-    return f"(round(cast({expr} as double), {digits}) + 0.0)"
+    return f"(round(cast({expr} as double) + 1e-{digits + 3}, {digits}) + 0.0)"
 
 
 # Columns with missing values, currency text and text dates, in SQL both engines run.

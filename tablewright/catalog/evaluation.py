@@ -238,7 +238,7 @@ def _(t):
 
 @query("metrics_table", f"with {CANDIDATES} select model, {', '.join(f'{r(c, 4)} as {c}' for c in ('r2', 'mae', 'rmse', 'mape'))} from mt")
 def _(t):
-    return rounded(V.metrics_table(candidates(t), "regression"))
+    return rounded(V.metrics_table(candidates(t), "regression"), 4)
 
 
 def text_sql(c: str) -> str:
@@ -252,7 +252,7 @@ def _(t):
 
 @query("best_model_summary", f"with {CANDIDATES} select model as best_model, {r('r2', 4)} as r2, {r('rmse', 4)} as rmse from mt order by mt.r2 desc, ordinal limit 1")
 def _(t):
-    return rounded(V.best_model_summary(candidates(t), "regression"))
+    return rounded(V.best_model_summary(candidates(t), "regression"), 4)
 
 
 @query(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import functions as F
-
 from ..operators import correlation as R, eda as E
 from .base import MESSY, MESSY_KEYED, messy, messy_keyed, per_column, query, r, rounded
 from .profiling import MESSY_KINDS, MESSY_NAMES, MESSY_TYPES, TEXT
@@ -260,9 +258,8 @@ def _(t):
     "kde",
     f"with s as (select count(value) as n, stddev_samp(value) * pow(count(value), -0.2) as h, min(value) as lo, "
     "(max(value) - min(value)) / 199 as step from events), v as (select value, count(*) as c from events group by 1) "
-    f"select b as point, {r('lo + b * step')} as x, {r('(select sum(c * exp(-0.5 * pow((lo + b * step - value) / h, 2))) from v) / (n * h * sqrt(2 * pi()))', 8)} "
+    f"select b as point, {r('lo + b * step', 7)} as x, {r('(select sum(c * exp(-0.5 * pow((lo + b * step - value) / h, 2))) from v) / (n * h * sqrt(2 * pi()))', 7)} "
     "as density from s, (select unnest(range(200))::int as b)",
 )
 def _(t):
-    out = E.kde(t.events, "value")
-    return out.select("point", (F.round("x", 6) + 0.0).alias("x"), (F.round("density", 8) + 0.0).alias("density"))
+    return rounded(E.kde(t.events, "value"), 7)

@@ -29,3 +29,10 @@ def wide_to_long(df: DataFrame, columns: dict[str, Column], name: str = "column"
 
 def batches(items: Sequence, size: int) -> list[list]:
     return [list(items[i : i + size]) for i in range(0, len(items), size)]
+
+
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys``; without keys ``right`` is one row that applies to every row of ``left``."""
+    if keys:
+        return left.join(right, list(keys), how)
+    return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one", how).drop("__one")
