@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A new run's document.
 RUN_DEFAULTS = {
@@ -22,7 +22,7 @@ RUN_DEFAULTS = {
 
 SYNC_TYPE = "struct<status:string,rows:bigint,uploaded_at:string,table:string,reason:string,error:string>"
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "run_id string, dataset_name string, run_timestamp string, task_type string, target_column string, best_model string, "
     "prediction_count bigint, forecast_enabled boolean, forecast_horizon int, eda_pdf string, training_pdf string, "
     "prediction_pdf string, forecast_pdf string, artifacts map<string,string>, "
@@ -85,9 +85,8 @@ def run_history(runs: DataFrame) -> DataFrame:
 
 def run_metadata_scan(spark: SparkSession, root: str, pattern: str = "*/metadata.json", multiline: bool = True) -> DataFrame:
     """Every run document under ``root``; broken documents are left out, unnamed runs take their folder's name."""
-    schema = T.StructType([*RUN_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
     docs = (
-        spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(f"{root.rstrip('/')}/{pattern}")
+        spark.read.schema(f"{RUN_SCHEMA}, _corrupt_record string").option("multiLine", multiline).option("mode", "PERMISSIVE").json(f"{root.rstrip('/')}/{pattern}")
         .withColumn("_folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
     )
     return docs.where("_corrupt_record is null").withColumn("run_id", F.coalesce("run_id", "_folder")).drop("_corrupt_record", "_folder")
