@@ -1,4 +1,4 @@
 """Runnable queries over the test tables, by family."""
 
-from . import profiling, cleaning, exploration, rules, evaluation, forecasting, storage  # noqa: F401
+from . import profiling, cleaning, exploration, rules, evaluation, forecasting, storage, modelling  # noqa: F401
 from .base import CHECKS, QUERIES  # noqa: F401

@@ -146,13 +146,17 @@ def _ridge(c: FitContext, alpha: float = 1.0):
 
 
 def _lasso(c: FitContext, alpha: float = 1.0):
-    return [LinearRegression(elasticNetParam=1.0, regParam=alpha, standardization=False)]
+    return [LinearRegression(elasticNetParam=1.0, regParam=alpha, standardization=False, tol=1e-10, maxIter=1000)]
 
 
 def _elastic_net(c: FitContext, alpha: float = 1.0, share: float = 0.5):
     """The mix is rescaled because the squared penalty is taken on a target scaled to unit deviation."""
     first, second = alpha * share, alpha * (1 - share) * c.facts()["sigma"]
-    return [LinearRegression(elasticNetParam=first / (first + second), regParam=first + second, standardization=False)]
+    return [
+        LinearRegression(
+            elasticNetParam=first / (first + second), regParam=first + second, standardization=False, tol=1e-10, maxIter=1000
+        )
+    ]
 
 
 def _tree_regressor(c: FitContext):
@@ -192,7 +196,9 @@ def _boost_regressor(step: float, depth: int, least: int = 1):
 
 
 def _logistic(c: FitContext):
-    return [LogisticRegression(maxIter=1000, regParam=1.0 / c.facts()["rows"], elasticNetParam=0.0, standardization=False)]
+    return [
+        LogisticRegression(maxIter=1000, regParam=1.0 / c.facts()["rows"], elasticNetParam=0.0, standardization=False, tol=1e-9)
+    ]
 
 
 def _tree_classifier(c: FitContext):
@@ -213,7 +219,7 @@ def _extra_classifier(c: FitContext):
 
 def _boost_classifier(c: FitContext):
     trees = GBTClassifier(maxIter=c.rounds, stepSize=0.1, maxDepth=3, seed=c.seed)
-    return [trees] if c.classes <= 2 else [OneVsRest(classifier=trees)]
+    return [trees] if c.classes <= 2 else [OneVsRest(classifier=trees, parallelism=4)]
 
 
 def _svm(c: FitContext):
@@ -227,7 +233,7 @@ def _svm(c: FitContext):
         inputCol="features", outputCol="waves", gamma=1.0 / (size * (spread or 1.0)), components=c.components, size=size, randomSeed=c.seed
     )
     margin = OneVsRest(
-        featuresCol="waves", rawPredictionCol="rawPrediction",
+        featuresCol="waves", rawPredictionCol="rawPrediction", parallelism=4,
         classifier=LinearSVC(featuresCol="waves", regParam=1.0 / f["rows"], standardization=False),
     )
     calibration = LogisticRegression(
