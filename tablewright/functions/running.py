@@ -67,3 +67,31 @@ def running_totals(
     return inside.join(offsets, [*groups, "__range"]).select(
         *[c for c in df.columns], *[(F.col(f"__in_{t}") + F.col(f"__off_{t}")).alias(t) for t in sums.values()]
     )
+
+
+def text_cut_points(keys: DataFrame, column: str, rows_per_task: int = ROWS_PER_TASK) -> list[str]:
+    """Cuts for a table of distinct texts, from a sample that a hash picks; none for a small table."""
+    rows = keys.count()
+    ranges = math.ceil(rows / rows_per_task)
+    if ranges <= 1:
+        return []
+    picked = keys.orderBy(F.xxhash64(column)).limit(32 * ranges).select(column).collect()
+    ordered = sorted(r[0] for r in picked)
+    return ordered[32::32]
+
+
+def positions(keys: DataFrame, column: str, name: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(column, name): place from 0 of each distinct value, in order; only a value range is sorted in one task."""
+    text = dict(keys.dtypes)[column] == "string"
+    if text:
+        cuts = text_cut_points(keys, column, rows_per_task)
+        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+        ranged = keys.select(column, place.alias("__place"))
+        totals = ranged.groupBy("__place").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        offsets = totals.select("__place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        inside = ranged.withColumn("at", F.row_number().over(Window.partitionBy("__place").orderBy(column)) - 1)
+        return inside.join(offsets, "__place").select(column, (F.col("at") + F.col("offset")).alias(name))
+    counted = keys.select(column, F.lit(1).alias("__one"))
+    cuts = cut_points(keys, F.col(column), rows_per_task)
+    return running_totals(counted, column, {"__one": name}, cuts).select(column, (F.col(name) - 1).alias(name))

@@ -168,18 +168,21 @@ def _forest_regressor(c: FitContext):
 
 
 def _random_thresholds(c: FitContext):
+    """``draws`` random cuts for a number, the one possible cut for a 0/1 indicator."""
     import numpy as np
 
     f = c.facts()
     rng = np.random.RandomState(c.seed)
-    cuts = f["low"][:, None] + rng.uniform(size=(len(f["low"]), c.draws)) * (f["high"] - f["low"])[:, None]
-    return RandomThresholds(
-        inputCol="features", outputCol="tests", thresholds=[float(v) for v in np.sort(cuts, axis=1).ravel()], draws=c.draws
-    )
+    cuts, owners = [], []
+    for i, (low, high) in enumerate(zip(f["low"], f["high"])):
+        drawn = [0.5] if (low, high) == (0.0, 1.0) else sorted(rng.uniform(low, high, size=c.draws))
+        cuts += [float(v) for v in drawn]
+        owners += [i] * len(drawn)
+    return RandomThresholds(inputCol="features", outputCol="tests", thresholds=cuts, owners=owners)
 
 
 def _extra_regressor(c: FitContext):
-    per_node = str(len(c.facts()["low"]))  # one random test per feature and node, on average
+    per_node = str(len(c.facts()["low"]))  # as many random tests per node as there are features
     forest = RandomForestRegressor(
         featuresCol="tests", numTrees=c.trees, featureSubsetStrategy=per_node, maxDepth=c.depth, maxBins=2, bootstrap=False, seed=c.seed
     )
@@ -301,8 +304,10 @@ def feature_importance(model: PipelineModel, names: Sequence[str], df: DataFrame
     """(feature, importance), largest first; None for a model that has neither importances nor coefficients."""
     import numpy as np
 
-    values = None
+    values, owners = None, None
     for stage in model.stages:
+        if isinstance(stage, RandomThresholds):
+            owners = stage.getOrDefault(stage.owners)
         if hasattr(stage, "featureImportances"):
             values = stage.featureImportances.toArray()
         elif hasattr(stage, "models") and all(hasattr(m, "featureImportances") for m in stage.models):
@@ -313,7 +318,7 @@ def feature_importance(model: PipelineModel, names: Sequence[str], df: DataFrame
             values = np.abs(stage.coefficients.toArray())
     if values is None or any(isinstance(s, RandomFourier) for s in model.stages):
         return None
-    if len(values) > len(names):  # several tests per feature
-        values = values.reshape(len(names), -1).sum(axis=1)
+    if owners is not None:
+        values = np.bincount(owners, weights=values, minlength=len(names))
     rows = [(n, float(v)) for n, v in zip(names, values)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

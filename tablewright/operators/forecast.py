@@ -20,31 +20,30 @@ TREND_SMOOTHING = [0.01, 0.1, 0.3]
 SEASON_SMOOTHING = [0.05, 0.2, 0.4]
 BAND = 1.96
 
-FORECAST_COLUMNS = ["ds", "kind", "forecast", "lower_bound", "upper_bound"]
 
+def _fold(season: bool, period: int, weights: str, fitted: bool = False) -> str:
+    """SQL text: one pass of exponential smoothing over ``ys`` with the weights al, be, ga of ``weights``.
 
-def _fold(season: bool, period: int, keep_fitted: bool) -> str:
-    """SQL text of one pass of exponential smoothing over ``ys`` with weights al, be, ga."""
+    The state keeps level, trend, the coming season in order, and the sums of
+    the errors one step ahead.
+    """
+    al, be, ga = (f"{weights}.{w}" for w in ("al", "be", "ga"))
     ahead = "(st.l + st.b + st.s[0])" if season else "(st.l + st.b)"
-    level = f"(al * (x - {'st.s[0]' if season else '0D'}) + (1 - al) * (st.l + st.b))"
-    rotated = f"concat(slice(st.s, 2, {period - 1}), array(ga * (x - {level}) + (1 - ga) * st.s[0]))" if season else "st.s"
-    fitted = f", 'fitted', array_append(st.fitted, {ahead})" if keep_fitted else ""
-    return f"""named_struct(
-        'l', {level}, 'b', be * ({level} - st.l) + (1 - be) * st.b, 's', {rotated},
-        'n', st.n + 1, 'sum', st.sum + (x - {ahead}), 'sse', st.sse + (x - {ahead}) * (x - {ahead}){fitted})"""
-
-
-def _start(season: bool, period: int, keep_fitted: bool) -> str:
-    """Level and trend from the first two seasons (or points), season from the first one."""
-    fitted = ", 'fitted', cast(array() as array<double>)" if keep_fitted else ""
-    sums = f"'n', 0L, 'sum', 0D, 'sse', 0D{fitted}"
-    if not season:
-        return f"named_struct('l', 2 * ys[0] - ys[1], 'b', ys[1] - ys[0], 's', cast(array() as array<double>), {sums})"
-    return f"named_struct('l', mean1 - trend0, 'b', trend0, 's', transform(slice(ys, 1, {period}), v -> v - mean1), {sums})"
+    level = f"({al} * (x - {'st.s[0]' if season else '0D'}) + (1 - {al}) * (st.l + st.b))"
+    rotated = f"concat(slice(st.s, 2, {period - 1}), array({ga} * (x - {level}) + (1 - {ga}) * st.s[0]))" if season else "st.s"
+    kept = [", 'fitted', cast(array() as array<double>)", f", 'fitted', array_append(st.fitted, {ahead})"] if fitted else ["", ""]
+    if season:
+        # Level and trend from the first two seasons, the season from the first one.
+        start = f"'l', mean1 - trend0, 'b', trend0, 's', transform(slice(ys, 1, {period}), v -> v - mean1)"
+    else:
+        start = "'l', 2 * ys[0] - ys[1], 'b', ys[1] - ys[0], 's', cast(array() as array<double>)"
+    return f"""aggregate(ys, named_struct({start}, 'n', 0L, 'sum', 0D, 'sse', 0D{kept[0]}), (st, x) -> named_struct(
+        'l', {level}, 'b', {be} * ({level} - st.l) + (1 - {be}) * st.b, 's', {rotated},
+        'n', st.n + 1, 'sum', st.sum + (x - {ahead}), 'sse', st.sse + (x - {ahead}) * (x - {ahead}){kept[1]}))"""
 
 
 def _arrays(ts: DataFrame, series: Sequence[str]) -> DataFrame:
-    """One row per series with its values in time order and its first period."""
+    """One row per series with its values and periods in time order."""
     pairs = F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))))
     rows = ts.groupBy(*series).agg(pairs.alias("pairs"))
     return rows.select(
@@ -52,68 +51,52 @@ def _arrays(ts: DataFrame, series: Sequence[str]) -> DataFrame:
     ).where("size(ys) >= 2")
 
 
-def _grid(season: bool, weights) -> Column:
+def _weight_grid(season: bool, weights) -> Column:
     al, be, ga = weights or (SMOOTHING, TREND_SMOOTHING, SEASON_SMOOTHING)
     triples = [(a, b, g) for a in al for b in be for g in (ga if season else [0.0])]
     return F.array(*[F.struct(F.lit(float(a)).alias("al"), F.lit(float(b)).alias("be"), F.lit(float(g)).alias("ga")) for a, b, g in triples])
 
 
-def holt_winters_fit(grid: DataFrame, freq: str, series: Sequence[str] = (), weights=None) -> DataFrame:
-    """Best weights and final state per series on a regular grid.
+def _smoothed(rows: DataFrame, season: bool, period: int, weights) -> DataFrame:
+    """Adds ``best`` (weights and error) and ``st`` (final state with fitted values), both per series."""
+    if season:
+        def mean(start: int) -> Column:
+            return F.aggregate(F.slice("ys", start, period), F.lit(0.0), lambda a, v: a + v) / period
 
-    Two full seasons are needed for a season; shorter series get the trend only.
-    Every weight triple of every series is a row of its own, spread over the
-    cluster, and the one with the least squared error one step ahead wins.
-    """
-    period = PERIODS[freq]
-    arrays = _arrays(grid, series)
-    parts = []
-    for season in (True, False):
-        rows = arrays.where(F.size("ys") >= 2 * period if season else F.size("ys") < 2 * period)
-        if season:
-            mean = lambda start: F.aggregate(F.slice("ys", start, period), F.lit(0.0), lambda a, v: a + v) / period
-            rows = rows.withColumn("mean1", mean(1)).withColumn("trend0", (mean(period + 1) - F.col("mean1")) / period)
-        else:
-            rows = rows.withColumns({"mean1": F.lit(0.0), "trend0": F.lit(0.0)})
-        tried = rows.select(*series, "ys", "mean1", "trend0", F.inline(_grid(season, weights)))
-        tried = tried.repartition(*series, "al", "be", "ga")
-        state = F.expr(f"aggregate(ys, {_start(season, period, False)}, (st, x) -> {_fold(season, period, False)})")
-        best = F.min_by(F.struct("al", "be", "ga", "st"), F.struct("sse", "al", "be", "ga"))
-        scored = tried.select(*series, "al", "be", "ga", state.alias("st")).withColumn("sse", F.col("st.sse"))
-        parts.append(
-            scored.groupBy(*series).agg(best.alias("best")).where("best is not null").select(
-                *series, F.lit(season).alias("seasonal"), "best.al", "best.be", "best.ga",
-                F.col("best.st.l").alias("level"), F.col("best.st.b").alias("trend"), F.col("best.st.s").alias("season"),
-                F.col("best.st.n").alias("n"), F.col("best.st.sum").alias("residual_sum"), F.col("best.st.sse").alias("sse"),
-            )
-        )
-    return union_all(parts)
+        rows = rows.withColumn("mean1", mean(1)).withColumn("trend0", (mean(period + 1) - F.col("mean1")) / period)
+    tried = rows.withColumn("grid", _weight_grid(season, weights)).withColumn(
+        "tried", F.expr(f"transform(grid, g -> named_struct('sse', {_fold(season, period, 'g')}.sse, 'al', g.al, 'be', g.be, 'ga', g.ga))")
+    )
+    best = tried.withColumn("best", F.array_min("tried"))
+    return best.withColumn("st", F.expr(_fold(season, period, "best", fitted=True)))
 
 
 def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] = (), weights=None) -> DataFrame:
-    """Fitted history and ``horizon`` future periods per series, with a residual band."""
-    grid = regular_grid_ffill(ts, freq, series)
-    fit = holt_winters_fit(grid, freq, series, weights)
+    """Fitted history and ``horizon`` future periods per series, with a residual band.
+
+    Additive trend and, with two full seasons of data, additive season. Every
+    weight triple is tried and the least squared error one step ahead wins.
+    A series is one row from the collected periods to the exploded forecast.
+    """
     period = PERIODS[freq]
-    arrays = join_by(_arrays(grid, series), fit, series)
+    arrays = _arrays(regular_grid_ffill(ts, freq, series), series)
+    step = {DAILY: "make_interval(0, 0, 0, k)", WEEKLY: "make_interval(0, 0, k)", MONTHLY: "make_interval(0, k)"}[freq]
     parts = []
     for season in (True, False):
-        rows = arrays.where(F.col("seasonal") == season)
-        if season:
-            mean = lambda start: F.aggregate(F.slice("ys", start, period), F.lit(0.0), lambda a, v: a + v) / period
-            rows = rows.withColumn("mean1", mean(1)).withColumn("trend0", (mean(period + 1) - F.col("mean1")) / period)
-        state = F.expr(f"aggregate(ys, {_start(season, period, True)}, (st, x) -> {_fold(season, period, True)})")
-        fitted = rows.select(*series, F.explode(F.arrays_zip("dates", state.getField("fitted").alias("fitted"))).alias("z"))
-        parts.append(fitted.select(*series, F.col("z.dates").alias("ds"), F.lit("fitted").alias("kind"), F.col("z.fitted").alias("forecast")))
-    history = union_all(parts)
-    ahead = join_by(future_dates(grid, freq, horizon, series), fit, series)
-    seasonal = F.when(F.col("seasonal"), F.get("season", (F.col("step") - 1) % period)).otherwise(0.0)
-    future = ahead.select(
-        *series, "ds", F.lit("forecast").alias("kind"), (F.col("level") + F.col("step") * F.col("trend") + seasonal).alias("forecast")
+        enough = F.size("ys") >= 2 * period
+        rows = _smoothed(arrays.where(enough if season else ~enough), season, period, weights)
+        seasonal = f"st.s[cast((k - 1) % {period} as int)]" if season else "0D"
+        future = F.expr(
+            f"transform(sequence(1, {horizon}), k -> named_struct('ds', cast(dates[size(dates) - 1] + {step} as timestamp_ntz), "
+            f"'kind', 'forecast', 'forecast', st.l + k * st.b + {seasonal}))"
+        )
+        past = F.expr("transform(dates, (d, i) -> named_struct('ds', d, 'kind', 'fitted', 'forecast', st.fitted[i]))")
+        spread = F.sqrt(F.try_divide(F.col("st.sse") - F.col("st.sum") * F.col("st.sum") / F.col("st.n"), F.col("st.n") - 1))
+        parts.append(rows.select(*series, (F.lit(BAND) * spread).alias("half"), F.inline(F.concat(past, future))))
+    return union_all(parts).select(
+        *series, *[F.col(c) for c in ("ds", "kind", "forecast")],
+        (F.col("forecast") - F.col("half")).alias("lower_bound"), (F.col("forecast") + F.col("half")).alias("upper_bound"),
     )
-    spread = F.sqrt(F.try_divide(F.col("sse") - F.col("residual_sum") * F.col("residual_sum") / F.col("n"), F.col("n") - 1))
-    band = fit.select(*series, spread.alias("residual_std"))
-    return apply_band(forecast_concat(history, future), band, series)
 
 
 def residual_std(history: DataFrame, series: Sequence[str] = ()) -> DataFrame:

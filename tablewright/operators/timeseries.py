@@ -12,13 +12,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import as_double, as_timestamp, quoted
-from ..functions.tables import join_by
+from ..functions.quantiles import grouped_median
 
 DAILY, WEEKLY, MONTHLY = "D", "W", "MS"
 SAMPLE_DATES = 100
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "median": F.median,
+    "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
     "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct,
 }
 
@@ -96,9 +96,12 @@ def resample(
     formats: list[str] | None = None,
 ) -> DataFrame:
     """(series, ds, y): one row per period that has rows."""
-    if aggregate not in AGGREGATES:
+    if aggregate not in AGGREGATES and aggregate != "median":
         raise ValueError(f"unknown aggregate {aggregate!r}")
     rows = _observations(df, date, target, series, formats)
+    if aggregate == "median":
+        labelled = rows.withColumn("ds", bucket(F.col("ds"), freq))
+        return grouped_median(labelled, [*series, "ds"], "y").withColumnRenamed("median", "y")
     return rows.groupBy(*series, bucket(F.col("ds"), freq).alias("ds")).agg(
         AGGREGATES[aggregate](F.col("y")).cast("double").alias("y")
     ).where("y is not null")
@@ -146,6 +149,3 @@ def future_dates(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] =
     }[freq]
     return last.select(*series, "last", steps).select(*series, "step", F.expr(ahead).cast("timestamp_ntz").alias("ds"))
 
-
-def join_series(left: DataFrame, right: DataFrame, series: Sequence[str], how: str = "inner") -> DataFrame:
-    return join_by(left, right, series, how)

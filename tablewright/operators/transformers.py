@@ -18,21 +18,21 @@ class RandomThresholds(Transformer, HasInputCol, HasOutputCol, DefaultParamsRead
     at random thresholds, which is what sets extremely randomized trees apart.
     """
 
-    thresholds = Param(Params._dummy(), "thresholds", "cut points, feature by feature", TypeConverters.toListFloat)
-    draws = Param(Params._dummy(), "draws", "cut points per feature", TypeConverters.toInt)
+    thresholds = Param(Params._dummy(), "thresholds", "one cut point per test", TypeConverters.toListFloat)
+    owners = Param(Params._dummy(), "owners", "feature of each test", TypeConverters.toListInt)
 
     @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, thresholds=None, draws=None):
+    def __init__(self, inputCol=None, outputCol=None, thresholds=None, owners=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        values, draws = self.getOrDefault(self.thresholds), self.getOrDefault(self.draws)
-        cuts = F.array(*[F.array(*[F.lit(v) for v in values[i : i + draws]]) for i in range(0, len(values), draws)])
-        tests = F.zip_with(
-            vector_to_array(self.getInputCol()), cuts, lambda x, ts: F.transform(ts, lambda t: F.when(x > t, 1.0).otherwise(0.0))
-        )
-        return df.withColumn(self.getOutputCol(), array_to_vector(F.flatten(tests)))
+        pairs = zip(self.getOrDefault(self.owners), self.getOrDefault(self.thresholds))
+        tests = F.array(*[F.struct(F.lit(o).alias("owner"), F.lit(t).alias("cut")) for o, t in pairs])
+        x = vector_to_array(self.getInputCol())
+        # The vector is unpacked once, as a one-element array, not once per test.
+        bits = F.transform(F.array(x), lambda v: F.transform(tests, lambda t: F.when(v[t["owner"]] > t["cut"], 1.0).otherwise(0.0)))
+        return df.withColumn(self.getOutputCol(), array_to_vector(bits[0]))
 
 
 class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -22,8 +22,11 @@ def forecast_engine_fallback(ts: DataFrame, freq: str, horizon: int, series: Seq
     done = primary.where("error is null").withColumn("engine", F.lit(PRIMARY))
     failed = primary.where("error is not null").select(*series, F.col("error").alias("primary_error"))
     again = join_by(ts, failed, series)
-    second = holt_winters(again.drop("primary_error"), freq, horizon, series).withColumns(
-        {"error": F.lit(None).cast("string"), "engine": F.lit(FALLBACK)}
+    second = stage(
+        holt_winters(again.drop("primary_error"), freq, horizon, series).withColumns(
+            {"error": F.lit(None).cast("string"), "engine": F.lit(FALLBACK)}
+        ),
+        "fallback-forecast",
     )
     saved = second.select(*series, F.lit(True).alias("saved")).distinct()
     lost = join_by(failed, saved, series, "left").where("saved is null")

@@ -21,6 +21,7 @@ from ..operators.neighbors import knn_classify, nearest_neighbours
 from ..session import stage
 
 MINIMUM_ROWS = 10
+MAXIMUM_CLASSES = 10_000  # every model keeps a score per class and row
 K = 5
 
 
@@ -58,7 +59,10 @@ class NeighbourModel:
 
 def class_labels(df: DataFrame, target: str) -> list:
     """Classes in order; the labels of every row, so that none is unknown at test time."""
-    return [r[0] for r in df.select(quoted(target)).where(quoted(target).isNotNull()).distinct().orderBy(quoted(target)).collect()]
+    classes = df.select(quoted(target)).where(quoted(target).isNotNull()).distinct().limit(MAXIMUM_CLASSES + 1).collect()
+    if len(classes) > MAXIMUM_CLASSES:
+        raise ValueError(f"target {target!r} has more than {MAXIMUM_CLASSES} classes")
+    return sorted(r[0] for r in classes)
 
 
 def _label(df: DataFrame, target: str, labels: list | None):
