@@ -36,3 +36,17 @@ def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     if keys:
         return left.join(right, list(keys), how)
     return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one", how).drop("__one")
+
+
+def spread_by(df: DataFrame, keys: Sequence[str], whole_groups: bool = False) -> DataFrame:
+    """Partition by ``keys`` into the session's full number of shuffle partitions.
+
+    For work that is heavy per group on few bytes: adaptive execution sizes
+    partitions by bytes and would put all groups into one task. ``whole_groups``
+    is for one row per key, which may already be partitioned by ``keys`` after
+    such a merge; a hash of the keys forces a new exchange.
+    """
+    if not keys:
+        return df
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *([F.xxhash64(*keys)] if whole_groups else [F.col(k) for k in keys]))

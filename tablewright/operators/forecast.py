@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.tables import join_by, union_all
+from ..functions.tables import join_by, spread_by, union_all
 from .timeseries import DAILY, MONTHLY, WEEKLY, future_dates, regular_grid_ffill
 
 PERIODS = {DAILY: 7, WEEKLY: 52, MONTHLY: 12}
@@ -45,7 +45,7 @@ def _fold(season: bool, period: int, weights: str, fitted: bool = False) -> str:
 def _arrays(ts: DataFrame, series: Sequence[str]) -> DataFrame:
     """One row per series with its values and periods in time order."""
     pairs = F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))))
-    rows = ts.groupBy(*series).agg(pairs.alias("pairs"))
+    rows = spread_by(ts.groupBy(*series).agg(pairs.alias("pairs")), series, whole_groups=True)
     return rows.select(
         *series, F.transform("pairs", lambda p: p["y"]).alias("ys"), F.transform("pairs", lambda p: p["ds"]).alias("dates")
     ).where("size(ys) >= 2")
@@ -92,7 +92,8 @@ def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] =
         )
         past = F.expr("transform(dates, (d, i) -> named_struct('ds', d, 'kind', 'fitted', 'forecast', st.fitted[i]))")
         spread = F.sqrt(F.try_divide(F.col("st.sse") - F.col("st.sum") * F.col("st.sum") / F.col("st.n"), F.col("st.n") - 1))
-        parts.append(rows.select(*series, (F.lit(BAND) * spread).alias("half"), F.inline(F.concat(past, future))))
+        # The outer form keeps the optimizer from testing the array for rows first, which would run the fold twice.
+        parts.append(rows.select(*series, (F.lit(BAND) * spread).alias("half"), F.inline_outer(F.concat(past, future))))
     return union_all(parts).select(
         *series, *[F.col(c) for c in ("ds", "kind", "forecast")],
         (F.col("forecast") - F.col("half")).alias("lower_bound"), (F.col("forecast") + F.col("half")).alias("upper_bound"),
@@ -212,7 +213,7 @@ def trend_seasonal_forecast(ts: DataFrame, freq: str, horizon: int, series: Sequ
     ahead = future_dates(history, freq, horizon, series).select(*series, "ds", F.lit(None).cast("double").alias("y"))
     rows = history.unionByName(ahead)
     fields = "".join(f"`{s}` {rows.schema[s].dataType.simpleString()}, " for s in series)
-    return rows.groupBy(*series).applyInPandas(
+    return spread_by(rows, series).groupBy(*series).applyInPandas(
         _ridge_solver(list(series), weekly=freq == DAILY),
         fields + "ds timestamp_ntz, kind string, forecast double, lower_bound double, upper_bound double, error string",
     )

@@ -12,6 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.tables import spread_by
+
 PIVOTS = 128
 BLOCK_ROWS = 2048
 
@@ -129,7 +131,10 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, pivots: in
     )
     types = {c: train.schema[c].dataType.simpleString() for c in ("id", "label")}
     schema = f"test_id {test.schema['id'].dataType.simpleString()}, train_id {types['id']}, label {types['label']}, distance double"
-    near = left.groupBy("cell", "t", "s").cogroup(right.groupBy("cell", "t", "s")).applyInPandas(_block_neighbours(k), schema)
+    block = ["cell", "t", "s"]
+    near = spread_by(left, block).groupBy(*block).cogroup(spread_by(right, block).groupBy(*block)).applyInPandas(
+        _block_neighbours(k), schema
+    )
     place = F.row_number().over(Window.partitionBy("test_id").orderBy("distance", "train_id"))
     return near.withColumn("place", place).where(F.col("place") <= k)
 
