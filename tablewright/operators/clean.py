@@ -15,18 +15,16 @@ from ..functions.columns import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERICAL, as_double, columns_of_kind, is_missing, parse_date, parse_number,
     present, quoted,
 )
+from ..functions.copies import distinct_rows, surplus_rows
 from ..functions.quantiles import exact_quantiles
+from ..functions.tables import join_by
 from ..session import stage
 from . import profile
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    return df.select(*[present(df, c).alias(c) for c in df.columns])
-
-
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """One of each set of identical rows."""
-    return nan_to_null(df).dropDuplicates()
+    return distinct_rows(df)
 
 
 def numeric_coerce(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -123,8 +121,9 @@ class CleaningPlan:
 
 def plan_cleaning(df: DataFrame, order_by: Sequence[str] | None = None) -> CleaningPlan:
     """A column that reads both as a number and as a date becomes a number."""
-    numeric = [r["column"] for r in profile.numeric_like_text(df, order_by).collect()]
-    dates = {r["column"]: r["format"] for r in profile.date_candidates(df, order_by).collect()}
+    facts = profile.text_facts(df, order_by).collect()
+    numeric = [r["column"] for r in facts if r["number_share"] > profile.NUMBER_SHARE]
+    dates = {r["column"]: r["format"] for r in facts if r["date_share"] >= profile.DATE_SHARE}
     return CleaningPlan(
         [c for c in df.columns if c in numeric], {c: dates[c] for c in df.columns if c in dates and c not in numeric}
     )
@@ -152,17 +151,19 @@ def cleaning_report(df: DataFrame, plan: CleaningPlan | None = None, order_by: S
     """One record: duplicates removed, converted columns, remaining missing values, rows kept.
 
     After filling, a column is missing in every row or in none, so what remains
-    follows from one pass over the deduplicated rows.
+    are the columns without any value after coercion, once per row kept.
     """
     plan = plan or plan_cleaning(df, order_by)
-    keys = [present(df, c).alias(c) for c in df.columns]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"))
-    coerced = coerce(groups, plan)
-    empty = sum((F.when(F.count(quoted(c)) == 0, F.count(F.lit(1))).otherwise(0) for c in df.columns), F.lit(0))
-    return coerced.agg(
-        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicates_removed"),
+    coerced = coerce(df, plan)
+    values = coerced.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(present(coerced, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    )
+    empty = sum(((F.col(f"n{i}") == 0).cast("long") for i in range(len(df.columns))), F.lit(0))
+    kept = F.col("rows") - F.col("duplicate_rows")
+    return join_by(values, surplus_rows(df), []).select(
+        F.col("duplicate_rows").alias("duplicates_removed"),
         F.array(*[F.lit(c) for c in plan.numeric]).cast("array<string>").alias("numeric_converted"),
         F.array(*[F.lit(c) for c in plan.dates]).cast("array<string>").alias("date_converted"),
-        empty.cast("long").alias("remaining_missing"),
-        F.count(F.lit(1)).alias("rows_after_cleaning"),
+        (empty * kept).alias("remaining_missing"),
+        kept.alias("rows_after_cleaning"),
     )

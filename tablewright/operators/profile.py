@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
     CATEGORICAL, DATE_FORMATS, DATETIME, NUMERICAL, columns_of_kind, display_text, is_missing, kind_of, parse_number,
     present, quoted,
 )
-from ..functions.tables import one_row_to_long, union_all
+from ..functions.copies import surplus_rows
+from ..functions.tables import join_by, one_row_to_long, union_all
 
 LOW_CARDINALITY = 10
 HIGH_CARDINALITY_RATIO = 0.5
 SAMPLE_SIZE = 50
+SAMPLE_ROWS = 4 * SAMPLE_SIZE
 DATE_SHARE = 0.8
 NUMBER_SHARE = 0.9
 
@@ -43,21 +45,25 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of identical rows; missing equals missing."""
-    groups = df.groupBy(*[present(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    return surplus_rows(df)
 
 
 def profile_summary(df: DataFrame) -> DataFrame:
-    """Rows, columns, duplicate rows and missing values of the table, from one shuffle of whole rows."""
-    keys = [present(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    holes = sum((F.col(f"c{i}").isNull().cast("long") for i in range(len(keys))), F.lit(0))
-    return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.lit(len(df.columns)).alias("columns"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(holes * F.col("n")), F.lit(0)).alias("total_missing"),
-    )
+    """Rows, columns, duplicate rows and missing values of the table."""
+    total = sum((F.col(f"m{i}") for i in range(len(df.columns))), F.lit(0))
+    counts = missing_counts(df).select("rows", F.lit(len(df.columns)).alias("columns"), total.cast("long").alias("total_missing"))
+    return join_by(counts, surplus_rows(df), []).select("rows", "columns", "duplicate_rows", "total_missing")
+
+
+LONG_TEXT = 64
+
+
+def distinct_key(df: DataFrame, column: str) -> Column:
+    """The value, or the digest of a long text: equal for equal values, and short to shuffle."""
+    c = present(df, column)
+    if kind_of(df.schema[column].dataType) != CATEGORICAL:
+        return c
+    return F.when(F.length(c) > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -74,7 +80,11 @@ def unique_values(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
         row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(names)])
         return one_row_to_long(row, [{"column": F.lit(c), "unique": F.col(f"u{i}")} for i, c in enumerate(names)])
     return union_all(
-        [value_counts(df, c).agg(F.count(F.lit(1)).alias("unique")).select(F.lit(c).alias("column"), "unique") for c in names]
+        [
+            df.select(distinct_key(df, c).alias("value")).where("value is not null").distinct()
+            .agg(F.count(F.lit(1)).alias("unique")).select(F.lit(c).alias("column"), "unique")
+            for c in names
+        ]
     )
 
 
@@ -126,7 +136,7 @@ def low_cardinality(df: DataFrame) -> DataFrame:
 def high_cardinality(df: DataFrame) -> DataFrame:
     """Columns whose distinct values exceed half the rows; none for an empty table."""
     branches = [
-        df.select(present(df, c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        df.select(distinct_key(df, c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
         .agg(F.count("value").alias("unique"), F.sum("n").alias("rows"))
         .select(F.lit(c).alias("column"), "unique", "rows")
         for c in df.columns
@@ -134,54 +144,58 @@ def high_cardinality(df: DataFrame) -> DataFrame:
     return union_all(branches).filter(F.try_divide("unique", "rows") > HIGH_CARDINALITY_RATIO).select("column", "unique")
 
 
-def text_samples(df: DataFrame, order_by: Sequence[str] | None = None, size: int = SAMPLE_SIZE) -> DataFrame | None:
+def text_samples(df: DataFrame, order_by: Sequence[str] | None = None, size: int = SAMPLE_SIZE) -> DataFrame:
     """The first non-missing values of every text column as (column, value).
 
     In table order by default, which reads only as many rows as needed; with
-    ``order_by`` each column keeps the smallest keys (a top-k, not a sort).
+    ``order_by`` in the order of those keys. A few times ``size`` first rows
+    serve all columns at once; a column with too many missing values among
+    them gets a top-k of its own.
     """
-    branches = []
-    for c in columns_of_kind(df, CATEGORICAL):
-        if order_by and c in order_by:
-            continue
-        rows = df.where(quoted(c).isNotNull())
-        if order_by:
-            rows = rows.orderBy(*order_by)
-        branches.append(rows.limit(size).select(F.lit(c).alias("column"), quoted(c).alias("value")))
-    return union_all(branches) if branches else None
-
-
-def _no_columns(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
-
-
-def date_formats(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
-    """Text columns read as dates, with the layout that parses most of the sample (first layout on ties)."""
-    sample = text_samples(df, order_by)
-    if sample is None:
-        return _no_columns(df, "column string, format string, success_rate double")
-    rates = sample.groupBy("column").agg(
+    names = [c for c in columns_of_kind(df, CATEGORICAL) if c not in (order_by or [])]
+    schema = "column string, value string"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    ordered = df.orderBy(*order_by) if order_by else df
+    first = ordered.limit(SAMPLE_ROWS).select(*[quoted(c) for c in names]).collect()
+    found = {c: [r[i] for r in first if r[i] is not None][:size] for i, c in enumerate(names)}
+    settled = len(first) < SAMPLE_ROWS
+    pairs = [(c, v) for c, values in found.items() if settled or len(values) == size for v in values]
+    parts = [df.sparkSession.createDataFrame(pairs, schema)]
+    for c, values in found.items():
+        if not settled and len(values) < size:
+            rows = df.where(quoted(c).isNotNull())
+            rows = (rows.orderBy(*order_by) if order_by else rows).limit(size)
+            parts.append(rows.select(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")))
+    return union_all(parts)
+
+
+def text_facts(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+    """Per text column: the layout that parses most of the sample (first on ties), its share, and the share of numbers."""
+    rates = text_samples(df, order_by).groupBy("column").agg(
         *[
             F.avg(F.try_to_timestamp("value", F.lit(f)).isNotNull().cast("double")).alias(f"f{i}")
             for i, f in enumerate(DATE_FORMATS)
-        ]
+        ],
+        F.avg(parse_number(F.col("value")).isNotNull().cast("double")).alias("number_share"),
     )
     best = F.greatest(*[F.col(f"f{i}") for i in range(len(DATE_FORMATS))])
     winner = F.coalesce(*[F.when(F.col(f"f{i}") == best, F.lit(f)) for i, f in enumerate(DATE_FORMATS)])
-    return rates.select("column", winner.alias("format"), best.alias("success_rate"))
+    return rates.select("column", winner.alias("format"), best.alias("date_share"), "number_share")
 
 
 def date_candidates(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
-    return date_formats(df, order_by).filter(F.col("success_rate") >= DATE_SHARE)
+    """Text columns of which at least 80 % of the sample parses in one layout."""
+    return text_facts(df, order_by).where(F.col("date_share") >= DATE_SHARE).select(
+        "column", "format", F.col("date_share").alias("success_rate")
+    )
 
 
 def numeric_like_text(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """Text columns whose sample is more than 90 % numbers once separators and signs are removed."""
-    sample = text_samples(df, order_by)
-    if sample is None:
-        return _no_columns(df, "column string, success_rate double")
-    rate = F.avg(parse_number(F.col("value")).isNotNull().cast("double"))
-    return sample.groupBy("column").agg(rate.alias("success_rate")).filter(F.col("success_rate") > NUMBER_SHARE)
+    return text_facts(df, order_by).where(F.col("number_share") > NUMBER_SHARE).select(
+        "column", F.col("number_share").alias("success_rate")
+    )
 
 
 def inspect_dataset(df: DataFrame) -> DataFrame:
@@ -213,12 +227,13 @@ def column_profile(df: DataFrame, order_by: Sequence[str] | None = None) -> Data
             for i, f in enumerate(df.schema.fields)
         ],
     )
-    dates = date_candidates(df, order_by).select("column", F.col("format").alias("date_format"))
-    numbers = numeric_like_text(df, order_by).select("column", F.lit(True).alias("is_numeric_like"))
+    texts = text_facts(df, order_by).select(
+        "column", F.when(F.col("date_share") >= DATE_SHARE, F.col("format")).alias("date_format"),
+        (F.col("number_share") > NUMBER_SHARE).alias("is_numeric_like"),
+    )
     return (
         facts.join(unique_values(df), "column")
-        .join(dates, "column", "left")
-        .join(numbers, "column", "left")
+        .join(texts, "column", "left")
         .select(
             "column", "ordinal", "type", "kind", "rows", "missing", "unique",
             (F.col("unique") == 2).alias("is_binary"),
