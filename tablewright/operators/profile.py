@@ -79,13 +79,14 @@ def unique_values(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     if not exact:
         row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(names)])
         return one_row_to_long(row, [{"column": F.lit(c), "unique": F.col(f"u{i}")} for i, c in enumerate(names)])
-    return union_all(
-        [
-            df.select(distinct_key(df, c).alias("value")).where("value is not null").distinct()
-            .agg(F.count(F.lit(1)).alias("unique")).select(F.lit(c).alias("column"), "unique")
-            for c in names
-        ]
-    )
+    found = [
+        df.select(distinct_key(df, c).alias("value")).where("value is not null").distinct()
+        .select(F.lit(c).alias("column"), F.lit(1).alias("n"))
+        for c in names
+    ]
+    # A column without values has no distinct rows, so every column starts from zero.
+    zero = df.sparkSession.createDataFrame([(c, 0) for c in names], "column string, n int")
+    return union_all([zero, *found]).groupBy("column").agg(F.sum("n").alias("unique"))
 
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
