@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
-from .base import DUP, DUP_COLUMNS, MESSY, MESSY_KEYED, ROW_ORDER, dup, messy, messy_keyed, query, r, rounded
-from .profiling import DUPLICATES, MESSY_NAMES, NUMBER_SQL, ALL_NAMES
+from .base import DUP, MESSY, MESSY_KEYED, ROW_ORDER, dup, messy, messy_keyed, query, r, rounded
+from .profiling import ALL_NAMES, DUPLICATES, NUMBER_SQL
 
 DATE_SQL = "try_strptime({x}, '%Y-%m-%d')"
 

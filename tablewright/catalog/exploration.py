@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import permutations
 
 from ..operators import correlation as R, eda as E
-from .base import MESSY, MESSY_KEYED, messy, messy_keyed, per_column, query, r, rounded
+from .base import MESSY, MESSY_KEYED, messy, messy_keyed, query, r, rounded
 from .profiling import MESSY_KINDS, MESSY_NAMES, MESSY_TYPES, TEXT
 
 NUMBERS = [c for c, k in zip(MESSY_NAMES, MESSY_KINDS) if k == "numerical"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C, evaluate as V, profile as P, tasks as T
-from .base import MESSY_KEYED, ROW_ORDER, messy_keyed, per_column, query
+from .base import ROW_ORDER, messy_keyed, per_column, query
 from .cleaning import CLEAN_SQL
 from .profiling import ALL_KINDS, ALL_NAMES, ALL_TYPES, DATES_SQL, DUPLICATES, NUMBERS_SQL, profile_sql
 

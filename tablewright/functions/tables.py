@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import quoted
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -20,11 +22,8 @@ def one_row_to_long(row: DataFrame, entries: Sequence[dict[str, Column]]) -> Dat
 
 def wide_to_long(df: DataFrame, columns: dict[str, Column], name: str = "column", value: str = "value") -> DataFrame:
     """(name, value) rows for the non-null values of several columns of one type."""
-    names = list(columns)
-    wide = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
-    long = wide.unpivot([], [f"c{i}" for i in range(len(names))], "__slot", value).where(F.col(value).isNotNull())
-    labels = F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("__slot", 2, 9).cast("int") + 1)
-    return long.select(labels.alias(name), value)
+    wide = df.select(*[c.alias(n) for n, c in columns.items()])
+    return wide.unpivot([], [quoted(n) for n in columns], name, value).where(F.col(value).isNotNull())
 
 
 def batches(items: Sequence, size: int) -> list[list]:

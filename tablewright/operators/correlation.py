@@ -54,7 +54,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if len(names) < 2:
         return _empty(df)
     facts = _facts(df, names)
-    constant = {c for c in names if facts["columns"][c][2] == facts["columns"][c][3]}
+    constant = _flat(facts)
     complete = [c for c in names if facts["columns"][c][0] == facts["rows"]]
     centred = df.select(
         *[(as_double(df, c) - F.lit(facts["columns"][c][1] or 0.0)).alias(f"x{i}") for i, c in enumerate(names)]
@@ -130,22 +130,38 @@ def _joint(df: DataFrame, a: str, b: str) -> DataFrame:
     return pair.where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _average_ranks(joint: DataFrame, side: str, cuts: list[float]) -> DataFrame:
-    counts = joint.groupBy(side).agg(F.sum("n").alias("m"))
-    ranked = running_totals(counts, side, {"m": "upto"}, cuts)
-    return ranked.select(side, (F.col("upto") - F.col("m") + (F.col("m") + 1) / 2).alias(f"rank_{side}"))
+def _average_ranks(counts: DataFrame, value: str, rank: str, cuts: list[float]) -> DataFrame:
+    """(value, rank) from (value, m): ties share the mean of their places."""
+    ranked = running_totals(counts, value, {"m": "upto"}, cuts)
+    return ranked.select(value, (F.col("upto") - F.col("m") + (F.col("m") + 1) / 2).alias(rank))
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Pearson correlation of average ranks."""
+    """Pearson correlation of average ranks.
+
+    Against a column without missing values a column's ranks are those of the
+    whole table, ranked once for all such pairs; other pairs rank their own rows.
+    """
     names = list(columns if columns is not None else numeric_columns(df))
     if len(names) < 2:
         return _empty(df)
+    facts = _facts(df, names)
+    complete = {c for c in names if facts["columns"][c][0] == facts["rows"]}
     cuts = _cuts(df, names, rows_per_task)
+    whole = {}
+    for c in names:
+        values = df.select((as_double(df, c) + 0.0).alias("v")).where("v is not null")
+        whole[c] = _average_ranks(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v", "rank", cuts[c])
+
+    def ranks(joint: DataFrame, side: str, column: str, other: str) -> DataFrame:
+        if other in complete:
+            return whole[column].select(F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"))
+        return _average_ranks(joint.groupBy(side).agg(F.sum("n").alias("m")), side, f"rank_{side}", cuts[column])
+
     parts = []
     for a, b in combinations(names, 2):
         joint = _joint(df, a, b)
-        ranked = joint.join(_average_ranks(joint, "a", cuts[a]), "a").join(_average_ranks(joint, "b", cuts[b]), "b")
+        ranked = joint.join(ranks(joint, "a", a, b), "a").join(ranks(joint, "b", b, a), "b")
         w, u, v = F.col("n").cast("double"), F.col("rank_a"), F.col("rank_b")
         sums = ranked.agg(
             F.sum(w).alias("n"), F.sum(w * u).alias("su"), F.sum(w * v).alias("sv"),
@@ -158,12 +174,11 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_
         parts.append(
             sums.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), _clipped(F.try_divide(cov, scale)).alias("correlation"))
         )
-    return _matrix(union_all(parts), df, names, _constant(df, names))
+    return _matrix(union_all(parts), df, names, _flat(facts))
 
 
-def _constant(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    facts = _facts(df, columns)["columns"]
-    return {c for c in columns if facts[c][2] == facts[c][3]}
+def _flat(facts: dict) -> set[str]:
+    return {c for c, (_, _, low, high) in facts["columns"].items() if low == high}
 
 
 def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -176,7 +191,7 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None, rows_per_t
         _tau_b(_joint(df, a, b), cuts[a], cuts[b]).select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "correlation")
         for a, b in combinations(names, 2)
     ]
-    return _matrix(union_all(parts), df, names, _constant(df, names))
+    return _matrix(union_all(parts), df, names, _flat(_facts(df, names)))
 
 
 def _pairs_within(counts: DataFrame, name: str) -> DataFrame:

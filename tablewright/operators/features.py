@@ -12,6 +12,7 @@ from ..functions.tables import union_all
 from . import profile
 
 MAX_CATEGORIES = 50
+BROADCAST_CLASSES = 100_000
 INFREQUENT = "infrequent"
 
 
@@ -43,20 +44,22 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_size:
     borders = ranges.select(
         "__y", "__r", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("size"), "n"
     ).withColumn("wanted", F.ceil(F.col("size") * F.lit(test_size)))
-    smallest = borders.agg(F.min("size")).first()[0]
+    smallest, classes = borders.agg(F.min("size"), F.count_distinct("__y")).first()
     if smallest is None or smallest < 2:
         return train_test_split(df, key, test_size)
+    # One border per class: sent to every task when the classes are few, joined by class when they are not.
+    share = F.broadcast if classes <= BROADCAST_CLASSES else (lambda frame: frame)
     border = borders.where("before < wanted and before + n >= wanted").select(
         "__y", "__r", (F.col("wanted") - F.col("before")).alias("left")
     )
     place = F.struct(F.col("__h"), *[quoted(k) for k in key])
     border = border.withColumnsRenamed({"__y": "__class", "__r": "__range"})
     near = coded.select("__y", "__r", place.alias("__last")).join(
-        border, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__r") == F.col("__range"))
+        share(border), F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__r") == F.col("__range"))
     )
     rank = F.row_number().over(Window.partitionBy("__class", "__range").orderBy("__last"))
     last = near.withColumn("rank", rank).where("rank = left").select("__class", "__last")
-    sides = coded.join(last, F.col("__y").eqNullSafe(F.col("__class")), "left")  # one row per class
+    sides = coded.join(share(last), F.col("__y").eqNullSafe(F.col("__class")), "left")
     test = place <= F.col("__last")
     return sides.select(*[quoted(c) for c in df.columns], F.when(test, "test").otherwise("train").alias("split"))
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import DATETIME, as_timestamp, columns_of_kind, quoted
+from ..functions.columns import DATETIME, as_timestamp, columns_of_kind
 from ..functions.tables import union_all
 
 MAX_CLASSES = 20

@@ -46,12 +46,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tablewright/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so a lost executor never replays what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back, for input that several passes read.
 

@@ -273,3 +273,11 @@ def test_frequencies_of_text_and_dates(edge):
     got = as_dict(eda.top_freq(edge))
     assert got["t"]["top"] == "bad" and got["t"]["freq"] == 2 and got["b"]["top"] == "true"
     assert F is not None
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(float(i), "x") for i in range(9)] + [(500.0, None)], ["a.b c", "R² %"])
+    assert {r["column"] for r in eda.histogram(df, bins=3).collect()} == {"a.b c"}
+    assert [(r["column"], r["value"]) for r in eda.boxplot_outliers(df).collect()] == [("a.b c", 500.0)]
+    assert {r["column"] for r in profile.column_profile(df).collect()} == {"a.b c", "R² %"}
+    assert clean.clean_dataset(df).where("`R² %` is null").count() == 0
