@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .columns import quoted
@@ -49,3 +51,36 @@ def spread_by(df: DataFrame, keys: Sequence[str], whole_groups: bool = False) ->
         return df
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(count, *([F.xxhash64(*keys)] if whole_groups else [F.col(k) for k in keys]))
+
+
+BRANCHES = 24
+
+
+def in_batches(df: DataFrame, columns: Sequence[str], build: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """``build`` over the columns, for results of one row per column.
+
+    A wide table runs as several queries, so that no plan has a branch for each
+    of its columns; their rows, one per column, are put together on the driver.
+    """
+    parts = [build(names) for names in batches(list(columns), BRANCHES)]
+    if len(parts) == 1:
+        return parts[0]
+    rows = [row for part in parts for row in part.collect()]
+    return df.sparkSession.createDataFrame(rows, parts[0].schema)
+
+
+def map_in_threads(df: DataFrame, work: Callable, items: Sequence, threads: int = 4) -> list:
+    """Independent small-result queries side by side, each with a plan of its own."""
+    pool = ThreadPool(max(1, min(threads, len(items))))
+    try:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), items)
+    finally:
+        pool.close()
+
+
+def union_or_gather(df: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Union of frames whose rows the schema bounds; beyond a few, each runs as its own query."""
+    if len(parts) <= BRANCHES:
+        return union_all(parts)
+    rows = [row for found in map_in_threads(df, lambda part: part.collect(), parts) for row in found]
+    return df.sparkSession.createDataFrame(rows, parts[0].schema)

@@ -8,14 +8,15 @@ from running totals that never sort a whole column in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, numeric_columns
 from ..functions.running import ROWS_PER_TASK, running_totals
-from ..functions.tables import batches, one_row_to_long, union_all
+from ..functions.tables import batches, map_in_threads, one_row_to_long, union_all, union_or_gather
+from ..session import stage
 
 SQUARE = 6  # columns per block side: 36 products and 12 squares per aggregate
 INCOMPLETE_PAIRS = 4
@@ -64,7 +65,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     for pair in combinations(names, 2):
         (whole if pair[0] in complete and pair[1] in complete else partial).append(pair)
     parts = _complete_pairs(centred, x, complete, whole, constant) + _incomplete_pairs(centred, x, partial)
-    return _matrix(union_all(parts), df, names, constant)
+    return _matrix(union_or_gather(df, parts), df, names, constant)
 
 
 def _clipped(c: Column) -> Column:
@@ -148,22 +149,24 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_
     facts = _facts(df, names)
     complete = {c for c in names if facts["columns"][c][0] == facts["rows"]}
     cuts = _cuts(df, names, rows_per_task)
-    whole = {}
-    for c in names:
+
+    def table_ranks(c: str) -> DataFrame:
         values = df.select((as_double(df, c) + 0.0).alias("v")).where("v is not null")
-        whole[c] = _average_ranks(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v", "rank", cuts[c])
+        return stage(_average_ranks(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v", "rank", cuts[c]), "ranks")
+
+    ranked = [c for c in names if complete - {c}]
+    whole = dict(zip(ranked, map_in_threads(df, table_ranks, ranked)))
 
     def ranks(joint: DataFrame, side: str, column: str, other: str) -> DataFrame:
         if other in complete:
             return whole[column].select(F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"))
         return _average_ranks(joint.groupBy(side).agg(F.sum("n").alias("m")), side, f"rank_{side}", cuts[column])
 
-    parts = []
-    for a, b in combinations(names, 2):
+    def one(a: str, b: str) -> DataFrame:
         joint = _joint(df, a, b)
-        ranked = joint.join(ranks(joint, "a", a, b), "a").join(ranks(joint, "b", b, a), "b")
+        both = joint.join(ranks(joint, "a", a, b), "a").join(ranks(joint, "b", b, a), "b")
         w, u, v = F.col("n").cast("double"), F.col("rank_a"), F.col("rank_b")
-        sums = ranked.agg(
+        sums = both.agg(
             F.sum(w).alias("n"), F.sum(w * u).alias("su"), F.sum(w * v).alias("sv"),
             F.sum(w * u * u).alias("suu"), F.sum(w * v * v).alias("svv"), F.sum(w * u * v).alias("suv"),
         )
@@ -171,10 +174,17 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_
         scale = F.sqrt(F.col("n") * F.col("suu") - F.col("su") * F.col("su")) * F.sqrt(
             F.col("n") * F.col("svv") - F.col("sv") * F.col("sv")
         )
-        parts.append(
-            sums.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), _clipped(F.try_divide(cov, scale)).alias("correlation"))
-        )
-    return _matrix(union_all(parts), df, names, _flat(facts))
+        return sums.select(_clipped(F.try_divide(cov, scale)).alias("correlation"))
+
+    return _matrix(_pairs(df, names, one), df, names, _flat(facts))
+
+
+def _pairs(df: DataFrame, columns: Sequence[str], one: Callable[[str, str], DataFrame]) -> DataFrame:
+    """One query per pair and one number from each: a plan for all pairs at once would grow with their square."""
+    pairs = list(combinations(columns, 2))
+    values = map_in_threads(df, lambda pair: one(*pair).first()[0], pairs)
+    rows = [(a, b, v) for (a, b), v in zip(pairs, values)]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 
 def _flat(facts: dict) -> set[str]:
@@ -187,11 +197,8 @@ def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None, rows_per_t
     if len(names) < 2:
         return _empty(df)
     cuts = _cuts(df, names, rows_per_task)
-    parts = [
-        _tau_b(_joint(df, a, b), cuts[a], cuts[b]).select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "correlation")
-        for a, b in combinations(names, 2)
-    ]
-    return _matrix(union_all(parts), df, names, _flat(_facts(df, names)))
+    pairs = _pairs(df, names, lambda a, b: _tau_b(_joint(df, a, b), cuts[a], cuts[b]))
+    return _matrix(pairs, df, names, _flat(_facts(df, names)))
 
 
 def _pairs_within(counts: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.columns import (
     present, quoted,
 )
 from ..functions.copies import surplus_rows
-from ..functions.tables import join_by, one_row_to_long, union_all
+from ..functions.tables import in_batches, join_by, one_row_to_long, union_all
 
 LOW_CARDINALITY = 10
 HIGH_CARDINALITY_RATIO = 0.5
@@ -79,6 +79,10 @@ def unique_values(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     if not exact:
         row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(names)])
         return one_row_to_long(row, [{"column": F.lit(c), "unique": F.col(f"u{i}")} for i, c in enumerate(names)])
+    return in_batches(df, names, lambda batch: _distinct_counts(df, batch))
+
+
+def _distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
     found = [
         df.select(distinct_key(df, c).alias("value")).where("value is not null").distinct()
         .select(F.lit(c).alias("column"), F.lit(1).alias("n"))
@@ -91,6 +95,10 @@ def unique_values(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent value per column as text, with its count; ties go to the smallest value."""
+    return in_batches(df, columns, lambda batch: _modes(df, batch))
+
+
+def _modes(df: DataFrame, columns: list[str]) -> DataFrame:
     branches = []
     for c in columns:
         values = df.select(F.when(~is_missing(df, c), display_text(df, c)).alias("value")).where(F.col("value").isNotNull())
@@ -136,13 +144,18 @@ def low_cardinality(df: DataFrame) -> DataFrame:
 
 def high_cardinality(df: DataFrame) -> DataFrame:
     """Columns whose distinct values exceed half the rows; none for an empty table."""
-    branches = [
-        df.select(distinct_key(df, c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.count("value").alias("unique"), F.sum("n").alias("rows"))
-        .select(F.lit(c).alias("column"), "unique", "rows")
-        for c in df.columns
-    ]
-    return union_all(branches).filter(F.try_divide("unique", "rows") > HIGH_CARDINALITY_RATIO).select("column", "unique")
+    def build(names: list[str]) -> DataFrame:
+        return union_all(
+            [
+                df.select(distinct_key(df, c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+                .agg(F.count("value").alias("unique"), F.sum("n").alias("rows"))
+                .select(F.lit(c).alias("column"), "unique", "rows")
+                for c in names
+            ]
+        )
+
+    counts = in_batches(df, df.columns, build)
+    return counts.filter(F.try_divide("unique", "rows") > HIGH_CARDINALITY_RATIO).select("column", "unique")
 
 
 def text_samples(df: DataFrame, order_by: Sequence[str] | None = None, size: int = SAMPLE_SIZE) -> DataFrame:

@@ -5,16 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
-from ..functions.tables import union_all
+from ..functions.tables import map_in_threads, union_all
 from ..operators import estimators as E, evaluate, features
 from ..operators.clean import drop_missing_target
 from ..operators.neighbors import knn_classify, nearest_neighbours
@@ -127,11 +125,7 @@ def train_candidates(
         except Exception as error:  # noqa: BLE001 - the failure is part of the comparison
             outcome[name] = ("failed", str(error), round(time.time() - start, 4))
 
-    pool = ThreadPool(max(1, min(parallelism, len(names))))
-    try:
-        pool.map(inheritable_thread_target(df.sparkSession)(attempt), names)
-    finally:
-        pool.close()
+    map_in_threads(df, attempt, names, parallelism)
     candidates = df.sparkSession.createDataFrame(
         [(n, i, *outcome[n]) for i, n in enumerate(names)],
         "model string, ordinal int, status string, error string, training_seconds double",

@@ -281,3 +281,13 @@ def test_odd_column_names(spark):
     assert [(r["column"], r["value"]) for r in eda.boxplot_outliers(df).collect()] == [("a.b c", 500.0)]
     assert {r["column"] for r in profile.column_profile(df).collect()} == {"a.b c", "R² %"}
     assert clean.clean_dataset(df).where("`R² %` is null").count() == 0
+
+
+def test_a_wide_table(spark):
+    names = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame([tuple(float(min(i, j)) for j in range(40)) for i in range(40)], names).coalesce(2)
+    got = {r["column"]: r["unique"] for r in profile.unique_values(df).collect()}
+    assert got == {f"c{j}": j + 1 for j in range(40)}
+    assert profile.high_cardinality(df).count() == 20
+    pairs = matrix(correlation.corr_matrix(df))
+    assert len(pairs) == 1600 and pairs["c0", "c5"] is None and pairs["c38", "c39"] > 0.99
