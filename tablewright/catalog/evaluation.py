@@ -150,7 +150,7 @@ CURVE = (
     f"with {PRED_BINARY}, {CURVE} select {r('score')} as threshold, {r('fp / n')} as fpr, {r('tp / p')} as tpr from u union all select null, 0.0, 0.0",
 )
 def _(t):
-    return rounded(V.roc_curve(pred_binary(t), "O", rows_per_task=20_000))
+    return rounded(V.roc_curve(pred_binary(t), "O"))
 
 
 @query(
@@ -166,7 +166,7 @@ def _(t):
     f"with {PRED_BINARY}, {CURVE} select {r('score')} as threshold, {r('tp / (tp + fp)')} as precision, {r('tp / p')} as recall from u union all select null, 1.0, 0.0",
 )
 def _(t):
-    return rounded(V.pr_curve(pred_binary(t), "O", rows_per_task=20_000))
+    return rounded(V.pr_curve(pred_binary(t), "O"))
 
 
 @query(
