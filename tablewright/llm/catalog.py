@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
-from . import bpe, orc_tokens
+from ..session import scratch_path, stage
+from . import bpe, counts, orc_tokens, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -37,9 +37,23 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(tokens, ranks))
 
 
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    counted = stage(rules.measure(documents(spark, folder)).select("doc_id", "lang", "source", *rules.COUNTS), "rule-counts")
+    judged = rules.judge(counted, rules.limits(counted))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons")
+    )
+
+
 @query
 def op6_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "orc-tokens")
     orc_tokens.write_tokens(documents(spark, folder), path, vocabulary("word_bpe_49k.json"))
     narrow = orc_tokens.with_starts(orc_tokens.checksums(orc_tokens.read_tokens(spark, path)))
     return narrow.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.measure(documents(spark, folder).select("doc_id", "text"), vocabulary("byte_bpe_50k.json")).drop("text")
