@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import bpe, counts, orc_tokens, rules
+from . import bpe, counts, language, orc_tokens, rules, simhash
+from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -57,3 +58,16 @@ def op6_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.measure(documents(spark, folder).select("doc_id", "text"), vocabulary("byte_bpe_50k.json")).drop("text")
+
+
+@query
+def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    told = language.predict(docs, language.learn(language.learning_rows(docs)))
+    return told.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
