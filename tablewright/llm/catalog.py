@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import bpe, counts, language, orc_tokens, rules, simhash
+from . import bpe, counts, decontaminate, language, orc_tokens, rules, simhash
 from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, folder).select("doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
