@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import bpe, counts, decontaminate, language, orc_tokens, rules, simhash
+from . import bpe, counts, decontaminate, language, orc_tokens, quality, rules, simhash, toxicity
 from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,28 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def held_out(by: int, rest: int):
+    return F.coalesce(remainder(F.col("doc_id"), by) == rest, F.lit(True)).alias("held_out")
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    judged = toxicity.judge(docs, toxicity.learn(docs, labels(spark, folder)))
+    return judged.select("doc_id", held_out(*toxicity.HELD_OUT), "score", "predicted", "toxic_by_language")
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    judged = quality.judge(docs, quality.learn(docs, labels(spark, folder)))
+    return judged.select("doc_id", held_out(*quality.HELD_OUT), "score", "predicted")
+
+
 @query
 def op6_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "orc-tokens")
@@ -75,4 +97,4 @@ def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang")
     told = language.predict(docs, language.learn(language.learning_rows(docs)))
-    return told.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return told.select("doc_id", held_out(3, 1), "lang_pred", "score")
