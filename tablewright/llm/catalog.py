@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import bpe, counts, decontaminate, language, orc_tokens, quality, rules, simhash, toxicity
+from . import bpe, counts, decontaminate, language, licenses, orc_tokens, quality, rules, simhash, toxicity
 from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.measure(documents(spark, folder).select("doc_id", "text"), vocabulary("byte_bpe_50k.json")).drop("text")
 
 
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.summary(documents(spark, folder).select("doc_id", "text"))
+
+
 @query
 def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
