@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def encode_and_decode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Ids of the kept documents, checked by decoding them: one row per document."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
 
 STAGES: list[tuple[str, Stage]] = [

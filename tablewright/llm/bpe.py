@@ -1,14 +1,15 @@
 """Byte-level BPE over Arrow batches: the tokenizers library, a table of bytes and characters, offsets, and the way back.
 
-A text is cut before single spaces between two characters that are not blank. No token, no
-rule of the split pattern and no normalisation reaches over such a place, so pieces can be
-encoded one by one, and each distinct piece once per worker.
+A text is cut where letters, digits, signs and blanks of ASCII meet, a last space before a word
+going with the word. No token, no rule of the split pattern and no normalisation reaches over
+such a place, so pieces can be encoded one by one, and each distinct piece once per worker.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .texts import on_texts, raw, ready, strings
 
-KNOWN_PIECES = 1_500_000  # pieces a worker remembers, then it starts anew; no result depends on it
+KNOWN_PIECES = 800_000  # pieces a worker remembers, then it starts anew; no result depends on it
 LIBRARY_PIECES = 20_000  # pieces handed to the library at a time
 
 
@@ -61,25 +62,51 @@ def rank_tokenizer(path: str, pattern: str):
 
 
 def file_tokenizer(path: str):
-    """Library tokenizer from its own file, special strings in texts handled as by default."""
+    """Library tokenizer from its own file, special strings in texts handled as by default.
+
+    Its pattern must be of the kind that splits words, digits, signs and blanks from one another.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.model._resize_cache(0)  # pieces are remembered here
     return tokenizer
 
 
-def piece_bounds(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Byte places at which pieces begin, the text bounds among them."""
-    space = np.flatnonzero(data[1:-1] == 0x20) + 1 if len(data) > 2 else np.zeros(0, np.int64)
-    left, right, far = data[space - 1], data[space + 1], data[np.maximum(space - 2, 0)]
-    plain = (left > 0x20) & (right > 0x20)
-    # Blanks beyond ASCII end in these bytes and begin with those; a few other characters are kept together with them.
-    plain &= ~((left >= 0x80) & np.isin(far, (0xC2, 0x80, 0x81, 0x9A)))
-    plain &= ~np.isin(right, (0xC2, 0xE1, 0xE2, 0xE3))
-    return np.union1d(bounds, space[plain])
+LETTER, DIGIT, SIGN, GAP = 1, 2, 3, 4
+KINDS = np.zeros(256, np.uint8)  # bytes of an apostrophe, of control characters and beyond ASCII have none
+KINDS[0x21:0x7F] = SIGN
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KINDS[0x30:0x3A] = DIGIT
+KINDS[0x27] = 0
+KINDS[[0x20, *range(0x09, 0x0E)]] = GAP
+
+
+def piece_bounds(data: np.ndarray, bounds: np.ndarray, inner: bool = True) -> np.ndarray:
+    """Byte places at which pieces begin, the text bounds among them. ``inner``: also inside words, where letters, digits and signs meet."""
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        kind = KINDS[data]
+        gap, full = kind == GAP, kind > 0
+        full &= ~gap
+        if inner:
+            cut[1:-1] = full[:-1] & full[1:] & (kind[:-1] != kind[1:])
+        begin = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+        left, far = data[begin - 1], data[np.maximum(begin - 2, 0)]
+        # Blanks beyond ASCII end in such bytes; a few other characters are kept together with them.
+        known = full[begin - 1] | (left == 0x27) | (left >= 0x80) & ~np.isin(far, (0xC2, 0x80, 0x81, 0x9A))
+        cut[begin[known]] = True  # before a run of blanks
+        end = np.flatnonzero(gap[:-1] & ~gap[1:])  # the last of a run
+        right = data[end + 1]
+        known = full[end + 1] | (right == 0x27) | (right >= 0x80) & ~np.isin(right, (0xC2, 0xE1, 0xE2, 0xE3))
+        end = end[known]
+        spaced = data[end] == 0x20
+        single = cut[end] & ~spaced  # one blank that is no space, after a character that surely is none
+        cut[end[spaced & gap[np.maximum(end - 1, 0)]]] = True  # the last space of a run goes with the word after it
+        cut[end[single] + 1] = True
+    cut[bounds] = True
+    return np.flatnonzero(cut)
 
 
 class Pieces:
@@ -87,6 +114,11 @@ class Pieces:
 
     def __init__(self, tokenizer, offsets: bool = False) -> None:
         self.tokenizer, self.offsets = tokenizer, offsets
+        normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        spelled_ab = [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal(" ab"))]
+        self.space = spelled_ab[0].removesuffix("ab")  # how the space before a word is spelled, if it is
+        self.fold = normal("AB") == "ab" and not offsets
+        self.special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -94,25 +126,37 @@ class Pieces:
         self.bounds, self.ids, self.places = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def learn(self, pieces: pa.Array) -> None:
-        ids, lengths, places = [self.ids], [], [self.places]
-        encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        for start in range(0, len(pieces), LIBRARY_PIECES):
-            texts = pieces.slice(start, LIBRARY_PIECES).to_pylist()
-            done = encode(texts, add_special_tokens=False)
-            found = [x.ids for x in done]
-            lengths += map(len, found)
-            ids.append(np.fromiter((i for x in found for i in x), np.int32))
-            if self.offsets:
-                places.append(np.fromiter((a for x in done for a, _ in x.offsets), np.int32))
-        self.known = pa.concat_arrays([self.known, pieces])
+        """Plain words go to the library's model, which its normaliser and its pattern would leave as they are; others take all steps."""
+        plain = pc.match_substring_regex(pieces, "^ ?[a-z]+$" if self.fold else "^ ?[A-Za-z]+$")
+        words, others = pieces.filter(plain), pieces.filter(pc.invert(plain))
+        ids, lengths, places, tokenize = [self.ids], [], [self.places], self.tokenizer.model.tokenize
+        for texts, is_word in ((words, True), (others, False)):
+            for start in range(0, len(texts), LIBRARY_PIECES):
+                part = texts.slice(start, LIBRARY_PIECES)
+                if is_word:
+                    done = [tokenize(x) for x in pc.replace_substring(part, " ", self.space).to_pylist()]
+                    found, begin = [[t.id for t in x] for x in done], [t.offsets[0] for x in done for t in x] if self.offsets else []
+                else:
+                    done = [self.tokenizer.encode(x, add_special_tokens=False) for x in part.to_pylist()]
+                    found, begin = [x.ids for x in done], [a for x in done for a, _ in x.offsets] if self.offsets else []
+                lengths += map(len, found)
+                ids.append(np.fromiter((i for x in found for i in x), np.int32))
+                places.append(np.array(begin, np.int32))
+        self.known = pa.concat_arrays([self.known, words, others])
         self.ids, self.places = np.concatenate(ids), np.concatenate(places)
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.array(lengths, np.int64))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the n + 1 bounds of each text's ids, and the character each id begins at (if asked for)."""
         data, bounds = raw(texts)
-        cuts = piece_bounds(data, bounds)
-        pieces = strings(data, cuts, pa.string()).dictionary_encode()
+        whole = data.tobytes() if self.special else b""
+        ordinary = not any(x in whole for x in self.special)
+        cuts = piece_bounds(data, bounds, ordinary)
+        if self.fold and ordinary:
+            capital = (data >= 0x41) & (data <= 0x5A)
+            capital[:-1] &= data[1:] < 0x80  # a mark after the letter may make another letter of it
+            folded = data + (capital.view(np.uint8) << 5)
+        pieces = strings(folded if self.fold and ordinary else data, cuts, pa.string()).dictionary_encode()
         distinct = pieces.dictionary
         if len(self.known) + len(distinct) > KNOWN_PIECES:
             self.forget()
@@ -153,6 +197,7 @@ def encoder(key: tuple, make: Callable, ending: int | None = None):
     """Column function text -> ids, or struct<ids, offsets> if the last part of ``key`` asks for offsets."""
 
     def work():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         pieces = pieces_of(key, make)
 
         def one(texts: pa.Array) -> pa.Array:
@@ -193,6 +238,22 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array(table, pa.large_binary())
 
 
+def decoded_bytes(path: str):
+    """Column function array<int> -> the bytes of the ids joined."""
+
+    def run(part: pa.Array) -> pa.Array:
+        part = part.fill_null([]) if part.null_count else part
+        bounds = part.offsets.to_numpy().astype(np.int64)
+        joined = token_bytes(path).take(part.values.slice(bounds[0], bounds[-1] - bounds[0]))
+        _, places, data = joined.buffers()
+        places = np.frombuffer(places, np.int64)[: len(joined) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        return strings(data, places[bounds - bounds[0]], pa.binary())
+
+    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "binary")
+
+
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """Add ``decoded`` (binary): the bytes of ``ids`` joined.
 
@@ -200,41 +261,27 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     as characters; ``cast('string')`` gives the text. Null ids decode to no bytes; an id without a token is an error.
     """
     ready(tokens.sparkSession)
-
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = token_bytes(path)
-        for part in parts:
-            part = part.fill_null([]) if part.null_count else part
-            bounds = part.offsets.to_numpy().astype(np.int64)
-            joined = table.take(part.values.slice(bounds[0], bounds[-1] - bounds[0]))
-            _, places, data = joined.buffers()
-            places = np.frombuffer(places, np.int64)[: len(joined) + 1]
-            data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-            yield strings(data, places[bounds - bounds[0]], pa.binary())
-
-    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return tokens.withColumn("decoded", F.arrow_udf(run, "binary")(F.col("ids")))
+    return tokens.withColumn("decoded", decoded_bytes(path)(F.col("ids")))
 
 
-def little_endian(kind: str = "binary"):
+def little_endian():
     """Column function array<int> -> the ids as little-endian unsigned 32-bit integers."""
 
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            part = part.fill_null([]) if part.null_count else part
-            bounds = part.offsets.to_numpy().astype(np.int64)
-            values = part.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False).astype("<u4")
-            yield strings(values.view(np.uint8), 4 * (bounds - bounds[0]), pa.binary())
+    def run(part: pa.Array) -> pa.Array:
+        part = part.fill_null([]) if part.null_count else part
+        bounds = part.offsets.to_numpy().astype(np.int64)
+        values = part.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False).astype("<u4")
+        return strings(values.view(np.uint8), 4 * (bounds - bounds[0]), pa.binary())
 
-    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)
+    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id``, the number of ids, and SHA-256 of the ids as little-endian integers and of the decoded bytes."""
-    return decoded.select(
+def digests(tokens: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, the number of ids, and SHA-256 of the ids as little-endian integers and of the bytes they decode to."""
+    return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(little_endian()(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(decoded_bytes(path)(F.col("ids")), 256).alias("decoded_sha256"),
     )

@@ -40,7 +40,7 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     tokens = bpe.encode(documents(spark, folder).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(tokens, ranks))
+    return bpe.digests(tokens, ranks)
 
 
 @query

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stage
 
-SLICE_BYTES = 8 << 20  # texts handled at a time; one longer text is handled alone
+SLICE_BYTES = 4 << 20  # texts handled at a time; one longer text is handled alone
+BATCH_BYTES = 8 << 20  # Arrow batches between the JVM and Python, so that two tasks of long texts fit in a small executor
 BROADCAST_ROWS = 100_000
 
 BLANK = np.zeros(256, bool)
@@ -19,11 +20,17 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on their path."""
+    """Let Python workers import this package when it is not on their path, and keep Arrow batches small.
+
+    The batch size is a setting of the session; a smaller one is left as it is.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(size).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
