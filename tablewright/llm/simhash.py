@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 from .components import components
-from .texts import BLANK, on_texts, raw, ready, spans
+from .texts import BLANK, mix, on_texts, raw, ready, small_or_plain, spans
 
 SEED = 42
 ALL = (1 << 64) - 1
+SHARDS, TILE = 5, 512  # shards a text is in when shingles decide, and texts whose shingles are compared in one place
 TREE = 1024  # fingerprints in a tree; a larger shard is dealt again by blocks of the bits it does not agree in yet
 
 
@@ -201,3 +202,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def text_marks(text: Column, words: int) -> Column:
+    """``struct<fp, content, shards>``: SimHash, hash of the word sequence, and the shards whose trees a text is looked up in.
+
+    A shard is a pair of least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share one of the ``SHARDS``
+    with a probability of 0.99.
+    """
+
+    def one(texts: pa.Array) -> pa.Array:
+        hashes, bounds = shingle_hashes(texts, words)
+        full = np.flatnonzero(np.diff(bounds))
+        contents, keys = np.zeros(len(texts), np.int64), np.zeros((len(full), SHARDS), np.int64)
+        for i in full:
+            contents[i] = np.uint64(xxhash.xxh64_intdigest(hashes[bounds[i] : bounds[i + 1]].tobytes(), SEED)).view(np.int64)
+        for k in range(SHARDS if len(full) else 0):
+            least = [np.minimum.reduceat(mix(hashes ^ mix(np.array([2 * k + j]))), bounds[:-1][full]) for j in (0, 1)]
+            with np.errstate(over="ignore"):
+                keys[:, k] = mix(mix(least[0]) + np.uint64(k) + least[1]).view(np.int64)
+        at = np.concatenate([[0], np.cumsum(np.where(np.diff(bounds) > 0, SHARDS, 0))]).astype(np.int32)
+        shards = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))
+        return pa.StructArray.from_arrays([pa.array(majority(hashes, bounds)), pa.array(contents), shards], ["fp", "content", "shards"])
+
+    return on_texts(lambda: one, "struct<fp long, content long, shards array<long>>")(text)
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    """The distinct shingles of a text as ascending 32-bit hashes."""
+
+    def one(texts: pa.Array) -> pa.Array:
+        hashes, bounds = shingle_hashes(texts, words)
+        sets = [np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for a, b in zip(bounds, bounds[1:])]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
+
+    return on_texts(lambda: one, "array<int>")(text)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def follow(radius: int, least: float):
+    """Column function of a tile's members -> array<struct<follower, leader>>, rows.
+
+    Members come in the order of their places. Each is looked up among the leaders before it; if one is similar by its
+    shingles the member follows it, if none is it becomes a leader and a node of the tree.
+    """
+
+    def run(part: pa.Array) -> pa.Array:
+        kind, out = pa.list_(pa.struct([("follower", pa.int64()), ("leader", pa.int64())])), []
+        for tile in part:
+            places = tile.values.field("place").to_pylist()
+            members = sorted(range(len(places)), key=lambda i: (places[i]["last"], places[i]["id"] or 0, places[i]["row"]))
+            rows, fps, sets = (tile.values.field(x) for x in ("row", "fp", "shingles"))
+            tree, leaders, found = Tree(radius), [], []
+            for i in members:
+                fp, own = fps[i].as_py() & ALL, sets[i].values.to_numpy().view(np.uint32)
+                leader = next((n for n in sorted(tree.near(fp)) if similar(leaders[n][1], own, least)), None)
+                if leader is None:
+                    leaders.append((rows[i].as_py(), own))
+                    tree.add(fp)
+                else:
+                    found.append({"follower": rows[i].as_py(), "leader": leaders[leader][0]})
+            out.append(found)
+        return pa.array(out, kind)
+
+    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<follower long, leader long>>")
+
+
+def followers(members: DataFrame, sets: DataFrame, keys: list[str], radius: int, least: float) -> DataFrame:
+    """Links of all tiles, the groups of ``keys``; a tile has about ``TILE`` members, or twice as many."""
+    own = members.join(sets, "row").groupBy(*keys).agg(F.collect_list(F.struct("place", "row", "fp", "shingles")).alias("members"))
+    return own.select(F.inline(follow(radius, least)(F.col("members"))))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18) -> DataFrame:
+    """One row of ``docs`` of each group of near-duplicates, with its own columns: that of the smallest id, or the first read.
+
+    Two texts are near-duplicates if their sets of ``words``-word shingles (A to Z made small) have a Jaccard similarity
+    of ``least`` or more; a group is what such pairs connect to rows that stay. Texts of the same words, and texts without
+    any, are copies. Rows without an id come after those with one. Copies are dropped first, by a hash of their words;
+    then the trees of each shard give the leaders within ``radius`` bits, and shingles decide. A shard of more than
+    ``TILE`` texts is worked in tiles, each of which leaves its leaders only; what is left is dealt anew until it fits,
+    and if it no longer shrinks every pair of tiles is worked.
+    """
+    ready(docs.sparkSession)
+    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    marked = numbered.select(F.col("__row").alias("row"), place.alias("place"), text_marks(F.col("text"), words).alias("m"))
+    marked = stage(marked.select("row", "place", "m.*"), "text-marks")
+    first = marked.groupBy("content").agg(F.min("place").alias("place"))  # combined before the shuffle
+    copies = marked.join(first.select(F.col("place.row").alias("row")), "row", "left_anti").select("row")
+    different = marked.join(first.select(F.col("place.row").alias("row")), "row", "left_semi")
+    keyed = stage(different.select("row", "place", "fp", F.explode("shards").alias("shard")), "keyed")
+    dropped, sets, turn = [copies], None, 0
+    while True:
+        sizes = stage(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
+        members = keyed.join(sizes, "shard").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+        members = members.withColumn("tile", F.pmod(F.xxhash64("row", F.lit(turn)), F.col("tiles")).cast("int"))
+        if sets is None:
+            wanted = small_or_plain(members.select(F.col("row").alias("__row")).distinct(), "suspects")
+            found = numbered.join(wanted, "__row", "left_semi")
+            sets = stage(found.select(F.col("__row").alias("row"), shingle_sets(F.col("text"), words).alias("shingles")), "shingles")
+        linked = stage(followers(members, sets, ["shard", "tile"], radius, least).select(F.col("follower").alias("row")).distinct(), "followers")
+        dropped.append(linked)
+        large = sizes.where(F.col("n") > TILE).select("shard")
+        if not large.take(1):
+            break
+        before = keyed.join(large, "shard", "left_semi")
+        after = stage(before.join(linked, "row", "left_anti"), "keyed")
+        if after.count() > 0.9 * before.count():  # different texts that share a shard: all pairs of tiles
+            sizes = after.groupBy("shard").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+            tiled = after.join(sizes, "shard").withColumn("tile", F.pmod(F.xxhash64("row", F.lit(turn)), F.col("tiles")).cast("int"))
+            paired = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            paired = paired.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
+            dropped.append(stage(followers(paired, sets, ["shard", "a", "b"], radius, least).select(F.col("follower").alias("row")), "followers"))
+            break
+        keyed, turn = after, turn + 1
+    gone = dropped[0]
+    for more in dropped[1:]:
+        gone = gone.unionByName(more)
+    gone = small_or_plain(gone.select(F.col("row").alias("__row")).distinct(), "dropped")
+    return numbered.join(gone, "__row", "left_anti").drop("__row")
