@@ -110,44 +110,41 @@ def piece_bounds(data: np.ndarray, bounds: np.ndarray, inner: bool = True) -> np
 
 
 class Pieces:
-    """Encodes slices of texts; keeps the ids and offsets of the pieces seen."""
+    """Encodes slices of texts; keeps the ids of the pieces seen."""
 
-    def __init__(self, tokenizer, offsets: bool = False) -> None:
-        self.tokenizer, self.offsets = tokenizer, offsets
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
         normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
         spelled_ab = [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal(" ab"))]
         self.space = spelled_ab[0].removesuffix("ab")  # how the space before a word is spelled, if it is
-        self.fold = normal("AB") == "ab" and not offsets
+        self.fold = normal("AB") == "ab"
         self.special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.known = pa.array([], pa.string())
-        self.bounds, self.ids, self.places = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def learn(self, pieces: pa.Array) -> None:
         """Plain words go to the library's model, which its normaliser and its pattern would leave as they are; others take all steps."""
         plain = pc.match_substring_regex(pieces, "^ ?[a-z]+$" if self.fold else "^ ?[A-Za-z]+$")
         words, others = pieces.filter(plain), pieces.filter(pc.invert(plain))
-        ids, lengths, places, tokenize = [self.ids], [], [self.places], self.tokenizer.model.tokenize
+        ids, lengths, tokenize = [self.ids], [], self.tokenizer.model.tokenize
         for texts, is_word in ((words, True), (others, False)):
             for start in range(0, len(texts), LIBRARY_PIECES):
                 part = texts.slice(start, LIBRARY_PIECES)
                 if is_word:
-                    done = [tokenize(x) for x in pc.replace_substring(part, " ", self.space).to_pylist()]
-                    found, begin = [[t.id for t in x] for x in done], [t.offsets[0] for x in done for t in x] if self.offsets else []
+                    found = [[t.id for t in tokenize(x)] for x in pc.replace_substring(part, " ", self.space).to_pylist()]
                 else:
-                    done = [self.tokenizer.encode(x, add_special_tokens=False) for x in part.to_pylist()]
-                    found, begin = [x.ids for x in done], [a for x in done for a, _ in x.offsets] if self.offsets else []
+                    found = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in part.to_pylist()]
                 lengths += map(len, found)
                 ids.append(np.fromiter((i for x in found for i in x), np.int32))
-                places.append(np.array(begin, np.int32))
         self.known = pa.concat_arrays([self.known, words, others])
-        self.ids, self.places = np.concatenate(ids), np.concatenate(places)
+        self.ids = np.concatenate(ids)
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.array(lengths, np.int64))])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, the n + 1 bounds of each text's ids, and the character each id begins at (if asked for)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the n + 1 bounds of each text's ids."""
         data, bounds = raw(texts)
         whole = data.tobytes() if self.special else b""
         ordinary = not any(x in whole for x in self.special)
@@ -169,13 +166,16 @@ class Pieces:
         ends = np.zeros(len(entry) + 1, np.int64)
         np.cumsum(lengths, out=ends[1:])
         source = np.repeat(self.bounds[entry] - ends[:-1], lengths) + np.arange(ends[-1])
-        places = np.zeros(0, np.int32)
-        if self.offsets:
-            characters = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=characters[1:])
-            start = characters[cuts[:-1]] - characters[bounds[np.searchsorted(bounds, cuts[:-1], "right") - 1]]
-            places = (self.places[source] + np.repeat(start, lengths)).astype(np.int32)
-        return self.ids[source], ends[np.searchsorted(cuts, bounds)], places
+        return self.ids[source], ends[np.searchsorted(cuts, bounds)]
+
+
+def first_characters(texts: pa.Array, ids: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Character of its text that each id's first byte is part of. ``sizes``: bytes of every id; together they are the text."""
+    data, text_bounds = raw(texts)
+    number = np.zeros(len(data) + 1, np.int64)  # of characters that began before each byte
+    np.cumsum((data & 0xC0) != 0x80, out=number[1:])
+    begin = np.cumsum(sizes[ids]) - sizes[ids]  # ids of all texts cover all bytes in order
+    return (number[begin + 1] - 1 - np.repeat(number[text_bounds[:-1]], np.diff(bounds))).astype(np.int32)
 
 
 _WORKERS: dict[tuple, Pieces] = {}
@@ -185,7 +185,7 @@ def pieces_of(key: tuple, make: Callable) -> Pieces:
     """The worker's encoder for ``key``; kept for later tasks of the same worker."""
     if key not in _WORKERS:
         _WORKERS.clear()
-        _WORKERS[key] = Pieces(make(), offsets=key[-1])
+        _WORKERS[key] = Pieces(make())
     return _WORKERS[key]
 
 
@@ -194,23 +194,38 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def encoder(key: tuple, make: Callable, ending: int | None = None):
-    """Column function text -> ids, or struct<ids, offsets> if the last part of ``key`` asks for offsets."""
+    """Column function text -> ids, each text's followed by ``ending`` if there is one."""
 
     def work():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         pieces = pieces_of(key, make)
 
         def one(texts: pa.Array) -> pa.Array:
-            ids, bounds, places = pieces.encode(texts)
+            ids, bounds = pieces.encode(texts)
             if ending is not None:
                 ids, bounds = np.insert(ids, bounds[1:], ending), bounds + np.arange(len(bounds))
-            if not key[-1]:
-                return lists(ids, bounds)
-            return pa.StructArray.from_arrays([lists(ids, bounds), lists(places, bounds)], ["ids", "offsets"])
+            return lists(ids, bounds)
+
+        return one
+
+    return on_texts(work, "array<int>")
+
+
+def offset_encoder(path: str, pattern: str):
+    """Column function text -> struct<ids, offsets>."""
+
+    def work():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pieces = pieces_of(("ranks", path, pattern), lambda: rank_tokenizer(path, pattern))
+        sizes = pc.binary_length(token_bytes(path)).to_numpy()
+
+        def one(texts: pa.Array) -> pa.Array:
+            ids, bounds = pieces.encode(texts)
+            return pa.StructArray.from_arrays([lists(ids, bounds), lists(first_characters(texts, ids, bounds, sizes), bounds)], ["ids", "offsets"])
 
         return one
 
-    return on_texts(work, "struct<ids array<int>, offsets array<int>>" if key[-1] else "array<int>")
+    return on_texts(work, "struct<ids array<int>, offsets array<int>>")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
@@ -221,10 +236,9 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
     are encoded alike; columns named ``ids`` or ``offsets`` are replaced, all others are kept.
     """
     ready(docs.sparkSession)
-    found = encoder(("ranks", path, pattern, offsets), lambda: rank_tokenizer(path, pattern))(F.col("text"))
     if not offsets:
-        return docs.withColumn("ids", found)
-    return docs.withColumn("__bpe", found).withColumns({"ids": F.col("__bpe.ids"), "offsets": F.col("__bpe.offsets")}).drop("__bpe")
+        return docs.withColumn("ids", encoder(("ranks", path, pattern), lambda: rank_tokenizer(path, pattern))(F.col("text")))
+    return docs.withColumn("__bpe", offset_encoder(path, pattern)(F.col("text"))).withColumns({"ids": F.col("__bpe.ids"), "offsets": F.col("__bpe.offsets")}).drop("__bpe")
 
 
 @lru_cache(4)
