@@ -65,19 +65,35 @@ def _(t):
     return rounded(S.resample_monthly(t.orders, "o_orderdate", "o_totalprice", SERIES))
 
 
-RESAMPLE_AGGREGATES = {"sum": "sum", "min": "min", "max": "max", "median": "median", "count": "count"}
-
-
-@query(
-    "resample_agg",
-    " union all ".join(
-        f"select '{a}' as aggregate, o_orderpriority, ds, {r('y', 4)} as y from ({resample_sql('MS', s)})" for a, s in RESAMPLE_AGGREGATES.items()
-    ),
-)
+# Aggregate: its SQL, and the value of a period without orders; customers have gaps of months.
+RESAMPLE_AGGREGATES = {
+    "sum": ("sum(o_totalprice)", "0"), "count": ("count(o_totalprice)", "0"), "nunique": ("count(distinct o_totalprice)", "0"),
+    "size": ("count(*)", "0"), "prod": ("product(o_shippriced)", "1"), "min": ("min(o_totalprice)", None), "max": ("max(o_totalprice)", None),
+    "median": ("median(o_totalprice)", None), "first": ("arg_min(o_totalprice, (o_orderdate, o_totalprice))", None),
+    "last": ("arg_max(o_totalprice, (o_orderdate, o_totalprice))", None),
+}
+
+
+def gaps_sql(name: str) -> str:
+    agg, empty = RESAMPLE_AGGREGATES[name]
+    found = f"select o_custkey, cast({BUCKETS['MS']} as timestamp) as ds, cast({agg.replace('o_shippriced', '(1 + o_totalprice / 1000000)')} as double) as y from orders group by all"
+    if empty is None:
+        return f"select '{name}' as aggregate, o_custkey, ds, {r('y', 4)} as y from ({found})"
+    return (
+        f"select '{name}' as aggregate, o_custkey, g.ds, {r(f'coalesce(y, {empty})', 4)} as y from (select o_custkey, unnest(generate_series(min(ds), max(ds), "
+        f"interval 1 month)) as ds from ({found}) group by 1) g left join ({found}) f using (o_custkey, ds)"
+    )
+
+
+@query("resample_agg", " union all ".join(gaps_sql(a) for a in RESAMPLE_AGGREGATES))
 def _(t):
     from ..functions.tables import union_all
 
-    parts = [orders_series(t, "MS", a).select(F.lit(a).alias("aggregate"), *SERIES, "ds", "y") for a in RESAMPLE_AGGREGATES]
+    orders = t.orders.withColumn("factor", 1 + F.col("o_totalprice") / 1000000)
+    parts = [
+        S.resample(orders, "o_orderdate", "factor" if a == "prod" else "o_totalprice", "MS", a, ["o_custkey"])
+        .select(F.lit(a).alias("aggregate"), "o_custkey", "ds", "y") for a in RESAMPLE_AGGREGATES
+    ]
     return rounded(union_all(parts), 4)
 
 

@@ -18,8 +18,6 @@ from .base import MESSY_KEYED, ROW_ORDER, messy_keyed, query, r, rounded
 from .cleaning import CLEAN_SQL
 from .profiling import ALL_KINDS, ALL_NAMES, ALL_TYPES, DATES_SQL, NUMBERS_SQL, profile_sql
 
-SIZES = {"trees": 20, "rounds": 10}
-
 Z = (
     "z as (select (l_quantity - avg(l_quantity) over ()) / stddev_pop(l_quantity) over () as z1, "
     "(l_discount - avg(l_discount) over ()) / stddev_pop(l_discount) over () as z2, l_extendedprice as y from lineitem), "
@@ -147,14 +145,14 @@ def _(t):
 
 def regression_scored(t, name: str):
     """Test rows of one candidate: retail price of a part from its size, brand, type and name."""
-    result = TR.train_candidates(t.part, "p_retailprice", "regression", key=["p_partkey"], models=[name], **SIZES)
+    result = TR.train_candidates(t.part, "p_retailprice", "regression", key=["p_partkey"], models=[name])
     return result.scored
 
 
 def classification_scored(t, name: str):
     """Test rows of one candidate: status of an order from its price, customer and priority."""
     df = t.orders.drop("o_orderdate")
-    result = TR.train_candidates(df, "o_orderstatus", "classification", key=["o_orderkey"], models=[name], **SIZES)
+    result = TR.train_candidates(df, "o_orderstatus", "classification", key=["o_orderkey"], models=[name])
     return TR.decoded(result.scored, result.labels).select("model", "y_true", "y_pred")
 
 
@@ -218,7 +216,7 @@ def _(t):
 
 @query("train_candidates")
 def _(t):
-    result = TR.train_candidates(t.part, "p_retailprice", "regression", key=["p_partkey"], **SIZES)
+    result = TR.train_candidates(t.part, "p_retailprice", "regression", key=["p_partkey"])
     return result.candidates.join(result.metrics.drop("ordinal", "training_seconds"), "model", "left")
 
 
@@ -244,7 +242,7 @@ def _(t):
 @query("feature_importance_trees")
 def _(t):
     df = t.part.drop("p_partkey")
-    return TR.retrain_best(df, "p_retailprice", "regression", "Random Forest", **SIZES).importance(df)
+    return TR.retrain_best(df, "p_retailprice", "regression", "Random Forest").importance(df)
 
 
 def saved(t):

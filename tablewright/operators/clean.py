@@ -147,13 +147,27 @@ def clean_dataset(df: DataFrame, plan: CleaningPlan | None = None, order_by: Seq
     return _fill(coerced, {**fit_medians(coerced, numbers), **fit_modes(coerced, others)})
 
 
-def cleaning_report(df: DataFrame, plan: CleaningPlan | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
+def cleaning_report(
+    df: DataFrame, plan: CleaningPlan | None = None, order_by: Sequence[str] | None = None, cleaned: DataFrame | None = None
+) -> DataFrame:
     """One record: duplicates removed, converted columns, remaining missing values, rows kept.
 
     After filling, a column is missing in every row or in none, so what remains
-    are the columns without any value after coercion, once per row kept.
+    are the columns without any value after coercion, once per row kept. With the
+    ``cleaned`` table at hand everything is counted there, and no duplicate is
+    looked for again.
     """
     plan = plan or plan_cleaning(df, order_by)
+    if cleaned is not None:
+        missing = sum((F.count_if(is_missing(cleaned, c)) for c in cleaned.columns), F.lit(0))
+        counted = cleaned.agg(F.count(F.lit(1)).alias("kept"), missing.alias("missing"))
+        return join_by(counted, df.agg(F.count(F.lit(1)).alias("rows")), []).select(
+            (F.col("rows") - F.col("kept")).alias("duplicates_removed"),
+            F.array(*[F.lit(c) for c in plan.numeric]).cast("array<string>").alias("numeric_converted"),
+            F.array(*[F.lit(c) for c in plan.dates]).cast("array<string>").alias("date_converted"),
+            F.col("missing").cast("long").alias("remaining_missing"),
+            F.col("kept").alias("rows_after_cleaning"),
+        )
     coerced = coerce(df, plan)
     values = coerced.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count(present(coerced, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]

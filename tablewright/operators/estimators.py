@@ -22,7 +22,7 @@ from .features import INFREQUENT, fit_categories
 from .transformers import RandomFourier, RandomThresholds
 
 SEED = 42
-MAX_DEPTH = 12  # trees elsewhere grow without limit; a distributed tree needs one
+MAX_DEPTH = 30  # the deepest the engine grows; trees elsewhere have no limit
 TREES = 100
 ROUNDS = 100
 

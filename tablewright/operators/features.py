@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import DATETIME, as_double, columns_of_kind, hash_below, hash_text, present, quoted
 from ..functions.running import ROWS_PER_TASK, positions
 from ..functions.tables import union_all
+from ..session import stage
 from . import profile
 
 MAX_CATEGORIES = 50
-BROADCAST_CLASSES = 100_000
 INFREQUENT = "infrequent"
 
 
@@ -32,35 +32,43 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_size:
     """Adds ``split`` with a test share of ceil(test_size x rows) in every class.
 
     Rows are ordered by a hash of their key inside each class, and the first ones
-    are the test rows. Hashes are counted in 65,536 ranges per class; only the
-    range that holds the border is ranked, to find the last test row.
-    Falls back to the plain split when a class has fewer than two rows.
+    are the test rows. Rows with the same key are told apart by their number in
+    the written table, whose hash orders them. Hashes are counted in 65,536
+    ranges per class; in the range that holds the border the whole hashes are
+    counted, and only the rows of one hash are ranked. Falls back to the plain
+    split when a class has fewer than two rows.
     """
-    position = hash_text(*[quoted(k) for k in key])
-    coded = df.withColumns({"__y": quoted(target), "__h": position, "__r": F.substring(position, 1, 4)})
+    kept = stage(df.withColumn("__id", F.monotonically_increasing_id()), "to-split")
+    place = F.concat(hash_text(*[quoted(k) for k in key]), F.substring(F.md5(F.col("__id").cast("string")), 1, 4))
+    coded = kept.select(quoted(target).alias("__y"), place.alias("__q"), F.substring(place, 1, 4).alias("__r"), "__id")
     ranges = coded.groupBy("__y", "__r").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("__y")
-    upto = whole.orderBy("__r")
     borders = ranges.select(
-        "__y", "__r", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("size"), "n"
+        "__y", "__r", (F.sum("n").over(whole.orderBy("__r")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("size"), "n"
     ).withColumn("wanted", F.ceil(F.col("size") * F.lit(test_size)))
-    smallest, classes = borders.agg(F.min("size"), F.count_distinct("__y")).first()
+    smallest = borders.agg(F.min("size")).first()[0]
     if smallest is None or smallest < 2:
         return train_test_split(df, key, test_size)
-    # One border per class: sent to every task when the classes are few, joined by class when they are not.
-    share = F.broadcast if classes <= BROADCAST_CLASSES else (lambda frame: frame)
-    border = borders.where("before < wanted and before + n >= wanted").select(
-        "__y", "__r", (F.col("wanted") - F.col("before")).alias("left")
+    border = stage(
+        borders.where("before < wanted and before + n >= wanted").select(
+            F.col("__y").alias("__class"), F.col("__r").alias("__range"), (F.col("wanted") - F.col("before")).alias("left")
+        ),
+        "borders",
     )
-    place = F.struct(F.col("__h"), *[quoted(k) for k in key])
-    border = border.withColumnsRenamed({"__y": "__class", "__r": "__range"})
-    near = coded.select("__y", "__r", place.alias("__last")).join(
-        share(border), F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__r") == F.col("__range"))
+    near = coded.join(border, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__r") == F.col("__range")))
+    steps = near.groupBy("__class", "left", "__q").agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("__class").orderBy("__q"))
+    edges = stage(
+        steps.withColumn("up_to", up_to).where("up_to >= left and up_to - n < left").select(
+            "__class", F.col("__q").alias("__edge"), (F.col("left") - F.col("up_to") + F.col("n")).alias("take")
+        ),
+        "edges",
     )
-    rank = F.row_number().over(Window.partitionBy("__class", "__range").orderBy("__last"))
-    last = near.withColumn("rank", rank).where("rank = left").select("__class", "__last")
-    sides = coded.join(share(last), F.col("__y").eqNullSafe(F.col("__class")), "left")
-    test = place <= F.col("__last")
+    tied = coded.join(edges, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__q") == F.col("__edge")))
+    rank = F.row_number().over(Window.partitionBy("__class", "__edge").orderBy("__id"))
+    last = stage(tied.withColumn("rank", rank).where("rank = take").select("__class", "__edge", F.col("__id").alias("__last")), "last")
+    sides = kept.withColumn("__q", place).join(last, quoted(target).eqNullSafe(F.col("__class")), "left")
+    test = (F.col("__q") < F.col("__edge")) | ((F.col("__q") == F.col("__edge")) & (F.col("__id") <= F.col("__last")))
     return sides.select(*[quoted(c) for c in df.columns], F.when(test, "test").otherwise("train").alias("split"))
 
 

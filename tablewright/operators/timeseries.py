@@ -19,8 +19,11 @@ SAMPLE_DATES = 100
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
-    "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct,
+    "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct, "size": F.count, "prod": F.product,
+    "first": lambda y: F.min_by(y, F.struct("at", y)), "last": lambda y: F.max_by(y, F.struct("at", y)),
 }
+# What these aggregates give for a period without rows, which then counts as a value.
+EMPTY = {"sum": 0.0, "count": 0.0, "nunique": 0.0, "size": 0.0, "prod": 1.0}
 
 
 def bucket(ds: Column, freq: str) -> Column:
@@ -95,16 +98,38 @@ def resample(
     df: DataFrame, date: str, target: str, freq: str, aggregate: str = "mean", series: Sequence[str] = (),
     formats: list[str] | None = None,
 ) -> DataFrame:
-    """(series, ds, y): one row per period that has rows."""
+    """(series, ds, y): one row per period with a value.
+
+    For sums, products and counts a period without rows has one too (0, or 1 for
+    a product), from the first period of the series to its last.
+    """
     if aggregate not in AGGREGATES and aggregate != "median":
         raise ValueError(f"unknown aggregate {aggregate!r}")
     rows = _observations(df, date, target, series, formats)
     if aggregate == "median":
         labelled = rows.withColumn("ds", bucket(F.col("ds"), freq))
         return grouped_median(labelled, [*series, "ds"], "y").withColumnRenamed("median", "y")
-    return rows.groupBy(*series, bucket(F.col("ds"), freq).alias("ds")).agg(
-        AGGREGATES[aggregate](F.col("y")).cast("double").alias("y")
-    ).where("y is not null")
+    labelled = rows.select(*series, bucket(F.col("ds"), freq).alias("ds"), F.col("ds").alias("at"), "y")
+    found = labelled.groupBy(*series, "ds").agg(AGGREGATES[aggregate](F.col("y")).cast("double").alias("y")).where("y is not null")
+    if aggregate not in EMPTY:
+        return found
+    return calendar(found, freq, series).join(found, _same_period(series), "left").select(
+        *[F.col(f"__{c}").alias(c) for c in [*series, "ds"]], F.coalesce("y", F.lit(EMPTY[aggregate])).alias("y")
+    )
+
+
+def _same_period(series: Sequence[str]) -> Column:
+    """Periods of ``calendar`` and of a table with the same series, a missing series being equal to itself."""
+    same = F.col("__ds") == F.col("ds")
+    for s in series:
+        same &= F.col(f"__{s}").eqNullSafe(quoted(s))
+    return same
+
+
+def calendar(ts: DataFrame, freq: str, series: Sequence[str] = ()) -> DataFrame:
+    """Every period between a series' first and last, columns named ``__<series>`` and ``__ds``."""
+    span = ts.groupBy(*series).agg(F.min("ds").alias("first"), F.max("ds").alias("last")).where("first is not null")
+    return span.select(*[quoted(s).alias(f"__{s}") for s in series], F.explode(F.sequence("first", "last", step(freq))).alias("__ds"))
 
 
 def resample_daily(df, date, target, series=()):

@@ -26,7 +26,7 @@ def analyze_dataset(df: DataFrame, order_by: Sequence[str] | None = None) -> Ana
     plan = clean.plan_cleaning(df, order_by)
     cleaned = stage(clean.clean_dataset(df, plan), "cleaned")
     return Analysis(
-        df, profile.column_profile(df, order_by), cleaned, clean.cleaning_report(df, plan), profile.column_profile(cleaned, order_by)
+        df, profile.column_profile(df, order_by), cleaned, clean.cleaning_report(df, plan, cleaned=cleaned), profile.column_profile(cleaned, order_by)
     )
 
 

@@ -99,12 +99,11 @@ def test_token_list_has_no_repeats():
     assert len(NA_TOKENS) == len(set(NA_TOKENS)) == 19
 
 
-@pytest.mark.parametrize("direct,broadcast", [(10**6, 10), (5, 10**6), (5, 3)])
-def test_repeated_rows_by_every_path(spark, direct, broadcast):
+def test_repeated_rows(spark):
     rows = [(i % 40, None if i % 5 == 0 else f"t{i % 8}", float("nan") if i % 3 else 1.0) for i in range(300)]
     rows += [(1000 + i, "only", 0.0) for i in range(30)]
     df = spark.createDataFrame(rows, "a int, b string, x double").repartition(4)
     want = {(a, b, None if x != x else x) for a, b, x in rows}
-    out = copies.distinct_rows(df, direct, broadcast).collect()
+    out = copies.distinct_rows(df).collect()
     assert len(out) == len(want) and {tuple(r) for r in out} == want
-    assert copies.surplus_rows(df, direct, broadcast).first()[0] == len(rows) - len(want)
+    assert copies.surplus_rows(df).first()[0] == len(rows) - len(want)

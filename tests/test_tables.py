@@ -293,3 +293,25 @@ def test_a_wide_table_runs_in_parts(spark, monkeypatch):
     assert profile.high_cardinality(df.select(names[5:9])).count() == 2
     pairs = matrix(correlation.corr_matrix(df))
     assert len(pairs) == 196 and pairs["c0", "c5"] is None and pairs["c12", "c13"] > 0.99
+
+
+def test_stratified_split_of_equal_rows(spark):
+    from tablewright.operators import features
+
+    df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2)] * 50 + [("c", 3)] * 7, "y string, v int")
+    out = features.stratified_split(df, ["y", "v"], "y").groupBy("y", "split").count().collect()
+    assert {(r.y, r.split): r["count"] for r in out} == {
+        ("a", "test"): 10, ("a", "train"): 40, ("b", "test"): 10, ("b", "train"): 40, ("c", "test"): 2, ("c", "train"): 5
+    }
+
+
+@pytest.mark.parametrize("aggregate, want", [
+    ("sum", [3.0, 0.0, 0.0, 5.0]), ("count", [2.0, 0.0, 0.0, 1.0]), ("size", [2.0, 0.0, 0.0, 1.0]), ("prod", [2.0, 1.0, 1.0, 5.0]),
+    ("first", [2.0, 5.0]), ("last", [1.0, 5.0]), ("mean", [1.5, 5.0]),
+])
+def test_resample_of_a_gap(spark, aggregate, want):
+    from tablewright.operators import timeseries
+
+    rows = [("2024-01-01 05:00:00", 1.0), ("2024-01-01 01:00:00", 2.0), ("2024-01-04 00:00:00", 5.0), ("2024-01-03 00:00:00", None)]
+    df = spark.createDataFrame(rows, "d string, v double")
+    assert [r.y for r in timeseries.resample(df, "d", "v", "D", aggregate).orderBy("ds").collect()] == want
