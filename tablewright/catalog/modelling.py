@@ -301,3 +301,22 @@ def _(t):
 def _(t):
     numbers = t.events.select("user_id", "value")
     return analysis.eda_export(numbers, messy_keyed(t), scratch_path(t.spark, "eda"), "run_1")
+
+
+def kept_neighbours(t):
+    return TR.retrain_best(t.customer.drop("c_name"), "c_mktsegment", "classification", "KNN", key=["c_custkey"])
+
+
+@query("knn_retrain_best")
+def _(t):
+    """Segment of every customer by its five nearest customers."""
+    return kept_neighbours(t).model.transform(t.customer).select("c_custkey", "c_mktsegment", F.col("predicted_label").alias("prediction"))
+
+
+@query("knn_model_load", "select count(*) as \"rows\", count(*) as same from customer")
+def _(t):
+    final, folder = kept_neighbours(t), scratch_path(t.spark, "models")
+    M.model_save(final, "best_model", folder, t.spark)
+    one, two = (m.model.transform(t.customer).select("c_custkey", "predicted_label") for m in (final, M.model_load(t.spark, folder)))
+    both = one.join(two.withColumnRenamed("predicted_label", "again"), "c_custkey")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted_label") == F.col("again")).alias("same"))

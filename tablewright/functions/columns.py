@@ -27,6 +27,18 @@ DATE_FORMATS = [
     "dd.MM.yyyy",
     "MMM d, yyyy",
     "d MMM yyyy",
+    "d-MMM-yyyy",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "MM/dd/yyyy HH:mm",
+    "MM/dd/yyyy HH:mm:ss",
+    "dd/MM/yyyy HH:mm",
+    "MM/dd/yy",
+    "dd/MM/yy",
 ]
 
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"

@@ -58,7 +58,7 @@ def prediction_summary(scored: DataFrame, source: str, location: str, task: str,
         # One entry per class.
         stats = class_distribution(scored, column).agg(
             F.sum("count").alias("count"),
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", F.col("count").cast("double"))))).alias("statistics"),
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "count")))).alias("statistics"),
         )
     else:
         row = prediction_stats(scored, column).withColumn("k", F.lit(1))

@@ -56,14 +56,16 @@ def detect_frequency(df: DataFrame, date: str, series: Sequence[str] = (), forma
     """Frequency code per series.
 
     Even spacing of the first 100 distinct dates decides; otherwise the median
-    gap in days between consecutive rows does, rows on one day being 0 apart.
+    time between consecutive rows does, in whole days; rows on one day count as 0 apart.
     """
     days = _observations(df, date, None, series, formats).groupBy(*series, F.to_date("ds").alias("day")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("n"), F.min("ds").alias("begin"), F.max("ds").alias("end")
     )
     along = Window.partitionBy(*series).orderBy("day")
+    seconds = lambda c: c.cast("timestamp").cast("double")
     gaps = days.select(
-        *series, "day", "n", F.row_number().over(along).alias("place"), F.datediff("day", F.lag("day").over(along)).alias("gap")
+        *series, "day", "n", F.row_number().over(along).alias("place"), F.datediff("day", F.lag("day").over(along)).alias("gap"),
+        ((seconds(F.col("begin")) - seconds(F.lag("end").over(along))) / 86_400).alias("elapsed"),
     )
     early = F.col("place") <= SAMPLE_DATES
     month_start = F.dayofmonth("day") == 1
@@ -76,8 +78,8 @@ def detect_frequency(df: DataFrame, date: str, series: Sequence[str] = (), forma
         F.when(early, month_end).alias("ends"),
         F.inline(
             F.array(
-                F.struct(F.col("gap").alias("length"), F.lit(1).cast("long").alias("weight")),
-                F.struct(F.lit(0).alias("length"), (F.col("n") - 1).alias("weight")),
+                F.struct(F.col("elapsed").alias("length"), F.lit(1).cast("long").alias("weight")),
+                F.struct(F.lit(0.0).alias("length"), (F.col("n") - 1).alias("weight")),
             )
         ),
     )
@@ -90,7 +92,7 @@ def detect_frequency(df: DataFrame, date: str, series: Sequence[str] = (), forma
     even = (F.col("dates") >= 3) & (
         (F.col("low") == F.col("high")) | ((F.col("starts") | F.col("ends")) & (F.col("low") >= 28) & (F.col("high") <= 31))
     )
-    decided = F.when(even, _frequency_of(F.col("low"))).otherwise(_frequency_of(F.coalesce("median_gap", F.lit(0.0))))
+    decided = F.when(even, _frequency_of(F.col("low"))).otherwise(_frequency_of(F.floor(F.coalesce("median_gap", F.lit(0.0)))))
     return facts.select(*series, decided.alias("frequency"))
 
 

@@ -15,11 +15,10 @@ from ..functions.columns import quoted
 from ..functions.tables import map_in_threads, union_all
 from ..operators import estimators as E, evaluate, features
 from ..operators.clean import drop_missing_target
-from ..operators.neighbors import knn_classify, nearest_neighbours
+from ..operators.neighbors import nearest_neighbours
 from ..session import stage
 
 MINIMUM_ROWS = 10
-MAXIMUM_CLASSES = 10_000  # every model keeps a score per class and row
 K = 5
 
 
@@ -57,16 +56,17 @@ class NeighbourModel:
 
 def class_labels(df: DataFrame, target: str) -> list:
     """Classes in order; the labels of every row, so that none is unknown at test time."""
-    classes = df.select(quoted(target)).where(quoted(target).isNotNull()).distinct().limit(MAXIMUM_CLASSES + 1).collect()
-    if len(classes) > MAXIMUM_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAXIMUM_CLASSES} classes")
-    return sorted(r[0] for r in classes)
+    return sorted(r[0] for r in df.select(quoted(target)).where(quoted(target).isNotNull()).distinct().collect())
 
 
-def _label(df: DataFrame, target: str, labels: list | None):
+def _labelled(df: DataFrame, target: str, labels: list | None) -> DataFrame:
+    """Adds ``label``: the number, or the place of the class among the classes."""
     if labels is None:
-        return quoted(target).cast("double")
-    return (F.array_position(F.array(*[F.lit(v) for v in labels]), quoted(target)) - 1).cast("double")
+        return df.withColumn("label", quoted(target).cast("double"))
+    table = df.sparkSession.createDataFrame(
+        [(v, float(i)) for i, v in enumerate(labels)], T.StructType([T.StructField("__class", df.schema[target].dataType), T.StructField("label", T.DoubleType())])
+    )
+    return df.join(table, quoted(target) == F.col("__class"), "left").drop("__class")
 
 
 def _check(df: DataFrame, target: str, task: str) -> None:
@@ -106,8 +106,8 @@ def train_candidates(
     training = sides.where("split = 'train'")
     prepare = E.build_preprocessor(training.select(*[quoted(c) for c in columns]))
     prepared = stage(
-        prepare.model.transform(sides).select(
-            F.monotonically_increasing_id().alias("row_id"), "split", "features", _label(sides, target, labels).alias("label")
+        _labelled(prepare.model.transform(sides), target, labels).select(
+            F.monotonically_increasing_id().alias("row_id"), "split", "features", "label"
         ),
         "prepared",
     )
@@ -172,33 +172,51 @@ def decoded(scored: DataFrame, labels: list) -> DataFrame:
     return scored.withColumns({c: F.get(names, F.col(c)) for c in ("y_true", "y_pred")})
 
 
+@dataclass
+class KeptNeighbours:
+    """The neighbour model as a winner: preprocessing, all training rows, and the classes."""
+
+    prepare: PipelineModel
+    rows: DataFrame  # row_id, features, label
+    labels: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds prediction and predicted_label, like a fitted pipeline."""
+        asked = stage(self.prepare.transform(df).withColumn("row_id", F.monotonically_increasing_id()), "asked")
+        found = NeighbourModel(self.rows, len(self.labels)).predict(asked)
+        names = F.array(*[F.lit(str(v)) for v in self.labels])
+        return found.withColumn("predicted_label", F.get(names, F.col("prediction").cast("int"))).drop("row_id")
+
+
 @dataclass
 class FinalModel:
-    """The winner fitted on all rows: one pipeline from feature columns to prediction."""
+    """The winner fitted on all rows: one step from feature columns to prediction."""
 
     name: str
     task: str
     target: str
     schema: T.StructType
-    model: PipelineModel
+    model: PipelineModel | KeptNeighbours
     names: list[str]
 
     def importance(self, df: DataFrame) -> DataFrame | None:
-        return E.feature_importance(self.model, self.names, df)
+        return None if isinstance(self.model, KeptNeighbours) else E.feature_importance(self.model, self.names, df)
 
 
 def retrain_best(
     df: DataFrame, target: str, task: str, name: str, key: Sequence[str] | None = None, seed: int = E.SEED, **sizes
 ) -> FinalModel:
     """Fit preprocessing and the named candidate on every row."""
-    if name == E.NEIGHBOURS:
-        raise ValueError("the neighbour model has no fitted form: score with operators.neighbors.knn_classify")
     rows = drop_missing_target(df, target)
     columns = [c for c in features.select_features(rows, target).columns if c not in (key or [])]
     labels = class_labels(rows, target) if task == "classification" else None
     inputs = rows.select(*[quoted(c) for c in columns])
     prepare = E.build_preprocessor(inputs)
-    prepared = stage(prepare.model.transform(rows).select("features", _label(rows, target, labels).alias("label")), "prepared")
+    prepared = _labelled(prepare.model.transform(rows), target, labels)
+    if name == E.NEIGHBOURS and labels is not None:
+        known = stage(prepared.select(F.monotonically_increasing_id().alias("row_id"), "features", "label"), "neighbours")
+        return FinalModel(name, task, target, inputs.schema, KeptNeighbours(prepare.model, known, labels), prepare.names)
+    prepared = stage(prepared.select("features", "label"), "prepared")
     fitted = E.fit(name, E.FitContext(prepared, task, len(labels or []), seed, **sizes))
     stages = [*prepare.model.stages, *fitted.stages]
     if labels is not None:
@@ -206,17 +224,9 @@ def retrain_best(
     return FinalModel(name, task, target, inputs.schema, PipelineModel(stages=stages), prepare.names)
 
 
-def train_and_select(df: DataFrame, target: str, task: str, key: Sequence[str] | None = None, **options) -> tuple[TrainingResult, FinalModel | None]:
-    """Compare all candidates and refit the best; the neighbour model stays as its training rows."""
+def train_and_select(df: DataFrame, target: str, task: str, key: Sequence[str] | None = None, **options) -> tuple[TrainingResult, FinalModel]:
+    """Compare all candidates and refit the best."""
     result = train_candidates(df, target, task, key, **options)
     result.best_model = evaluate.select_best_model(result.metrics, task).first()["best_model"]
     sizes = {k: v for k, v in options.items() if k in ("seed", "trees", "rounds", "depth", "components", "draws")}
-    if result.best_model == E.NEIGHBOURS:
-        return result, None
     return result, retrain_best(df, target, task, result.best_model, key, **sizes)
-
-
-__all__ = [
-    "TrainingResult", "FinalModel", "NeighbourModel", "candidate_metrics", "class_labels", "decoded", "knn_classify", "retrain_best",
-    "split_rows", "train_and_select", "train_candidates",
-]

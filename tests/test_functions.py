@@ -107,3 +107,15 @@ def test_repeated_rows(spark):
     out = copies.distinct_rows(df).collect()
     assert len(out) == len(want) and {tuple(r) for r in out} == want
     assert copies.surplus_rows(df).first()[0] == len(rows) - len(want)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-01-02 10:30", "2024-01-02 10:30:00"), ("2024-01-02T10:30:00Z", "2024-01-02 10:30:00"), ("2024-01-02T10:30:00+02:00", "2024-01-02 08:30:00"),
+    ("2024-01-02 10:30:00.123", "2024-01-02 10:30:00.123000"), ("01/02/2024 10:30", "2024-01-02 10:30:00"), ("2-Jan-2024", "2024-01-02 00:00:00"),
+    ("01/02/24", "2024-01-02 00:00:00"), ("31/12/24", "2024-12-31 00:00:00"), ("01/02/2024", "2024-01-02 00:00:00"), ("x", None),
+])
+def test_date_layouts(spark, text, want):
+    from tablewright.functions.columns import DATE_FORMATS, parse_date
+
+    got = spark.createDataFrame([(text,)], "t string").select(parse_date(F.col("t"), DATE_FORMATS)).first()[0]
+    assert (got and str(got)) == want

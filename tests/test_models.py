@@ -126,7 +126,7 @@ def test_training_workflow(spark):
     metrics = {r["model"]: r for r in result.metrics.collect()}
     assert len(metrics) == 6 and all(m["accuracy"] > 0.75 and m["roc_auc"] > 0.8 for m in metrics.values())
     assert result.best_model == max(names, key=lambda n: (metrics[n]["f1"], -names.index(n)))
-    final = final or TR.retrain_best(df, "y", "classification", "Logistic Regression", key=["k"])
+    assert final.name == result.best_model
     folder = scratch_path(spark, "test-models")
     models.model_save(final, "best_model", folder, spark)
     loaded = models.model_load(spark, folder)
@@ -224,3 +224,19 @@ def test_reports(spark):
     assert doc["profile_summary"]["rows"] == 3 and len(doc["profile_summary"]["column_profile"]) == 2
     with pytest.raises(ValueError):
         reports.save_report(reports.model_report("regression", "LinearRegression", metrics), "a/b", "/tmp")
+
+
+def test_neighbours_can_be_kept(spark):
+    rng = np.random.RandomState(6)
+    rows = [(i, float(a), "hi" if a > 0 else "lo", "u" if i % 2 else "v") for i, a in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "k int, x double, y string, s string")
+    final = TR.retrain_best(df, "y", "classification", "KNN", key=["k"])
+    assert final.importance(df) is None
+    folder = scratch_path(spark, "test-models")
+    models.model_save(final, "best_model", folder, spark)
+    loaded = models.model_load(spark, folder)
+    models.model_save(loaded, "best_model", folder, spark)  # over itself
+    loaded = models.model_load(spark, folder)
+    out = {r.k: (r.y, r.predicted_label) for r in loaded.model.transform(df).collect()}
+    assert len(out) == 120 and sum(a == b for a, b in out.values()) > 110
+    assert predict.score(loaded.model, df, loaded.schema).columns == ["x", "s", "Prediction"]
