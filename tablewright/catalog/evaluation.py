@@ -114,7 +114,7 @@ def _(t):
 
 @query("roc_auc_ranges", f"with {PRED_BINARY} select {r(AUC_BINARY)} as roc_auc")
 def _(t):
-    return rounded(V.roc_auc(pred_binary(t), "O", rows_per_task=5000))
+    return rounded(V.roc_auc(pred_binary(t).repartition(7, "score"), "O"))
 
 
 OVR = {"A": "score", "N": "1 - score", "R": "abs(score - 0.5)"}

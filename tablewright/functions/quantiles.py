@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .running import ROWS_PER_TASK, cut_points, running_totals
+from .running import running_totals
 from .tables import batches
 
 SKETCH_ACCURACY = 1000
@@ -141,11 +141,11 @@ def _ranked(wide: DataFrame, wanted: list[tuple[str, _Target, float]]):
     return wide.agg(*exprs).first()
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def grouped_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median) with a crowded group spread over value ranges."""
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = running_totals(counts, value, {"n": "upto"}, cut_points(known, F.col(value), rows_per_task), groups=keys)
+    totals = running_totals(counts, value, {"n": "upto"}, groups=keys)
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
     ranked = totals.join(sizes, keys)
     low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)

@@ -1,97 +1,56 @@
-"""Running totals over a whole table without sorting it in one task."""
+"""Running totals over a whole table without sorting it in one task.
+
+Rows are dealt by value ranges into the session's partitions and written with the
+number of their range. Ranges are sorted separately, and the totals of the ranges
+before are added: one row per range and group. No cut point reaches the driver.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_TASK = 1_000_000
-
+from ..session import stage
 
-def cut_points(df: DataFrame, value: Column, rows_per_task: int = ROWS_PER_TASK) -> list[float]:
-    """Values that split ``df`` into ranges of about ``rows_per_task`` rows.
 
-    A value that many rows share becomes a cut itself; as the tables ranked here
-    hold one row per value, no range can grow beyond its share of the rows.
-    """
-    rows = df.agg(F.count(value)).first()[0]
-    ranges = math.ceil(rows / rows_per_task)
-    if ranges <= 1:
-        return []
-    steps = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(value.cast("double"), steps, max(1000, 10 * ranges))).first()[0]
-    return sorted(set(found))
+def _ordered(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
 
 
-def with_range(df: DataFrame, value: str, cuts: Sequence[float], name: str) -> DataFrame:
-    """Adds the number of the value range each row falls in."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [-math.inf, *cuts, math.inf]
-    keyed = df.withColumn("__ranged", F.col(value).cast("double"))
-    return Bucketizer(splits=splits, inputCol="__ranged", outputCol=name, handleInvalid="keep").transform(keyed).drop(
-        "__ranged"
-    )
+def by_ranges(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
+    """The table, written, with ``__range``: the number of the value range a row is in, in the order of the values."""
+    dealt = df.repartitionByRange(_ordered(value, descending))
+    return stage(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(
-    df: DataFrame,
-    value: str,
-    sums: dict[str, str],
-    cuts: Sequence[float],
-    groups: Sequence[str] = (),
-    descending: bool = False,
+    df: DataFrame, value: str, sums: dict[str, str], groups: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
     """Adds inclusive running totals of ``sums`` (source column -> new column) along ``value``.
 
-    ``df`` holds one row per value and group. Each range is sorted on its own;
-    the totals of the ranges before it, a table of ranges x groups, are added.
+    ``df`` holds one row per value and group, so a range cannot grow by repeated values.
     """
-    ranged = with_range(df, value, cuts, "__range")
-    direction = (lambda name: F.col(name).desc()) if descending else (lambda name: F.col(name).asc())
-    inner = Window.partitionBy(*groups, "__range").orderBy(direction(value)).rowsBetween(
+    ranged = by_ranges(df, value, descending)
+    inner = Window.partitionBy(*groups, "__range").orderBy(_ordered(value, descending)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    keep = [F.col(c) for c in df.columns]
-    if not cuts:
-        return ranged.select(*keep, *[F.sum(s).over(inner).alias(t) for s, t in sums.items()])
-    before = Window.partitionBy(*groups).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*groups, "__range").agg(*[F.sum(s).alias(f"__sum_{t}") for s, t in sums.items()])
     offsets = totals.select(
-        *groups, "__range", *[F.coalesce(F.sum(f"__sum_{t}").over(before), F.lit(0)).alias(f"__off_{t}") for t in sums.values()]
+        *[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__range").alias("__of"),
+        *[F.coalesce(F.sum(f"__sum_{t}").over(before), F.lit(0)).alias(f"__off_{t}") for t in sums.values()],
     )
-    inside = ranged.select(*keep, "__range", *[F.sum(s).over(inner).alias(f"__in_{t}") for s, t in sums.items()])
-    return inside.join(offsets, [*groups, "__range"]).select(
-        *[c for c in df.columns], *[(F.col(f"__in_{t}") + F.col(f"__off_{t}")).alias(t) for t in sums.values()]
+    inside = ranged.select("*", *[F.sum(s).over(inner).alias(f"__in_{t}") for s, t in sums.items()])
+    same = F.col("__range") == F.col("__of")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    return inside.join(offsets, same).select(
+        *df.columns, *[(F.col(f"__in_{t}") + F.col(f"__off_{t}")).alias(t) for t in sums.values()]
     )
 
 
-def text_cut_points(keys: DataFrame, column: str, rows_per_task: int = ROWS_PER_TASK) -> list[str]:
-    """Cuts for a table of distinct texts, from a sample that a hash picks; none for a small table."""
-    rows = keys.count()
-    ranges = math.ceil(rows / rows_per_task)
-    if ranges <= 1:
-        return []
-    picked = keys.orderBy(F.xxhash64(column)).limit(32 * ranges).select(column).collect()
-    ordered = sorted(r[0] for r in picked)
-    return ordered[32::32]
-
-
-def positions(keys: DataFrame, column: str, name: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(column, name): place from 0 of each distinct value, in order; only a value range is sorted in one task."""
-    text = dict(keys.dtypes)[column] == "string"
-    if text:
-        cuts = text_cut_points(keys, column, rows_per_task)
-        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))) if cuts else F.lit(0)
-        ranged = keys.select(column, place.alias("__place"))
-        totals = ranged.groupBy("__place").agg(F.count(F.lit(1)).alias("n"))
-        before = Window.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-        offsets = totals.select("__place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        inside = ranged.withColumn("at", F.row_number().over(Window.partitionBy("__place").orderBy(column)) - 1)
-        return inside.join(offsets, "__place").select(column, (F.col("at") + F.col("offset")).alias(name))
+def positions(keys: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): place from 0 of each distinct value, text or number, in order."""
     counted = keys.select(column, F.lit(1).alias("__one"))
-    cuts = cut_points(keys, F.col(column), rows_per_task)
-    return running_totals(counted, column, {"__one": name}, cuts).select(column, (F.col(name) - 1).alias(name))
+    return running_totals(counted, column, {"__one": name}).select(column, (F.col(name) - 1).alias(name))

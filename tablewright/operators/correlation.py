@@ -7,14 +7,13 @@ from running totals that never sort a whole column in one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, numeric_columns
-from ..functions.running import ROWS_PER_TASK, running_totals
+from ..functions.running import running_totals
 from ..functions.tables import batches, map_in_threads, one_row_to_long, union_all, union_or_gather
 from ..session import stage
 
@@ -112,32 +111,19 @@ def _incomplete_pairs(centred, x, pairs) -> list[DataFrame]:
     return parts
 
 
-def _cuts(df: DataFrame, columns: Sequence[str], rows_per_task: int) -> dict[str, list[float]]:
-    """Range cuts for every column from one sketch pass; none for a small table."""
-    rows = df.agg(F.count(F.lit(1))).first()[0]
-    ranges = math.ceil(rows / rows_per_task)
-    if ranges <= 1:
-        return {c: [] for c in columns}
-    steps = [i / ranges for i in range(1, ranges)]
-    row = df.agg(
-        *[F.percentile_approx(as_double(df, c), steps, max(1000, 10 * ranges)).alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
-
-
 def _joint(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n) over the rows where both are present."""
     pair = df.select((as_double(df, a) + 0.0).alias("a"), (as_double(df, b) + 0.0).alias("b"))
     return pair.where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _average_ranks(counts: DataFrame, value: str, rank: str, cuts: list[float]) -> DataFrame:
+def _average_ranks(counts: DataFrame, value: str, rank: str) -> DataFrame:
     """(value, rank) from (value, m): ties share the mean of their places."""
-    ranked = running_totals(counts, value, {"m": "upto"}, cuts)
+    ranked = running_totals(counts, value, {"m": "upto"})
     return ranked.select(value, (F.col("upto") - F.col("m") + (F.col("m") + 1) / 2).alias(rank))
 
 
-def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of average ranks.
 
     Against a column without missing values a column's ranks are those of the
@@ -148,11 +134,11 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_
         return _empty(df)
     facts = _facts(df, names)
     complete = {c for c in names if facts["columns"][c][0] == facts["rows"]}
-    cuts = _cuts(df, names, rows_per_task)
+    middle = F.lit((facts["rows"] + 1) / 2)
 
     def table_ranks(c: str) -> DataFrame:
         values = df.select((as_double(df, c) + 0.0).alias("v")).where("v is not null")
-        return stage(_average_ranks(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v", "rank", cuts[c]), "ranks")
+        return stage(_average_ranks(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v", "rank"), "ranks")
 
     ranked = [c for c in names if complete - {c}]
     whole = dict(zip(ranked, map_in_threads(df, table_ranks, ranked)))
@@ -160,12 +146,13 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, rows_per_
     def ranks(joint: DataFrame, side: str, column: str, other: str) -> DataFrame:
         if other in complete:
             return whole[column].select(F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"))
-        return _average_ranks(joint.groupBy(side).agg(F.sum("n").alias("m")), side, f"rank_{side}", cuts[column])
+        return _average_ranks(joint.groupBy(side).agg(F.sum("n").alias("m")), side, f"rank_{side}")
 
     def one(a: str, b: str) -> DataFrame:
         joint = _joint(df, a, b)
         both = joint.join(ranks(joint, "a", a, b), "a").join(ranks(joint, "b", b, a), "b")
-        w, u, v = F.col("n").cast("double"), F.col("rank_a"), F.col("rank_b")
+        # Any constant may be taken off both; near the mean rank it keeps the sums of squares from cancelling.
+        w, u, v = F.col("n").cast("double"), F.col("rank_a") - middle, F.col("rank_b") - middle
         sums = both.agg(
             F.sum(w).alias("n"), F.sum(w * u).alias("su"), F.sum(w * v).alias("sv"),
             F.sum(w * u * u).alias("suu"), F.sum(w * v * v).alias("svv"), F.sum(w * u * v).alias("suv"),
@@ -191,13 +178,12 @@ def _flat(facts: dict) -> set[str]:
     return {c for c, (_, _, low, high) in facts["columns"].items() if low == high}
 
 
-def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def corr_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Kendall's tau-b without comparing pairs of rows."""
     names = list(columns if columns is not None else numeric_columns(df))
     if len(names) < 2:
         return _empty(df)
-    cuts = _cuts(df, names, rows_per_task)
-    pairs = _pairs(df, names, lambda a, b: _tau_b(_joint(df, a, b), cuts[a], cuts[b]))
+    pairs = _pairs(df, names, lambda a, b: _tau_b(stage(_joint(df, a, b), "joint")))
     return _matrix(pairs, df, names, _flat(_facts(df, names)))
 
 
@@ -206,7 +192,7 @@ def _pairs_within(counts: DataFrame, name: str) -> DataFrame:
     return counts.agg(F.coalesce(F.sum(m * (m - 1) / 2), F.lit(0.0)).alias(name))
 
 
-def _tau_b(joint: DataFrame, cuts_a: list[float], cuts_b: list[float]) -> DataFrame:
+def _tau_b(joint: DataFrame) -> DataFrame:
     """Counts concordant pairs one binary digit of b's position at a time.
 
     Two positions first differ at exactly one digit, so each concordant pair is
@@ -217,7 +203,7 @@ def _tau_b(joint: DataFrame, cuts_a: list[float], cuts_b: list[float]) -> DataFr
     by_b = joint.groupBy("b").agg(F.sum("n").alias("m"))
     distinct_b = by_b.count()
     digits = max(1, (max(distinct_b, 1) - 1).bit_length())
-    positions = running_totals(by_b.select("b", F.lit(1).alias("one")), "b", {"one": "place"}, cuts_b)
+    positions = running_totals(by_b.select("b", F.lit(1).alias("one")), "b", {"one": "place"})
     placed = joint.join(positions.select("b", (F.col("place") - 1).cast("long").alias("place")), "b")
     split = placed.select("a", "n", "place", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit")).select(
         "a", "n", "digit",
@@ -228,7 +214,7 @@ def _tau_b(joint: DataFrame, cuts_a: list[float], cuts_b: list[float]) -> DataFr
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
     )
-    totals = running_totals(cells, "a", {"zeros": "upto"}, cuts_a, groups=["digit", "lead"])
+    totals = running_totals(cells, "a", {"zeros": "upto"}, groups=["digit", "lead"])
     concordant = totals.agg(
         F.coalesce(F.sum(F.col("ones").cast("double") * (F.col("upto") - F.col("zeros"))), F.lit(0.0)).alias("concordant")
     )

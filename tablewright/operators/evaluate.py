@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.running import ROWS_PER_TASK, cut_points, running_totals
+from ..functions.running import running_totals
 
 EPSILON = 2.220446049250313e-16  # double rounding unit, the floor for relative errors
 
@@ -112,28 +112,25 @@ def _score_counts(scored: DataFrame, by: Sequence[str], score: str, positive: Co
     )
 
 
-def area_under_roc(
-    scored: DataFrame, positive: Column, score: str = "score", by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def area_under_roc(scored: DataFrame, positive: Column, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half; null with one class only."""
     counts = _score_counts(scored, by, score, positive)
-    cuts = cut_points(scored, F.col(score), rows_per_task)
-    ranked = running_totals(counts, "score", {"neg": "neg_upto"}, cuts, groups=by)
+    ranked = running_totals(counts, "score", {"neg": "neg_upto"}, groups=by)
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") / 2))
     return ranked.groupBy(*by).agg(
         wins.alias("wins"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n")
     ).select(*by, F.try_divide("wins", F.col("p") * F.col("n")).alias("roc_auc"), "p", "n")
 
 
-def roc_auc(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    return area_under_roc(scored, F.col("y_true") == F.lit(positive_label), rows_per_task=rows_per_task).select("roc_auc")
+def roc_auc(scored: DataFrame, positive_label) -> DataFrame:
+    return area_under_roc(scored, F.col("y_true") == F.lit(positive_label)).select("roc_auc")
 
 
-def roc_auc_ovr(scored: DataFrame, class_scores: dict[str, str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def roc_auc_ovr(scored: DataFrame, class_scores: dict[str, str]) -> DataFrame:
     """One-against-rest areas weighted by support; ``class_scores`` maps label to score column."""
     entries = [F.struct(F.lit(c).alias("class"), F.col(s).cast("double").alias("score")) for c, s in class_scores.items()]
     long = scored.select(F.col("y_true").alias("y"), F.inline(F.array(*entries)))
-    areas = area_under_roc(long, F.col("y") == F.col("class"), by=["class"], rows_per_task=rows_per_task)
+    areas = area_under_roc(long, F.col("y") == F.col("class"), by=["class"])
     return areas.agg(F.try_divide(F.sum(F.col("roc_auc") * F.col("p")), F.sum("p")).alias("roc_auc"))
 
 
@@ -147,20 +144,17 @@ def confusion_matrix(scored: DataFrame) -> DataFrame:
     return grid.join(cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def _curve_totals(scored: DataFrame, positive_label, rows_per_task: int) -> tuple[DataFrame, int, int, list[float]]:
+def _curve_totals(scored: DataFrame, positive_label) -> tuple[DataFrame, int, int]:
     positive = F.col("y_true") == F.lit(positive_label)
     known = scored.where(F.col("score").isNotNull())
     row = known.agg(F.count_if(positive), F.count_if(~positive)).first()
-    cuts = cut_points(scored, F.col("score"), rows_per_task)
-    totals = running_totals(
-        _score_counts(scored, [], "score", positive), "score", {"pos": "tp", "neg": "fp"}, cuts, descending=True
-    )
-    return totals, row[0], row[1], cuts
+    totals = running_totals(_score_counts(scored, [], "score", positive), "score", {"pos": "tp", "neg": "fp"}, descending=True)
+    return totals, row[0], row[1]
 
 
-def roc_curve(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def roc_curve(scored: DataFrame, positive_label) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, with the origin (null threshold)."""
-    totals, p, n, _ = _curve_totals(scored, positive_label, rows_per_task)
+    totals, p, n = _curve_totals(scored, positive_label)
     points = totals.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.lit(float(n))).alias("fpr"),
@@ -170,14 +164,14 @@ def roc_curve(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_T
     return points.unionByName(origin)
 
 
-def roc_curve_area(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def roc_curve_area(scored: DataFrame, positive_label) -> DataFrame:
     """Area under the trapezoids of the curve, which is the rank form of the area."""
-    return roc_auc(scored, positive_label, rows_per_task).withColumnRenamed("roc_auc", "area")
+    return roc_auc(scored, positive_label).withColumnRenamed("roc_auc", "area")
 
 
-def pr_curve(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def pr_curve(scored: DataFrame, positive_label) -> DataFrame:
     """(threshold, precision, recall) per distinct score, with the closing point (1, 0)."""
-    totals, p, _, _ = _curve_totals(scored, positive_label, rows_per_task)
+    totals, p, _ = _curve_totals(scored, positive_label)
     points = totals.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
@@ -187,13 +181,13 @@ def pr_curve(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_TA
     return points.unionByName(end)
 
 
-def pr_curve_area(scored: DataFrame, positive_label, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def pr_curve_area(scored: DataFrame, positive_label) -> DataFrame:
     """Area under precision against recall by trapezoids.
 
     The point before each score follows from its own totals, except for the
     precision before the first score, which is the closing point's 1.
     """
-    totals, p, _, _ = _curve_totals(scored, positive_label, rows_per_task)
+    totals, p, _ = _curve_totals(scored, positive_label)
     before_tp, before_all = F.col("tp") - F.col("pos"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
     here = F.col("tp") / (F.col("tp") + F.col("fp"))
     before = F.when(before_all > 0, F.try_divide(before_tp, before_all)).otherwise(1.0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import DATETIME, as_double, columns_of_kind, hash_below, hash_text, present, quoted
-from ..functions.running import ROWS_PER_TASK, positions
+from ..functions.running import positions
 from ..functions.tables import union_all
 from ..session import stage
 from . import profile
@@ -72,10 +72,10 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_size:
     return sides.select(*[quoted(c) for c in df.columns], F.when(test, "test").otherwise("train").alias("split"))
 
 
-def label_index(df: DataFrame, target: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def label_index(df: DataFrame, target: str) -> DataFrame:
     """(label, index) with indices 0..k-1 in label order; one row per class."""
     labels = df.select(present(df, target).alias("label")).where("label is not null").distinct()
-    return positions(labels, "label", "index", rows_per_task)
+    return positions(labels, "label", "index")
 
 
 def label_encode(df: DataFrame, target: str, output: str = "label_index") -> DataFrame:

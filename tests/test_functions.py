@@ -34,22 +34,28 @@ def test_quantiles_of_nothing_and_of_one_value(spark):
     assert found == {"a": [None], "b": [2.0]}
 
 
-@pytest.mark.parametrize("rows_per_task", [50, 1000, 10**6])
+@pytest.fixture(params=["true", "false"])
+def ranges(request, spark):
+    """One range, as these tables are small, or as many as there are partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals_match_a_full_sort(skewed, rows_per_task, descending):
+def test_running_totals_match_a_full_sort(skewed, ranges, descending):
     values, df = skewed
     counts = df.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    cuts = running.cut_points(df, F.col("x"), rows_per_task)
-    got = {r["x"]: r["upto"] for r in running.running_totals(counts, "x", {"n": "upto"}, cuts, descending=descending).collect()}
+    got = {r["x"]: r["upto"] for r in running.running_totals(counts, "x", {"n": "upto"}, descending=descending).collect()}
     known = sorted((v for v in values if v is not None), reverse=descending)
     want = {v: i + 1 for i, v in enumerate(known)}
     assert got == want
 
 
-def test_running_totals_per_group(spark):
+def test_running_totals_per_group(spark, ranges):
     rows = [("a", float(i), 1) for i in range(40)] + [("b", float(i), 2) for i in range(0, 40, 3)]
     df = spark.createDataFrame(rows, "g string, x double, n int")
-    got = {(r["g"], r["x"]): r["s"] for r in running.running_totals(df, "x", {"n": "s"}, [5.0, 11.5, 30.0], groups=["g"]).collect()}
+    got = {(r["g"], r["x"]): r["s"] for r in running.running_totals(df, "x", {"n": "s"}, groups=["g"]).collect()}
     want, sums = {}, {"a": 0, "b": 0}
     for g, x, n in sorted(rows, key=lambda r: r[1]):
         sums[g] += n
@@ -57,22 +63,20 @@ def test_running_totals_per_group(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("rows_per_task", [7, 10**6])
-def test_positions_of_texts_and_numbers(spark, rows_per_task):
+def test_positions_of_texts_and_numbers(spark, ranges):
     words = [f"w{i:03d}" for i in range(60)]
     df = spark.createDataFrame([(w, float(i) / 3) for i, w in enumerate(words)], "w string, v double").repartition(5)
-    by_text = {r["w"]: r["p"] for r in running.positions(df.select("w"), "w", "p", rows_per_task).collect()}
+    by_text = {r["w"]: r["p"] for r in running.positions(df.select("w"), "w", "p").collect()}
     assert by_text == {w: i for i, w in enumerate(words)}
-    by_number = {r["v"]: r["p"] for r in running.positions(df.select("v"), "v", "p", rows_per_task).collect()}
+    by_number = {r["v"]: r["p"] for r in running.positions(df.select("v"), "v", "p").collect()}
     assert by_number == {float(i) / 3: i for i in range(60)}
 
 
-@pytest.mark.parametrize("rows_per_task", [5, 10**6])
-def test_grouped_median(spark, rows_per_task):
+def test_grouped_median(spark, ranges):
     rng = random.Random(5)
     rows = [(g, float(rng.randint(0, 9))) for g in "ab" for _ in range(31 if g == "a" else 200)] + [("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["median"] for r in quantiles.grouped_median(df, ["g"], "v", rows_per_task).collect()}
+    got = {r["g"]: r["median"] for r in quantiles.grouped_median(df, ["g"], "v").collect()}
     assert got == {g: float(np.median([v for k, v in rows if k == g])) for g in "ab"}
 
 
