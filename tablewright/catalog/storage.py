@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import sanitized_name
+from ..functions.columns import is_missing, sanitized_name
 from ..operators import profile as P
+from ..operators.clean import drop_duplicates
 from ..session import scratch_path
 from ..sources import csv, reports, runs, warehouse
 from .base import MESSY, messy, query, r, rounded
@@ -265,18 +266,25 @@ def _(t):
 
 @query(
     "dataset_report",
-    "select o_orderstatus, '1.0' as report_version, count(*) as \"rows\", 6::bigint as columns, 0::bigint as total_missing, 'o_custkey,o_orderkey' as profiled, "
-    "count(*) as rows_after_cleaning from orders group by 1",
+    "select o_orderstatus, '1.0' as report_version, count(*) as \"rows\", (select count(*) from (describe orders)) as columns, "
+    "sum((o_orderkey is null)::int + (o_custkey is null)::int + (o_totalprice is null)::int + (o_orderdate is null)::int + (o_orderpriority is null)::int) as total_missing, "
+    "'o_custkey,o_orderkey' as profiled, (select count(*) from (select distinct * from orders) d where d.o_orderstatus = o.o_orderstatus) as rows_after_cleaning "
+    "from orders o group by o_orderstatus",
 )
 def _(t):
     keys = ["o_orderstatus"]
-    summary = t.orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.lit(6).alias("columns"), F.lit(0).alias("total_missing"))
+    orders = t.orders
+    missing = sum((F.count_if(is_missing(orders, c)) for c in orders.columns), F.lit(0))
+    summary = orders.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.lit(len(orders.columns)).alias("columns"), missing.alias("total_missing"))
     facts = t.orders.groupBy(*keys).agg(F.count_distinct("o_custkey").alias("a"), F.count_distinct("o_orderkey").alias("b"))
     columns = facts.select(
         *keys,
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(x).alias("unique")) for c, x in (("o_custkey", "a"), ("o_orderkey", "b"))])),
     )
-    cleaning = t.orders.groupBy(*keys).agg(F.lit(0).alias("duplicates_removed"), F.count(F.lit(1)).alias("rows_after_cleaning"))
+    kept = drop_duplicates(orders).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_after_cleaning"))
+    cleaning = kept.join(summary.select(*keys, "rows"), keys).select(
+        *keys, (F.col("rows") - F.col("rows_after_cleaning")).alias("duplicates_removed"), "rows_after_cleaning"
+    )
     report = reports.dataset_report(summary, columns, cleaning, keys)
     field = lambda path: F.get_json_object("report", path)
     return report.select(

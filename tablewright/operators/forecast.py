@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tables import join_by, spread_by, union_all
-from .timeseries import DAILY, MONTHLY, WEEKLY, future_dates, regular_grid_ffill
+from .timeseries import DAILY, MONTHLY, WEEKLY, future_dates, per_period, regular_grid_ffill
 
 PERIODS = {DAILY: 7, WEEKLY: 52, MONTHLY: 12}
 SMOOTHING = [0.1, 0.3, 0.5, 0.7, 0.9]
@@ -76,10 +76,11 @@ def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] =
 
     Additive trend and, with two full seasons of data, additive season. Every
     weight triple is tried and the least squared error one step ahead wins.
-    A series is one row from the collected periods to the exploded forecast.
+    Rows of one period are averaged first, so a series, which is one row from the
+    collected periods to the exploded forecast, is bounded by the calendar.
     """
     period = PERIODS[freq]
-    arrays = _arrays(regular_grid_ffill(ts, freq, series), series)
+    arrays = _arrays(regular_grid_ffill(per_period(ts, freq, series), freq, series), series)
     step = {DAILY: "make_interval(0, 0, 0, k)", WEEKLY: "make_interval(0, 0, k)", MONTHLY: "make_interval(0, k)"}[freq]
     parts = []
     for season in (True, False):
@@ -206,10 +207,11 @@ def forecast_history_overlay(ts: DataFrame, future: DataFrame, series: Sequence[
 def trend_seasonal_forecast(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] = ()) -> DataFrame:
     """Piecewise-linear trend with yearly and, for daily data, weekly seasons.
 
-    Each series with its future periods is one group of calendar-bounded size.
+    Rows of one period are averaged first; each series with its future periods is
+    then one group of calendar-bounded size.
     ``error`` tells why a series could not be fitted; it then has one row without dates.
     """
-    history = ts.where("y is not null").select(*series, "ds", F.col("y").cast("double").alias("y"))
+    history = per_period(ts, freq, series)
     ahead = future_dates(history, freq, horizon, series).select(*series, "ds", F.lit(None).cast("double").alias("y"))
     rows = history.unionByName(ahead)
     fields = "".join(f"`{s}` {rows.schema[s].dataType.simpleString()}, " for s in series)

@@ -45,7 +45,7 @@ def detect_task(profile: DataFrame) -> DataFrame:
 
 
 def task_metadata(tasks: DataFrame) -> DataFrame:
-    """Confidence and reason for each detected task."""
+    """Confidence and reason for each detected task. The sentences are fixed values."""
     unique, rows, target = F.col("unique"), F.col("rows"), F.col("target")
     text = F.col("kind") == "categorical"
     classification = F.col("task") == "classification"

@@ -157,6 +157,11 @@ def prepare_time_series(
     return resample(df, date, target, freq, aggregate, series, formats).orderBy(*series, "ds")
 
 
+def per_period(ts: DataFrame, freq: str, series: Sequence[str] = ()) -> DataFrame:
+    """One mean per series and period, so that a series is no longer than the calendar; a resampled table stays as it is."""
+    return ts.groupBy(*series, bucket(F.col("ds"), freq).alias("ds")).agg(F.avg(F.col("y").cast("double")).alias("y")).where("y is not null")
+
+
 def regular_grid_ffill(ts: DataFrame, freq: str, series: Sequence[str] = ()) -> DataFrame:
     """Every period between a series' first and last, gaps filled with the value before."""
     span = ts.groupBy(*series).agg(F.min("ds").alias("first"), F.max("ds").alias("last")).where("first is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tables import join_by
 
+# Fixed value: the version that reports carry.
 REPORT_VERSION = "1.0"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.columns import quoted, sanitize_names
 
+# The version and the table schemas that the warehouse has.
 APP_VERSION = "2.1"
 
 RUN_METADATA = "run_id string, dataset_name string, target_column string, task_type string, best_model string, run_timestamp timestamp, app_version string"
