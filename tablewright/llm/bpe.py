@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .texts import on_texts, raw, ready, strings
 
 KNOWN_PIECES = 800_000  # pieces a worker remembers, then it starts anew; no result depends on it
+SLICE_BYTES = 4 << 20  # remembered pieces are looked up once a slice
 LIBRARY_PIECES = 20_000  # pieces handed to the library at a time
 
 
@@ -208,7 +209,7 @@ def encoder(key: tuple, make: Callable, ending: int | None = None):
 
         return one
 
-    return on_texts(work, "array<int>")
+    return on_texts(work, "array<int>", SLICE_BYTES)
 
 
 def offset_encoder(path: str, pattern: str):
@@ -225,7 +226,7 @@ def offset_encoder(path: str, pattern: str):
 
         return one
 
-    return on_texts(work, "struct<ids array<int>, offsets array<int>>")
+    return on_texts(work, "struct<ids array<int>, offsets array<int>>", SLICE_BYTES)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
