@@ -19,7 +19,7 @@ from .texts import on_texts, per_text, raw, ready, slices
 WORDS, BEGINNINGS = 1 << 15, 1 << 13
 STARTS = (5,)  # bytes of a word's beginning that are hashed as well
 RANK = 8
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 15_000
 EPOCHS, BATCH, STEP, SHRINK = 6, 64, 0.05, 1e-5
 HELD_OUT = (4, 2)
 STATISTICS = [
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """
 
     rows, told = sample(docs, labels, "quality", HELD_OUT, most, []), []
-    for part in slices(pa.array(rows.text, pa.string())):
+    for part in slices(pa.array(rows.pop("text"), pa.string())):
         number, value, bounds = features(part)
         told += [(number[a:b], value[a:b]) for a, b in zip(bounds, bounds[1:])]
     return train(told, rows.label.to_numpy(float))
