@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .texts import on_texts, raw, ready, strings
 
 KNOWN_PIECES = 800_000  # pieces a worker remembers, then it starts anew; no result depends on it
-SLICE_BYTES = 4 << 20  # remembered pieces are looked up once a slice
+SLICE_BYTES = 2 << 20  # remembered pieces are looked up once a slice
 LIBRARY_PIECES = 20_000  # pieces handed to the library at a time
 
 
@@ -194,7 +194,7 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def encoder(key: tuple, make: Callable, ending: int | None = None):
+def encoder(key: tuple, make: Callable, ending: int | None = None, most: int = SLICE_BYTES):
     """Column function text -> ids, each text's followed by ``ending`` if there is one."""
 
     def work():
@@ -209,7 +209,7 @@ def encoder(key: tuple, make: Callable, ending: int | None = None):
 
         return one
 
-    return on_texts(work, "array<int>", SLICE_BYTES)
+    return on_texts(work, "array<int>", most)
 
 
 def offset_encoder(path: str, pattern: str):
@@ -253,20 +253,33 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array(table, pa.large_binary())
 
 
-def decoded_bytes(path: str):
-    """Column function array<int> -> the bytes of the ids joined."""
+def bytes_of(path: str, ids: pa.Array) -> pa.Array:
+    """The bytes of each list of ids joined."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    bounds = ids.offsets.to_numpy().astype(np.int64)
+    joined = token_bytes(path).take(ids.values.slice(bounds[0], bounds[-1] - bounds[0]))
+    _, places, data = joined.buffers()
+    places = np.frombuffer(places, np.int64)[: len(joined) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return strings(data, places[bounds - bounds[0]], pa.binary())
+
+
+def integers_of(ids: pa.Array) -> pa.Array:
+    """Each list of ids as little-endian unsigned 32-bit integers."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    bounds = ids.offsets.to_numpy().astype(np.int64)
+    values = ids.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False).astype("<u4")
+    return strings(values.view(np.uint8), 4 * (bounds - bounds[0]), pa.binary())
+
+
+def on_ids(work: Callable[[pa.Array], pa.Array], returns: str):
+    """Column function of lists of ids."""
 
     def run(part: pa.Array) -> pa.Array:
-        part = part.fill_null([]) if part.null_count else part
-        bounds = part.offsets.to_numpy().astype(np.int64)
-        joined = token_bytes(path).take(part.values.slice(bounds[0], bounds[-1] - bounds[0]))
-        _, places, data = joined.buffers()
-        places = np.frombuffer(places, np.int64)[: len(joined) + 1]
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        return strings(data, places[bounds - bounds[0]], pa.binary())
+        return work(part)
 
     run.__annotations__ = {"part": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "binary")
+    return F.arrow_udf(run, returns)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -276,27 +289,22 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     as characters; ``cast('string')`` gives the text. Null ids decode to no bytes; an id without a token is an error.
     """
     ready(tokens.sparkSession)
-    return tokens.withColumn("decoded", decoded_bytes(path)(F.col("ids")))
+    return tokens.withColumn("decoded", on_ids(lambda ids: bytes_of(path, ids), "binary")(F.col("ids")))
 
 
 def little_endian():
     """Column function array<int> -> the ids as little-endian unsigned 32-bit integers."""
-
-    def run(part: pa.Array) -> pa.Array:
-        part = part.fill_null([]) if part.null_count else part
-        bounds = part.offsets.to_numpy().astype(np.int64)
-        values = part.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False).astype("<u4")
-        return strings(values.view(np.uint8), 4 * (bounds - bounds[0]), pa.binary())
-
-    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "binary")
+    return on_ids(integers_of, "binary")
 
 
 def digests(tokens: DataFrame, path: str) -> DataFrame:
     """``doc_id``, the number of ids, and SHA-256 of the ids as little-endian integers and of the bytes they decode to."""
-    return tokens.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian()(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(decoded_bytes(path)(F.col("ids")), 256).alias("decoded_sha256"),
+
+    def both(ids: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pc.list_value_length(ids).cast(pa.int64()), integers_of(ids), bytes_of(path, ids)], ["n", "ids", "bytes"])
+
+    # One function of the ids, so that it runs where they are made and they are not sent in between.
+    made = tokens.select("doc_id", on_ids(both, "struct<n long, ids binary, bytes binary>")(F.col("ids")).alias("made"))
+    return made.select(
+        "doc_id", F.col("made.n").alias("n_tokens"), F.sha2("made.ids", 256).alias("ids_sha256"), F.sha2("made.bytes", 256).alias("decoded_sha256")
     )

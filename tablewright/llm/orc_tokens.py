@@ -14,6 +14,7 @@ from .texts import ready
 
 ROWS_PER_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20  # of texts encoded at a time: the fewer slices, the fewer lookups of all pieces
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1) -> None:
@@ -27,7 +28,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     ready(docs.sparkSession)
     # Texts are dealt before they are encoded: the range sampling then reads them only, and they are smaller than ids.
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ids = encoder(("file", tokenizer), lambda: file_tokenizer(tokenizer), end_id)(F.col("text"))
+    ids = encoder(("file", tokenizer), lambda: file_tokenizer(tokenizer), end_id, SLICE_BYTES)(F.col("text"))
     rows = dealt.select("doc_id", F.monotonically_increasing_id().alias("position"), ids.alias("ids"))
     rows.select("doc_id", "position", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(
         **{

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import stage
 
 SLICE_BYTES = 1 << 20  # texts handled at a time; one longer text is handled alone
-BATCH_BYTES = 8 << 20  # Arrow batches between the JVM and Python, so that two tasks of long texts fit in a small executor
+BATCH_BYTES = 4 << 20  # Arrow batches between the JVM and Python, so that two tasks of long texts fit in a small executor
 BROADCAST_ROWS = 100_000
 
 BLANK = np.zeros(256, bool)
@@ -58,13 +58,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
 def on_texts(work: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, most: int = SLICE_BYTES):
     """Column function of texts; ``work()`` is called once a task and gives the function of a slice of texts."""
 
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = work()
-        for part in parts:
-            done = [one(x) for x in slices(part, most)] or [one(part)]
-            yield done[0] if len(done) == 1 else pa.concat_arrays(done)
+    made: list[Callable[[pa.Array], pa.Array]] = []  # empty in every task
 
-    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    def run(part: pa.Array) -> pa.Array:
+        if not made:
+            made.append(work())
+        done = [made[0](x) for x in slices(part, most)] or [made[0](part)]
+        return done[0] if len(done) == 1 else pa.concat_arrays(done)
+
+    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, returns)
 
 
