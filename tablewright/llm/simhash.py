@@ -9,6 +9,7 @@ than broadcast, and a fingerprint is looked up in the trees of its own shards on
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,50 +248,80 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def follow(radius: int, least: float):
-    """Column function of a tile's members -> array<struct<follower, leader>>, rows.
+def shingle_links(radius: int, least: float):
+    """Column function of a tile's members -> array<struct<a, b>>, rows.
 
-    Members come in the order of their places. Each is looked up among the leaders before it; if one is similar by its
-    shingles the member follows it, if none is it becomes a leader and a node of the tree.
+    Every member is a node of the tree, and each is looked up among those before it; the links are those that join what
+    others leave apart, so that none is lost to them. Members of one ``group`` are joined before.
     """
 
     def run(part: pa.Array) -> pa.Array:
-        kind, out = pa.list_(pa.struct([("follower", pa.int64()), ("leader", pa.int64())])), []
+        kind, out = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), []
         for tile in part:
-            places = tile.values.field("place").to_pylist()
-            members = sorted(range(len(places)), key=lambda i: (places[i]["last"], places[i]["id"] or 0, places[i]["row"]))
-            rows, fps, sets = (tile.values.field(x) for x in ("row", "fp", "shingles"))
-            tree, leaders, found = Tree(radius), [], []
-            for i in members:
-                fp, own = fps[i].as_py() & ALL, sets[i].values.to_numpy().view(np.uint32)
-                leader = next((n for n in sorted(tree.near(fp)) if similar(leaders[n][1], own, least)), None)
-                if leader is None:
-                    leaders.append((rows[i].as_py(), own))
-                    tree.add(fp)
-                else:
-                    found.append({"follower": rows[i].as_py(), "leader": leaders[leader][0]})
+            rows, groups, fps = (tile.values.field(x).to_pylist() for x in ("row", "group", "fp"))
+            sets, many = tile.values.field("shingles"), Counter(groups)
+            members = sorted(range(len(rows)), key=lambda i: (-many[groups[i]], groups[i]))
+            tree, parent, known, firsts, found = Tree(radius), list(range(len(rows))), [], {}, []
+
+            def root(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for n, i in enumerate(members):  # a member's number is its node
+                fp, own = fps[i] & ALL, sets[i].values.to_numpy()
+                parent[n] = firsts.setdefault(groups[i], n)
+                for j in tree.near(fp) if len(firsts) > 1 else ():
+                    a, b = root(n), root(j)
+                    if a != b and similar(known[j], own, least):
+                        parent[b] = a
+                        found.append({"a": rows[members[j]], "b": rows[i]})
+                tree.add(fp)
+                known.append(own)
             out.append(found)
         return pa.array(out, kind)
 
     run.__annotations__ = {"part": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<struct<follower long, leader long>>")
+    return F.arrow_udf(run, "array<struct<a long, b long>>")
+
+
+def tile_links(members: DataFrame, sets: DataFrame, keys: list[str], radius: int, least: float) -> DataFrame:
+    """Links ``a, b`` of all tiles, the groups of ``keys``; a tile has about ``TILE`` members, or twice as many."""
+    own = members.join(sets, "row").groupBy(*keys).agg(F.collect_list(F.struct("row", "group", "fp", "shingles")).alias("members"))
+    return own.select(F.inline(shingle_links(radius, least)(F.col("members"))))
+
 
+def dealt(key: str, tiles: Column) -> Column:
+    """Tile of a row in its shard; another one in every shard."""
+    return F.pmod(F.xxhash64(key, "shard"), tiles).cast("int")
 
-def followers(members: DataFrame, sets: DataFrame, keys: list[str], radius: int, least: float) -> DataFrame:
-    """Links of all tiles, the groups of ``keys``; a tile has about ``TILE`` members, or twice as many."""
-    own = members.join(sets, "row").groupBy(*keys).agg(F.collect_list(F.struct("place", "row", "fp", "shingles")).alias("members"))
-    return own.select(F.inline(follow(radius, least)(F.col("members"))))
+
+def across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of tiles of shards that are larger than a tile, for all pairs of members that no link connects so far.
+
+    Members of a shard's largest component are connected, so their tiles meet those of the other members only; tiles of
+    the others meet all.
+    """
+    grouped = members.join(roots, members.row == roots.vertex, "left").withColumn("group", F.coalesce("root", "row")).drop("root", "vertex")
+    counted = grouped.groupBy("shard", "group").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("shard").agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("n"))
+    rest, most = (F.ceil(x / TILE).cast("int") for x in (F.col("n") - F.col("main.n"), F.col("main.n")))
+    sizes = sizes.where("n > main.n").select("shard", F.col("main.group").alias("main"), rest.alias("rest"), most.alias("most"))
+    sided = grouped.join(sizes, "shard").withColumn("first", F.col("group") == F.col("main"))
+    tiled = sided.withColumn("tile", F.when(F.col("first"), F.col("rest") + dealt("row", F.col("most"))).otherwise(dealt("row", F.col("rest"))))
+    others = F.sequence(F.lit(0), F.when(F.col("first"), F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
+    paired = tiled.withColumn("other", F.explode(F.array_remove(others, F.col("tile"))))
+    return paired.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
 
 
 def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18) -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates, with its own columns: that of the smallest id, or the first read.
 
     Two texts are near-duplicates if their sets of ``words``-word shingles (A to Z made small) have a Jaccard similarity
-    of ``least`` or more; a group is what such pairs connect to rows that stay. Texts of the same words, and texts without
-    any, are copies. Rows without an id come after those with one. Copies are dropped first, by a hash of their words;
-    then the trees of each shard give the leaders within ``radius`` bits, and shingles decide. A shard of more than
-    ``TILE`` texts is worked in tiles, each of which leaves its leaders only; what is left is dealt anew until it fits,
-    and if it no longer shrinks every pair of tiles is worked.
+    of ``least`` or more; a group is what such pairs connect, over any number of them. Texts of the same words, and texts
+    without any, are copies. Rows without an id come after those with one. Copies are dropped first, by a hash of their
+    words; then the trees of each shard give the texts within ``radius`` bits, and shingles decide. A shard of more than
+    ``TILE`` texts is worked in tiles; then every pair of its tiles is, but for texts that are connected by then.
     """
     ready(docs.sparkSession)
     numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
@@ -300,33 +331,22 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     first = marked.groupBy("content").agg(F.min("place").alias("place"))  # combined before the shuffle
     copies = marked.join(first.select(F.col("place.row").alias("row")), "row", "left_anti").select("row")
     different = marked.join(first.select(F.col("place.row").alias("row")), "row", "left_semi")
-    keyed = stage(different.select("row", "place", "fp", F.explode("shards").alias("shard")), "keyed")
-    dropped, sets, turn = [copies], None, 0
-    while True:
-        sizes = stage(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
-        members = keyed.join(sizes, "shard").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-        members = members.withColumn("tile", F.pmod(F.xxhash64("row", F.lit(turn)), F.col("tiles")).cast("int"))
-        if sets is None:
-            wanted = small_or_plain(members.select(F.col("row").alias("__row")).distinct(), "suspects")
-            found = numbered.join(wanted, "__row", "left_semi")
-            sets = stage(found.select(F.col("__row").alias("row"), shingle_sets(F.col("text"), words).alias("shingles")), "shingles")
-        linked = stage(followers(members, sets, ["shard", "tile"], radius, least).select(F.col("follower").alias("row")).distinct(), "followers")
-        dropped.append(linked)
-        large = sizes.where(F.col("n") > TILE).select("shard")
-        if not large.take(1):
-            break
-        before = keyed.join(large, "shard", "left_semi")
-        after = stage(before.join(linked, "row", "left_anti"), "keyed")
-        if after.count() > 0.9 * before.count():  # different texts that share a shard: all pairs of tiles
-            sizes = after.groupBy("shard").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-            tiled = after.join(sizes, "shard").withColumn("tile", F.pmod(F.xxhash64("row", F.lit(turn)), F.col("tiles")).cast("int"))
-            paired = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            paired = paired.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
-            dropped.append(stage(followers(paired, sets, ["shard", "a", "b"], radius, least).select(F.col("follower").alias("row")), "followers"))
-            break
-        keyed, turn = after, turn + 1
-    gone = dropped[0]
-    for more in dropped[1:]:
-        gone = gone.unionByName(more)
-    gone = small_or_plain(gone.select(F.col("row").alias("__row")).distinct(), "dropped")
+    keyed = stage(different.select("row", "fp", F.explode("shards").alias("shard")), "keyed")
+    sizes = stage(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
+    members = keyed.join(sizes, "shard").select("row", "fp", "shard", "n", F.col("row").alias("group"))
+    wanted = small_or_plain(members.select(F.col("row").alias("__row")).distinct(), "suspects")
+    found = numbered.join(wanted, "__row", "left_semi")
+    sets = stage(found.select(F.col("__row").alias("row"), shingle_sets(F.col("text"), words).alias("shingles")), "shingles")
+    tiled = members.withColumn("tile", dealt("row", F.ceil(F.col("n") / TILE).cast("int")))
+    linked = stage(tile_links(tiled, sets, ["shard", "tile"], radius, least).distinct(), "links")
+    roots = stage(components(linked), "components")
+    if sizes.where(F.col("n") > TILE).take(1):
+        large = across(members.where(F.col("n") > TILE).drop("n", "group"), roots)
+        more = stage(tile_links(large, sets, ["shard", "a", "b"], radius, least).distinct(), "links")
+        if more.take(1):
+            roots = stage(components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+    grouped = marked.select("row", "place").join(roots, F.col("row") == F.col("vertex"))
+    kept = grouped.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    followers = roots.select(F.col("vertex").alias("row")).join(kept, "row", "left_anti")
+    gone = small_or_plain(copies.unionByName(followers).select(F.col("row").alias("__row")).distinct(), "dropped")
     return numbered.join(gone, "__row", "left_anti").drop("__row")

@@ -114,3 +114,24 @@ def one_shard(marks):
     from pyspark.sql import functions as F
 
     return F.struct(marks["fp"].alias("fp"), marks["content"].alias("content"), F.array(F.lit(1).cast("long")).alias("shards"))
+
+
+@pytest.mark.parametrize("tile", [512, 4])
+def test_deduplicate_follows_links_through_dropped_texts(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "text_marks", lambda text, words, own=simhash.text_marks: one_shard(own(text, words)))
+    random.seed(12)
+    word = lambda: f"w{random.randrange(100_000)}"
+    stream, hub = [word() for _ in range(160)], [word() for _ in range(100)]
+    texts = [stream[10 * k : 10 * k + 100] for k in range(6)]  # each is similar to the next one only
+    for k in range(6):  # edited copies, each similar to the hub only; the hub comes second
+        copy = list(hub)
+        copy[12 * k + 10], copy[12 * k + 17] = word(), word()
+        texts += [copy] if k else [copy, hub]
+    texts += [[word() for _ in range(100)] for _ in range(20)]
+    texts = [" ".join(t) for t in texts]
+    sets = [brute.shingle_set(t) for t in texts]
+    similar = [(a, b) for b in range(13) for a in range(b) if brute.jaccard(sets[a], sets[b]) >= 0.8]
+    assert similar == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (6, 7), *((7, k) for k in range(8, 13))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 6, *range(13, 33)]
