@@ -69,6 +69,12 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return found
 
 
+def distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes once, ascending, and their n + 1 bounds."""
+    own = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return np.concatenate([np.zeros(0, np.uint64), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
+
+
 def fingerprint(text: Column, words: int = 3) -> Column:
     """SimHash of the whole text as a long; 0 for a text that is null or has no words."""
     return on_texts(lambda: lambda texts: pa.array(majority(*shingle_hashes(texts, words))), "long")(text)
@@ -208,8 +214,8 @@ def hexadecimal(fp: Column) -> Column:
 def text_marks(text: Column, words: int) -> Column:
     """``struct<fp, content, shards>``: SimHash, hash of the word sequence, and the shards whose trees a text is looked up in.
 
-    A shard is a pair of least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share one of the ``SHARDS``
-    with a probability of 0.99.
+    Sets of shingles decide, so ``fp`` counts each shingle once, however often a line is repeated. A shard is a pair of
+    least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share one of the ``SHARDS`` with a probability of 0.99.
     """
 
     def one(texts: pa.Array) -> pa.Array:
@@ -218,6 +224,7 @@ def text_marks(text: Column, words: int) -> Column:
         contents, keys = np.zeros(len(texts), np.int64), np.zeros((len(full), SHARDS), np.int64)
         for i in full:
             contents[i] = np.uint64(xxhash.xxh64_intdigest(hashes[bounds[i] : bounds[i + 1]].tobytes(), SEED)).view(np.int64)
+        hashes, bounds = distinct(hashes, bounds)
         for k in range(SHARDS if len(full) else 0):
             least = [np.minimum.reduceat(mix(hashes ^ mix(np.array([2 * k + j]))), bounds[:-1][full]) for j in (0, 1)]
             with np.errstate(over="ignore"):

@@ -135,3 +135,15 @@ def test_deduplicate_follows_links_through_dropped_texts(spark, monkeypatch, til
     assert similar == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (6, 7), *((7, k) for k in range(8, 13))]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 6, *range(13, 33)]
+
+
+def test_deduplicate_counts_repeated_lines_once(spark):
+    random.seed(14)
+    texts = []
+    for _ in range(8):
+        words, line = ([f"w{random.randrange(100_000)}" for _ in range(n)] for n in (5000, 8))
+        texts += [" ".join(words) + "\n" + "\n".join([" ".join(line)] * times) for times in (1, 90)]
+    for a, b in zip(texts[::2], texts[1::2]):
+        assert brute.jaccard(brute.shingle_set(a), brute.shingle_set(b)) > 0.99
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(0, 16, 2))
