@@ -117,23 +117,64 @@ def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
+def best_stretches(diagonals: Column, words: Column, need: Column) -> Column:
+    """Column ``array<struct<start, last, bits>>``: stretches of ``STRETCH`` times the words that cover enough of a notice.
+
+    ``diagonals`` are ``first, last, bits`` of one group. Of stretches that overlap, the one that covers most stays, the
+    shortest of these.
+    """
+
+    def one(group: list[dict], words: int, need: int) -> list[dict]:
+        group = sorted(group, key=lambda x: x["first"])
+        found = []
+        for i, x in enumerate(group):
+            stop, bits, last = x["first"] + int(STRETCH * words), 0, 0
+            for j in range(i, len(group)):
+                y = group[j]
+                if y["first"] >= stop:
+                    break
+                if y["last"] < stop:
+                    bits, last = bits | y["bits"], max(last, y["last"])
+            if bits & need == need and bits.bit_count() >= COVERED * words:
+                found.append({"start": x["first"], "last": last, "bits": bits})
+        kept, taken = [], set()
+        for x in sorted(found, key=lambda x: (-x["bits"].bit_count(), x["last"] - x["start"], x["start"])):
+            own = range(x["start"], x["last"] + 1)
+            if taken.isdisjoint(own):
+                taken.update(own)
+                kept.append(x)
+        return kept
+
+    def run(groups: pa.Array, words: pa.Array, need: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("last", pa.int64()), ("bits", pa.int64())]))
+        return pa.array([one(g.as_py(), w, n) for g, w, n in zip(groups, words.to_pylist(), need.to_pylist())], kind)
+
+    run.__annotations__ = {"groups": pa.Array, "words": pa.Array, "need": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<start long, last long, bits long>>")(diagonals, words, need)
+
+
 def places(counted: DataFrame) -> DataFrame:
-    """Verified spans: ``doc_id, text_hash, label, fixed, start, last, score``, one row each."""
+    """Verified spans: ``doc_id, text_hash, label, fixed, start, last, score``, one row each.
+
+    All diagonals of a notice are merged with their neighbours, those of a single pair too: one word put in or left out
+    of a short notice leaves such a pair. Pairs of everyday words can make a group longer than a notice, so coverage is
+    that of stretches within a group.
+    """
     exact = counted.where("fixed and bit_count(bits) = words").select(
         "doc_id", "text_hash", "label", "fixed", F.col("diagonal").alias("start"), "last", F.lit(1.0).alias("score")
     )
     keys = ["doc_id", "text_hash", "template"]
     order = Window.partitionBy(*keys).orderBy("diagonal")
-    # A diagonal with a single pair of a long notice says nothing: most come from pairs of everyday words.
-    strong = counted.where("not fixed and (bit_count(bits) > 2 or words < 6)")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS, F.lit(True))
-    numbered = strong.withColumn("far", far.cast("int")).withColumn("group", F.sum("far").over(order))
+    numbered = counted.where("not fixed").withColumn("far", far.cast("int")).withColumn("group", F.sum("far").over(order))
     merged = numbered.groupBy(*keys, "label", "words", "need", "fixed", "group").agg(
-        F.bit_or("bits").alias("bits"), F.min("first").cast("long").alias("start"), F.max("last").alias("last")
+        F.bit_or("bits").alias("bits"), F.collect_list(F.struct("first", "last", "bits")).alias("diagonals")
     )
-    share = F.bit_count("bits") / F.col("words")
+    # Most groups have too few words in all; the others are looked at one by one.
     known = F.col("bits").bitwiseAND(F.col("need")) == F.col("need")
-    near = merged.where(known & (share >= COVERED) & (F.col("last") - F.col("start") + 1 <= STRETCH * F.col("words")))
+    full = merged.where(known & (F.bit_count("bits") >= COVERED * F.col("words")))
+    near = full.select("doc_id", "text_hash", "label", "fixed", "words", F.inline(best_stretches(F.col("diagonals"), F.col("words"), F.col("need"))))
+    share = F.bit_count("bits") / F.col("words")
     return exact.unionByName(near.select("doc_id", "text_hash", "label", "fixed", "start", "last", share.alias("score")))
 
 

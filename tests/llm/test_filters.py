@@ -105,6 +105,22 @@ def test_licenses(spark, docs, odd):
     assert licenses.summary(docs.limit(0)).count() == 0
 
 
+def test_short_notices_with_a_word_put_in_or_left_out(spark):
+    texts = [
+        ("licensed under a CC BY-NC 4.0", "cc-by,cc-by-nc"), ("licensed under Apache License version 2.0", "apache-2.0"),
+        ("Licensed under the CC BY SA, 4.0", "cc-by,cc-by-sa"), ("licensed under the new Apache License, version 2.0", "apache-2.0"),
+        ("licensed under nothing at all, cc", ""), ("licensed under the terms, the license version", ""),
+        # pairs of everyday words all around
+        ("of the " * 40 + "this source code form is subject to the terms of the mozilla public license " + "of the " * 40, "mpl-2.0"),
+        # one notice after the other
+        ("licensed under the apache license version 2 0 " * 20, "apache-2.0"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.summary(docs).collect()} == {i: labels for i, (_, labels) in enumerate(texts)}
+    spans = [r for r in licenses.scan(docs).where("doc_id = 7 and not fixed").collect()]
+    assert sorted(r.start for r in spans) == [8 * k for k in range(20)] and {r.score for r in spans} == {1.0}
+
+
 def test_language(spark):
     folder = "/root/testdata/sf0.01"
     rows = catalog.op9_language_id(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
