@@ -23,7 +23,7 @@ from .texts import BLANK, mix, on_texts, raw, ready, small_or_plain, spans
 
 SEED = 42
 ALL = (1 << 64) - 1
-SHARDS, TILE = 5, 512  # shards a text is in when shingles decide, and texts whose shingles are compared in one place
+SHARDS, TILE = 10, 512  # shards a text is in when shingles decide, and texts whose shingles are compared in one place
 TREE = 1024  # fingerprints in a tree; a larger shard is dealt again by blocks of the bits it does not agree in yet
 
 
@@ -215,7 +215,8 @@ def text_marks(text: Column, words: int) -> Column:
     """``struct<fp, content, shards>``: SimHash, hash of the word sequence, and the shards whose trees a text is looked up in.
 
     Sets of shingles decide, so ``fp`` counts each shingle once, however often a line is repeated. A shard is a pair of
-    least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share one of the ``SHARDS`` with a probability of 0.99.
+    least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share one of the ``SHARDS``
+    with a probability of 0.99996.
     """
 
     def one(texts: pa.Array) -> pa.Array:
@@ -321,7 +322,7 @@ def across(members: DataFrame, roots: DataFrame) -> DataFrame:
     return paired.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
 
 
-def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 22) -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates, with its own columns: that of the smallest id, or the first read.
 
     Two texts are near-duplicates if their sets of ``words``-word shingles (A to Z made small) have a Jaccard similarity

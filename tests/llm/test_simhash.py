@@ -147,3 +147,16 @@ def test_deduplicate_counts_repeated_lines_once(spark):
         assert brute.jaccard(brute.shingle_set(a), brute.shingle_set(b)) > 0.99
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(0, 16, 2))
+
+
+def pairs_at_the_threshold(count):
+    random.seed(21)
+    streams = ([f"w{random.randrange(10_000_000)}" for _ in range(104)] for _ in range(count))
+    return [" ".join(x) for s in streams for x in (s[:94], s[10:])]  # 80 of 100 shingles are in both
+
+
+def test_deduplicate_finds_pairs_at_the_threshold(spark):
+    texts = pairs_at_the_threshold(1000)
+    assert {brute.jaccard(brute.shingle_set(a), brute.shingle_set(b)) for a, b in zip(texts[::2], texts[1::2])} == {0.8}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(0, 2000, 2))
