@@ -294,6 +294,19 @@ def _(t):
     return X.stratified_split(t.orders, ["o_orderkey"], "o_orderstatus").select("o_orderkey", "o_orderstatus", "split")
 
 
+@query(
+    "stratified_split_duplicates",
+    "with k as (select o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2), "
+    "b as (select k.*, sum(n) over (partition by o_orderstatus order by substr(md5(o_orderpriority), 1, 8)) - n as before, "
+    "ceil(0.2 * sum(n) over (partition by o_orderstatus)) as wanted from k) "
+    "select o_orderstatus, o_orderpriority, n, cast(greatest(0, least(n, wanted - before)) as bigint) as test from b",
+)
+def _(t):
+    """The key has five values, so that the border of a class is among rows that share one."""
+    sides = X.stratified_split(t.orders, ["o_orderpriority"], "o_orderstatus")
+    return sides.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("test"))
+
+
 @query("label_encode", "select o_orderkey, cast(dense_rank() over (order by o_orderpriority) - 1 as int) as label_index from orders")
 def _(t):
     return X.label_encode(t.orders, "o_orderpriority").select("o_orderkey", F.col("label_index").cast("int").alias("label_index"))

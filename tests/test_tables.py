@@ -313,3 +313,15 @@ def test_resample_of_a_gap(spark, aggregate, want):
     rows = [("2024-01-01 05:00:00", 1.0), ("2024-01-01 01:00:00", 2.0), ("2024-01-04 00:00:00", 5.0), ("2024-01-03 00:00:00", None)]
     df = spark.createDataFrame(rows, "d string, v double")
     assert [r.y for r in timeseries.resample(df, "d", "v", "D", aggregate).orderBy("ds").collect()] == want
+
+
+def test_registered_split_has_ties_at_the_border(spark):
+    from tablewright import catalog
+
+    rows = catalog.QUERIES["stratified_split_duplicates"](spark, "/root/testdata/sf0.001").collect()
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    for status, n in orders.groupBy("o_orderstatus").count().collect():
+        own = [r for r in rows if r.o_orderstatus == status]
+        assert sum(r.n for r in own) == n and sum(r.test for r in own) == math.ceil(0.2 * n)
+        assert sum(0 < r.test < r.n for r in own) <= 1
+    assert any(0 < r.test < r.n for r in rows)
