@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import bpe, counts, decontaminate, language, licenses, orc_tokens, quality, rules, simhash, toxicity
+from . import bpe, counts, decontaminate, language, licenses, orc_tokens, periodic, quality, rules, simhash, toxicity
 from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang")
     told = language.predict(docs, language.learn(language.learning_rows(docs)))
     return told.select("doc_id", held_out(3, 1), "lang_pred", "score")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.summary(periodic.find(periodic.with_tails(documents(spark, folder).select("doc_id", "text"))))
