@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import bpe, counts, decontaminate, language, licenses, orc_tokens, periodic, quality, rules, simhash, toxicity
+from . import alignment, bpe, counts, decontaminate, language, licenses, orc_tokens, periodic, quality, rules, simhash, toxicity
 from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,14 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    aligned = alignment.align(documents(spark, folder).select("doc_id", "text"), *paths).drop("text")
+    found = alignment.score(aligned, *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.summary(periodic.find(periodic.with_tails(documents(spark, folder).select("doc_id", "text"))))
