@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, stage
-from . import alignment, bpe, counts, decontaminate, language, licenses, orc_tokens, periodic, quality, rules, simhash, toxicity
+from . import alignment, bpe, counts, decontaminate, language, licenses, minhash, orc_tokens, periodic, quality, rules, simhash, toxicity
 from .texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,11 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
+@query
+def op11_minhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, folder))
+
+
 @query
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
