@@ -21,6 +21,14 @@ def _(t):
     return csv.csv_scan(t.spark, path, t.orders.schema)
 
 
+@query("csv_scan_line_breaks", "select doc_id, nullif(text, '') as text, lang, source, n_chars from documents")
+def _(t):
+    path = scratch_path(t.spark, "csv")
+    docs = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
+    csv.csv_sink(docs, path)
+    return csv.csv_scan(t.spark, path, docs.schema)
+
+
 TOKEN_TEXT = (
     "case when l_partkey % 7 = 0 then 'NA' when l_partkey % 7 = 1 then 'n/a' when l_partkey % 7 = 2 then '' "
     "when l_partkey % 7 = 3 then 'nan' when l_partkey % 7 = 4 then 'NONE' else l_returnflag end"

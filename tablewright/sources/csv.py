@@ -7,18 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import CATEGORICAL, INTEGER_PATTERN, NA_TOKENS, NUMBER_PATTERN, columns_of_kind, quoted
+from . import records
 
 BOOLEAN_WORDS = ["true", "false"]
 COLUMNS_PER_PASS = 20
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
+def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool | None = None) -> DataFrame:
     """Headered CSV, all columns text unless a schema is given.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    Line breaks inside quotes are found by one pass over the lines; a table that has none is read as lines, any other
+    by its records, which many tasks put together. ``multiline`` false leaves the pass out, for tables known to have no such break;
+    true leaves the work to the engine's reader of whole files, one task each.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multiline)
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    options = {"header": "true", "escape": '"', "mode": "PERMISSIVE"}
+    reader = spark.read.options(**options).option("multiLine", multiline is not False)
+    reader = reader.schema(schema) if schema is not None else reader
+    if multiline is None:
+        if records.breaks_in_quotes(spark, path):
+            return records.parsed(records.records(spark, path), reader.csv(path).schema, options | {"multiLine": "true", "header": "false"})
+        reader = reader.option("multiLine", False)
+    return reader.csv(path)
 
 
 def na_token_normalise(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -66,7 +75,7 @@ def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return df.withColumns({c: F.trim(quoted(c)).try_cast(t) for c, t in fitted.items() if t != "string"})
 
 
-def read_table(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """CSV with missing tokens and types settled."""
     return infer_column_types(na_token_normalise(csv_scan(spark, path, multiline=multiline)))
 
@@ -76,6 +85,7 @@ def preview_head(df: DataFrame, rows: int = 5, order_by: Sequence[str] | None =
 
 
 def csv_sink(df: DataFrame, path: str) -> bool:
-    """Write as headered CSV; true when the result holds at least one row."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return not csv_scan(df.sparkSession, path, df.schema).isEmpty()
+    """Write as headered CSV, blanks at the ends of values kept; true when the result holds at least one row."""
+    blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode("overwrite").options(header="true", escape='"', **blanks).csv(path)
+    return not csv_scan(df.sparkSession, path, df.schema, multiline=False).isEmpty()  # one line tells
