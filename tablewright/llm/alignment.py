@@ -98,29 +98,22 @@ def unit_bounds(data: np.ndarray, bounds: np.ndarray, cut_words: bool) -> np.nda
     return np.flatnonzero(cut)
 
 
-def links_of(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> tuple[list[tuple[int, int]], str, int]:
-    """All links of two lists of ids over the same bytes, the groups as text, and their number."""
-    links, groups, own_a, own_b, i, j, end_a, end_b = [], [], [], [], 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            first_a, end_a, i = end_a, end_a + sizes_a[a[i]], i + 1
-            own_a.append((a[i - 1], first_a, end_a))
-        else:
-            first_b, end_b, j = end_b, end_b + sizes_b[b[j]], j + 1
-            own_b.append((b[j - 1], first_b, end_b))
-        if end_a == end_b:
-            groups.append(",".join(str(x[0]) for x in own_a) + "|" + ",".join(str(x[0]) for x in own_b))
-            # Two pointers: a token meets those of the other side from where the one before it ended.
-            k = 0
-            for x, p, q in own_a:
-                while own_b[k][2] <= p:
-                    k += 1
-                at = k
-                while at < len(own_b) and own_b[at][1] < q:
-                    links.append((x, own_b[at][0]))
-                    at += 1
-            own_a, own_b = [], []
-    return links, ";".join(groups), len(groups)
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and the n + 1 bounds of the lists."""
+    bounds = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=bounds[1:])
+    return np.fromiter((i for x in lists for i in x), np.int64, bounds[-1]), bounds
+
+
+def chosen(values: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists with ``keep`` set; the others become empty."""
+    many = np.diff(bounds)
+    return values[np.repeat(keep, many)], np.concatenate([[0], np.cumsum(np.where(keep, many, 0))])
+
+
+def joined(values: pa.Array, bounds: np.ndarray, by: str) -> pa.Array:
+    lists = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), values.cast(pa.large_string()))
+    return pc.binary_join(lists, pa.scalar(by, pa.large_string()))
 
 
 class Aligner:
@@ -129,8 +122,8 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = tokenizer_a(path_a), tokenizer_b(path_b)
         self.cut_words = may_cut_before_spaces(self.b)
-        self.bytes_a, self.bytes_b = bytes_of_a(self.a), bytes_of_b(self.b)
-        self.sizes_a, self.sizes_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.bytes_a, self.bytes_b = (pa.array(x, pa.large_binary()) for x in (bytes_of_a(self.a), bytes_of_b(self.b)))
+        self.sizes_a, self.sizes_b = (pc.binary_length(x).to_numpy() for x in (self.bytes_a, self.bytes_b))
         self.same = same_bytes(path_a, path_b)
         self.forget()
 
@@ -142,33 +135,53 @@ class Aligner:
     def size(self) -> int:
         return self.known.nbytes + self.groups.nbytes + self.numbers.nbytes + self.pairs.nbytes + self.links.nbytes
 
+    def ids_of_a(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A space and letters go to the library's model as its pattern would leave them; others take all steps."""
+        plain = pc.match_substring_regex(units, "^ [A-Za-z]+$").to_numpy(zero_copy_only=False)
+        space, tokenize, texts = byte_characters()[0x20], self.a.model.tokenize, units.to_pylist()
+        others = iter(self.a.encode_batch([x for x, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return flat([[t.id for t in tokenize(space + x[1:])] if p else next(others).ids for x, p in zip(texts, plain)])
+
     def learn(self, units: pa.Array) -> None:
-        texts = units.to_pylist()
-        of_a = [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)]
-        of_b = self.b.encode([x[1:] for x in texts], num_threads=1)
-        numbers, listed, pairs, counts, many = [], [], [], [], []
-        for text, a, b in zip(texts, of_a, of_b):
-            whole = text.encode()
-            if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-                numbers.append((0, 0, 0, 0, 0))
-                listed.append("")
-                many.append(0)
-                continue
-            links, groups, n = links_of(a, b, self.sizes_a, self.sizes_b)
-            tally: dict[int, int] = {}
-            for x, y in links:
-                tally[x << 32 | y] = tally.get(x << 32 | y, 0) + 1
-            numbers.append((len(a), len(b), n, len(links), 1))
-            listed.append(groups)
-            pairs += tally
-            counts += tally.values()
-            many.append(len(tally))
+        data, at = raw(units)
+        size, n = np.diff(at), len(units)
+        a, of_a = self.ids_of_a(units)
+        b, of_b = flat(self.b.encode([x[1:] for x in units.to_pylist()], num_threads=1))
+        good = np.ones(n, bool)
+        for ids, bounds, sizes in ((a, of_a, self.sizes_a), (b, of_b, self.sizes_b)):
+            total = np.concatenate([[0], np.cumsum(sizes[ids])])
+            good &= total[bounds[1:]] - total[bounds[:-1]] == size
+        whole, start = data[np.repeat(good, size)], np.concatenate([[0], np.cumsum(np.where(good, size, 0))])
+        same = np.ones(len(whole), bool)
+        for ids, bounds, table in ((a, of_a, self.bytes_a), (b, of_b, self.bytes_b)):
+            same &= raw(table.take(pa.array(chosen(ids, bounds, good)[0])))[0] == whole
+        good[np.searchsorted(start, np.flatnonzero(~same), "right") - 1] = False  # bytes differ
+        (a, of_a), (b, of_b) = chosen(a, of_a, good), chosen(b, of_b, good)
+        end_a, end_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])  # over all units: each is as long on both sides
+        # A token meets those of B from the first that ends after its start to the last that starts before its end.
+        first, last = np.searchsorted(end_b, end_a - self.sizes_a[a], "right"), np.searchsorted(end_b - self.sizes_b[b], end_a, "left")
+        many = last - first
+        ends = np.concatenate([[0], np.cumsum(many)])
+        partner = np.arange(ends[-1]) + np.repeat(first - ends[:-1], many)
+        code = np.repeat(a, many) << 32 | b[partner]
+        unit = np.repeat(np.repeat(np.arange(n), np.diff(of_a)), many)
+        order = np.lexsort((code, unit))
+        code, owner = code[order], unit[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        begin = np.flatnonzero(new)
+        tally = np.diff(np.append(begin, len(code)))
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        to_a, to_b = (np.concatenate([[0], np.searchsorted(x, cuts) + 1]) for x in (end_a, end_b))
+        groups = pc.binary_join_element_wise(joined(pa.array(a), to_a, ","), joined(pa.array(b), to_b, ","), pa.scalar("|", pa.large_string()))
+        of_group = np.searchsorted(to_a, of_a)
+        links = np.bincount(unit, minlength=n)
         self.known = pa.concat_arrays([self.known, units])
-        self.groups = pa.concat_arrays([self.groups, pa.array(listed, pa.string())])
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 5)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.array(many, np.int64))])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.links = np.concatenate([self.links, np.array(counts, np.int64)])
+        self.groups = pa.concat_arrays([self.groups, joined(groups, of_group, ";").cast(pa.string())])
+        self.numbers = np.concatenate([self.numbers, np.stack([np.diff(of_a), np.diff(of_b), np.diff(of_group), links, good], 1)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.bincount(owner[begin], minlength=n))])
+        self.pairs = np.concatenate([self.pairs, code[begin]])
+        self.links = np.concatenate([self.links, tally])
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of all texts, a space before each text, and the texts' n + 1 bounds. An empty text has none."""

@@ -17,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .texts import on_texts, raw, ready, strings
+from .texts import on_texts, raw, ready, release, strings
 
-KNOWN_PIECES = 800_000  # pieces a worker remembers, then it starts anew; no result depends on it
-SLICE_BYTES = 2 << 20  # remembered pieces are looked up once a slice
+KNOWN_BYTES = 12 << 20  # of pieces and their ids that a worker remembers, then it starts anew; no result depends on it
+SLICE_BYTES = 1 << 20  # remembered pieces are looked up once a slice
 LIBRARY_PIECES = 20_000  # pieces handed to the library at a time
 
 
@@ -156,7 +156,7 @@ class Pieces:
             folded = data + (capital.view(np.uint8) << 5)
         pieces = strings(folded if self.fold and ordinary else data, cuts, pa.string()).dictionary_encode()
         distinct = pieces.dictionary
-        if len(self.known) + len(distinct) > KNOWN_PIECES:
+        if self.known.nbytes + self.ids.nbytes + self.bounds.nbytes > KNOWN_BYTES:
             self.forget()
         place = pc.index_in(distinct, value_set=self.known)
         if place.null_count:
@@ -276,7 +276,9 @@ def on_ids(work: Callable[[pa.Array], pa.Array], returns: str):
     """Column function of lists of ids."""
 
     def run(part: pa.Array) -> pa.Array:
-        return work(part)
+        done = work(part)
+        release()
+        return done
 
     run.__annotations__ = {"part": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, returns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
+from .pairs import beside
 
 
 def state(links: DataFrame) -> tuple:
@@ -18,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every vertex hands the smallest vertex known to it to its neighbours, above
     and then below it, until each component is a star. Neighbours are never gathered, only their minimum is, which is
-    combined before the shuffle. Each round is a written table.
+    combined before the shuffle, and the links of a hub are split in blocks to meet it. Each round is a written table.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = stage(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -26,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     while known[0]:
         sides = both(now)
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = sides.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = beside(sides, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         large = stage(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("least"))
-        joined = large.join(least, "a")
+        joined = beside(large, least, "a", "b")
         small = joined.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
             least.select("a", F.col("least").alias("b"))
         )

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import byte_characters
-from .texts import on_texts, raw, ready, strings
+from .texts import characters, on_texts, raw, ready, strings
 
 CHUNK = 1024  # characters
 TRANSITIONS = 400_000  # compiled at most, then the table starts anew; no result depends on it
@@ -77,10 +77,10 @@ def split_transducer() -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(1)
 def character_classes() -> np.ndarray:
     """Class of every code point; surrogates, which no text has, are OTHER."""
-    every = "".join(map(chr, [*range(0xD800), *[0x21] * 0x800, *range(0xE000, 0x110000)]))
     table = np.full(0x110000, OTHER, np.uint8)
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
-        table[[m.start() for m in regex.finditer(pattern, every)]] = kind
+    for start, part in characters():
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
+            table[[start + m.start() for m in regex.finditer(pattern, part)]] = kind
     for characters, kind in ((" ", SPACE), ("'", MARK), ("stmd", ENDING), ("r", R), ("v", V), ("l", L), ("e", E)):
         table[[ord(c) for c in characters]] = kind
     return table

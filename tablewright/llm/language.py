@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .counts import code_points
-from .texts import on_texts, raw, ready, remainder, slices
+from .texts import characters, on_texts, raw, ready, remainder, slices
 
 DIMENSIONS = 512
 LETTERS = 48  # symbols: none, a to z, and buckets for all other letters
@@ -30,11 +30,10 @@ LANGUAGES_AT_ONCE = 32  # a learning task hands over its sums when it holds more
 @lru_cache(1)
 def symbols() -> np.ndarray:
     """Symbol of every code point, capitals as their small letters; 0 is no letter."""
-    every = "".join(map(chr, [*range(0xD800), *[0x21] * 0x800, *range(0xE000, 0x110000)]))
     table = np.zeros(0x110000, np.uint8)
-    for found in regex.finditer(r"\p{L}", every):
+    for start, found in ((start, x) for start, part in characters() for x in regex.finditer(r"\p{L}", part)):
         small = ord(found[0].lower()[0])
-        table[found.start()] = small - 0x60 if 0x61 <= small <= 0x7A else 27 + small % (LETTERS - 27)
+        table[start + found.start()] = small - 0x60 if 0x61 <= small <= 0x7A else 27 + small % (LETTERS - 27)
     return table
 
 

@@ -91,14 +91,18 @@ def count_texts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in columns], COUNTS)
 
 
+def counter():
+    """Column function text -> struct of the counts."""
+    return on_texts(lambda: count_texts, "struct<" + ", ".join(f"{c} long" for c in COUNTS) + ">")
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """Add the counts of the whole ``text``; columns of the same names are replaced.
 
     A null text, like an empty one, has no words and no lines: all counts are 0.
     """
     ready(docs.sparkSession)
-    counts = on_texts(lambda: count_texts, "struct<" + ", ".join(f"{c} long" for c in COUNTS) + ">")
-    found = docs.withColumn("__counts", counts(F.col("text")))
+    found = docs.withColumn("__counts", counter()(F.col("text")))
     return found.withColumns({c: F.col(f"__counts.{c}") for c in COUNTS}).drop("__counts")
 
 
@@ -178,5 +182,8 @@ def keep(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that pass, with their own columns. Repeated rows share their verdict; an empty table stays empty."""
     # The counts are taken twice, once for the limits and once with the rows, so that no text is shuffled or stored.
     limit = limits(measure(docs.select("text", "lang", "source")))
-    judged = judge(measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text", "lang", "source")), limit)
-    return judged.where("kept").select("__row.*")
+    ready(docs.sparkSession)
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    counted = docs.toDF(*own.values()).withColumn("__counts", counter()(F.col(own["text"])))
+    judged = judge(counted.select(*own.values(), "__counts.*", F.col(own["lang"]).alias("lang"), F.col(own["source"]).alias("source")), limit)
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -9,8 +9,8 @@ than broadcast, and a fingerprint is looked up in the trees of its own shards on
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
+from . import pairs
 from .components import components
+from .minhash import signatures
+from .pairs import beside
 from .texts import BLANK, mix, on_texts, raw, ready, small_or_plain, spans
 
 SEED = 42
 ALL = (1 << 64) - 1
-SHARDS, TILE = 10, 512  # shards a text is in when shingles decide, and texts whose shingles are compared in one place
+SHARDS, MINIMA = 24, 3  # shards a text is in when shingles decide, and least hashes that name one
+FAR = 24  # bits in which texts of Jaccard similarity 0.8 differ in all but one of a million pairs
 TREE = 1024  # fingerprints in a tree; a larger shard is dealt again by blocks of the bits it does not agree in yet
 
 
@@ -212,11 +216,11 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def text_marks(text: Column, words: int) -> Column:
-    """``struct<fp, content, shards>``: SimHash, hash of the word sequence, and the shards whose trees a text is looked up in.
+    """``struct<fp, content, shards>``: SimHash, hash of the word sequence, and the shards a text is in.
 
-    Sets of shingles decide, so ``fp`` counts each shingle once, however often a line is repeated. A shard is a pair of
-    least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share one of the ``SHARDS``
-    with a probability of 0.99996.
+    Sets of shingles decide, so ``fp`` counts each shingle once, however often a line is repeated. A shard is named by
+    ``MINIMA`` least hashes of the text's shingles. Texts of Jaccard similarity 0.8 share none of the ``SHARDS`` with a
+    probability of 3 in 100 million.
     """
 
     def one(texts: pa.Array) -> pa.Array:
@@ -226,10 +230,14 @@ def text_marks(text: Column, words: int) -> Column:
         for i in full:
             contents[i] = np.uint64(xxhash.xxh64_intdigest(hashes[bounds[i] : bounds[i + 1]].tobytes(), SEED)).view(np.int64)
         hashes, bounds = distinct(hashes, bounds)
-        for k in range(SHARDS if len(full) else 0):
-            least = [np.minimum.reduceat(mix(hashes ^ mix(np.array([2 * k + j]))), bounds[:-1][full]) for j in (0, 1)]
+        if len(full):
+            minima = signatures(hashes, np.unique(bounds), SHARDS * MINIMA).view(np.uint32).astype(np.uint64)
             with np.errstate(over="ignore"):
-                keys[:, k] = mix(mix(least[0]) + np.uint64(k) + least[1]).view(np.int64)
+                for k in range(SHARDS):
+                    key = np.full(len(full), k, np.uint64)
+                    for j in range(MINIMA):
+                        key = mix(key + minima[:, MINIMA * k + j])
+                    keys[:, k] = key.view(np.int64)
         at = np.concatenate([[0], np.cumsum(np.where(np.diff(bounds) > 0, SHARDS, 0))]).astype(np.int32)
         shards = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))
         return pa.StructArray.from_arrays([pa.array(majority(hashes, bounds)), pa.array(contents), shards], ["fp", "content", "shards"])
@@ -237,122 +245,72 @@ def text_marks(text: Column, words: int) -> Column:
     return on_texts(lambda: one, "struct<fp long, content long, shards array<long>>")(text)
 
 
-def shingle_sets(text: Column, words: int) -> Column:
-    """The distinct shingles of a text as ascending 32-bit hashes."""
-
-    def one(texts: pa.Array) -> pa.Array:
-        hashes, bounds = shingle_hashes(texts, words)
-        sets = [np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for a, b in zip(bounds, bounds[1:])]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
-
-    return on_texts(lambda: one, "array<int>")(text)
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
-
-
-def shingle_links(radius: int, least: float):
-    """Column function of a tile's members -> array<struct<a, b>>, rows.
-
-    Every member is a node of the tree, and each is looked up among those before it; the links are those that join what
-    others leave apart, so that none is lost to them. Members of one ``group`` are joined before.
-    """
-
-    def run(part: pa.Array) -> pa.Array:
-        kind, out = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), []
-        for tile in part:
-            rows, groups, fps = (tile.values.field(x).to_pylist() for x in ("row", "group", "fp"))
-            sets, many = tile.values.field("shingles"), Counter(groups)
-            members = sorted(range(len(rows)), key=lambda i: (-many[groups[i]], groups[i]))
-            tree, parent, known, firsts, found = Tree(radius), list(range(len(rows))), [], {}, []
-
-            def root(i: int) -> int:
-                while parent[i] != i:
-                    parent[i] = i = parent[parent[i]]
-                return i
-
-            for n, i in enumerate(members):  # a member's number is its node
-                fp, own = fps[i] & ALL, sets[i].values.to_numpy()
-                parent[n] = firsts.setdefault(groups[i], n)
-                for j in tree.near(fp) if len(firsts) > 1 else ():
-                    a, b = root(n), root(j)
-                    if a != b and similar(known[j], own, least):
-                        parent[b] = a
-                        found.append({"a": rows[members[j]], "b": rows[i]})
-                tree.add(fp)
-                known.append(own)
-            out.append(found)
-        return pa.array(out, kind)
-
-    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<struct<a long, b long>>")
-
-
-def tile_links(members: DataFrame, sets: DataFrame, keys: list[str], radius: int, least: float) -> DataFrame:
-    """Links ``a, b`` of all tiles, the groups of ``keys``; a tile has about ``TILE`` members, or twice as many."""
-    own = members.join(sets, "row").groupBy(*keys).agg(F.collect_list(F.struct("row", "group", "fp", "shingles")).alias("members"))
-    return own.select(F.inline(shingle_links(radius, least)(F.col("members"))))
-
-
-def dealt(key: str, tiles: Column) -> Column:
-    """Tile of a row in its shard; another one in every shard."""
-    return F.pmod(F.xxhash64(key, "shard"), tiles).cast("int")
-
-
-def across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of tiles of shards that are larger than a tile, for all pairs of members that no link connects so far.
-
-    Members of a shard's largest component are connected, so their tiles meet those of the other members only; tiles of
-    the others meet all.
-    """
-    grouped = members.join(roots, members.row == roots.vertex, "left").withColumn("group", F.coalesce("root", "row")).drop("root", "vertex")
-    counted = grouped.groupBy("shard", "group").agg(F.count("*").alias("n"))
-    sizes = counted.groupBy("shard").agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("n"))
-    rest, most = (F.ceil(x / TILE).cast("int") for x in (F.col("n") - F.col("main.n"), F.col("main.n")))
-    sizes = sizes.where("n > main.n").select("shard", F.col("main.group").alias("main"), rest.alias("rest"), most.alias("most"))
-    sided = grouped.join(sizes, "shard").withColumn("first", F.col("group") == F.col("main"))
-    tiled = sided.withColumn("tile", F.when(F.col("first"), F.col("rest") + dealt("row", F.col("most"))).otherwise(dealt("row", F.col("rest"))))
-    others = F.sequence(F.lit(0), F.when(F.col("first"), F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
-    paired = tiled.withColumn("other", F.explode(F.array_remove(others, F.col("tile"))))
-    return paired.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
-
-
-def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 22) -> DataFrame:
+def close_pairs(different: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``a, b`` of rows that connect all whose fingerprints are within ``radius`` bits, by the trees of ``links``."""
+    first = stage(different.groupBy("fp").agg(F.min("row").alias("first")), "fingerprints")
+    same = beside(different.select("row", "fp"), first, "fp", "row").where("row != first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    near = links(first.select("fp"), radius)
+    one, other = (first.select(F.col("fp").alias(x), F.col("first").alias(f"row_{x}")) for x in ("a", "b"))
+    return same.unionByName(near.join(one, "a").join(other, "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
+
+
+def shingle_links(different: DataFrame, numbered: DataFrame, words: int, least: pairs.Share, radius: int) -> DataFrame:
+    """``vertex, root``: components of the links between texts of different words, of all texts that have a link."""
+    trees = stage(close_pairs(different, radius), "tree-pairs")
+    keyed = stage(different.select(F.col("row").alias("vertex"), F.explode("shards").alias("shard")), "keyed")
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.col("vertex").bitwiseXOR(F.col("shard"))).alias("least")).where("n > 1")
+    sizes = sizes.select("shard", "n", F.col("least").bitwiseXOR(F.col("shard")).alias("leader"))
+    members = stage(beside(keyed, sizes, "shard", "vertex"), "shards")
+    met = members.where("vertex != leader").select(F.col("vertex").alias("a"), F.col("leader").alias("b")).distinct()
+    likely = stage(within(met, different), "likely")
+
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        ids = small_or_plain(wanted.select(F.col("vertex").alias("__row")), "suspects")
+        found = numbered.join(ids, "__row", "left_semi")
+        return stage(found.select(F.col("__row").alias("vertex"), pairs.sets(F.col("text"), words).alias("s")).select("vertex", "s.shingles"), "shingles")
+
+    def joined(found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        old = [] if roots is None else [roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))]
+        return stage(components(stage(reduce(DataFrame.unionByName, old, found), "links")), "components")
+
+    seen = stage(trees.unionByName(likely).select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "seen")
+    known = full_sets(seen)
+    roots = joined(pairs.confirmed(trees, known, least))
+    roots = joined(pairs.confirmed(pairs.rooted(likely, roots), known, least), roots)
+    # Shards of two are done. In the others no pair of different components is left out: it shares a rare shingle.
+    inside = members.where("n > 2").select("shard", "vertex").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    mixed = inside.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
+    apart = stage(beside(inside, mixed, "shard", "vertex").select("vertex", "root").distinct(), "apart")
+    every = known.unionByName(full_sets(apart.select("vertex").join(seen, "vertex", "left_anti"))).join(apart, "vertex")
+    more = stage(pairs.confirmed(within(pairs.prefix_pairs(every, least), different), every, least), "links")
+    return joined(more, roots) if more.take(1) else roots
+
+
+def within(found: DataFrame, different: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose fingerprints differ in ``FAR`` bits at most."""
+    one, other = (different.select(F.col("row").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
+    both = beside(beside(found, one, "a", "b"), other, "b", "a")
+    return both.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR).select("a", "b")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, least: pairs.Share = (4, 5), radius: int = 3) -> DataFrame:
     """One row of ``docs`` of each group of near-duplicates, with its own columns: that of the smallest id, or the first read.
 
     Two texts are near-duplicates if their sets of ``words``-word shingles (A to Z made small) have a Jaccard similarity
-    of ``least`` or more; a group is what such pairs connect, over any number of them. Texts of the same words, and texts
-    without any, are copies. Rows without an id come after those with one. Copies are dropped first, by a hash of their
-    words; then the trees of each shard give the texts within ``radius`` bits, and shingles decide. A shard of more than
-    ``TILE`` texts is worked in tiles; then every pair of its tiles is, but for texts that are connected by then.
+    of ``least`` (numerator, denominator) or more; a group is what such pairs connect, over any number of them. Texts of
+    the same words, and texts without any, are copies. Rows without an id come after those with one. Copies are dropped
+    first, by a hash of their words. Of the others the trees give those within ``radius`` bits, and shards those farther
+    apart; shingles decide, and what no link connects though it shares a shard is searched by rare shingles.
     """
     ready(docs.sparkSession)
     numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     marked = numbered.select(F.col("__row").alias("row"), place.alias("place"), text_marks(F.col("text"), words).alias("m"))
     marked = stage(marked.select("row", "place", "m.*"), "text-marks")
-    first = marked.groupBy("content").agg(F.min("place").alias("place"))  # combined before the shuffle
-    copies = marked.join(first.select(F.col("place.row").alias("row")), "row", "left_anti").select("row")
-    different = marked.join(first.select(F.col("place.row").alias("row")), "row", "left_semi")
-    keyed = stage(different.select("row", "fp", F.explode("shards").alias("shard")), "keyed")
-    sizes = stage(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
-    members = keyed.join(sizes, "shard").select("row", "fp", "shard", "n", F.col("row").alias("group"))
-    wanted = small_or_plain(members.select(F.col("row").alias("__row")).distinct(), "suspects")
-    found = numbered.join(wanted, "__row", "left_semi")
-    sets = stage(found.select(F.col("__row").alias("row"), shingle_sets(F.col("text"), words).alias("shingles")), "shingles")
-    tiled = members.withColumn("tile", dealt("row", F.ceil(F.col("n") / TILE).cast("int")))
-    linked = stage(tile_links(tiled, sets, ["shard", "tile"], radius, least).distinct(), "links")
-    roots = stage(components(linked), "components")
-    if sizes.where(F.col("n") > TILE).take(1):
-        large = across(members.where(F.col("n") > TILE).drop("n", "group"), roots)
-        more = stage(tile_links(large, sets, ["shard", "a", "b"], radius, least).distinct(), "links")
-        if more.take(1):
-            roots = stage(components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+    first = stage(marked.groupBy("content").agg(F.min("place").alias("place")).select("place.row"), "first-copies")  # combined before the shuffle
+    copies = marked.join(first, "row", "left_anti").select("row")
+    different = stage(marked.join(first, "row", "left_semi").select("row", "fp", "shards"), "different")
+    roots = shingle_links(different, numbered, words, least, radius)
     grouped = marked.select("row", "place").join(roots, F.col("row") == F.col("vertex"))
     kept = grouped.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
     followers = roots.select(F.col("vertex").alias("row")).join(kept, "row", "left_anti")

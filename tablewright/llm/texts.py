@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,15 +31,37 @@ def ready(spark: SparkSession) -> None:
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(size).rstrip("b")) <= BATCH_BYTES:
+    if not 0 < byte_size(spark.conf.get(size)) <= BATCH_BYTES:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+def byte_size(text: str) -> int:
+    """Bytes of a size as settings spell it: a whole number and perhaps a unit, such as 64m, 4kb or 1048576b."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", text.lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
+
+
+def characters() -> Iterator[tuple[int, str]]:
+    """All code points in order, in parts with the first one's number; an exclamation mark stands for each surrogate."""
+    for start in range(0, 0x110000, 0x4000):
+        points = np.arange(start, start + 0x4000, dtype="<u4")
+        points[(points >= 0xD800) & (points < 0xE000)] = 0x21
+        yield start, points.tobytes().decode("utf-32-le")
+
+
+def release() -> None:
+    """Give back memory that is free but still held by this worker: it lives on while other stages start their own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after the other, and their n + 1 bounds; a null counts as empty."""
     if texts.null_count:
         texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, bounds, data = texts.buffers()
     if bounds is None or not len(texts):
         return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
@@ -64,7 +88,9 @@ def on_texts(work: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, m
         if not made:
             made.append(work())
         done = [made[0](x) for x in slices(part, most)] or [made[0](part)]
-        return done[0] if len(done) == 1 else pa.concat_arrays(done)
+        whole = done[0] if len(done) == 1 else pa.concat_arrays(done)
+        release()
+        return whole
 
     run.__annotations__ = {"part": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, returns)

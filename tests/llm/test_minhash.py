@@ -88,7 +88,7 @@ def test_signatures():
     factors, additions = minhash.functions(180)
     for k in (0, 179):
         values = [(int(x) * int(factors[k]) + int(additions[k])) % 2**64 >> 32 for x in a]
-        assert rows[0, k] & 0xFFFFFFFF == min(values)
+        assert int(rows[0, k]) & 0xFFFFFFFF == min(values)
     assert 110 < minhash.least_agreement(180, (85, 100)) < 135
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tablewright.llm import catalog, simhash
+from tablewright.llm import catalog, pairs, simhash
 from tablewright.llm.components import components
 
 from . import brute
@@ -88,9 +88,9 @@ def edited(spark, docs, count):
     return docs.unionByName(spark.createDataFrame(rows, docs.schema))
 
 
-@pytest.mark.parametrize("tile", [512, 30])
+@pytest.mark.parametrize("tile", [64, 3])
 def test_deduplicate_keeps_one_of_each_group(spark, docs, odd, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(pairs, "TILE", tile)
     every = edited(spark, docs, 150).unionByName(odd.select(docs.columns))
     rows = sorted(every.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     sets = [brute.shingle_set(r.text) for r in rows]
@@ -101,7 +101,6 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs, odd, monkeypatch, tile
 
 
 def test_dissimilar_texts_in_one_shard_are_all_compared(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 8)
     monkeypatch.setattr(simhash, "text_marks", lambda text, words, own=simhash.text_marks: one_shard(own(text, words)))
     random.seed(9)
     texts = [" ".join(f"w{random.randrange(5000)}" for _ in range(60)) for _ in range(60)]
@@ -116,9 +115,9 @@ def one_shard(marks):
     return F.struct(marks["fp"].alias("fp"), marks["content"].alias("content"), F.array(F.lit(1).cast("long")).alias("shards"))
 
 
-@pytest.mark.parametrize("tile", [512, 4])
+@pytest.mark.parametrize("tile", [64, 3])
 def test_deduplicate_follows_links_through_dropped_texts(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(pairs, "TILE", tile)
     monkeypatch.setattr(simhash, "text_marks", lambda text, words, own=simhash.text_marks: one_shard(own(text, words)))
     random.seed(12)
     word = lambda: f"w{random.randrange(100_000)}"
@@ -160,3 +159,15 @@ def test_deduplicate_finds_pairs_at_the_threshold(spark):
     assert {brute.jaccard(brute.shingle_set(a), brute.shingle_set(b)) for a, b in zip(texts[::2], texts[1::2])} == {0.8}
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(0, 2000, 2))
+
+
+def test_deduplicate_with_much_in_common(spark):
+    """Texts of one notice and words of their own, below the least similarity: no rare shingle brings two together."""
+    random.seed(22)
+    word = lambda: f"w{random.randrange(100_000)}"
+    shared = [word() for _ in range(200)]
+    texts = [" ".join(shared + [word() for _ in range(80)]) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert simhash.deduplicate(docs).count() == 400
+    members = [(i, i, sorted(hash(x) for x in brute.shingle_set(t))) for i, t in enumerate(texts)]
+    assert pairs.prefix_pairs(spark.createDataFrame(members, "vertex long, root long, shingles array<long>"), (4, 5)).count() == 0
