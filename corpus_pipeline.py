@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
-    return simhash.deduplicate(docs, words=5, least=0.8)
+    return simhash.deduplicate(docs, words=5, least=(4, 5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
