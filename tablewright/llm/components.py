@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .pairs import beside
+from .skew import beside
 
 
 def state(links: DataFrame) -> tuple:
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         large = beside(sides, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         large = stage(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("least"))
-        joined = beside(large, least, "a", "b")
+        joined = large.join(least, "a")
         small = joined.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
             least.select("a", F.col("least").alias("b"))
         )

@@ -1,9 +1,9 @@
 """Near-duplicates by MinHash: least values of many universal hash functions, bands of them, and sets of shingles that decide.
 
 Texts with equal sets are one class. Two classes are candidates where a band, five minima in a row, is equal; at a
-similarity of 0.85 none of 36 bands is with a probability under 1e-9. Every class meets one other of its bucket, another
-in every band, and the signatures tell which of these pairs are worth their full sets. What such pairs do not connect,
-though it stands in one bucket, is searched through the rarest shingles, so that no bucket is compared pair by pair.
+similarity of 0.85 none of 36 bands is with a probability under 1e-9. A class meets leaders of its buckets, and the
+signatures tell which of these pairs are worth their full sets. What such pairs do not connect, though it stands in one
+bucket, is searched through the rarest shingles, so that no bucket is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import stage
 from . import pairs
 from .components import components
-from .pairs import Share, beside
+from .pairs import Share
+from .skew import beside
 from .texts import mix, on_texts, ready, small_or_plain
 
 BANDS, ROWS = 36, 5
@@ -40,20 +41,37 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray
     return out
 
 
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each band of each signature."""
+    values = minima.view(np.uint32).astype(np.uint64).reshape(len(minima), BANDS, ROWS)
+    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(minima), 1))
+    with np.errstate(over="ignore"):
+        for j in range(ROWS):
+            keys = mix(keys + values[:, :, j])
+    return keys.view(np.int64)
+
+
 def marks(text: Column, words: int) -> Column:
-    """``struct<n_shingles, hi, lo, signature>`` of a whole text; a text without words has no signature."""
+    """``struct<n_shingles, hi, lo, signature, bands>`` of a whole text; one without words has no signature and no bands.
+
+    Bands are named by whole minima; of each minimum the signature keeps the last byte, which is equal for equal minima
+    and for one in 256 others.
+    """
 
     def one(texts: pa.Array) -> pa.Array:
         hashes, bounds = pairs.shingle_numbers(texts, words)
         hi, lo = pairs.digests(hashes, bounds)
         n = np.diff(bounds)
-        minima = signatures(hashes, np.unique(bounds), BANDS * ROWS) if len(hashes) else np.zeros(0, np.int32)
-        at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS * ROWS, 0))]).astype(np.int32)
-        return pa.StructArray.from_arrays(
-            [pa.array(n), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(at), pa.array(minima.ravel()))], ["n_shingles", "hi", "lo", "signature"]
-        )
+        minima = signatures(hashes, np.unique(bounds), BANDS * ROWS) if len(hashes) else np.zeros((0, BANDS * ROWS), np.int32)
+
+        def lists(values: np.ndarray) -> pa.Array:
+            at = np.concatenate([[0], np.cumsum(np.where(n > 0, values.shape[1], 0))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(at), pa.array(values.ravel()))
+
+        fields = [pa.array(n), pa.array(hi), pa.array(lo), lists(minima.astype(np.int8)), lists(band_keys(minima))]
+        return pa.StructArray.from_arrays(fields, ["n_shingles", "hi", "lo", "signature", "bands"])
 
-    return on_texts(lambda: one, "struct<n_shingles long, hi long, lo long, signature array<int>>")(text)
+    return on_texts(lambda: one, "struct<n_shingles long, hi long, lo long, signature array<tinyint>, bands array<long>>")(text)
 
 
 def least_agreement(count: int, least: Share) -> int:
@@ -67,18 +85,16 @@ def least_agreement(count: int, least: Share) -> int:
 
 
 def agreeing(candidates: DataFrame, classes: DataFrame, least: Share) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree often enough, with the number of equal minima ``agree``."""
+    """The pairs ``a, b`` whose signatures agree often enough."""
     one = classes.select(F.col("vertex").alias("a"), F.col("signature").alias("of_a"))
     other = classes.select(F.col("vertex").alias("b"), F.col("signature").alias("of_b"))
     both = beside(beside(candidates, one, "a", "b"), other, "b", "a")
     equal = F.size(F.filter(F.arrays_zip("of_a", "of_b"), lambda x: x["of_a"] == x["of_b"]))
-    return both.select("a", "b", equal.alias("agree")).where(F.col("agree") >= least_agreement(BANDS * ROWS, least))
+    return both.where(equal >= least_agreement(BANDS * ROWS, least)).select("a", "b")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(keyed: DataFrame) -> DataFrame:
     """``key, vertex, n, leader``: the bands that at least two classes share, their number, and one of them."""
-    bands = [F.xxhash64(F.slice("signature", ROWS * k + 1, ROWS), F.lit(k)) for k in range(BANDS)]
-    keyed = stage(classes.select("vertex", F.explode(F.array(*bands)).alias("key")), "bands")
     sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("vertex").bitwiseXOR(F.col("key"))).alias("least")).where("n > 1")
     return stage(beside(keyed, sized.select("key", "n", F.col("least").bitwiseXOR(F.col("key")).alias("leader")), "key", "vertex"), "buckets")
 
@@ -91,31 +107,28 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
     return stage(found.join(named, ["hi", "lo"]).select("vertex", "shingles").dropDuplicates(["vertex"]), "full-sets")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, words: int, least: Share) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, keyed: DataFrame, words: int, least: Share) -> DataFrame:
     """``vertex, root`` of all classes that have a link, over any number of links."""
-    met = buckets(classes)
-    candidates = met.where("vertex != leader").select(F.col("vertex").alias("a"), F.col("leader").alias("b")).distinct()
-    likely = stage(agreeing(candidates, classes, least), "likely")
-    seen = stage(likely.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "seen")
-    known = full_sets(docs, classes, seen, words)
-    # The likeliest partner of each first; then what these links leave apart.
-    best = likely.groupBy("a").agg(F.max_by("b", "agree").alias("b"))
-    links = stage(pairs.confirmed(best, known, least), "links")
-    roots = stage(components(links), "components")
-    rest = pairs.rooted(likely.select("a", "b").exceptAll(best), roots)
-    links = stage(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(pairs.confirmed(rest, known, least)), "links")
-    roots = stage(components(links), "components")
-    # Buckets of two are done. In the others all pairs of different components are still to be excluded.
-    inside = met.where("n > 2").select("key", "vertex").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = stage(beside(inside, mixed, "key", "vertex").select("vertex", "root").distinct(), "apart")
-    new = apart.select("vertex").join(seen, "vertex", "left_anti")
-    members = known.unionByName(full_sets(docs, classes, new, words)).join(apart, "vertex")
-    found = agreeing(pairs.prefix_pairs(members, least), classes, least).select("a", "b")
-    more = stage(pairs.confirmed(found, members, least), "links")
+    met, sets = buckets(keyed), {}
+
+    def confirm(tried: DataFrame) -> DataFrame:
+        likely = stage(agreeing(tried, classes, least), "likely")
+        new = stage(likely.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "suspects")
+        if sets:
+            new = new.join(sets["known"].select("vertex"), "vertex", "left_anti")
+        more = full_sets(docs, classes, new, words)
+        sets["known"] = sets["known"].unionByName(more) if sets else more
+        return pairs.confirmed(likely, sets["known"], least)
+
+    roots = pairs.through_leaders(met, confirm)
+    # In buckets of three or more all pairs of different components are still to be excluded.
+    apart = pairs.still_apart(met, roots)
+    new = apart.select("vertex").join(sets["known"].select("vertex"), "vertex", "left_anti")
+    members = sets["known"].unionByName(full_sets(docs, classes, new, words)).join(apart, "vertex")
+    more = stage(confirm(pairs.prefix_pairs(members, least)), "links")
     if not more.take(1):
         return roots
-    return stage(components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+    return stage(components(pairs.as_links(roots).unionByName(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: Share = (85, 100)) -> DataFrame:
@@ -130,9 +143,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: Share = (85, 100)) -
     docs = docs.select("doc_id", "text")
     marked = stage(docs.withColumn("m", marks(F.col("text"), words)).select("doc_id", "m.*", F.monotonically_increasing_id().alias("row")), "marks")
     sets = marked.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("row").alias("vertex"), F.min("doc_id").alias("least"))
-    one = marked.select(F.col("row").alias("vertex"), "signature")
-    classes = stage(sets.join(one, "vertex"), "classes")
-    roots = linked_classes(docs, classes, words, least)
+    sets = stage(sets, "sets")
+    classes = stage(sets.join(marked.select(F.col("row").alias("vertex"), "signature"), "vertex"), "classes")
+    keyed = stage(marked.select(F.col("row").alias("vertex"), F.explode("bands").alias("key")).join(sets.select("vertex"), "vertex", "left_semi"), "bands")
+    roots = linked_classes(docs, classes, keyed, words, least)
     of_class = classes.select("vertex", "hi", "lo", "least").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     smallest = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage(of_class.select("hi", "lo", "root").join(smallest, "root").select("hi", "lo", "component_id"), "class-components")

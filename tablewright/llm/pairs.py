@@ -1,30 +1,23 @@
-"""Pairs of texts decided by their sets of shingles: joins that split hot keys, the test of a pair, and an exact search."""
+"""Pairs of texts decided by their sets of shingles: who meets whom, the test of a pair, and an exact search."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
+from .components import components
+from .skew import beside
 from .texts import BLANK, codes, mix, on_texts, raw, spans
 
-BLOCKS = 16  # parts that the rows of one key are split into
 TILE = 64  # rows of one shingle that meet the others of that shingle in one block
 Share = tuple[int, int]  # numerator and denominator of a least similarity
 
 
-def beside(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join ``table``, which has one row for a ``key``, to ``rows``; the rows of a key are split in ``BLOCKS`` by the column ``by``.
-
-    The table's row is sent once to every block in which its key stands.
-    """
-    split = rows.withColumn("__block", F.pmod(F.xxhash64(by), F.lit(BLOCKS)))
-    wanted = split.select(key, "__block").distinct().join(table, key)
-    return split.join(wanted, [key, "__block"], how).drop("__block")
-
-
 def shingle_numbers(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text as ascending 64-bit hashes, and the texts' n + 1 bounds.
 
@@ -94,6 +87,32 @@ def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def through_leaders(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], roots: DataFrame | None = None) -> DataFrame:
+    """Components (``vertex, root``) of the links that ``confirm`` finds among members of one bucket.
+
+    ``met`` has ``key, vertex, n, leader``: a bucket of ``n`` vertices and one of them, another in every bucket. A vertex
+    tries the leader of its largest bucket, then that of any, so that the pairs do not exceed the vertices however large the
+    buckets are. Pairs that are a bucket of their own are all tried.
+    """
+    pair = met.where("vertex != leader").select("key", "n", F.col("vertex").alias("a"), F.col("leader").alias("b"))
+    another = pair.groupBy("a").agg(F.max_by("b", F.xxhash64("key", "b")).alias("b"))
+    for tried in (pair.groupBy("a").agg(F.max_by("b", "n").alias("b")), another.unionByName(pair.where("n = 2").select("a", "b")).distinct()):
+        found = confirm(tried if roots is None else rooted(tried, roots))
+        roots = stage(components(stage(found if roots is None else found.unionByName(as_links(roots)), "links")), "components")
+    return roots
+
+
+def as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+
+
+def still_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``vertex, root`` of the members of buckets, those of two left out, that are not of one component."""
+    inside = met.where("n > 2").select("key", "vertex").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return stage(beside(inside, mixed, "key", "vertex").select("vertex", "root").distinct(), "apart")
+
+
 def prefix_pairs(members: DataFrame, least: Share) -> DataFrame:
     """Pairs ``a, b`` of ``members`` (``vertex``, ``root``, ``shingles``) of different roots, those of similarity ``least`` or more among them.
 

@@ -10,7 +10,6 @@ than broadcast, and a fingerprint is looked up in the trees of its own shards on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import stage
 from . import pairs
 from .components import components
-from .minhash import signatures
-from .pairs import beside
+from .minhash import buckets, signatures
+from .skew import beside
 from .texts import BLANK, mix, on_texts, raw, ready, small_or_plain, spans
 
 SEED = 42
@@ -257,40 +256,35 @@ def close_pairs(different: DataFrame, radius: int) -> DataFrame:
 def shingle_links(different: DataFrame, numbered: DataFrame, words: int, least: pairs.Share, radius: int) -> DataFrame:
     """``vertex, root``: components of the links between texts of different words, of all texts that have a link."""
     trees = stage(close_pairs(different, radius), "tree-pairs")
-    keyed = stage(different.select(F.col("row").alias("vertex"), F.explode("shards").alias("shard")), "keyed")
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.col("vertex").bitwiseXOR(F.col("shard"))).alias("least")).where("n > 1")
-    sizes = sizes.select("shard", "n", F.col("least").bitwiseXOR(F.col("shard")).alias("leader"))
-    members = stage(beside(keyed, sizes, "shard", "vertex"), "shards")
-    met = members.where("vertex != leader").select(F.col("vertex").alias("a"), F.col("leader").alias("b")).distinct()
-    likely = stage(within(met, different), "likely")
-
-    def full_sets(wanted: DataFrame) -> DataFrame:
+    members = buckets(stage(different.select(F.col("row").alias("vertex"), F.explode("shards").alias("key")), "keyed"))
+    known: list[DataFrame] = []
+
+    def confirm(tried: DataFrame, far: int = FAR) -> DataFrame:
+        likely = stage(within(tried, different, far), "likely")
+        new = likely.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+        learn(new if not known else new.join(known[-1].select("vertex"), "vertex", "left_anti"))
+        return pairs.confirmed(likely, known[-1], least)
+
+    def learn(wanted: DataFrame) -> None:
         ids = small_or_plain(wanted.select(F.col("vertex").alias("__row")), "suspects")
         found = numbered.join(ids, "__row", "left_semi")
-        return stage(found.select(F.col("__row").alias("vertex"), pairs.sets(F.col("text"), words).alias("s")).select("vertex", "s.shingles"), "shingles")
-
-    def joined(found: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        old = [] if roots is None else [roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))]
-        return stage(components(stage(reduce(DataFrame.unionByName, old, found), "links")), "components")
-
-    seen = stage(trees.unionByName(likely).select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "seen")
-    known = full_sets(seen)
-    roots = joined(pairs.confirmed(trees, known, least))
-    roots = joined(pairs.confirmed(pairs.rooted(likely, roots), known, least), roots)
-    # Shards of two are done. In the others no pair of different components is left out: it shares a rare shingle.
-    inside = members.where("n > 2").select("shard", "vertex").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    mixed = inside.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
-    apart = stage(beside(inside, mixed, "shard", "vertex").select("vertex", "root").distinct(), "apart")
-    every = known.unionByName(full_sets(apart.select("vertex").join(seen, "vertex", "left_anti"))).join(apart, "vertex")
-    more = stage(pairs.confirmed(within(pairs.prefix_pairs(every, least), different), every, least), "links")
-    return joined(more, roots) if more.take(1) else roots
-
-
-def within(found: DataFrame, different: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose fingerprints differ in ``FAR`` bits at most."""
+        sets = stage(found.select(F.col("__row").alias("vertex"), pairs.sets(F.col("text"), words).alias("s")).select("vertex", "s.shingles"), "shingles")
+        known.append(known[-1].unionByName(sets) if known else sets)
+
+    roots = stage(components(stage(confirm(trees, 64), "links")), "components")
+    roots = pairs.through_leaders(members, confirm, roots)
+    # In shards of three or more no pair of different components is left out: it shares a rare shingle.
+    apart = pairs.still_apart(members, roots)
+    learn(apart.select("vertex").join(known[-1].select("vertex"), "vertex", "left_anti"))
+    more = stage(confirm(pairs.prefix_pairs(known[-1].join(apart, "vertex"), least)), "links")
+    return stage(components(pairs.as_links(roots).unionByName(more)), "components") if more.take(1) else roots
+
+
+def within(found: DataFrame, different: DataFrame, far: int) -> DataFrame:
+    """The pairs ``a, b`` whose fingerprints differ in ``far`` bits at most."""
     one, other = (different.select(F.col("row").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
     both = beside(beside(found, one, "a", "b"), other, "b", "a")
-    return both.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR).select("a", "b")
+    return both.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= far).select("a", "b")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, least: pairs.Share = (4, 5), radius: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import catalog, minhash, pairs
+from tablewright.llm import catalog, minhash, pairs, skew
 
 from . import brute
 
@@ -54,15 +54,15 @@ def corpus():
 @pytest.mark.parametrize("tile, blocks", [(64, 16), (3, 2)])
 def test_chains_families_and_boilerplate(spark, monkeypatch, tile, blocks):
     monkeypatch.setattr(pairs, "TILE", tile)
-    monkeypatch.setattr(pairs, "BLOCKS", blocks)
+    monkeypatch.setattr(skew, "BLOCKS", blocks)
     rows = corpus()
     assert told(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == groups_of(rows)
 
 
 def test_what_one_leader_misses_is_found(spark, monkeypatch):
     """All classes in one bucket, so that one leader links few of them: the search by rare shingles finds the rest."""
-    monkeypatch.setattr(minhash, "buckets", lambda classes: classes.select(
-        F.lit(1).alias("key"), "vertex", F.lit(1000).alias("n"), F.lit(classes.agg(F.min("vertex")).first()[0]).alias("leader")
+    monkeypatch.setattr(minhash, "buckets", lambda keyed: keyed.select("vertex").distinct().select(
+        F.lit(1).alias("key"), "vertex", F.lit(1000).alias("n"), F.lit(keyed.agg(F.min("vertex")).first()[0]).alias("leader")
     ))
     rows = corpus()
     assert told(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == groups_of(rows)
