@@ -1,8 +1,7 @@
 """Registered queries: preprocessing, models, training workflow, scoring.
 
 Linear models are compared with their closed forms, written in SQL for two
-features z1 and z2 of zero mean and unit population variance. Tree ensembles
-are registered with fewer trees and rounds than the defaults of the library.
+features z1 and z2 of zero mean and unit population variance.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import estimators as E, neighbors as N, predict as Q
+from ..operators import estimators as E, neighbors as N, predict as Q, vector_index
+from ..operators.boosting import BoostedTrees
 from ..plans import analysis, training as TR
 from ..session import scratch_path
 from ..sources import models as M
@@ -126,6 +126,15 @@ def _(t):
 IS_TEST = f"substr(md5(cast(vec_id as string)), 1, 8) < '{int(0.2 * 2**32):08x}'"
 
 
+def embedding_sides(t):
+    from ..operators.features import train_test_split
+
+    sides = train_test_split(t.embeddings, ["vec_id"]).select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label", "split"
+    )
+    return sides.where("split = 'train'"), sides.where("split = 'test'")
+
+
 @query(
     "knn_classifier",
     f"with e as (select vec_id, embedding::double[] as v, label, {IS_TEST} as test from embeddings), "
@@ -135,12 +144,20 @@ IS_TEST = f"substr(md5(cast(vec_id as string)), 1, 8) < '{int(0.2 * 2**32):08x}'
     "select id, label, n as votes from (select *, row_number() over (partition by id order by n desc, label) as k from votes) where k = 1",
 )
 def _(t):
-    from ..operators.features import train_test_split
+    return N.knn_classify(*embedding_sides(t), 5)
 
-    sides = train_test_split(t.embeddings, ["vec_id"]).select(
-        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label", "split"
-    )
-    return N.knn_classify(sides.where("split = 'train'"), sides.where("split = 'test'"), 5)
+
+@query(
+    "knn_index",
+    f"with e as (select vec_id, embedding::double[] as v, {IS_TEST} as test from embeddings), "
+    "near as (select q.vec_id as id, row_number() over (partition by q.vec_id order by list_distance(q.v, p.v), p.vec_id) as k from e q, e p where q.test and not p.test) "
+    "select count(*) as pairs, true as enough from near where k <= 5",
+)
+def _(t):
+    """Whether the index finds 95 % of the five nearest rows."""
+    train, test = embedding_sides(t)
+    told = vector_index.recall(vector_index.index_neighbours(train, test), N.nearest_neighbours(train, test))
+    return told.select("pairs", (F.col("recall") >= 0.95).alias("enough"))
 
 
 def regression_scored(t, name: str):
@@ -156,6 +173,35 @@ def classification_scored(t, name: str):
     return TR.decoded(result.scored, result.labels).select("model", "y_true", "y_pred")
 
 
+SPLIT_SQL = (
+    "with d as (select p_partkey, cast(p_size as double) as x0, cast(p_partkey % 40 as double) as x1, p_retailprice as y from part), b as (select avg(y) as base from d), "
+    "c as (select 0 as f, x0 as v, base - y as g from d, b union all select 1, x1, base - y from d, b), "
+    "s as (select f, v, sum(sum(g)) over (partition by f order by v) as gl, sum(count(*)) over (partition by f order by v) as nl, "
+    "sum(sum(g)) over (partition by f) as gs, sum(count(*)) over (partition by f) as ns from c group by f, v), "
+    "k as (select * from s where nl >= {least} and ns - nl >= {least} order by gl * gl / (nl + {l2}) + (gs - gl) * (gs - gl) / (ns - nl + {l2}) desc, f, v limit 1) "
+    "select p_partkey, {out} as prediction from d, b, k"
+)
+SPLIT_OUT = "base - {step} * case when case when f = 0 then x0 else x1 end <= v then gl / (nl + {l2}) else (gs - gl) / (ns - nl + {l2}) end"
+
+
+def split_query(name: str, **settings):
+    """One round of one split, which SQL can enumerate: retail price by size and a part of the key."""
+    told = {k: settings.get(k, d) for k, d in (("step", 0.3), ("l2", 1.0), ("least", 1))}
+
+    @query(name, SPLIT_SQL.format(out=r(SPLIT_OUT.format(**told)), **told))
+    def _(t):
+        from pyspark.ml.feature import VectorAssembler
+
+        rows = t.part.selectExpr("p_partkey", "cast(p_size as double) as x0", "cast(p_partkey % 40 as double) as x1", "p_retailprice as label")
+        rows = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(rows)
+        model = BoostedTrees(rounds=1, depth=1, leaves=2, **settings).fit(rows)
+        return rounded(model.transform(rows).select("p_partkey", "prediction"))
+
+
+split_query("xgb_style_split", step=0.3, l2=1.0)
+split_query("lgbm_style_split", step=0.1, l2=0.0, least=20)
+
+
 for _key, _model in {
     "decision_tree_regressor": "Decision Tree",
     "random_forest_regressor": "Random Forest",

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import DATETIME, as_double, columns_of_kind, numeric_columns
 from . import clean
+from .boosting import BoostedTrees
 from .features import INFREQUENT, fit_categories
 from .transformers import RandomFourier, RandomThresholds
 
@@ -189,13 +190,12 @@ def _extra_regressor(c: FitContext):
     return [_random_thresholds(c), forest]
 
 
-def _boost_regressor(step: float, depth: int, least: int = 1):
-    def make(c: FitContext):
-        return [
-            GBTRegressor(maxIter=c.rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=least, seed=c.seed)
-        ]
+def _boost_regressor(c: FitContext):
+    return [GBTRegressor(maxIter=c.rounds, stepSize=0.1, maxDepth=3, seed=c.seed)]
+
 
-    return make
+def _second_order(**settings):
+    return lambda c: [BoostedTrees(rounds=c.rounds, **settings)]
 
 
 def _logistic(c: FitContext):
@@ -257,9 +257,9 @@ REGRESSION = {
     "Decision Tree": _tree_regressor,
     "Random Forest": _forest_regressor,
     "Extra Trees": _extra_regressor,
-    "Gradient Boosting": _boost_regressor(0.1, 3),
-    "XGBoost": _boost_regressor(0.3, 6),
-    "LightGBM": _boost_regressor(0.1, 5, 20),
+    "Gradient Boosting": _boost_regressor,
+    "XGBoost": _second_order(step=0.3, depth=6, l2=1.0),
+    "LightGBM": _second_order(step=0.1, depth=64, leaves=31, least=20, l2=0.0),
 }
 
 NEIGHBOURS = "KNN"

@@ -139,9 +139,14 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, pivots: in
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 
-def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, **options) -> DataFrame:
-    """(id, label, votes): the most frequent label among the k nearest, the smallest label on ties."""
-    near = nearest_neighbours(train, test, k, **options)
+def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, exact: bool = True, **options) -> DataFrame:
+    """(id, label, votes): the most frequent label among the k nearest, the smallest label on ties.
+
+    Without ``exact`` neighbours come from the index of ``vector_index``.
+    """
+    from .vector_index import index_neighbours
+
+    near = (nearest_neighbours if exact else index_neighbours)(train, test, k, **options)
     votes = near.groupBy("test_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy(F.col("test_id").alias("id")).agg(
         F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("n").alias("votes")
