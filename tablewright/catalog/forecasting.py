@@ -180,6 +180,18 @@ def _(t):
     return G.trend_seasonal_forecast(orders_series(t, "D"), "D", 30, SERIES)
 
 
+@query(
+    "trend_seasonal_periods",
+    "with h as (select o_orderpriority, cast(o_orderdate as date) as day from orders group by 1, 2), l as (select o_orderpriority, max(day) as last from h group by 1) "
+    "select o_orderpriority, cast(day as timestamp) as ds, 'fitted' as kind, true as inside from h union all "
+    "select o_orderpriority, cast(last + cast(k as int) as timestamp), 'forecast', true from l, (select unnest(range(1, 31)) as k)",
+)
+def _(t):
+    """Periods and kinds of the forecast, and whether the forecast lies between its bounds."""
+    out = G.trend_seasonal_forecast(orders_series(t, "D"), "D", 30, SERIES)
+    return out.select(*SERIES, "ds", "kind", ((F.col("lower_bound") < F.col("forecast")) & (F.col("forecast") < F.col("upper_bound"))).alias("inside"))
+
+
 @query("forecast_engine_fallback")
 def _(t):
     ts = S.resample(t.orders, "o_orderdate", "o_totalprice", "MS", "mean", ["o_custkey"])

@@ -2,7 +2,7 @@
 
 A series is an array of its periods, so its size is bounded by the calendar.
 Smoothing is a fold over that array inside the engine; the trend and season
-model solves one small ridge system per series.
+model is one small convex problem per series.
 """
 
 from __future__ import annotations
@@ -204,9 +204,56 @@ def forecast_history_overlay(ts: DataFrame, future: DataFrame, series: Sequence[
     return past.unionByName(ahead)
 
 
+NOISE = 0.05**2  # variance of an observation, in parts of the largest value squared
+CHANGE_SCALE = 0.05  # of the Laplace prior of a slope change
+SEASON_SCALE = 10.0  # deviation of the normal prior of a season's weights
+QUANTILE = 1.2815515655446004  # normal quantile of an 80 % interval
+DRAWS = 400
+
+
+def sparse_fit(x, y, ridge, sparse):
+    """Weights w that minimise |y - x w|^2 / 2 + sum(ridge * w^2) / 2 + sum(sparse * |w|), exactly.
+
+    Feature-sign search (Lee et al., 2007): weights with a penalty ``sparse`` start at zero and enter one by one, the
+    one of the steepest descent first; with signs held, the optimum is a linear system, and the way to it stops where a
+    sign would turn, if that is lower. It ends when no weight can improve.
+    """
+    import numpy as np
+
+    gram, target = x.T @ x + np.diag(ridge), x.T @ y
+    w = np.zeros(len(ridge))
+    sign = np.zeros(len(ridge))
+    free = sparse == 0
+    active = free.copy()
+    cost = lambda v: 0.5 * v @ gram @ v - target @ v + sparse @ np.abs(v)
+    for _ in range(50 * len(ridge)):
+        rows = np.flatnonzero(active)
+        best = w.copy()
+        best[rows] = np.linalg.solve(gram[np.ix_(rows, rows)], (target - sparse * sign)[rows])
+        turns = np.flatnonzero(active & ~free & (w * best < 0))
+        options = [best] + [w + (best - w) * (w[i] / (w[i] - best[i])) for i in turns]
+        for option, i in zip(options[1:], turns):
+            option[i] = 0.0
+        settled = not len(turns)
+        w = min(options, key=cost)
+        active = free | (w != 0)
+        sign = np.where(free, 0.0, np.sign(w))
+        if not settled:
+            continue
+        slope = target - gram @ w
+        over = np.where(active, 0.0, np.abs(slope) - sparse)
+        if over.max(initial=0.0) <= 1e-10:
+            break
+        j = int(over.argmax())
+        active[j], sign[j] = True, np.sign(slope[j])
+    return w
+
+
 def trend_seasonal_forecast(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] = ()) -> DataFrame:
     """Piecewise-linear trend with yearly and, for daily data, weekly seasons.
 
+    Slope changes have a Laplace prior, so that most of them are zero. Intervals add to the spread of the residuals that
+    of future slope changes, drawn as often and as large as those of the history, and widen with the horizon.
     Rows of one period are averaged first; each series with its future periods is
     then one group of calendar-bounded size.
     ``error`` tells why a series could not be fitted; it then has one row without dates.
@@ -216,12 +263,12 @@ def trend_seasonal_forecast(ts: DataFrame, freq: str, horizon: int, series: Sequ
     rows = history.unionByName(ahead)
     fields = "".join(f"`{s}` {rows.schema[s].dataType.simpleString()}, " for s in series)
     return spread_by(rows, series).groupBy(*series).applyInPandas(
-        _ridge_solver(list(series), weekly=freq == DAILY),
+        _trend_solver(list(series), weekly=freq == DAILY),
         fields + "ds timestamp_ntz, kind string, forecast double, lower_bound double, upper_bound double, error string",
     )
 
 
-def _ridge_solver(series: list[str], weekly: bool):
+def _trend_solver(series: list[str], weekly: bool):
     def solve(pdf):
         import numpy as np
         import pandas as pd
@@ -248,27 +295,38 @@ def _ridge_solver(series: list[str], weekly: bool):
         changes = min(25, max(0, int(known.sum() * 0.8) - 1))
         knots = np.linspace(0, 0.8, changes + 1)[1:]
         columns = [np.ones_like(t), t, *[np.clip(t - k, 0, None) for k in knots]]
-        penalty = [1e-8, 1e-8] + [1.0 / 0.05**2] * changes
+        ridge, sparse = [1e-8] * 2 + [0.0] * changes, [0.0, 0.0] + [NOISE / CHANGE_SCALE] * changes
 
         def season(days, order):
             for k in range(1, order + 1):
                 columns.extend([np.sin(2 * np.pi * k * day / days), np.cos(2 * np.pi * k * day / days)])
-                penalty.extend([1.0 / 10.0**2] * 2)
+                ridge.extend([NOISE / SEASON_SCALE**2] * 2)
+                sparse.extend([0.0] * 2)
 
         if end - start >= 730:
             season(365.25, 10)
         if weekly and end - start >= 14:
             season(7.0, 3)
         x = np.column_stack(columns)
-        noise = 0.05**2  # prior variances are relative to the scaled target
-        system = x[known].T @ x[known] + noise * np.diag(penalty)
         try:
-            weights = np.linalg.solve(system, x[known].T @ y)
+            weights = sparse_fit(x[known], y, np.array(ridge), np.array(sparse))
         except np.linalg.LinAlgError:
             return failed("singular system")
         forecast = x @ weights * scale
         residual = pdf["y"].to_numpy()[known] - forecast[known]
-        half = 1.2815515655446004 * residual.std(ddof=1)  # normal quantile of an 80 % interval
+        variance = np.full(len(t), residual.var(ddof=1))
+        if changes:
+            # Future slope changes come at the rate of the places for them in the history, with their mean size.
+            random, beyond = np.random.RandomState(0), np.clip(t - 1, 0, None)
+            size = np.abs(weights[2 : 2 + changes]).mean() * scale
+            last = beyond.max(initial=0.0)
+            count = random.poisson(changes * last, DRAWS)
+            owner = np.repeat(np.arange(DRAWS), count)
+            at, change = random.uniform(0, last, len(owner)), random.laplace(0, size, len(owner)) if size > 0 else np.zeros(len(owner))
+            paths = np.zeros((DRAWS, len(t)))
+            np.add.at(paths, owner, change[:, None] * np.clip(beyond[None, :] - at[:, None], 0, None))
+            variance += (paths**2).mean(0)
+        half = QUANTILE * np.sqrt(variance)
         out = pd.DataFrame(
             {
                 "ds": pdf["ds"], "kind": np.where(known, "fitted", "forecast"), "forecast": forecast,

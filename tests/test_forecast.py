@@ -113,3 +113,32 @@ def test_trend_thresholds(spark, second, strength):
 def test_number_text(spark):
     df = spark.createDataFrame([(1.0,), (0.12345,), (10.5,), (100.0,)], "x double")
     assert [r[0] for r in df.select(G.plain_number(F.col("x"))).collect()] == ["1.0", "0.1235", "10.5", "100.0"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sparse_fit_meets_the_optimality_conditions(seed):
+    random = np.random.RandomState(seed)
+    t = np.linspace(0, 1, 400)
+    knots = np.linspace(0, 0.8, 26)[1:]
+    waves = [f(2 * np.pi * k * t * 57) for k in (1, 2, 3) for f in (np.sin, np.cos)]
+    x = np.column_stack([np.ones_like(t), t, *[np.clip(t - k, 0, None) for k in knots], *waves])
+    y = 0.4 + 0.3 * t + 0.9 * np.clip(t - knots[8], 0, None) - 1.1 * np.clip(t - knots[15], 0, None) + 0.05 * random.normal(size=len(t))
+    ridge = np.array([1e-8] * 2 + [0.0] * 25 + [1e-4] * 6)
+    sparse = np.array([0.0] * 2 + [0.05] * 25 + [0.0] * 6)
+    w = G.sparse_fit(x, y, ridge, sparse)
+    slope = x.T @ (y - x @ w) - ridge * w
+    change = sparse > 0
+    assert np.abs(slope[~change]).max() < 1e-6
+    assert np.abs(slope - sparse * np.sign(w))[change & (w != 0)].max(initial=0.0) < 1e-6
+    assert (np.abs(slope)[change & (w == 0)] <= 0.05 + 1e-6).all()
+    assert 1 <= np.count_nonzero(w[change]) <= 12
+
+
+def test_intervals_widen_with_the_horizon(spark):
+    random = np.random.RandomState(3)
+    y = np.cumsum(np.where(np.arange(200) < 90, 1.0, -0.7)) + random.normal(size=200)
+    out = G.trend_seasonal_forecast(frame(spark, range(200), y), "D", 60, ["series"]).orderBy("ds").collect()
+    width = [r["upper_bound"] - r["lower_bound"] for r in out]
+    assert len(set(np.round(width[:200], 9))) == 1
+    assert all(b > a for a, b in zip(width[199:], width[200:])) and width[-1] > 1.2 * width[0]
+    assert abs(out[-1]["forecast"] - (y[-1] - 0.7 * 60)) < 12
