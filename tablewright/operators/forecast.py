@@ -1,8 +1,8 @@
 """Forecasting of many series at once, and the tables derived from a forecast.
 
 A series is an array of its periods, so its size is bounded by the calendar.
-Smoothing is a fold over that array inside the engine; the trend and season
-model is one small convex problem per series.
+Smoothing runs over the series of an Arrow batch side by side; the trend and
+season model is one small convex problem per series.
 """
 
 from __future__ import annotations
@@ -21,25 +21,137 @@ SEASON_SMOOTHING = [0.05, 0.2, 0.4]
 BAND = 1.96
 
 
-def _fold(season: bool, period: int, weights: str, fitted: bool = False) -> str:
-    """SQL text: one pass of exponential smoothing over ``ys`` with the weights al, be, ga of ``weights``.
+STEPS = 14  # halvings of the step of the weight search
+TURNS = 3  # of the search for weights and for starting states
+SERIES_AT_ONCE = 512
 
-    The state keeps level, trend, the coming season in order, and the sums of
-    the errors one step ahead.
+
+def _errors(y, al, be, ga, level, trend, season, keep=False):
+    """One pass of exponential smoothing over the rows of ``y`` (series by periods), all at once.
+
+    Weights and starting states have one entry a row; ``season`` has a column for each phase, or none. Returns the final
+    states and the sums of errors and squares one step ahead; with ``keep`` also what was expected at every period.
     """
-    al, be, ga = (f"{weights}.{w}" for w in ("al", "be", "ga"))
-    ahead = "(st.l + st.b + st.s[0])" if season else "(st.l + st.b)"
-    level = f"({al} * (x - {'st.s[0]' if season else '0D'}) + (1 - {al}) * (st.l + st.b))"
-    rotated = f"concat(slice(st.s, 2, {period - 1}), array({ga} * (x - {level}) + (1 - {ga}) * st.s[0]))" if season else "st.s"
-    kept = [", 'fitted', cast(array() as array<double>)", f", 'fitted', array_append(st.fitted, {ahead})"] if fitted else ["", ""]
-    if season:
-        # Level and trend from the first two seasons, the season from the first one.
-        start = f"'l', mean1 - trend0, 'b', trend0, 's', transform(slice(ys, 1, {period}), v -> v - mean1)"
-    else:
-        start = "'l', 2 * ys[0] - ys[1], 'b', ys[1] - ys[0], 's', cast(array() as array<double>)"
-    return f"""aggregate(ys, named_struct({start}, 'n', 0L, 'sum', 0D, 'sse', 0D{kept[0]}), (st, x) -> named_struct(
-        'l', {level}, 'b', {be} * ({level} - st.l) + (1 - {be}) * st.b, 's', {rotated},
-        'n', st.n + 1, 'sum', st.sum + (x - {ahead}), 'sse', st.sse + (x - {ahead}) * (x - {ahead}){kept[1]}))"""
+    import numpy as np
+
+    season, period = season.copy(), season.shape[1]
+    total, squares = np.zeros(len(y)), np.zeros(len(y))
+    ahead = np.empty_like(y) if keep else None
+    for t in range(y.shape[1]):
+        s = season[:, t % period] if period else 0.0
+        expected = level + trend + s
+        error = y[:, t] - expected
+        new = al * (y[:, t] - s) + (1 - al) * (level + trend)
+        trend = be * (new - level) + (1 - be) * trend
+        level = new
+        if period:
+            season[:, t % period] = ga * (y[:, t] - level) + (1 - ga) * s
+        total += error
+        squares += error * error
+        if keep:
+            ahead[:, t] = expected
+    return level, trend, season, total, squares, ahead
+
+
+def _starts(y, period):
+    """Level and trend from the first two seasons, the season from the first one; without a season from two periods."""
+    import numpy as np
+
+    if not period:
+        return 2 * y[:, 0] - y[:, 1], y[:, 1] - y[:, 0], np.zeros((len(y), 0))
+    first = y[:, :period].mean(1)
+    trend = (y[:, period : 2 * period].mean(1) - first) / period
+    return first - trend, trend, y[:, :period] - first[:, None]
+
+
+def _of_grid(y, start, grid):
+    """The weights of ``grid`` with the least squares of each row, the first of equal ones, and the squares."""
+    import numpy as np
+
+    squares = np.stack([_errors(y, *[np.full(len(y), w) for w in g], *start)[4] for g in grid], 1)
+    best = squares.argmin(1)
+    return np.array(grid)[best].T, squares[np.arange(len(y)), best]
+
+
+def _searched(y, start, weights, squares):
+    """Weights moved along each axis by steps that are halved when none of them is better."""
+    import numpy as np
+
+    step = np.full(len(y), 0.1)
+    for _ in range(6 * STEPS):
+        tried, best, found = weights, squares, np.zeros(len(y), bool)
+        for axis in range(3 if start[2].shape[1] else 2):
+            for side in (-1, 1):
+                moved = weights.copy()
+                moved[axis] = np.clip(moved[axis] + side * step, 0.0, 1.0)
+                now = _errors(y, *moved, *start)[4]
+                better = now < best
+                tried, best, found = np.where(better, moved, tried), np.where(better, now, best), found | better
+        weights, squares = tried, best
+        step = np.where(found, step, step / 2)
+        if (step < 0.1 / 2**STEPS).all():
+            break
+    return weights, squares
+
+
+def _best_starts(y, start, weights):
+    """Starting states with the least squares: errors are linear in them, so that this is one linear system a row."""
+    import numpy as np
+
+    rows, period = len(y), start[2].shape[1]
+    base = y - _errors(y, *weights, *start, keep=True)[5]
+    response = []
+    for k in range(2 + period):
+        level, trend, season = np.zeros(rows), np.zeros(rows), np.zeros((rows, period))
+        (level if k == 0 else trend if k == 1 else season[:, k - 2])[:] = 1.0
+        response.append(_errors(np.zeros_like(y), *weights, level, trend, season, keep=True)[5])
+    x = np.stack(response, 2)
+    gram = np.einsum("rtk,rtl->rkl", x, x)
+    gram += np.eye(2 + period) * (1e-9 * np.trace(gram, axis1=1, axis2=2)[:, None, None] + 1e-12)  # level and season shift together
+    change = np.linalg.solve(gram, np.einsum("rtk,rt->rk", x, base)[:, :, None])[:, :, 0]
+    return start[0] + change[:, 0], start[1] + change[:, 1], start[2] + change[:, 2:]
+
+
+def smooth(y, period: int, grid, search: bool):
+    """Weights, starting and final states of each row of ``y``. ``search`` goes on from the best weights of the grid."""
+    import numpy as np
+
+    start = _starts(y, period)
+    weights, squares = _of_grid(y, start, grid)
+    for _ in range(TURNS if search else 0):
+        weights, squares = _searched(y, start, weights, squares)
+        other = _best_starts(y, start, weights)
+        now = _errors(y, *weights, *other)[4]
+        better = now < squares
+        start = tuple(np.where(better if old.ndim == 1 else better[:, None], new, old) for old, new in zip(start, other))
+        squares = np.where(better, now, squares)
+    return weights, _errors(y, *weights, *start, keep=True)
+
+
+def _smoother(season: bool, period: int, weights, search: bool):
+    """Column function: values of a series -> weights, final states, errors and fitted values."""
+    al, be, ga = weights or (SMOOTHING, TREND_SMOOTHING, SEASON_SMOOTHING)
+    grid = [(float(a), float(b), float(g)) for a in al for b in be for g in (ga if season else [0.0])]
+
+    @F.pandas_udf("struct<al double, be double, ga double, l double, b double, s array<double>, n long, sum double, sse double, fitted array<double>>")
+    def smoothed(values):
+        import numpy as np
+        import pandas as pd
+
+        out = [None] * len(values)
+        lengths = values.map(len).to_numpy()
+        for length in np.unique(lengths):  # series of one length side by side
+            every = np.flatnonzero(lengths == length)
+            for own in (every[i : i + SERIES_AT_ONCE] for i in range(0, len(every), SERIES_AT_ONCE)):
+                y = np.stack(values.iloc[own].to_numpy()).astype(float)
+                w, (level, trend, phases, total, squares, ahead) = smooth(y, period if season else 0, grid, search)
+                turn = length % period if season else 0
+                phases = np.roll(phases, -turn, axis=1)  # the coming phase first
+                for k, i in enumerate(own):
+                    out[i] = (*w[:, k], level[k], trend[k], phases[k], length, total[k], squares[k], ahead[k])
+        return pd.DataFrame(out, columns=["al", "be", "ga", "l", "b", "s", "n", "sum", "sse", "fitted"])
+
+    return smoothed
 
 
 def _arrays(ts: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -51,31 +163,12 @@ def _arrays(ts: DataFrame, series: Sequence[str]) -> DataFrame:
     ).where("size(ys) >= 2")
 
 
-def _weight_grid(season: bool, weights) -> Column:
-    al, be, ga = weights or (SMOOTHING, TREND_SMOOTHING, SEASON_SMOOTHING)
-    triples = [(a, b, g) for a in al for b in be for g in (ga if season else [0.0])]
-    return F.array(*[F.struct(F.lit(float(a)).alias("al"), F.lit(float(b)).alias("be"), F.lit(float(g)).alias("ga")) for a, b, g in triples])
-
-
-def _smoothed(rows: DataFrame, season: bool, period: int, weights) -> DataFrame:
-    """Adds ``best`` (weights and error) and ``st`` (final state with fitted values), both per series."""
-    if season:
-        def mean(start: int) -> Column:
-            return F.aggregate(F.slice("ys", start, period), F.lit(0.0), lambda a, v: a + v) / period
-
-        rows = rows.withColumn("mean1", mean(1)).withColumn("trend0", (mean(period + 1) - F.col("mean1")) / period)
-    tried = rows.withColumn("grid", _weight_grid(season, weights)).withColumn(
-        "tried", F.expr(f"transform(grid, g -> named_struct('sse', {_fold(season, period, 'g')}.sse, 'al', g.al, 'be', g.be, 'ga', g.ga))")
-    )
-    best = tried.withColumn("best", F.array_min("tried"))
-    return best.withColumn("st", F.expr(_fold(season, period, "best", fitted=True)))
-
-
-def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] = (), weights=None) -> DataFrame:
+def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] = (), weights=None, search: bool = False) -> DataFrame:
     """Fitted history and ``horizon`` future periods per series, with a residual band.
 
-    Additive trend and, with two full seasons of data, additive season. Every
-    weight triple is tried and the least squared error one step ahead wins.
+    Additive trend and, with two full seasons of data, additive season. Of a grid of weights (``weights``: lists for level,
+    trend and season) that of the least squared error one step ahead is taken; with ``search`` the weights are moved on from
+    there, and the starting states solved with them.
     Rows of one period are averaged first, so a series, which is one row from the
     collected periods to the exploded forecast, is bounded by the calendar.
     """
@@ -85,7 +178,7 @@ def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] =
     parts = []
     for season in (True, False):
         enough = F.size("ys") >= 2 * period
-        rows = _smoothed(arrays.where(enough if season else ~enough), season, period, weights)
+        rows = arrays.where(enough if season else ~enough).withColumn("st", _smoother(season, period, weights, search)("ys"))
         seasonal = f"st.s[cast((k - 1) % {period} as int)]" if season else "0D"
         future = F.expr(
             f"transform(sequence(1, {horizon}), k -> named_struct('ds', cast(dates[size(dates) - 1] + {step} as timestamp_ntz), "
@@ -93,7 +186,7 @@ def holt_winters(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] =
         )
         past = F.expr("transform(dates, (d, i) -> named_struct('ds', d, 'kind', 'fitted', 'forecast', st.fitted[i]))")
         spread = F.sqrt(F.try_divide(F.col("st.sse") - F.col("st.sum") * F.col("st.sum") / F.col("st.n"), F.col("st.n") - 1))
-        # The outer form keeps the optimizer from testing the array for rows first, which would run the fold twice.
+        # The outer form keeps the optimizer from testing the array for rows first, which would smooth twice.
         parts.append(rows.select(*series, (F.lit(BAND) * spread).alias("half"), F.inline_outer(F.concat(past, future))))
     return union_all(parts).select(
         *series, *[F.col(c) for c in ("ds", "kind", "forecast")],

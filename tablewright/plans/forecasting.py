@@ -23,7 +23,7 @@ def forecast_engine_fallback(ts: DataFrame, freq: str, horizon: int, series: Seq
     failed = primary.where("error is not null").select(*series, F.col("error").alias("primary_error"))
     again = join_by(ts, failed, series)
     second = stage(
-        holt_winters(again.drop("primary_error"), freq, horizon, series).withColumns(
+        holt_winters(again.drop("primary_error"), freq, horizon, series, search=True).withColumns(
             {"error": F.lit(None).cast("string"), "engine": F.lit(FALLBACK)}
         ),
         "fallback-forecast",

@@ -142,3 +142,18 @@ def test_intervals_widen_with_the_horizon(spark):
     assert len(set(np.round(width[:200], 9))) == 1
     assert all(b > a for a, b in zip(width[199:], width[200:])) and width[-1] > 1.2 * width[0]
     assert abs(out[-1]["forecast"] - (y[-1] - 0.7 * 60)) < 12
+
+
+@pytest.mark.parametrize("period", [0, 4])
+def test_smoothing_weights_are_searched(period):
+    random = np.random.RandomState(6)
+    t = np.arange(60)
+    y = np.stack([10 + a * t + b * np.sin(np.pi * t / 2) + np.cumsum(random.normal(size=60)) * c for a, b, c in ((0.1, 3, 0.2), (-0.4, 1, 1.0), (0, 0, 2.0))])
+    coarse = [(a, b, g) for a in G.SMOOTHING for b in G.TREND_SMOOTHING for g in (G.SEASON_SMOOTHING if period else [0.0])]
+    fine = np.linspace(0, 1, 21)
+    dense = [(a, b, g) for a in fine for b in fine for g in (fine if period else [0.0])]
+    squares = lambda grid, search: G.smooth(y, period, grid, search)[1][4]
+    found = squares(coarse, True)
+    assert (found <= squares(coarse, False) + 1e-9).all() and (found <= squares(dense, False) * 1.01).all()
+    weights, (level, trend, season, total, sse, ahead) = G.smooth(y, period, coarse, True)
+    assert np.allclose(((y - ahead) ** 2).sum(1), sse) and ((weights >= 0) & (weights <= 1)).all()
