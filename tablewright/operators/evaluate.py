@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.running import running_totals
+from ..functions.running import positions, running_totals
+from ..session import stage
 
 EPSILON = 2.220446049250313e-16  # double rounding unit, the floor for relative errors
 
@@ -135,13 +136,24 @@ def roc_auc_ovr(scored: DataFrame, class_scores: dict[str, str]) -> DataFrame:
 
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
-    """Count for every (actual, predicted) pair of classes, zero included."""
+    """Count for every (actual, predicted) pair of classes, zero included.
+
+    Classes are numbered in a table of their own and the grid is a range of numbers, so no task or row holds all of
+    them. Rows without an actual or a predicted class are in no cell.
+    """
     cells = scored.groupBy(F.col("y_true").cast("string").alias("actual"), F.col("y_pred").cast("string").alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    seen = cells.select("actual").union(cells.select("predicted")).distinct().agg(F.sort_array(F.collect_set("actual")).alias("classes"))
-    grid = seen.select(F.explode("classes").alias("actual"), "classes").select("actual", F.explode("classes").alias("predicted"))
-    return grid.join(cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("count"))
+    cells = stage(cells, "confusion-cells")
+    seen = cells.select("actual").union(cells.select("predicted")).where("actual is not null").distinct()
+    classes = stage(positions(seen, "actual", "number"), "confusion-classes")
+    n = classes.count()
+    if not n:
+        return cells.select("actual", "predicted", F.col("n").alias("count")).limit(0)
+    grid = scored.sparkSession.range(n * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
+    rows, columns = (classes.select(F.col("actual").alias(name), F.col("number").alias(k)) for name, k in (("actual", "i"), ("predicted", "j")))
+    named = grid.join(rows, "i").join(columns, "j")
+    return named.join(cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def _curve_totals(scored: DataFrame, positive_label) -> tuple[DataFrame, int, int]:

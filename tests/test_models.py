@@ -239,3 +239,12 @@ def test_neighbours_can_be_kept(spark):
     out = {r.k: (r.y, r.predicted_label) for r in loaded.model.transform(df).collect()}
     assert len(out) == 120 and sum(a == b for a, b in out.values()) > 110
     assert predict.score(loaded.model, df, loaded.schema).columns == ["x", "s", "Prediction"]
+
+
+def test_confusion_matrix_of_many_classes(spark):
+    rows = [(f"c{i % 150}", f"c{(i * i) % 200}") for i in range(3000)] + [(None, "c1"), ("c2", None), (None, "only")]
+    cells = {(r["actual"], r["predicted"]): r["count"] for r in V.confusion_matrix(spark.createDataFrame(rows, "y_true string, y_pred string")).collect()}
+    known = {c for row in rows for c in row if c is not None}
+    assert len(cells) == len(known) ** 2 and sum(cells.values()) == 3000
+    assert all(n == rows.count(k) for k, n in list(cells.items())[:200])
+    assert V.confusion_matrix(spark.createDataFrame([], "y_true string, y_pred string")).count() == 0
