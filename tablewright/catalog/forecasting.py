@@ -25,7 +25,17 @@ def orders_series(t, freq, aggregate="mean"):
     return S.resample(t.orders, "o_orderdate", "o_totalprice", freq, aggregate, SERIES)
 
 
-@query("detect_frequency", "select event_type, 'D' as frequency from events group by 1")
+@query(
+    "detect_frequency",
+    "with d as (select event_type, cast(ts as date) as day, count(*) as n, min(ts) as b, max(ts) as e from events group by 1, 2), "
+    "g as (select *, row_number() over p as place, datediff('day', lag(day) over p, day) as gap, (epoch(b) - epoch(lag(e) over p)) / 86400 as apart "
+    "from d window p as (partition by event_type order by day)), "
+    "w as (select event_type, apart from g where apart is not null union all select event_type, 0 from (select *, unnest(range(n - 1)) from g)), "
+    "v as (select event_type, count(*) >= 3 and min(gap) = max(gap) as even, min(gap) as low from g where place <= 100 group by 1), "
+    "m as (select event_type, median(apart) as med from w group by 1) "
+    "select event_type, case when x >= 25 then 'MS' when x >= 5 then 'W' else 'D' end as frequency from "
+    "(select v.event_type, case when even then low else floor(coalesce(med, 0)) end as x from v left join m on m.event_type = v.event_type)",
+)
 def _(t):
     return S.detect_frequency(t.events, "ts", ["event_type"])
 
