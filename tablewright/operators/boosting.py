@@ -24,7 +24,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import shared_folder, stage
 
 REFRESH = 20  # trees after which the rows are written again with their predictions
 FEATURES_PER_PASS = 40
@@ -200,6 +200,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
         # Passes are many and small: a session of its own plans them without re-planning, and leaves the caller's settings alone.
         plain = df.sparkSession.newSession()
         plain.conf.set("spark.sql.adaptive.enabled", "false")
+        plain.conf.set("spark.checkpoint.dir", shared_folder(df.sparkSession))
+        plain.conf.set("spark.sql.shuffle.partitions", df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         own = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
         facts = own.agg(F.avg("y").alias("base"), F.count("*").alias("rows"), F.first(F.size("x")).alias("size")).first()
         if not facts.rows:
