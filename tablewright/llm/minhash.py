@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 from . import pairs
-from .components import components
 from .pairs import Share
 from .skew import beside
 from .texts import mix, on_texts, ready, small_or_plain
@@ -88,7 +87,7 @@ def agreeing(candidates: DataFrame, classes: DataFrame, least: Share) -> DataFra
     """The pairs ``a, b`` whose signatures agree often enough."""
     one = classes.select(F.col("vertex").alias("a"), F.col("signature").alias("of_a"))
     other = classes.select(F.col("vertex").alias("b"), F.col("signature").alias("of_b"))
-    both = beside(beside(candidates, one, "a", "b"), other, "b", "a")
+    both = candidates.join(one, "a").join(other, "b")
     equal = F.size(F.filter(F.arrays_zip("of_a", "of_b"), lambda x: x["of_a"] == x["of_b"]))
     return both.where(equal >= least_agreement(BANDS * ROWS, least)).select("a", "b")
 
@@ -96,7 +95,7 @@ def agreeing(candidates: DataFrame, classes: DataFrame, least: Share) -> DataFra
 def buckets(keyed: DataFrame) -> DataFrame:
     """``key, vertex, n, leader``: the bands that at least two classes share, their number, and one of them."""
     sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("vertex").bitwiseXOR(F.col("key"))).alias("least")).where("n > 1")
-    return stage(beside(keyed, sized.select("key", "n", F.col("least").bitwiseXOR(F.col("key")).alias("leader")), "key", "vertex"), "buckets")
+    return stage(keyed.join(sized.select("key", "n", F.col("least").bitwiseXOR(F.col("key")).alias("leader")), "key"), "buckets")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -114,21 +113,20 @@ def linked_classes(docs: DataFrame, classes: DataFrame, keyed: DataFrame, words:
     def confirm(tried: DataFrame) -> DataFrame:
         likely = stage(agreeing(tried, classes, least), "likely")
         new = stage(likely.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "suspects")
-        if sets:
-            new = new.join(sets["known"].select("vertex"), "vertex", "left_anti")
+        learn(new if not sets else new.join(sets["known"].select("vertex"), "vertex", "left_anti"))
+        return pairs.confirmed(likely, sets["known"], least)
+
+    def learn(new: DataFrame) -> None:
         more = full_sets(docs, classes, new, words)
         sets["known"] = sets["known"].unionByName(more) if sets else more
-        return pairs.confirmed(likely, sets["known"], least)
 
     roots = pairs.through_leaders(met, confirm)
     # In buckets of three or more all pairs of different components are still to be excluded.
     apart = pairs.still_apart(met, roots)
     new = apart.select("vertex").join(sets["known"].select("vertex"), "vertex", "left_anti")
-    members = sets["known"].unionByName(full_sets(docs, classes, new, words)).join(apart, "vertex")
-    more = stage(confirm(pairs.prefix_pairs(members, least)), "links")
-    if not more.take(1):
-        return roots
-    return stage(components(pairs.as_links(roots).unionByName(more)), "components")
+    learn(new)
+    members = sets["known"].join(apart.select("vertex"), "vertex", "left_semi")
+    return pairs.through_prefixes(members, least, confirm, roots)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: Share = (85, 100)) -> DataFrame:

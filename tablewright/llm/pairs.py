@@ -74,7 +74,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, least: Share) -> DataFrame:
     """The pairs ``a, b`` whose ``members`` (``vertex``, ``shingles``) have a Jaccard similarity of ``least`` or more."""
     one = members.select(F.col("vertex").alias("a"), F.col("shingles").alias("of_a"))
     other = members.select(F.col("vertex").alias("b"), F.col("shingles").alias("of_b"))
-    both = beside(beside(pairs.select("a", "b"), one, "a", "b"), other, "b", "a")
+    both = beside(pairs.select("a", "b").join(one, "a"), other, "b", "a")  # a leader may be the other of many
     sized = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("n"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sum"))
     return sized.where(least[1] * F.col("n") >= least[0] * (F.col("sum") - F.col("n"))).select("a", "b")
 
@@ -83,7 +83,7 @@ def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that the components ``roots`` (``vertex, root``) do not connect."""
     one = roots.select(F.col("vertex").alias("a"), F.col("root").alias("root_a"))
     other = roots.select(F.col("vertex").alias("b"), F.col("root").alias("root_b"))
-    known = beside(beside(pairs, one, "a", "b", "left"), other, "b", "a", "left")
+    known = pairs.join(one, "a", "left").join(other, "b", "left")
     return known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
@@ -110,31 +110,58 @@ def still_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     """``vertex, root`` of the members of buckets, those of two left out, that are not of one component."""
     inside = met.where("n > 2").select("key", "vertex").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return stage(beside(inside, mixed, "key", "vertex").select("vertex", "root").distinct(), "apart")
+    return stage(inside.join(mixed, "key", "left_semi").select("vertex", "root").distinct(), "apart")
 
 
-def prefix_pairs(members: DataFrame, least: Share) -> DataFrame:
-    """Pairs ``a, b`` of ``members`` (``vertex``, ``root``, ``shingles``) of different roots, those of similarity ``least`` or more among them.
+def prefixes(members: DataFrame, least: Share) -> DataFrame:
+    """``vertex, n, at, s`` of ``members`` (``vertex``, ``shingles``): the shingles of its prefix that others have, and their places.
 
     Shingles are ordered by the number of members that have them, the rarest first. Two sets that are similar enough share
-    one of their first n - ceil(least * n) + 1 shingles, and what follows the first one that they share leaves room for the
-    overlap they need. What many texts have in common stands last and brings no pair together. A shingle's rows
-    meet in blocks, so that no task has to hold one shingle's.
+    one of their first n - ceil(least * n) + 1 shingles. What many texts have in common stands last, in no prefix.
     """
     share, whole = least
-    rows = stage(members.select("vertex", "root", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s")), "postings")
+    rows = stage(members.select("vertex", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s")), "postings")
     counted = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = beside(rows, counted, "s", "vertex", "left").groupBy("vertex", "root", "n").agg(
+    ranked = beside(rows, counted, "s", "vertex", "left").groupBy("vertex", "n").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("order")  # of one text
     )
     first = (F.col("n") - F.ceil(share * F.col("n") / whole) + 1).cast("int")
-    heads = ranked.select("vertex", "root", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "e")).where("e.df > 1")
-    heads = stage(heads.select("vertex", "root", "n", "at", F.col("e.s").alias("s")), "prefixes")
-    groups = heads.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    heads = beside(heads, groups.select("s", "m"), "s", "vertex").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
-    x = heads.select("s", F.pmod(F.xxhash64("vertex", "s"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"{c}_x") for c in ("vertex", "root", "n", "at")))
-    y = heads.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_y") for c in ("vertex", "root", "n", "at")))
+    heads = ranked.select("vertex", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "e")).where("e.df > 1")
+    return stage(heads.select("vertex", "n", "at", F.col("e.s").alias("s")), "prefixes")
+
+
+def prefix_pairs(heads: DataFrame, roots: DataFrame, least: Share) -> DataFrame:
+    """Pairs ``a, b`` of different ``roots`` that share a shingle of their prefixes ``heads``, all similar ones among them.
+
+    What follows the first shared shingle must leave room for the overlap they need. A shingle's rows meet in blocks, so that no task
+    has to hold one shingle's.
+    """
+    share, whole = least
+    rows = heads.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    rows = stage(rows, "rooted-prefixes")
+    groups = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = rows.join(groups.select("s", "m"), "s").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+    x = rows.select("s", F.pmod(F.xxhash64("vertex", "s"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"{c}_x") for c in ("vertex", "root", "n", "at")))
+    y = rows.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_y") for c in ("vertex", "root", "n", "at")))
     room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     fits = (share + whole) * room >= share * (F.col("n_x") + F.col("n_y"))
     met = x.join(y, ["s", "block"]).where((F.col("vertex_x") < F.col("vertex_y")) & (F.col("root_x") != F.col("root_y")) & fits)
     return met.select(F.col("vertex_x").alias("a"), F.col("vertex_y").alias("b")).distinct()
+
+
+def through_prefixes(members: DataFrame, least: Share, confirm: Callable[[DataFrame], DataFrame], roots: DataFrame) -> DataFrame:
+    """``roots`` with all links among ``members``: first with a leader of each shared shingle, then between what is still apart.
+
+    Each vertex tries the leader of its rarest shared shingle and that of the most frequent one in its prefix, so that groups which
+    few links join are one before pairs across groups are listed.
+    """
+    heads = prefixes(members.select("vertex", "shingles"), least)
+    groups = heads.groupBy("s").agg(F.count("*").alias("m"), F.min(F.col("vertex").bitwiseXOR(F.col("s"))).alias("x")).where("m > 1")
+    led = heads.join(groups.select("s", "m", F.col("x").bitwiseXOR(F.col("s")).alias("leader")), "s").where("vertex != leader")
+    picked = led.groupBy("vertex").agg(F.array_distinct(F.array(F.min_by("leader", "m"), F.max_by("leader", "m"))).alias("leaders"))
+    tried = picked.select(F.col("vertex").alias("a"), F.explode("leaders").alias("b"))
+    for step in (lambda: rooted(tried, roots), lambda: prefix_pairs(heads, roots, least)):
+        found = stage(confirm(step()), "links")
+        if found.take(1):
+            roots = stage(components(as_links(roots).unionByName(found)), "components")
+    return roots

@@ -276,14 +276,14 @@ def shingle_links(different: DataFrame, numbered: DataFrame, words: int, least:
     # In shards of three or more no pair of different components is left out: it shares a rare shingle.
     apart = pairs.still_apart(members, roots)
     learn(apart.select("vertex").join(known[-1].select("vertex"), "vertex", "left_anti"))
-    more = stage(confirm(pairs.prefix_pairs(known[-1].join(apart, "vertex"), least)), "links")
-    return stage(components(pairs.as_links(roots).unionByName(more)), "components") if more.take(1) else roots
+    members = known[-1].join(apart.select("vertex"), "vertex", "left_semi")
+    return pairs.through_prefixes(members, least, confirm, roots)
 
 
 def within(found: DataFrame, different: DataFrame, far: int) -> DataFrame:
     """The pairs ``a, b`` whose fingerprints differ in ``far`` bits at most."""
     one, other = (different.select(F.col("row").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
-    both = beside(beside(found, one, "a", "b"), other, "b", "a")
+    both = found.join(one, "a").join(other, "b")
     return both.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= far).select("a", "b")
 
 

@@ -71,7 +71,8 @@ def test_what_one_leader_misses_is_found(spark, monkeypatch):
 @pytest.mark.parametrize("least", [(85, 100), (4, 5), (1, 2)])
 def test_prefix_pairs_lose_none(spark, least):
     rows = [(i, i, sorted(hash(x) & 0xFFFFFFFF for x in brute.shingle_set(t))) for i, t in corpus() if brute.shingle_set(t)]
-    got = {(r.a, r.b) for r in pairs.prefix_pairs(spark.createDataFrame(rows, "vertex long, root long, shingles array<long>"), least).collect()}
+    members = spark.createDataFrame(rows, "vertex long, root long, shingles array<long>")
+    got = {(r.a, r.b) for r in pairs.prefix_pairs(pairs.prefixes(members, least), members.select("vertex", "root"), least).collect()}
     sets = {i: frozenset(s) for i, _, s in rows}
     want = {(a, b) for a in sets for b in sets if a < b and least[1] * len(sets[a] & sets[b]) >= least[0] * len(sets[a] | sets[b])}
     assert want <= got

@@ -169,5 +169,5 @@ def test_deduplicate_with_much_in_common(spark):
     texts = [" ".join(shared + [word() for _ in range(80)]) for _ in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert simhash.deduplicate(docs).count() == 400
-    members = [(i, i, sorted(hash(x) for x in brute.shingle_set(t))) for i, t in enumerate(texts)]
-    assert pairs.prefix_pairs(spark.createDataFrame(members, "vertex long, root long, shingles array<long>"), (4, 5)).count() == 0
+    members = spark.createDataFrame([(i, i, sorted(hash(x) for x in brute.shingle_set(t))) for i, t in enumerate(texts)], "vertex long, root long, shingles array<long>")
+    assert pairs.prefix_pairs(pairs.prefixes(members, (4, 5)), members.select("vertex", "root"), (4, 5)).count() == 0
