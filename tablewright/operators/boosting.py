@@ -24,7 +24,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import shared_folder, stage
+from ..session import scratch_path, stage
 
 REFRESH = 20  # trees after which the rows are written again with their predictions
 FEATURES_PER_PASS = 40
@@ -200,7 +200,6 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
         # Passes are many and small: a session of its own plans them without re-planning, and leaves the caller's settings alone.
         plain = df.sparkSession.newSession()
         plain.conf.set("spark.sql.adaptive.enabled", "false")
-        plain.conf.set("spark.checkpoint.dir", shared_folder(df.sparkSession))
         plain.conf.set("spark.sql.shuffle.partitions", df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         own = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
         facts = own.agg(F.avg("y").alias("base"), F.count("*").alias("rows"), F.first(F.size("x")).alias("size")).first()
@@ -229,11 +228,12 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
 
         schema = "bins binary, y double, pred double"
         written = stage(own.mapInArrow(binned, schema), "boosting-rows")
-        reread = lambda path: plain.read.schema(written.schema).parquet(*path)
-        rows, trees, recent = reread(written.inputFiles()), [], []
+        rows, trees, recent = plain.read.schema(written.schema).parquet(*written.inputFiles()), [], []
         for _ in range(self.getOrDefault(self.rounds) if size else 0):
             if len(recent) == REFRESH:
-                rows, recent = reread(stage(rows.mapInArrow(refreshed, schema), "boosting-rows").inputFiles()), []
+                path = scratch_path(df.sparkSession, "boosting-rows")
+                rows.mapInArrow(refreshed, schema).write.parquet(path)
+                rows, recent = plain.read.schema(written.schema).parquet(path), []
             tree = grow(rows, recent, size, bins, (0.0, facts.rows), self)
             if not tree.splits:
                 break
