@@ -29,6 +29,7 @@ from ..session import scratch_path, stage
 REFRESH = 20  # trees after which the rows are written again with their predictions
 FEATURES_PER_PASS = 40
 ACCURACY = 10_000
+CELLS_PER_TASK = 8_000  # of one node; a level has as many for each of its nodes
 
 
 @dataclass
@@ -200,7 +201,6 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
         # Passes are many and small: a session of its own plans them without re-planning, and leaves the caller's settings alone.
         plain = df.sparkSession.newSession()
         plain.conf.set("spark.sql.adaptive.enabled", "false")
-        plain.conf.set("spark.sql.shuffle.partitions", df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         own = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
         facts = own.agg(F.avg("y").alias("base"), F.count("*").alias("rows"), F.first(F.size("x")).alias("size")).first()
         if not facts.rows:
@@ -208,6 +208,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
         size, base = facts.size, facts.base or 0.0
         cuts = cut_points(own, size, min(self.getOrDefault(self.bins), 256))
         bins = max([1, *(len(c) + 1 for c in cuts)])
+        # What is shuffled are the cells of a level, whose number the rows do not change.
+        plain.conf.set("spark.sql.shuffle.partitions", str(-(-sum(len(c) + 1 for c in cuts) // CELLS_PER_TASK) or 1))
 
         def binned(batches: Iterator) -> Iterator:
             import numpy as np
