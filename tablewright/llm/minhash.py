@@ -102,7 +102,9 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int
     """``vertex, shingles`` of the classes named in ``wanted``, from the text of one document of each."""
     named = stage(classes.join(wanted, "vertex").select("vertex", "hi", "lo", F.col("least").alias("id")), "suspects")
     ids = small_or_plain(named.select("id").distinct(), "suspect-ids")
-    found = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").select(pairs.sets(F.col("text"), words).alias("s")).select("s.*")
+    found = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").select(pairs.sets(F.col("text"), words).alias("s"))
+    # Keys that cannot be null: a test of them would be moved before the semi join, and the function with it over all texts.
+    found = found.select(*[F.coalesce(f"s.{k}", F.lit(0)).alias(k) for k in ("hi", "lo")], "s.shingles")
     return stage(found.join(named, ["hi", "lo"]).select("vertex", "shingles").dropDuplicates(["vertex"]), "full-sets")
 
 
