@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .texts import on_texts, raw, ready, release, strings
 
-KNOWN_BYTES = 12 << 20  # of pieces and their ids that a worker remembers, then it starts anew; no result depends on it
+KNOWN_BYTES, KNOWN_PIECES = 12 << 20, 800_000  # that a worker remembers, whichever comes first; then it starts anew, and no result depends on it
 SLICE_BYTES = 1 << 20  # remembered pieces are looked up once a slice
 LIBRARY_PIECES = 20_000  # pieces handed to the library at a time
 
@@ -156,7 +156,7 @@ class Pieces:
             folded = data + (capital.view(np.uint8) << 5)
         pieces = strings(folded if self.fold and ordinary else data, cuts, pa.string()).dictionary_encode()
         distinct = pieces.dictionary
-        if self.known.nbytes + self.ids.nbytes + self.bounds.nbytes > KNOWN_BYTES:
+        if self.known.nbytes + self.ids.nbytes + self.bounds.nbytes > KNOWN_BYTES or len(self.known) + len(distinct) > KNOWN_PIECES:
             self.forget()
         place = pc.index_in(distinct, value_set=self.known)
         if place.null_count:

@@ -81,8 +81,8 @@ def character_classes() -> np.ndarray:
     for start, part in characters():
         for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
             table[[start + m.start() for m in regex.finditer(pattern, part)]] = kind
-    for characters, kind in ((" ", SPACE), ("'", MARK), ("stmd", ENDING), ("r", R), ("v", V), ("l", L), ("e", E)):
-        table[[ord(c) for c in characters]] = kind
+    for members, kind in ((" ", SPACE), ("'", MARK), ("stmd", ENDING), ("r", R), ("v", V), ("l", L), ("e", E)):
+        table[[ord(c) for c in members]] = kind
     return table
 
 
