@@ -1,185 +1,104 @@
-"""Boosted trees of second order: histograms of gradients and hessians, leaf weights -G / (H + l2).
+"""Boosted trees: histograms of gradients and hessians, leaf weights -G / (H + l2).
 
-Rows hold one byte per feature, the number of its bin between quantiles. A pass over the rows adds up gradient and row
-counts by (node, feature, bin) in each task, and the engine adds the tasks' sums, runs along the bins and keeps the best
-cut of each node and feature; the driver gets one row for each of these. All nodes of a level share a pass.
+Rows hold small codes (`trees.py`) and their predictions, in blocks kept by the engine. A pass over the blocks adds up rows,
+gradients and, for classes, hessians by (node, column, code) in each task; the engine merges the tasks' sums, whose number the rows
+do not change, and the driver takes the best cut of each node from them. All nodes of a level share a pass, for classes those of all
+trees of a round.
 
 With a limit on leaves, splits are taken in the order of their gain. A node's best split does not depend on that order,
 so levels are still grown together: only nodes that the order can reach are looked at, and a tree ends when it reaches
-no unknown one. The loss is the squared error: a row's gradient is prediction - label, its hessian 1.
+no unknown one. The loss is the squared error, or for classes the deviance, with a tree for each class beyond two.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Transformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path, stage
+from .trees import Codes, Rule, Tree, choose, fit_codes, merged, pack_rows, partitions, place, unpack
 
 REFRESH = 20  # trees after which the rows are written again with their predictions
-FEATURES_PER_PASS = 40
-ACCURACY = 10_000
-CELLS_PER_TASK = 8_000  # of one node; a level has as many for each of its nodes
 
 
-@dataclass
-class Split:
-    feature: int
-    bin: int
-    gain: float
-    left: tuple[float, float]  # gradient and rows
-    right: tuple[float, float]
-
-
-class Tree:
-    """Nodes by number; the children of node i are 2 i + 1 and 2 i + 2 in the order of making, kept by name."""
-
-    def __init__(self) -> None:
-        self.children: dict[int, tuple[int, int]] = {}
-        self.splits: dict[int, tuple[int, int]] = {}  # feature and bin: rows up to the bin go left
-        self.weights: dict[int, float] = {}
-
-    def place(self, bins):
-        """Node of each row: ``bins`` is a matrix of rows and features."""
-        import numpy as np
-
-        node = np.zeros(len(bins), np.int64)
-        for parent in sorted(self.splits):  # a child's number is above its parent's
-            feature, cut = self.splits[parent]
-            here = np.flatnonzero(node == parent)
-            left, right = self.children[parent]
-            node[here] = np.where(bins[here, feature] <= cut, left, right)
-        return node
-
-    def predict(self, bins):
-        import numpy as np
-
-        values = np.zeros(max([0, *self.weights]) + 1)
-        for node, weight in self.weights.items():
-            values[node] = weight
-        return values[self.place(bins)]
-
-
-def cut_points(rows: DataFrame, size: int, bins: int) -> list[list[float]]:
-    """Ascending cuts of each feature from quantile sketches; the greatest value is none of them."""
-    shares = [i / bins for i in range(1, bins)]
-    cuts: list[list[float]] = []
-    for start in range(0, size, FEATURES_PER_PASS):
-        own = range(start, min(size, start + FEATURES_PER_PASS))
-        wanted = [F.percentile_approx(F.col("x")[i], shares, ACCURACY).alias(f"q{i}") for i in own]
-        row = rows.agg(*wanted, *[F.max(F.col("x")[i]).alias(f"m{i}") for i in own]).first()
-        cuts += [sorted({v for v in row[f"q{i}"] or [] if v < row[f"m{i}"]}) for i in own]
-    return cuts
-
-
-def _binned(x, cuts):
-    import numpy as np
-
-    return np.stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)], 1).astype(np.uint8) if cuts else np.zeros((len(x), 0), np.uint8)
-
-
-def _matrix(column, size):
+def gradients(pred, y, classes: int):
+    """(outputs x rows) gradients, and for classes hessians of the leaf weights."""
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
-
-
-def _histograms(rows: DataFrame, trees: list[Tree], tree: Tree, nodes: list[int], size: int, bins: int) -> DataFrame:
-    """``node, feature, bin, g, n`` of the rows in ``nodes`` of the unfinished tree, by task."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        g, n = np.zeros((len(nodes), size, bins)), np.zeros((len(nodes), size, bins), np.int64)
-        slot = np.full(max([*tree.weights, *nodes, *(c for pair in tree.children.values() for c in pair)], default=0) + 1, -1)
-        slot[nodes] = np.arange(len(nodes))
-        for batch in batches:
-            x = _matrix(batch.column(0), size)
-            gradient = batch.column(2).to_numpy() + sum(t.predict(x) for t in trees) - batch.column(1).to_numpy()
-            own = slot[tree.place(x)]
-            used = own >= 0
-            x, gradient, own = x[used], gradient[used], own[used]
-            for f in range(size):
-                cell = own * bins + x[:, f]
-                g[:, f] += np.bincount(cell, gradient, len(nodes) * bins).reshape(len(nodes), bins)
-                n[:, f] += np.bincount(cell, minlength=len(nodes) * bins).reshape(len(nodes), bins)
-        node, feature, cut = np.nonzero(n)
-        columns = [np.array(nodes, np.int32)[node], feature.astype(np.int32), cut.astype(np.int32), g[node, feature, cut], n[node, feature, cut]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "feature", "bin", "g", "n"])
-
-    return rows.mapInArrow(run, "node int, feature int, bin int, g double, n long")
-
-
-def best_splits(cells: DataFrame, l2: float, least_rows: int) -> dict[int, Split]:
-    """The cut of the highest gain of each node; of equal ones that of the first feature and bin."""
-    # Dealt by node and feature once, for the sums as well as for the order of bins.
-    dealt = cells.repartition(F.col("node"), F.col("feature")).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-    group = Window.partitionBy("node", "feature")
-    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = dealt.select(
-        "node", "feature", "bin", F.sum("g").over(upto).alias("gl"), F.sum("n").over(upto).alias("nl"), F.sum("g").over(group).alias("gs"), F.sum("n").over(group).alias("ns")
-    )
-    term = lambda g, n: g * g / (n + F.lit(l2))
-    gr, nr = F.col("gs") - F.col("gl"), F.col("ns") - F.col("nl")
-    fit = run.where((F.col("nl") >= least_rows) & (nr >= least_rows)).withColumn("gain", term(F.col("gl"), F.col("nl")) + term(gr, nr) - term(F.col("gs"), F.col("ns")))
-    best = fit.groupBy("node", "feature").agg(F.max_by(F.struct("bin", "gl", "nl", "gs", "ns", "gain"), F.struct("gain", -F.col("bin"))).alias("b"))
-    found: dict[int, Split] = {}
-    for r in sorted(best.select("node", "feature", "b.*").collect(), key=lambda r: (r.node, r.feature)):
-        if r.gain > 1e-12 and (r.node not in found or r.gain > found[r.node].gain):
-            found[r.node] = Split(r.feature, r.bin, r.gain, (r.gl, r.nl), (r.gs - r.gl, r.ns - r.nl))
-    return found
-
-
-def grow(rows: DataFrame, trees: list[Tree], size: int, bins: int, root: tuple[float, float], c: "BoostedTrees") -> Tree:
-    """One tree on the gradients that ``trees`` leave. ``root``: sum of the gradients, which the first pass may replace, and rows."""
-    depth, leaves, l2, step = (c.getOrDefault(p) for p in (c.depth, c.leaves, c.l2, c.step))
-    known: dict[int, Split | None] = {}
-    tree, sums, level = Tree(), {0: root}, {0: 0}
-    asked = [0]
-    while asked:
-        found = best_splits(_histograms(rows, trees, tree, asked, size, bins), l2, c.getOrDefault(c.least))
-        for node in asked:
-            known[node] = found.get(node)
-            if known[node] is not None:
-                sums[node] = tuple(a + b for a, b in zip(known[node].left, known[node].right))
-                left = max(sums) + 1
-                tree.children[node], tree.splits[node] = (left, left + 1), (known[node].feature, known[node].bin)
-                sums[left], sums[left + 1] = known[node].left, known[node].right
-                level[left] = level[left + 1] = level[node] + 1
-        # Take splits by gain; a node that this reaches and that is not known yet is looked at in the next pass.
-        heap, taken, asked = [(-known[0].gain, 0)] if known[0] else [], [], []
-        while heap and len(taken) < leaves - 1:
+    if not classes:
+        return pred - y[None], None
+    if classes == 2:
+        g = 1.0 / (1.0 + np.exp(-pred)) - y[None]
+    else:
+        e = np.exp(pred - pred.max(0))
+        g = e / e.sum(0) - (y[None] == np.arange(classes)[:, None])
+    return g, np.abs(g) * (1.0 - np.abs(g))
+
+
+class Growing:
+    """One tree on its way: which nodes the next pass looks at, and what it found."""
+
+    def __init__(self, leaves: int, depth: int) -> None:
+        self.tree, self.leaves, self.depth = Tree(), leaves, depth
+        self.sums, self.level = {}, {0: 0}
+        self.known: dict[int, tuple[float, int, int] | None] = {}
+        self.taken: list[int] = []
+        self.asked = [0]
+
+    def learn(self, node: int, totals, cut) -> None:
+        """``cut``: column, code, gain and sums of the left side, or None."""
+        self.sums[node] = totals
+        if cut is None or cut[2] <= 1e-12:
+            self.known[node] = None
+            return
+        column, code, gain, left = cut
+        child = self.tree.split(node, column, code)
+        self.sums[child], self.sums[child + 1] = left, totals - left
+        self.level[child] = self.level[child + 1] = self.level[node] + 1
+        self.known[node] = (gain, column, code)
+
+    def turn(self) -> None:
+        """Take splits by gain; a node that this reaches and that is not known yet is looked at in the next pass."""
+        heap, taken, asked = [(-self.known[0][0], 0)] if self.known[0] else [], [], []
+        while heap and len(taken) < self.leaves - 1:
             _, node = heapq.heappop(heap)
             taken.append(node)
-            for child in tree.children[node]:
-                if level[child] >= depth:
+            for child in (self.tree.child[node], self.tree.child[node] + 1):
+                if self.level[child] >= self.depth:
                     continue
-                if child not in known:
+                if child not in self.known:
                     asked.append(child)
-                elif known[child] is not None:
-                    heapq.heappush(heap, (-known[child].gain, child))
-    final = Tree()
-    final.children, final.splits = {n: tree.children[n] for n in taken}, {n: tree.splits[n] for n in taken}
-    ends = {child for n in taken for child in tree.children[n]} - set(taken) or {0}
-    final.weights = {n: -step * sums[n][0] / (sums[n][1] + l2) for n in ends}
-    return final
+                elif self.known[child] is not None:
+                    heapq.heappush(heap, (-self.known[child][0], child))
+        self.taken, self.asked = taken, asked
+
+    def final(self, weight) -> Tree:
+        """The splits that were taken, numbered anew, with the weights of the ends."""
+        out, numbers = Tree(), {0: 0}
+        out.value[0] = weight(self.sums[0])
+        for node in sorted(self.taken):
+            _, column, code = self.known[node]
+            child, own = self.tree.child[node], out.split(numbers[node], column, code)
+            for side in (0, 1):
+                numbers[child + side] = own + side
+                out.value[own + side] = weight(self.sums[child + side])
+        return out
 
 
 class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Regression by boosted trees. ``leaves`` limits a tree in the order of gains, ``depth`` by levels.
+    """Boosted trees for numbers, or for ``classes`` numbered from 0. ``leaves`` limits a tree in the order of gains, ``depth`` by levels.
 
-    The first prediction is the mean of the labels. Rows with a null label or vector are errors of the preparation before.
+    The first prediction is the mean of the labels, for classes the logarithm of their shares. Rows with a null label or vector
+    are errors of the preparation before.
     """
 
     rounds = Param(Params._dummy(), "rounds", "trees", TypeConverters.toInt)
@@ -189,67 +108,132 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
     least = Param(Params._dummy(), "least", "rows of a leaf at least", TypeConverters.toInt)
     l2 = Param(Params._dummy(), "l2", "added to the hessian of a leaf", TypeConverters.toFloat)
     bins = Param(Params._dummy(), "bins", "bins of a feature, 256 at most", TypeConverters.toInt)
+    classes = Param(Params._dummy(), "classes", "number of classes, 0 for regression", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, rounds=100, step=0.3, depth=6, leaves=1 << 30, least=1, l2=1.0, bins=255):
+    def __init__(self, rounds=100, step=0.3, depth=6, leaves=1 << 30, least=1, l2=1.0, bins=255, classes=0):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction")
         self._set(**self._input_kwargs)
-        self._setDefault(rounds=100, step=0.3, depth=6, leaves=1 << 30, least=1, l2=1.0, bins=255)
+        self._setDefault(rounds=100, step=0.3, depth=6, leaves=1 << 30, least=1, l2=1.0, bins=255, classes=0)
 
     def _fit(self, df: DataFrame) -> "BoostedTreesModel":
-        # Passes are many and small: a session of its own plans them without re-planning, and leaves the caller's settings alone.
-        plain = df.sparkSession.newSession()
-        plain.conf.set("spark.sql.adaptive.enabled", "false")
+        import numpy as np
+
+        spark, classes = df.sparkSession, self.getOrDefault(self.classes)
+        depth, leaves, l2, step = (self.getOrDefault(p) for p in (self.depth, self.leaves, self.l2, self.step))
         own = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
-        facts = own.agg(F.avg("y").alias("base"), F.count("*").alias("rows"), F.first(F.size("x")).alias("size")).first()
+        sizes = [F.count_if(F.col("y") == k).alias(f"c{k}") for k in range(classes)]
+        facts = own.agg(F.avg("y").alias("mean"), F.count("*").alias("rows"), *sizes).first()
         if not facts.rows:
             raise ValueError("no training rows")
-        size, base = facts.size, facts.base or 0.0
-        cuts = cut_points(own, size, min(self.getOrDefault(self.bins), 256))
-        bins = max([1, *(len(c) + 1 for c in cuts)])
-        # What is shuffled are the cells of a level, whose number the rows do not change.
-        plain.conf.set("spark.sql.shuffle.partitions", str(-(-sum(len(c) + 1 for c in cuts) // CELLS_PER_TASK) or 1))
-
-        def binned(batches: Iterator) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
-            for batch in batches:
-                x = np.array(batch.column(0).flatten()).reshape(-1, size) if size else np.zeros((batch.num_rows, 0))
-                packed = [row.tobytes() for row in _binned(x, cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), pa.array(np.full(len(packed), base))], ["bins", "y", "pred"])
-
-        def refreshed(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                x = _matrix(batch.column(0), size)
-                pred = batch.column(2).to_numpy() + sum(t.predict(x) for t in recent)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred)], ["bins", "y", "pred"])
-
-        schema = "bins binary, y double, pred double"
-        written = stage(own.mapInArrow(binned, schema), "boosting-rows")
-        rows, trees, recent = plain.read.schema(written.schema).parquet(*written.inputFiles()), [], []
-        for _ in range(self.getOrDefault(self.rounds) if size else 0):
-            if len(recent) == REFRESH:
-                path = scratch_path(df.sparkSession, "boosting-rows")
-                rows.mapInArrow(refreshed, schema).write.parquet(path)
-                rows, recent = plain.read.schema(written.schema).parquet(path), []
-            tree = grow(rows, recent, size, bins, (0.0, facts.rows), self)
-            if not tree.splits:
+        shares = np.array([max(facts[f"c{k}"], 1e-9) / facts.rows for k in range(classes)])
+        base = [facts.mean or 0.0] if not classes else [float(math.log(shares[1] / shares[0]))] if classes == 2 else np.log(shares).tolist()
+        outputs, entries, rule = len(base), 3 if classes else 2, Rule(l2=l2, least=self.getOrDefault(self.least))
+        layout = fit_codes(own, min(self.getOrDefault(self.bins), 256))
+        width, widths, indicators = len(layout.groups), layout.widths, layout.indicators
+        offsets = np.r_[0, np.cumsum(widths)].astype(int)
+        packed = stage(pack_rows(own, layout, "double"), "boosting-rows")
+        blocks = packed.count()
+
+        def begin(r):
+            return r.codes, r.told, np.repeat(np.array(base)[:, None], len(r.told) // 8, 1).tobytes()
+
+        def weight(sums) -> list[float]:
+            if not classes:
+                return [-step * sums[1] / (sums[0] + l2)]
+            factor = 1.0 if classes == 2 else (classes - 1) / classes
+            return [-step * factor * sums[1] / (sums[2] + l2) if sums[2] > 1e-150 else 0.0]
+
+        def updated(rows, last):
+            def run(part):
+                for codes, told, pred in part:
+                    pred, x = np.frombuffer(pred).reshape(outputs, -1).copy(), unpack(codes, len(told) // 8, width)
+                    for k, tree in enumerate(last):
+                        pred[k] += tree[3][place(x, indicators, tree), 0]
+                    yield codes, told, pred.tobytes()
+
+            return rows.mapPartitions(run, preservesPartitioning=True)
+
+        def passed(rows, growing):
+            """Sums of the asked nodes of all outputs, in their order."""
+            arrays, asked = [g.tree.arrays()[:3] for g in growing], [g.asked for g in growing]
+            size = sum(map(len, asked))
+
+            def add(part):
+                sums = np.zeros((size, int(offsets[-1]), entries))
+                for codes, told, pred in part:
+                    y = np.frombuffer(told)
+                    codes = unpack(codes, len(y), width)
+                    g, h = gradients(np.frombuffer(pred).reshape(outputs, -1), y, classes)
+                    first = 0
+                    for k, nodes in enumerate(asked):
+                        if nodes:
+                            slots = np.full(len(arrays[k][0]), -1)
+                            slots[nodes] = np.arange(len(nodes))
+                            at = slots[place(codes, indicators, arrays[k])]
+                            used = np.flatnonzero(at >= 0)
+                            at, stats = at[used], [None, g[k, used]] + ([h[k, used]] if classes else [])
+                            for c, wide in enumerate(widths):
+                                key = at * wide + codes[used, c]
+                                for e, s in enumerate(stats):
+                                    sums[first : first + len(nodes), offsets[c] : offsets[c + 1], e] += np.bincount(key, s, len(nodes) * wide).reshape(-1, wide)
+                        first += len(nodes)
+                yield sums
+
+            return rows.mapPartitions(add).treeReduce(merged, 2)
+
+        level = StorageLevel.MEMORY_AND_DISK
+        rows = packed.repartition(partitions(spark, facts.rows, blocks)).rdd.map(begin).persist(level)
+        trees, before = [[] for _ in range(outputs)], None
+        for done in range(self.getOrDefault(self.rounds) if width else 0):
+            growing = [Growing(leaves, depth) for _ in range(outputs)]
+            while any(g.asked for g in growing):
+                sums = passed(rows, growing)
+                if before is not None:
+                    before.unpersist()
+                    before = None
+                totals, parts = sums[:, offsets[0] : offsets[1]].sum(1), []
+                for c, wide in enumerate(widths):
+                    flat = sums[:, offsets[c] : offsets[c + 1]].reshape(-1, entries)
+                    found = np.flatnonzero(flat[:, 0])
+                    parts.append((found, flat[found]))
+                cuts = choose(parts, totals, np.ones(len(totals), bool), layout, rule, None, 1)
+                best = {int(s): (int(c), int(v), float(gain), left) for s, c, v, gain, left in zip(*cuts)}
+                slot = 0
+                for g in growing:
+                    for node in g.asked:
+                        g.learn(node, totals[slot], best.get(slot))
+                        slot += 1
+                    if g.asked:
+                        g.turn()
+            last = [g.final(weight) for g in growing]
+            if not any(t.column[0] >= 0 for t in last):
                 break
-            recent = [*recent, tree]
-            trees.append(tree)
-        listed = [[[n, *t.splits[n], *t.children[n]] for n in sorted(t.splits)] + [[n, w] for n, w in t.weights.items()] for t in trees]
-        document = json.dumps({"base": base, "cuts": cuts, "trees": listed})
+            for k, tree in enumerate(last):
+                trees[k].append(tree)
+            before, rows = rows, updated(rows, [t.arrays() for t in last])
+            if (done + 1) % REFRESH == 0:  # a written table ends the chain of updates
+                path = scratch_path(spark, "boosting-rows")
+                schema = "codes binary, told binary, pred binary"
+                spark.createDataFrame(rows.map(lambda r: tuple(map(bytearray, r))), schema).write.parquet(path)
+                before.unpersist()
+                before, rows = None, spark.read.schema(schema).parquet(path).repartition(partitions(spark, facts.rows, blocks)).rdd.map(
+                    lambda r: (bytes(r.codes), bytes(r.told), bytes(r.pred))
+                )
+            rows = rows.persist(level)
+        rows.unpersist()
+        if before is not None:
+            before.unpersist()
+        listed = [[[t.column, t.code, t.child, [v[0] for v in t.value]] for t in own_] for own_ in trees]
+        document = json.dumps({"base": base, "cuts": layout.cuts, "groups": layout.groups, "indicators": indicators, "classes": classes, "trees": listed})
         return BoostedTreesModel(document=document, featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
 
 
 class BoostedTreesModel(Transformer, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """Fitted trees: their size is bounded by the rounds and the leaves, not by the rows."""
 
-    document = Param(Params._dummy(), "document", "base, cuts and trees", TypeConverters.toString)
+    document = Param(Params._dummy(), "document", "base, codes and trees", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, document=None, featuresCol="features", predictionCol="prediction"):
@@ -257,42 +241,48 @@ class BoostedTreesModel(Transformer, HasFeaturesCol, HasPredictionCol, DefaultPa
         self._set(**self._input_kwargs)
         self._setDefault(featuresCol="features", predictionCol="prediction")
 
-    def parts(self) -> tuple[float, list[list[float]], list[Tree]]:
-        d, trees = json.loads(self.getOrDefault(self.document)), []
-        for listed in d["trees"]:
-            tree = Tree()
-            for row in listed:
-                if len(row) == 2:
-                    tree.weights[row[0]] = row[1]
-                else:
-                    tree.splits[row[0]], tree.children[row[0]] = (row[1], row[2]), (row[3], row[4])
-            trees.append(tree)
-        return d["base"], d["cuts"], trees
-
     @property
     def featureImportances(self):
         """Share of all splits that each feature has."""
+        import numpy as np
         from pyspark.ml.linalg import Vectors
 
-        _, cuts, trees = self.parts()
-        counts = [0.0] * len(cuts)
-        for tree in trees:
-            for feature, _ in tree.splits.values():
-                counts[feature] += 1.0
-        total = sum(counts) or 1.0
-        return Vectors.dense([c / total for c in counts])
+        d = json.loads(self.getOrDefault(self.document))
+        layout, counts = Codes(d["cuts"], d["groups"], d["indicators"]), np.zeros(len(d["cuts"]))
+        for own in d["trees"]:
+            for column, code, _, _ in own:
+                column, code = np.array(column), np.array(code)
+                inner = column >= 0
+                np.add.at(counts, layout.features(column[inner], code[inner]), 1.0)
+        return Vectors.dense((counts / (counts.sum() or 1.0)).tolist())
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        base, cuts, trees = self.parts()
+        import numpy as np
+
+        d = json.loads(self.getOrDefault(self.document))
+        layout, base, classes = Codes(d["cuts"], d["groups"], d["indicators"]), d["base"], d["classes"]
+        trees = [
+            [(np.array(a, np.int16), np.array(b, np.uint8), np.array(c, np.int32), np.array(v, float)) for a, b, c, v in own] for own in d["trees"]
+        ]
 
-        @F.pandas_udf("double")
+        @F.pandas_udf("array<double>")
         def predict(vectors):
-            import numpy as np
             import pandas as pd
 
             if not len(vectors):
-                return pd.Series([], dtype=float)
-            x = np.stack(vectors.to_numpy()).astype(float)
-            return pd.Series(base + sum((t.predict(b) for b in [_binned(x, cuts)] for t in trees), np.zeros(len(x))))
-
-        return df.withColumn(self.getPredictionCol(), predict(vector_to_array(self.getFeaturesCol())))
+                return pd.Series([], dtype=object)
+            codes = layout.encode(np.stack(vectors.to_numpy()).astype(float))
+            out = np.stack([b + sum((t[3][place(codes, layout.indicators, t)] for t in own), np.zeros(len(codes))) for b, own in zip(base, trees)], 1)
+            if classes == 2:
+                p = 1.0 / (1.0 + np.exp(-out[:, 0]))
+                out = np.stack([1.0 - p, p], 1)
+            elif classes:
+                e = np.exp(out - out.max(1, keepdims=True))
+                out = e / e.sum(1, keepdims=True)
+            return pd.Series(list(out))
+
+        out = df.withColumn("__values", predict(vector_to_array(self.getFeaturesCol())))
+        if not classes:
+            return out.withColumn(self.getPredictionCol(), F.col("__values")[0]).drop("__values")
+        best = (F.array_position("__values", F.array_max("__values")) - 1).cast("double")
+        return out.withColumn("probability", array_to_vector("__values")).withColumn(self.getPredictionCol(), best).drop("__values")

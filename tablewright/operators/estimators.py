@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,10 +18,11 @@ from ..functions.columns import DATETIME, as_double, columns_of_kind, numeric_co
 from . import clean
 from .boosting import BoostedTrees
 from .features import INFREQUENT, fit_categories
-from .transformers import RandomFourier, RandomThresholds
+from .transformers import RandomFourier
+from .trees import Forest
 
 SEED = 42
-MAX_DEPTH = 30  # the deepest the engine grows; trees elsewhere have no limit
+MAX_DEPTH = 30  # trees elsewhere have no limit
 TREES = 100
 ROUNDS = 100
 
@@ -161,37 +160,19 @@ def _elastic_net(c: FitContext, alpha: float = 1.0, share: float = 0.5):
 
 
 def _tree_regressor(c: FitContext):
-    return [DecisionTreeRegressor(maxDepth=c.depth, maxBins=64, seed=c.seed)]
+    return [Forest(depth=c.depth, randomSeed=c.seed)]
 
 
 def _forest_regressor(c: FitContext):
-    return [RandomForestRegressor(numTrees=c.trees, featureSubsetStrategy="all", maxDepth=c.depth, seed=c.seed)]
-
-
-def _random_thresholds(c: FitContext):
-    """``draws`` random cuts for a number, the one possible cut for a 0/1 indicator."""
-    import numpy as np
-
-    f = c.facts()
-    rng = np.random.RandomState(c.seed)
-    cuts, owners = [], []
-    for i, (low, high) in enumerate(zip(f["low"], f["high"])):
-        drawn = [0.5] if (low, high) == (0.0, 1.0) else sorted(rng.uniform(low, high, size=c.draws))
-        cuts += [float(v) for v in drawn]
-        owners += [i] * len(drawn)
-    return RandomThresholds(inputCol="features", outputCol="tests", thresholds=cuts, owners=owners)
+    return [Forest(trees=c.trees, bootstrap=True, depth=c.depth, randomSeed=c.seed)]
 
 
 def _extra_regressor(c: FitContext):
-    per_node = str(len(c.facts()["low"]))  # as many random tests per node as there are features
-    forest = RandomForestRegressor(
-        featuresCol="tests", numTrees=c.trees, featureSubsetStrategy=per_node, maxDepth=c.depth, maxBins=2, bootstrap=False, seed=c.seed
-    )
-    return [_random_thresholds(c), forest]
+    return [Forest(trees=c.trees, random=True, depth=c.depth, randomSeed=c.seed)]
 
 
 def _boost_regressor(c: FitContext):
-    return [GBTRegressor(maxIter=c.rounds, stepSize=0.1, maxDepth=3, seed=c.seed)]
+    return [BoostedTrees(rounds=c.rounds, step=0.1, depth=3, l2=0.0)]
 
 
 def _second_order(**settings):
@@ -205,24 +186,24 @@ def _logistic(c: FitContext):
 
 
 def _tree_classifier(c: FitContext):
-    return [DecisionTreeClassifier(impurity="gini", maxDepth=c.depth, maxBins=64, seed=c.seed)]
+    return [Forest(classes=c.classes, depth=c.depth, randomSeed=c.seed)]
+
+
+def _root(c: FitContext) -> int:
+    """Features drawn for a node: the root of their number."""
+    return max(1, math.isqrt(len(c.facts()["low"])))
 
 
 def _forest_classifier(c: FitContext):
-    return [RandomForestClassifier(numTrees=c.trees, featureSubsetStrategy="sqrt", maxDepth=c.depth, seed=c.seed)]
+    return [Forest(classes=c.classes, trees=c.trees, subset=_root(c), bootstrap=True, depth=c.depth, randomSeed=c.seed)]
 
 
 def _extra_classifier(c: FitContext):
-    per_node = str(max(1, math.isqrt(len(c.facts()["low"]))))
-    forest = RandomForestClassifier(
-        featuresCol="tests", numTrees=c.trees, featureSubsetStrategy=per_node, maxDepth=c.depth, maxBins=2, bootstrap=False, seed=c.seed
-    )
-    return [_random_thresholds(c), forest]
+    return [Forest(classes=c.classes, trees=c.trees, subset=_root(c), random=True, depth=c.depth, randomSeed=c.seed)]
 
 
 def _boost_classifier(c: FitContext):
-    trees = GBTClassifier(maxIter=c.rounds, stepSize=0.1, maxDepth=3, seed=c.seed)
-    return [trees] if c.classes <= 2 else [OneVsRest(classifier=trees, parallelism=4)]
+    return [BoostedTrees(rounds=c.rounds, step=0.1, depth=3, l2=0.0, classes=c.classes)]
 
 
 def _svm(c: FitContext):
@@ -304,10 +285,8 @@ def feature_importance(model: PipelineModel, names: Sequence[str], df: DataFrame
     """(feature, importance), largest first; None for a model that has neither importances nor coefficients."""
     import numpy as np
 
-    values, owners = None, None
+    values = None
     for stage in model.stages:
-        if isinstance(stage, RandomThresholds):
-            owners = stage.getOrDefault(stage.owners)
         if hasattr(stage, "featureImportances"):
             values = stage.featureImportances.toArray()
         elif hasattr(stage, "models") and all(hasattr(m, "featureImportances") for m in stage.models):
@@ -318,7 +297,5 @@ def feature_importance(model: PipelineModel, names: Sequence[str], df: DataFrame
             values = np.abs(stage.coefficients.toArray())
     if values is None or any(isinstance(s, RandomFourier) for s in model.stages):
         return None
-    if owners is not None:
-        values = np.bincount(owners, weights=values, minlength=len(names))
     rows = [(n, float(v)) for n, v in zip(names, values)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
