@@ -3,7 +3,9 @@
 A vector is cut in two halves, and each half has a codebook of centres, fitted on a bounded sample. A cell is a pair of
 centres, so few centres give many cells, and a cell holds about ``CELL_ROWS`` training rows however many there are. A test row
 visits the cells whose centres are nearest to its halves, and is compared exactly with the rows of these: about ``CANDIDATES`` of
-them, whatever the size of the table. Cells are met by equi-joins, and a crowded one is cut in blocks on both sides.
+them where that is enough. Whether it is, is measured: the true neighbours of up to ``TRIALS`` test rows are looked for, and as many
+cells are visited as hold ``WANTED`` of them. Rows without clusters need most cells; cells are then made larger, so that a test row
+is not sent to very many. Cells are met by equi-joins, and a crowded one is cut in blocks on both sides.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tables import spread_by
 from ..session import stage
-from .neighbors import _block_neighbours
+from .neighbors import _block_neighbours, nearest_neighbours
 
 SAMPLE = 50_000  # training rows that codebooks are fitted on, at most
 CENTRES = 4_096  # in a codebook, at most
@@ -22,11 +24,14 @@ CELL_ROWS = 64
 CANDIDATES = 1_280
 BLOCK_ROWS = 2_048  # training rows of a cell in one block
 QUERY_ROWS = 4_096  # test rows of a cell in one block
+TRIALS = 200  # test rows whose true neighbours tell how many cells are visited
+WANTED = 0.98  # share of these neighbours that the visited cells hold
+MOST_PROBES = 64  # above it cells are made larger
 ROUNDS = 12
 SPLITS = 16
 
 
-def fit_codebooks(train: DataFrame, rows: int, seed: int = 42):
+def fit_codebooks(train: DataFrame, rows: int, seed: int = 42, cell_rows: int = CELL_ROWS):
     """Two arrays of centres by Lloyd's rounds on a sample of at most ``SAMPLE`` vectors."""
     import numpy as np
 
@@ -34,7 +39,7 @@ def fit_codebooks(train: DataFrame, rows: int, seed: int = 42):
     if not sample:
         raise ValueError("no training rows")
     x = np.array([r["vector"] for r in sample], dtype=float)
-    count = min(CENTRES, max(1, math.isqrt(max(1, rows // CELL_ROWS))), len(x))
+    count = min(CENTRES, max(1, math.isqrt(max(1, rows // cell_rows))), len(x))
     half = max(1, x.shape[1] // 2)
     random, books = np.random.RandomState(seed), []
     for part in (x[:, :half], x[:, half:]):
@@ -87,11 +92,22 @@ def index_neighbours(train: DataFrame, test: DataFrame, k: int = 5, candidates:
     Distances are exact, the rows are not all of the nearest: those in other cells than the visited are missed. On tables
     up to ``candidates`` rows all cells are visited. ``train`` has (id, vector, label), ``test`` has (id, vector).
     """
-    books = fit_codebooks(train, train.count())
-    probes = max(1, min(len(books[0]) * len(books[1]), -(-candidates // CELL_ROWS)))
-    placed = stage(
-        train.select(F.col("id").alias("train_id"), "vector", "label", F.element_at(_cells(books, 1)("vector"), 1).alias("cell")), "index-cells"
-    )
+    rows, cell_rows = train.count(), CELL_ROWS
+    trials = stage(test.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(TRIALS).select("id", "vector"), "index-trials")
+    told = stage(nearest_neighbours(train, trials, k).select("test_id", "train_id"), "index-told") if rows > candidates else None
+    while True:
+        books = fit_codebooks(train, rows, cell_rows=cell_rows)
+        placed = stage(
+            train.select(F.col("id").alias("train_id"), "vector", "label", F.element_at(_cells(books, 1)("vector"), 1).alias("cell")), "index-cells"
+        )
+        cells = len(books[0]) * len(books[1])
+        probes = max(1, min(cells, -(-candidates // cell_rows)))
+        if told is not None:
+            held = told.join(placed.select("train_id", "cell"), "train_id").join(trials, F.col("test_id") == F.col("id"))
+            probes = max(probes, _probes_for(books, held.select("vector", "cell").collect()))
+        if probes <= MOST_PROBES or cells <= MOST_PROBES:
+            break
+        cell_rows *= 4
     asked = stage(test.select(F.col("id").alias("test_id"), "vector", F.explode(_cells(books, probes)("vector")).alias("cell")), "index-probes")
     # A cell's rows of either side are counted in parts and cut in blocks, so that no task gets all rows of a crowded cell.
     left, of_train = _in_parts(placed, "train_id")
@@ -116,6 +132,19 @@ def index_neighbours(train: DataFrame, test: DataFrame, k: int = 5, candidates:
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _probes_for(books, held) -> int:
+    """Nearest cells that a row must visit to meet ``WANTED`` of the pairs (vector, cell of a true neighbour)."""
+    import numpy as np
+
+    half, count, places = books[0].shape[1], len(books[0]), []
+    for vector, cell in held:
+        x = np.array(vector, dtype=float)[None]
+        a, b = _squares(x[:, :half], books[0])[0], _squares(x[:, half:], books[1])[0]
+        reach = a[cell // count] + b[cell % count]
+        places.append(np.searchsorted(np.sort(b), reach + 1e-9 * (1.0 + abs(reach)) - a, "right").sum())
+    return int(np.sort(places)[max(0, math.ceil(WANTED * len(places)) - 1)]) if places else 1
+
+
 def _in_parts(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """The rows with a ``part`` by their id, and the rows ``n`` of each cell and part."""
     split = rows.withColumn("part", F.pmod(F.xxhash64(name), F.lit(SPLITS)))

@@ -42,3 +42,12 @@ def test_small_tables_are_exact(spark):
     assert vector_index.index_neighbours(one, few).count() == 2
     with pytest.raises(ValueError):
         vector_index.index_neighbours(train.limit(0), test)
+
+
+def test_rows_without_clusters_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "CELL_ROWS", 16)
+    random = np.random.RandomState(3)
+    x, q = random.normal(size=(2_500, 32)), random.normal(size=(40, 32))
+    found = vector_index.index_neighbours(*frames(spark, x, q), k=5, candidates=160).collect()
+    want = brute(x, q, 5)
+    assert len({(r.test_id, r.train_id) for r in found} & want) >= 0.95 * len(want)
