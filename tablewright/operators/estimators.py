@@ -25,6 +25,7 @@ SEED = 42
 MAX_DEPTH = 30  # trees elsewhere have no limit
 TREES = 100
 ROUNDS = 100
+PARTITION_BYTES = 32 << 20  # of a solver's rows in one task
 
 
 def _number(value: float) -> str:
@@ -217,7 +218,7 @@ def _svm(c: FitContext):
         inputCol="features", outputCol="waves", gamma=1.0 / (size * (spread or 1.0)), components=c.components, size=size, randomSeed=c.seed
     )
     margin = OneVsRest(
-        featuresCol="waves", rawPredictionCol="rawPrediction", parallelism=4,
+        featuresCol="waves", rawPredictionCol="rawPrediction", parallelism=1,  # each fit keeps its own copy of the rows
         classifier=LinearSVC(featuresCol="waves", regParam=1.0 / f["rows"], standardization=False),
     )
     calibration = LogisticRegression(
@@ -265,12 +266,27 @@ def registry(task: str) -> dict:
     raise ValueError(f"unsupported problem type: {task}")
 
 
+def partitions_for(rows: int, values: int) -> int:
+    """Partitions whose rows, as vectors of ``values`` numbers, take about ``PARTITION_BYTES``.
+
+    The written rows are read in parts of equal compressed size, and a few distinct numbers compress to nearly nothing: what a task
+    of a solver then holds and reads again in every step would grow with the table.
+    """
+    return max(1, -(-rows * 8 * (values + 2) // PARTITION_BYTES))
+
+
 def fit(name: str, context: FitContext) -> PipelineModel:
     """Fit one candidate on prepared rows."""
     make = registry(context.task).get(name)
     if make is None:
         raise ValueError(f"unknown model {name!r}")
-    return Pipeline(stages=make(context)).fit(context.train)
+    stages = make(context)
+    if not isinstance(stages[0], (Forest, BoostedTrees)):  # those deal their rows themselves
+        values = context.components if isinstance(stages[0], RandomFourier) else len(context.facts()["low"])
+        parts = partitions_for(context.facts()["rows"], values)
+        if parts > 1:
+            return Pipeline(stages=stages).fit(context.train.repartition(parts))
+    return Pipeline(stages=stages).fit(context.train)
 
 
 def class_scores(scored: DataFrame):

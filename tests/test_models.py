@@ -248,3 +248,15 @@ def test_confusion_matrix_of_many_classes(spark):
     assert len(cells) == len(known) ** 2 and sum(cells.values()) == 3000
     assert all(n == rows.count(k) for k, n in list(cells.items())[:200])
     assert V.confusion_matrix(spark.createDataFrame([], "y_true string, y_pred string")).count() == 0
+
+
+def test_solvers_get_partitions_by_rows(spark, monkeypatch):
+    assert E.partitions_for(10, 5) == 1 and E.partitions_for(10**9, 1) * E.PARTITION_BYTES >= 24 * 10**9
+    seen = []
+    monkeypatch.setattr(E, "PARTITION_BYTES", 800)
+    monkeypatch.setattr(E.Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(200).selectExpr("double(id % 2) label", "double(id) x").coalesce(1))
+    E.fit("Logistic Regression", E.FitContext(rows, "classification", 2))
+    assert seen == [6]
