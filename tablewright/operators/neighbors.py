@@ -1,72 +1,106 @@
 """Exact k nearest neighbours as blocked equi-joins.
 
-Training rows belong to the cell of their nearest pivot. Triangle and bisector
-bounds tell which cells can hold a neighbour of a test row; only those cells are
-joined. A crowded cell is cut into blocks of bounded size on both sides, and a
-block returns its k best per test row, never its pairs.
+Equal vectors are asked once, and of equal training vectors only the k first ids can be neighbours. Training rows
+belong to the cells of a k-d tree, whose number follows that of the rows. A test row first meets its own cell; the
+distance of the k-th row there tells which other cells, by their bounding boxes, can hold a nearer one. A crowded cell
+is cut into blocks of bounded size on both sides, and a block returns its k best per test row, never its pairs.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tables import spread_by
+from ..session import stage
 
-PIVOTS = 128
+PIVOTS = 128  # cells, at least
 BLOCK_ROWS = 2048
+CELL_ROWS = 512  # in few dimensions, where boxes exclude most cells
+FEW = 8
+TREE_ROWS = 16  # for each cell, that tell where the tree cuts
+TREE_NUMBERS = 4_000_000  # in these rows, at most
 
 
-def _assign(pivots):
-    """Nearest pivot and its distance."""
+def _tree(x, cells: int):
+    """Arrays of a k-d tree: dimension (-1 for a cell), cut, children, and the number of a cell.
 
-    @F.pandas_udf("struct<cell int, distance double>")
-    def assign(vectors):
+    Cuts halve the widest dimension. They only deal rows to cells, so any rows ``x`` give exact neighbours.
+    """
+    import numpy as np
+
+    dims, cuts, children, number = [], [], [], []
+    leaves = 0
+
+    def grow(own, wanted: int) -> int:
+        nonlocal leaves
+        node = len(dims)
+        dims.append(-1), cuts.append(0.0), children.append((node, node)), number.append(-1)
+        span = np.ptp(own, axis=0) if wanted > 1 and len(own) > 1 else np.zeros(1)
+        if span.max() > 0:
+            d = int(span.argmax())
+            values = np.sort(own[:, d])
+            cut = values[(len(values) - 1) // 2]
+            cut = cut if cut < values[-1] else values[values < cut].max()
+            left = own[:, d] <= cut
+            dims[node], cuts[node] = d, float(cut)
+            children[node] = (grow(own[left], wanted // 2), grow(own[~left], wanted - wanted // 2))
+        else:
+            number[node], leaves = leaves, leaves + 1
+        return node
+
+    grow(x, cells)
+    return np.array(dims), np.array(cuts), np.array(children), np.array(number, dtype=np.int32)
+
+
+def _cell(tree):
+    """Column function vector -> its cell."""
+    dims, cuts, children, number = tree
+
+    @F.pandas_udf("int")
+    def cell(vectors):
         import numpy as np
         import pandas as pd
 
-        cells, distances = [], []
-        for start in range(0, len(vectors), 512):
-            x = np.stack(vectors.iloc[start : start + 512].to_numpy()).astype(float)
-            d = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-            nearest = d.argmin(axis=1)
-            cells.append(nearest)
-            distances.append(d[np.arange(len(x)), nearest])
-        flat = (lambda parts: np.concatenate(parts) if parts else np.array([]))
-        return pd.DataFrame({"cell": flat(cells).astype("int32"), "distance": flat(distances)})
+        out = [np.zeros(0, np.int32)]
+        for start in range(0, len(vectors), 4096):
+            x = np.stack(vectors.iloc[start : start + 4096].to_numpy()).astype(float)
+            node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+            while (inner := dims[node] >= 0).any():
+                right = x[rows, np.maximum(dims[node], 0)] > cuts[node]
+                node = np.where(inner, children[node, right.astype(int)], node)
+            out.append(number[node])
+        return pd.Series(np.concatenate(out))
 
-    return assign
+    return cell
 
 
-def _reachable(pivots, counts, radii, k):
-    """Cells that may hold one of the k nearest training rows."""
+def _others(cells, low, high):
+    """Column function (own cell, vector, distance) -> other cells whose boxes are no farther than the distance."""
 
     @F.pandas_udf("array<int>")
-    def reachable(vectors):
+    def others(own, vectors, reach):
         import numpy as np
         import pandas as pd
 
-        between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-        used = counts > 0
-        out = []
-        for start in range(0, len(vectors), 512):
-            x = np.stack(vectors.iloc[start : start + 512].to_numpy()).astype(float)
-            d = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-            for row in d:
-                upper = np.where(used, row + radii, np.inf)
-                order = upper.argsort()
-                enough = np.searchsorted(np.cumsum(counts[order]), k)
-                reach = upper[order[min(enough, len(order) - 1)]]
-                if not np.isfinite(reach):
-                    reach = upper[used].max()
-                reach = reach * (1 + 1e-9) + 1e-12
-                own = row.argmin()
-                gap = np.divide(row**2 - row[own] ** 2, 2 * between[own], out=np.zeros_like(row), where=between[own] > 0)
-                out.append(np.flatnonzero(used & (row - radii <= reach) & (gap <= reach)).astype("int32"))
+        out = [None] * len(own)
+        own, reach = own.to_numpy(), reach.to_numpy() * (1 + 1e-9) + 1e-12
+        order = own.argsort(kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            for part in (rows[i : i + 256] for i in range(0, len(rows), 256)):
+                x = np.stack(vectors.iloc[part].to_numpy()).astype(float)
+                apart = np.maximum(np.maximum(low - x.max(0), x.min(0) - high), 0)  # of boxes
+                near = np.flatnonzero((np.sqrt((apart**2).sum(1)) <= reach[part].max()) & (cells != own[part[0]]))
+                step = max(1, 4_000_000 // max(1, low[near].size))
+                for start in range(0, len(part), step):
+                    q = x[start : start + step, None, :]
+                    gap = np.sqrt((np.maximum(np.maximum(low[near] - q, q - high[near]), 0) ** 2).sum(2))
+                    for i, row in zip(part[start : start + step], gap):
+                        out[i] = cells[near[row <= reach[i]]]
         return pd.Series(out)
 
-    return reachable
+    return others
 
 
 def _block_neighbours(k):
@@ -84,10 +118,14 @@ def _block_neighbours(k):
         rows, picks, distances = [], [], []
         for start in range(0, len(q), step):
             d = np.sqrt(((q[start : start + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-            near = d.argsort(axis=1, kind="stable")[:, :k]  # stable: equal distances stay in id order
-            rows.append(np.repeat(np.arange(start, start + len(d)), near.shape[1]))
-            picks.append(near.ravel())
-            distances.append(np.take_along_axis(d, near, axis=1).ravel())
+            last = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            row, pick = np.nonzero(~(d > last[:, None]))
+            by = np.lexsort((pick, d[row, pick], row))  # equal distances stay in id order
+            row, pick = row[by], pick[by]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            rows.append(start + row[first])
+            picks.append(pick[first])
+            distances.append(d[row[first], pick[first]])
         rows, picks = np.concatenate(rows), np.concatenate(picks)
         return pd.DataFrame(
             {
@@ -99,44 +137,62 @@ def _block_neighbours(k):
     return best
 
 
+def _in_blocks(known: DataFrame, asked: DataFrame, k: int, block_rows: int, types: dict[str, str]) -> DataFrame:
+    """The k best of each cell's block for every row of ``asked`` (test_id, vector, cell)."""
+    sizes = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    blocks = stage(sizes(known, "of_train").join(sizes(asked, "of_test"), "cell"), "neighbour-blocks")
+    dealt = lambda rows, own, name, mine, other, theirs: rows.join(blocks, "cell").select(
+        *rows.columns, F.pmod(F.hash(own), mine).alias(name), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other)
+    )
+    left = dealt(known, "train_id", "t", "of_train", "s", "of_test")
+    right = dealt(asked, "test_id", "s", "of_test", "t", "of_train")
+    block = ["cell", "t", "s"]
+    return spread_by(left, block).groupBy(*block).cogroup(spread_by(right, block).groupBy(*block)).applyInPandas(
+        _block_neighbours(k), f"test_id long, train_id {types['id']}, label {types['label']}, distance double"
+    )
+
+
+def _nearest(near: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("test_id").orderBy("distance", "train_id"))
+    return near.withColumn("place", place).where(F.col("place") <= k)
+
+
 def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(test_id, train_id, label, distance, place): the k nearest training rows, ties by train_id.
 
-    ``train`` has (id, vector, label), ``test`` has (id, vector); vectors are arrays.
+    ``train`` has (id, vector, label), ``test`` has (id, vector); vectors are arrays. ``pivots`` is the least number of cells.
     """
     import numpy as np
 
-    chosen = train.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
-    if not chosen:
+    copy = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    known = stage(train.select("id", "vector", "label").withColumn("copy", copy).where(F.col("copy") <= k).drop("copy"), "neighbour-rows")
+    rows = known.count()
+    if not rows:
         raise ValueError("no training rows")
-    centres = np.unique(np.array([r["vector"] for r in chosen], dtype=float), axis=0)
-    placed = train.select("id", "vector", "label", _assign(centres)("vector").alias("at"))
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             placed.groupBy("at.cell").agg(F.count(F.lit(1)).alias("n"), F.max("at.distance").alias("radius")).collect()}
-    counts = np.array([stats.get(i, (0, 0.0))[0] for i in range(len(centres))])
-    radii = np.array([stats.get(i, (0, 0.0))[1] for i in range(len(centres))])
-    asked = test.select("id", "vector", F.explode(_reachable(centres, counts, radii, k)("vector")).alias("cell"))
-    wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def blocks(sizes) -> Column:
-        return F.element_at(F.array(*[F.lit(max(1, math.ceil(s / block_rows))) for s in sizes]), F.col("cell") + 1)
-
-    train_blocks = blocks([int(c) for c in counts])
-    test_blocks = blocks([wanted.get(i, 0) for i in range(len(centres))])
-    left = placed.select(F.col("id").alias("train_id"), "vector", "label", F.col("at.cell").alias("cell")).select(
-        "*", F.pmod(F.hash("train_id"), train_blocks).alias("t"), F.explode(F.sequence(F.lit(0), test_blocks - 1)).alias("s")
-    )
-    right = asked.select(F.col("id").alias("test_id"), "vector", "cell").select(
-        "*", F.pmod(F.hash("test_id"), test_blocks).alias("s"), F.explode(F.sequence(F.lit(0), train_blocks - 1)).alias("t")
-    )
+    size = len(known.select("vector").first()[0])
+    cells = max(pivots, math.ceil(rows / (min(CELL_ROWS, block_rows) if size <= FEW else block_rows)))
+    wanted = min(TREE_ROWS * cells, TREE_NUMBERS // max(1, size))
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // max(1, wanted)))) == 0).select("vector").toPandas()["vector"]
+    tree = _tree(np.stack(chosen.to_numpy()).astype(float) if len(chosen) else np.zeros((0, size)), cells)
+    known = stage(known.select(F.col("id").alias("train_id"), "vector", "label", _cell(tree)("vector").alias("cell")), "neighbour-cells")
+    at = [F.col("vector")[i] for i in range(size)]
+    boxes = known.groupBy("cell").agg(F.array(*map(F.min, at)).alias("low"), F.array(*map(F.max, at)).alias("high")).collect()  # a row a cell
+    numbers = np.array([r["cell"] for r in boxes], dtype=np.int32)
+    low, high = (np.array([r[c] for r in boxes], dtype=float).reshape(len(boxes), size) for c in ("low", "high"))
+    asked = stage(test.select("vector").distinct().select(F.monotonically_increasing_id().alias("test_id"), "vector"), "neighbour-asked")
+    asked = spread_by(asked.withColumn("cell", _cell(tree)("vector")), ["cell"])
+    asked = stage(asked.sortWithinPartitions("cell"), "neighbour-asked")
     types = {c: train.schema[c].dataType.simpleString() for c in ("id", "label")}
-    schema = f"test_id {test.schema['id'].dataType.simpleString()}, train_id {types['id']}, label {types['label']}, distance double"
-    block = ["cell", "t", "s"]
-    near = spread_by(left, block).groupBy(*block).cogroup(spread_by(right, block).groupBy(*block)).applyInPandas(
-        _block_neighbours(k), schema
-    )
-    place = F.row_number().over(Window.partitionBy("test_id").orderBy("distance", "train_id"))
-    return near.withColumn("place", place).where(F.col("place") <= k)
+    own = stage(_nearest(_in_blocks(known, asked, k, block_rows, types), k).drop("place"), "neighbours-own")
+    reach = own.groupBy("test_id").agg(F.count("*").alias("n"), F.max("distance").alias("reach"))
+    far = F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(math.inf))
+    told = asked.join(reach, "test_id", "left").select("test_id", "vector", "cell", F.coalesce(far, F.lit(math.inf)).alias("reach"))
+    # Sorted again, as rows of one cell share the test of the boxes.
+    told = spread_by(told, ["cell"]).sortWithinPartitions("cell")
+    more = told.select("test_id", "vector", F.explode(_others(numbers, low, high)("cell", "vector", "reach")).alias("cell"))
+    near = _nearest(own.unionByName(_in_blocks(known, stage(more, "neighbour-more"), k, block_rows, types)), k)
+    named = near.join(asked.select("test_id", "vector"), "test_id").drop("test_id")
+    return test.select(F.col("id").alias("test_id"), "vector").join(named, "vector").select("test_id", "train_id", "label", "distance", "place")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, exact: bool = True, **options) -> DataFrame:

@@ -71,6 +71,24 @@ def test_neighbours_match_brute_force(spark, pivots, block):
         assert [t for _, t in sorted(got[i])] == sorted(range(len(train)), key=lambda j: (d[j], j))[:5]
 
 
+def test_neighbours_of_many_copies_and_cells(spark, monkeypatch):
+    """Cells follow the number of distinct rows, and copies are compared once."""
+    rng = np.random.RandomState(3)
+    points = np.column_stack([rng.randint(0, 25, 400), rng.normal(size=400).round(2)]).astype(float)
+    rows = [(i, points[i % 400].tolist(), i % 3) for i in range(400 * 20)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    compared, blocks = [], neighbors._in_blocks
+    monkeypatch.setattr(neighbors, "_in_blocks", lambda known, asked, *rest: compared.append(asked.count()) or blocks(known, asked, *rest))
+    got = {}
+    for r in neighbors.nearest_neighbours(df, df.where("id % 20 = 7"), 5, 4, 64).collect():
+        got.setdefault(r["test_id"], []).append((r["place"], r["train_id"]))
+    assert len(got) == 400 and compared[0] <= 400 and compared[1] <= 4 * compared[0]
+    every = np.array([v for _, v, _ in rows])
+    for i, found in got.items():
+        d = np.sqrt(((every - every[i]) ** 2).sum(1))
+        assert [t for _, t in sorted(found)] == list(np.lexsort((np.arange(len(d)), d))[:5])
+
+
 def brute_auc(y, s):
     pairs = [(a > b) + 0.5 * (a == b) for a, p in zip(s, y) if p for b, q in zip(s, y) if not q]
     return sum(pairs) / len(pairs)
