@@ -1,4 +1,4 @@
-"""What the two classifiers share: hashed words, a bounded sample of labelled rows, and a logistic scale for scores."""
+"""What the two classifiers share: hashed words, labelled rows, and a logistic scale for scores."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .decontaminate import small_letters
-from .texts import BLANK, mix, raw, ready, remainder, spans
+from .texts import BLANK, mix, raw, ready, remainder, small_or_plain, spans
 LONGEST = 20_000  # bytes of a sampled text: with the number of rows it bounds what the driver holds
 
 
@@ -62,19 +62,32 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int,
     return rows.toPandas().sort_values("doc_id", kind="stable")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], extra: list[str]) -> DataFrame:
+    """``doc_id, text, label`` and ``extra`` of all labelled rows, texts of any length; which rows count is as for ``sample``."""
+    ready(docs.sparkSession)
+    modulus, rest = held_out
+    told = labels.where((remainder(F.col("doc_id"), modulus) != rest) & F.col(label).isNotNull())
+    told = small_or_plain(told.groupBy("doc_id").agg(F.max(label).alias("label")), "labelled-ids")
+    return docs.select("doc_id", "text", *extra).join(told, "doc_id").dropDuplicates(["doc_id"])
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_scale(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that make a margin a probability: logistic regression by Newton steps, slightly shrunk."""
+def fit_scale(margin: np.ndarray, label: np.ndarray, rows: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset that make a margin a probability: logistic regression by Newton steps, slightly shrunk.
+
+    ``rows`` tells how many rows an entry stands for, one by default.
+    """
     slope, offset = 1.0, 0.0
     if not len(label) or label.min() == label.max():
         return slope, offset
+    rows = np.ones(len(label)) if rows is None else rows
     x = np.stack([margin, np.ones_like(margin)], axis=1)
     weight = np.array([slope, offset])
     for _ in range(30):
         p = logistic(x @ weight)
-        gradient = x.T @ (p - label) + 0.1 * (weight - [1.0, 0.0])
-        weight = weight - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), gradient)
+        gradient = x.T @ (rows * (p - label)) + 0.1 * (weight - [1.0, 0.0])
+        weight = weight - np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), gradient)
     return float(max(weight[0], 0.05)), float(weight[1])

@@ -160,6 +160,21 @@ def test_classifiers(spark, module, label, floor):
     assert got[0] > floor and 0 <= got[1] and got[2] <= 1
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Over many shards, from long texts too, and the same again."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 60_000)
+    seen, kept = [], toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda shards, *rest: seen.append(shards.select(F.explode("rows.doc_id").alias("d"), "shard").collect()) or kept(shards, *rest))
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.repeat(F.concat("text", F.lit(" ")), 40)).otherwise(F.col("text")))
+    models = [toxicity.learn(d, labels) for d in (docs, docs, long)]
+    told = labels.where((remainder(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull()).join(docs, "doc_id").select("doc_id").distinct()
+    wanted = {r.doc_id for r in told.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(toxicity.APART)) != 0).collect()}
+    assert all({r.d for r in rows} == wanted for rows in seen) and len({r.shard for r in seen[0]}) > 1
+    assert (models[0].embeddings == models[1].embeddings).all() and models[0].thresholds == models[1].thresholds
+
+
 def test_scores_know_no_language_or_label(spark, small, docs):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string"))
