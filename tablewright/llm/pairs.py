@@ -114,10 +114,11 @@ def still_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def prefixes(members: DataFrame, least: Share) -> DataFrame:
-    """``vertex, n, at, s`` of ``members`` (``vertex``, ``shingles``): the shingles of its prefix that others have, and their places.
+    """``vertex, n, typical, at, s`` of ``members`` (``vertex``, ``shingles``): the shingles of its prefix that others have, and their places.
 
     Shingles are ordered by the number of members that have them, the rarest first. Two sets that are similar enough share
-    one of their first n - ceil(least * n) + 1 shingles. What many texts have in common stands last, in no prefix.
+    one of their first n - ceil(least * n) + 1 shingles. What many texts have in common stands last, in no prefix. ``typical`` is
+    the mean logarithm of the members that have a text's shingles: the least altered one of many altered copies has the largest.
     """
     share, whole = least
     rows = stage(members.select("vertex", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s")), "postings")
@@ -126,41 +127,49 @@ def prefixes(members: DataFrame, least: Share) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("order")  # of one text
     )
     first = (F.col("n") - F.ceil(share * F.col("n") / whole) + 1).cast("int")
-    heads = ranked.select("vertex", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "e")).where("e.df > 1")
-    return stage(heads.select("vertex", "n", "at", F.col("e.s").alias("s")), "prefixes")
+    typical = F.aggregate("order", F.lit(0.0), lambda x, e: x + F.log(e["df"].cast("double"))) / F.size("order")
+    heads = ranked.select("vertex", "n", typical.alias("typical"), F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "e")).where("e.df > 1")
+    return stage(heads.select("vertex", "n", "typical", "at", F.col("e.s").alias("s")), "prefixes")
 
 
 def prefix_pairs(heads: DataFrame, roots: DataFrame, least: Share) -> DataFrame:
     """Pairs ``a, b`` of different ``roots`` that share a shingle of their prefixes ``heads``, all similar ones among them.
 
-    What follows the first shared shingle must leave room for the overlap they need. A shingle's rows meet in blocks, so that no task
-    has to hold one shingle's.
+    What follows the first shared shingle must leave room for the overlap they need. A pair has a row that is not of the largest of a
+    shingle's components; only these rows are sent to all blocks in which the shingle's rows lie, so that no task has to hold one shingle's.
     """
     share, whole = least
-    rows = heads.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    rows = heads.select("vertex", "n", "at", "s").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     rows = stage(rows, "rooted-prefixes")
-    groups = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rows = rows.join(groups.select("s", "m"), "s").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
-    x = rows.select("s", F.pmod(F.xxhash64("vertex", "s"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"{c}_x") for c in ("vertex", "root", "n", "at")))
-    y = rows.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_y") for c in ("vertex", "root", "n", "at")))
+    parts = rows.groupBy("s", "root").agg(F.count("*").alias("m"))
+    groups = parts.groupBy("s").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max_by("root", F.struct("m", "root")).alias("largest")).where("parts > 1")
+    rows = rows.join(groups.select("s", "m", "largest"), "s").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("vertex", "root", "n", "at")]
+    x = rows.select("s", "largest", F.pmod(F.xxhash64("vertex", "s"), "blocks").cast("int").alias("block"), *named("x"))
+    y = rows.where("root != largest").select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("y"))
     room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     fits = (share + whole) * room >= share * (F.col("n_x") + F.col("n_y"))
-    met = x.join(y, ["s", "block"]).where((F.col("vertex_x") < F.col("vertex_y")) & (F.col("root_x") != F.col("root_y")) & fits)
-    return met.select(F.col("vertex_x").alias("a"), F.col("vertex_y").alias("b")).distinct()
+    once = (F.col("root_x") == F.col("largest")) | (F.col("vertex_x") < F.col("vertex_y"))
+    met = x.join(y, ["s", "block"]).where(once & (F.col("root_x") != F.col("root_y")) & fits)
+    return met.select(F.least("vertex_x", "vertex_y").alias("a"), F.greatest("vertex_x", "vertex_y").alias("b")).distinct()
 
 
 def through_prefixes(members: DataFrame, least: Share, confirm: Callable[[DataFrame], DataFrame], roots: DataFrame) -> DataFrame:
     """``roots`` with all links among ``members``: first with a leader of each shared shingle, then between what is still apart.
 
-    Each vertex tries the leader of its rarest shared shingle and that of the most frequent one in its prefix, so that groups which
-    few links join are one before pairs across groups are listed.
+    The leader is the most typical vertex. Each vertex tries that of its rarest shared shingle and that of the most frequent one in its
+    prefix, if of another component, so that groups which few links join are one before pairs across groups are listed: of many
+    altered copies the least altered one is similar to nearly all, while two others often are not.
     """
     heads = prefixes(members.select("vertex", "shingles"), least)
-    groups = heads.groupBy("s").agg(F.count("*").alias("m"), F.min(F.col("vertex").bitwiseXOR(F.col("s"))).alias("x")).where("m > 1")
-    led = heads.join(groups.select("s", "m", F.col("x").bitwiseXOR(F.col("s")).alias("leader")), "s").where("vertex != leader")
-    picked = led.groupBy("vertex").agg(F.array_distinct(F.array(F.min_by("leader", "m"), F.max_by("leader", "m"))).alias("leaders"))
+    now = heads.select("vertex", "s", "typical").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    now = stage(now, "led-prefixes")
+    leader = F.max_by(F.struct("vertex", "root"), F.struct("typical", "vertex")).alias("leader")
+    groups = now.groupBy("s").agg(F.count("*").alias("m"), leader, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    led = now.join(groups.select("s", "m", "leader"), "s").where("root != leader.root")
+    picked = led.groupBy("vertex").agg(F.array_distinct(F.array(F.min_by("leader.vertex", "m"), F.max_by("leader.vertex", "m"))).alias("leaders"))
     tried = picked.select(F.col("vertex").alias("a"), F.explode("leaders").alias("b"))
-    for step in (lambda: rooted(tried, roots), lambda: prefix_pairs(heads, roots, least)):
+    for step in (lambda: tried, lambda: prefix_pairs(heads, roots, least)):
         found = stage(confirm(step()), "links")
         if found.take(1):
             roots = stage(components(as_links(roots).unionByName(found)), "components")

@@ -80,6 +80,24 @@ def test_prefix_pairs_lose_none(spark, least):
         assert not any(130 <= a < 190 or 130 <= b < 190 for a, b in got)
 
 
+def test_altered_copies_do_not_meet_pair_by_pair(spark):
+    """Copies similar to one text and not to one another are joined by it before pairs across components are listed."""
+    random.seed(5)
+    base = list(range(1000, 1100))
+    rows = [(0, base)] + [(i, sorted(set(base) - set(random.sample(base, 8)) | {10_000 + 8 * i + j for j in range(8)})) for i in range(1, 151)]
+    members = spark.createDataFrame(rows, "vertex long, shingles array<long>")
+    sizes = []
+
+    def confirm(tried):
+        sizes.append(tried.count())
+        return pairs.confirmed(tried, members, (85, 100))
+
+    nothing = spark.createDataFrame([], "vertex long, root long")
+    roots = pairs.through_prefixes(members, (85, 100), confirm, nothing).collect()
+    assert {(r.vertex, r.root) for r in roots} == {(i, 0) for i, _ in rows}
+    assert sizes[0] <= 2 * len(rows) and sizes[1] == 0
+
+
 def test_signatures():
     random.seed(2)
     hashes = np.array([random.getrandbits(64) for _ in range(1200)], np.uint64)
