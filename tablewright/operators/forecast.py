@@ -342,92 +342,145 @@ def sparse_fit(x, y, ridge, sparse):
     return w
 
 
+def sparse_fits(x, y, ridge, sparse):
+    """``sparse_fit`` of many series side by side: ``x`` is series by periods by weights, ``y`` series by periods."""
+    import numpy as np
+
+    gram, target = np.einsum("bnp,bnq->bpq", x, x) + np.diag(ridge), np.einsum("bnp,bn->bp", x, y)
+    w, sign = np.zeros(target.shape), np.zeros(target.shape)
+    free = sparse == 0
+    active = np.tile(free, (len(x), 1))
+    live = np.arange(len(x))
+    for _ in range(50 * len(ridge)):
+        if not len(live):
+            break
+        on, g, t, old = active[live], gram[live], target[live], w[live]
+        system = g * (on[:, :, None] & on[:, None, :])
+        system[:, np.arange(len(ridge)), np.arange(len(ridge))] += ~on
+        best = np.linalg.solve(system, ((t - sparse * sign[live]) * on)[:, :, None])[:, :, 0]
+        row, i = np.nonzero(on & ~free & (old * best < 0))
+        new, turned = best, np.zeros(len(live), bool)
+        turned[row] = True
+        if len(row):
+            # Costs along the way from the old weights to the best ones: at its end and where a sign turns.
+            way = best - old
+            g_old, g_way = np.einsum("bpq,bq->bp", g, old), np.einsum("bpq,bq->bp", g, way)
+            parts = [(u * v).sum(1) for u, v in ((old, g_old), (old, g_way), (way, g_way), (t, old), (t, way))]
+            row, i = np.concatenate([np.flatnonzero(turned), row]), np.concatenate([np.full(turned.sum(), -1), i])
+            share = np.where(i < 0, 1.0, old[row, i] / np.where(i < 0, 1.0, old[row, i] - best[row, i]))
+            option = np.where(i[:, None] < 0, best[row], old[row] + way[row] * share[:, None])
+            option[i >= 0, i[i >= 0]] = 0.0
+            ww, wd, dd, tw, td = (c[row] for c in parts)
+            cost = 0.5 * (ww + 2 * share * wd + share**2 * dd) - tw - share * td + np.abs(option) @ sparse
+            order = np.lexsort((cost, row))
+            first = order[np.append(True, row[order][1:] != row[order][:-1])]
+            new = best.copy()
+            new[row[first]] = option[first]
+        on = free | (new != 0)
+        w[live], active[live], sign[live] = new, on, np.where(free, 0.0, np.sign(new))
+        slope = t - np.einsum("bpq,bq->bp", g, new)
+        over = np.where(on, 0.0, np.abs(slope) - sparse)
+        more = ~turned & (over.max(1, initial=0.0) > 1e-10)
+        j = over.argmax(1)
+        active[live[more], j[more]], sign[live[more], j[more]] = True, np.sign(slope[more, j[more]])
+        live = live[turned | more]
+    return w
+
+
 def trend_seasonal_forecast(ts: DataFrame, freq: str, horizon: int, series: Sequence[str] = ()) -> DataFrame:
     """Piecewise-linear trend with yearly and, for daily data, weekly seasons.
 
     Slope changes have a Laplace prior, so that most of them are zero. Intervals add to the spread of the residuals that
     of future slope changes, drawn as often and as large as those of the history, and widen with the horizon.
-    Rows of one period are averaged first; each series with its future periods is
-    then one group of calendar-bounded size.
+    Rows of one period are averaged first; a series with its future periods is one row of calendar-bounded size, and
+    series of one length are solved side by side.
     ``error`` tells why a series could not be fitted; it then has one row without dates.
     """
-    history = per_period(ts, freq, series)
-    ahead = future_dates(history, freq, horizon, series).select(*series, "ds", F.lit(None).cast("double").alias("y"))
-    rows = history.unionByName(ahead)
-    fields = "".join(f"`{s}` {rows.schema[s].dataType.simpleString()}, " for s in series)
-    return spread_by(rows, series).groupBy(*series).applyInPandas(
-        _trend_solver(list(series), weekly=freq == DAILY),
-        fields + "ds timestamp_ntz, kind string, forecast double, lower_bound double, upper_bound double, error string",
+    pairs = F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))))
+    rows = spread_by(per_period(ts, freq, series).groupBy(*series).agg(pairs.alias("pairs")), series, whole_groups=True).where("size(pairs) > 0")
+    step = {DAILY: "make_interval(0, 0, 0, k)", WEEKLY: "make_interval(0, 0, k)", MONTHLY: "make_interval(0, k)"}[freq]
+    ahead = F.expr(f"transform(sequence(1, {horizon}), k -> cast(pairs[size(pairs) - 1].ds + {step} as timestamp_ntz))")
+    rows = rows.select(*series, F.concat(F.transform("pairs", lambda p: p["ds"]), ahead).alias("dates"), F.transform("pairs", lambda p: p["y"]).alias("ys"))
+    days = F.transform("dates", lambda d: F.datediff(d, F.lit("1970-01-01").cast("date")).cast("double"))
+    solved = rows.withColumn("st", _trend_solver(weekly=freq == DAILY)(days, "ys"))
+    told = F.expr(
+        "case when st.error is null then transform(dates, (d, i) -> named_struct('ds', d, 'kind', if(i < size(ys), 'fitted', 'forecast'), "
+        "'forecast', st.forecast[i], 'lower_bound', st.forecast[i] - st.half[i], 'upper_bound', st.forecast[i] + st.half[i])) end"
+    )
+    return solved.select(*series, F.inline_outer(told), F.col("st.error").alias("error")).select(
+        *series, "ds", "kind", "forecast", "lower_bound", "upper_bound", "error"
     )
 
 
-def _trend_solver(series: list[str], weekly: bool):
-    def solve(pdf):
+def _spread_ahead(t, changes: int, size: float):
+    """Variance that future slope changes add: they come at the rate of the places for them in the history, with their mean size."""
+    import numpy as np
+
+    out, later = np.zeros(len(t)), t > 1
+    if size <= 0 or not later.any():
+        return out
+    random, beyond = np.random.RandomState(0), t[later] - 1
+    count = random.poisson(changes * beyond.max(), DRAWS)
+    total = int(count.sum())
+    at, change = random.uniform(0, beyond.max(), total), random.laplace(0, size, total)
+    if total:
+        moved = change[:, None] * np.clip(beyond[None, :] - at[:, None], 0, None)
+        paths = np.add.reduceat(moved, (np.cumsum(count) - count)[count > 0], axis=0)
+        out[later] = (paths**2).sum(0) / DRAWS
+    return out
+
+
+def _trend_solver(weekly: bool):
+    """Column function (days of a series and of its future, values) -> what is expected, half of the band, and why there is none."""
+
+    @F.pandas_udf("struct<forecast array<double>, half array<double>, error string>")
+    def solve(days, values):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("ds")
-        known = pdf["y"].notna().to_numpy()
-        first = {s: pdf[s].iloc[0] for s in series}
-
-        def failed(reason):
-            empty = {"ds": pd.NaT, "kind": None, "forecast": np.nan, "lower_bound": np.nan, "upper_bound": np.nan, "error": reason}
-            return pd.DataFrame([{**first, **empty}])
-
-        if known.sum() < 2:
-            return failed("fewer than two observations")
-        day = (pdf["ds"] - pd.Timestamp("1970-01-01")) / pd.Timedelta(days=1)
-        day = day.to_numpy(dtype=float)
-        start, end = day[known].min(), day[known].max()
-        if end <= start:
-            return failed("observations cover a single date")
-        t = (day - start) / (end - start)
-        scale = np.abs(pdf["y"].to_numpy()[known]).max() or 1.0
-        y = pdf["y"].to_numpy()[known] / scale
-        # Trend: intercept, slope, and slope changes spread over the first 80 % of the history.
-        changes = min(25, max(0, int(known.sum() * 0.8) - 1))
-        knots = np.linspace(0, 0.8, changes + 1)[1:]
-        columns = [np.ones_like(t), t, *[np.clip(t - k, 0, None) for k in knots]]
-        ridge, sparse = [1e-8] * 2 + [0.0] * changes, [0.0, 0.0] + [NOISE / CHANGE_SCALE] * changes
-
-        def season(days, order):
-            for k in range(1, order + 1):
-                columns.extend([np.sin(2 * np.pi * k * day / days), np.cos(2 * np.pi * k * day / days)])
-                ridge.extend([NOISE / SEASON_SCALE**2] * 2)
-                sparse.extend([0.0] * 2)
-
-        if end - start >= 730:
-            season(365.25, 10)
-        if weekly and end - start >= 14:
-            season(7.0, 3)
-        x = np.column_stack(columns)
-        try:
-            weights = sparse_fit(x[known], y, np.array(ridge), np.array(sparse))
-        except np.linalg.LinAlgError:
-            return failed("singular system")
-        forecast = x @ weights * scale
-        residual = pdf["y"].to_numpy()[known] - forecast[known]
-        variance = np.full(len(t), residual.var(ddof=1))
-        if changes:
-            # Future slope changes come at the rate of the places for them in the history, with their mean size.
-            random, beyond = np.random.RandomState(0), np.clip(t - 1, 0, None)
-            size = np.abs(weights[2 : 2 + changes]).mean() * scale
-            last = beyond.max(initial=0.0)
-            count = random.poisson(changes * last, DRAWS)
-            owner = np.repeat(np.arange(DRAWS), count)
-            at, change = random.uniform(0, last, len(owner)), random.laplace(0, size, len(owner)) if size > 0 else np.zeros(len(owner))
-            paths = np.zeros((DRAWS, len(t)))
-            np.add.at(paths, owner, change[:, None] * np.clip(beyond[None, :] - at[:, None], 0, None))
-            variance += (paths**2).mean(0)
-        half = QUANTILE * np.sqrt(variance)
-        out = pd.DataFrame(
-            {
-                "ds": pdf["ds"], "kind": np.where(known, "fitted", "forecast"), "forecast": forecast,
-                "lower_bound": forecast - half, "upper_bound": forecast + half, "error": None,
-            }
-        )
-        for s in series:
-            out.insert(0, s, pdf[s])
-        return out[[*series, "ds", "kind", "forecast", "lower_bound", "upper_bound", "error"]]
+        out = [(None, None, "fewer than two observations")] * len(days)
+        groups: dict[tuple, list[int]] = {}
+        for i, (day, y) in enumerate(zip(days, values)):
+            if len(y) >= 2:  # one observation a period, so that two cover more than a date
+                span = day[len(y) - 1] - day[0]
+                groups.setdefault((len(y), len(day), bool(span >= 730), bool(weekly and span >= 14)), []).append(i)
+        for (known, length, yearly, weeks), every in groups.items():
+            # Trend: intercept, slope, and slope changes spread over the first 80 % of the history.
+            changes = min(25, max(0, int(known * 0.8) - 1))
+            knots = np.linspace(0, 0.8, changes + 1)[1:]
+            ridge, sparse = [1e-8] * 2 + [0.0] * changes, [0.0, 0.0] + [NOISE / CHANGE_SCALE] * changes
+            seasons = [(365.25, 10)] * yearly + [(7.0, 3)] * weeks
+            more = sum(2 * order for _, order in seasons)
+            ridge, sparse = np.array(ridge + [NOISE / SEASON_SCALE**2] * more), np.array(sparse + [0.0] * more)
+            at_once = max(1, min(SERIES_AT_ONCE, 4_000_000 // (length * len(ridge) + len(ridge) ** 2)))
+            for own in (every[k : k + at_once] for k in range(0, len(every), at_once)):
+                day = np.stack([days.iloc[i] for i in own]).astype(float)
+                raw = np.stack([values.iloc[i] for i in own]).astype(float)
+                t = (day - day[:, :1]) / (day[:, known - 1 : known] - day[:, :1])
+                scale = np.abs(raw).max(1)
+                scale[scale == 0] = 1.0
+                columns = [np.ones_like(t), t, *[np.clip(t - k, 0, None) for k in knots]]
+                for period, order in seasons:
+                    for k in range(1, order + 1):
+                        columns += [np.sin(2 * np.pi * k * day / period), np.cos(2 * np.pi * k * day / period)]
+                x, y = np.stack(columns, 2), raw / scale[:, None]
+                weights, singular = np.zeros((len(own), len(ridge))), np.zeros(len(own), bool)
+                try:
+                    weights = sparse_fits(x[:, :known], y, ridge, sparse)
+                except np.linalg.LinAlgError:  # of one of them: each alone
+                    for k in range(len(own)):
+                        try:
+                            weights[k] = sparse_fit(x[k, :known], y[k], ridge, sparse)
+                        except np.linalg.LinAlgError:
+                            singular[k] = True
+                forecast = np.einsum("bnp,bp->bn", x, weights) * scale[:, None]
+                variance = (raw - forecast[:, :known]).var(1, ddof=1)
+                size = np.abs(weights[:, 2 : 2 + changes]).mean(1) * scale if changes else np.zeros(len(own))
+                for k, i in enumerate(own):
+                    if singular[k]:
+                        out[i] = (None, None, "singular system")
+                    else:
+                        out[i] = (forecast[k], QUANTILE * np.sqrt(variance[k] + _spread_ahead(t[k], changes, size[k])), None)
+        return pd.DataFrame(out, columns=["forecast", "half", "error"])
 
     return solve

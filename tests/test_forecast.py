@@ -157,3 +157,24 @@ def test_smoothing_weights_are_searched(period):
     assert (found <= squares(coarse, False) + 1e-9).all() and (found <= squares(dense, False) * 1.01).all()
     weights, (level, trend, season, total, sse, ahead) = G.smooth(y, period, coarse, True)
     assert np.allclose(((y - ahead) ** 2).sum(1), sse) and ((weights >= 0) & (weights <= 1)).all()
+
+
+@pytest.mark.parametrize("periods, weights", [(14, 12), (60, 47)])
+def test_fits_side_by_side_are_those_of_one(periods, weights):
+    rng = np.random.RandomState(periods)
+    x = rng.normal(size=(40, periods, weights))
+    y = x[:, :, :4].sum(2) + rng.normal(size=(40, periods))
+    ridge, sparse = np.where(np.arange(weights) < 2, 1e-8, 1e-6), np.where(np.arange(weights) < 2, 0.0, rng.uniform(0.05, 5, weights))
+    together = G.sparse_fits(x, y, ridge, sparse)
+    assert together == pytest.approx(np.stack([G.sparse_fit(a, b, ridge, sparse) for a, b in zip(x, y)]), abs=1e-6)
+
+
+def test_trend_forecast_solves_series_in_batches(spark, monkeypatch):
+    """Not one call of Python a series, whatever it is."""
+    df = spark.range(300).selectExpr("id as series", "explode(sequence(0, 9)) as k").selectExpr(
+        "series", "cast(timestamp'2020-01-01' + make_interval(0, k) as timestamp_ntz) as ds", "cast(series + k * k as double) as y"
+    ).where("series > 0 or k = 0")
+    out = G.trend_seasonal_forecast(df, "MS", 2, ["series"])
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    rows = out.groupBy("series").agg(F.count("ds").alias("n"), F.max("error").alias("error")).collect()
+    assert {r["series"]: (r["n"], r["error"]) for r in rows} == {i: (12, None) if i else (0, "fewer than two observations") for i in range(300)}
