@@ -54,6 +54,23 @@ def test_states_across_splits(spark, tmp_path, tiny_splits):
     assert rows(got) == rows(csv.csv_scan(spark, str(tmp_path), multiline=True)) and got.count() == 4
 
 
+def test_lines_of_a_split_are_not_sorted(spark, tmp_path, monkeypatch):
+    """States go from batch to batch as lines are read; only splits are put in order."""
+    size, ordered, along = "spark.sql.execution.arrow.maxRecordsPerBatch", [], records.open_after
+    before = spark.conf.get(size)
+    monkeypatch.setattr(records, "open_after", lambda maps, by, order: ordered.append(maps.count()) or along(maps, by, order))
+    random.seed(9)
+    lines = [",".join(random.choice(FIELDS) for _ in range(3)) for _ in range(60)]
+    write(tmp_path, "a.csv", "one,two,three\n" + "\n".join(lines))
+    spark.conf.set(size, "2")
+    try:
+        got = rows(csv.csv_scan(spark, str(tmp_path)))
+    finally:
+        spark.conf.set(size, before)
+    assert ordered == [1]  # one split
+    assert [x.replace("\\r\\n", "\\n") for x in got] == [x.replace("\\r\\n", "\\n") for x in rows(csv.csv_scan(spark, str(tmp_path), multiline=True))]
+
+
 def test_tables_without_breaks_are_read_as_lines(spark, tmp_path):
     write(tmp_path, "a.csv", 'h,k\n1,"x ""y"""\n2,mid"dle\n\n3,\n')
     assert not records.breaks_in_quotes(spark, str(tmp_path))
