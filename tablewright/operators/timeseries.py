@@ -113,25 +113,18 @@ def resample(
         return grouped_median(labelled, [*series, "ds"], "y").withColumnRenamed("median", "y")
     labelled = rows.select(*series, bucket(F.col("ds"), freq).alias("ds"), F.col("ds").alias("at"), "y")
     found = labelled.groupBy(*series, "ds").agg(AGGREGATES[aggregate](F.col("y")).cast("double").alias("y")).where("y is not null")
-    if aggregate not in EMPTY:
-        return found
-    return calendar(found, freq, series).join(found, _same_period(series), "left").select(
-        *[F.col(f"__{c}").alias(c) for c in [*series, "ds"]], F.coalesce("y", F.lit(EMPTY[aggregate])).alias("y")
-    )
-
+    return with_gaps(found, freq, EMPTY[aggregate], series) if aggregate in EMPTY else found
 
-def _same_period(series: Sequence[str]) -> Column:
-    """Periods of ``calendar`` and of a table with the same series, a missing series being equal to itself."""
-    same = F.col("__ds") == F.col("ds")
-    for s in series:
-        same &= F.col(f"__{s}").eqNullSafe(quoted(s))
-    return same
 
+def with_gaps(ts: DataFrame, freq: str, value: float, series: Sequence[str] = ()) -> DataFrame:
+    """Every period between a series' first and last; those without a row have ``value``.
 
-def calendar(ts: DataFrame, freq: str, series: Sequence[str] = ()) -> DataFrame:
-    """Every period between a series' first and last, columns named ``__<series>`` and ``__ds``."""
-    span = ts.groupBy(*series).agg(F.min("ds").alias("first"), F.max("ds").alias("last")).where("first is not null")
-    return span.select(*[quoted(s).alias(f"__{s}") for s in series], F.explode(F.sequence("first", "last", step(freq))).alias("__ds"))
+    A row makes the periods up to the next one of its series, so that the calendar is neither joined nor sorted.
+    """
+    known = ts.withColumn("__next", F.lead("ds").over(Window.partitionBy(*series).orderBy("ds")))
+    periods = F.when(F.col("__next").isNull(), F.array("ds")).otherwise(F.sequence("ds", (F.col("__next") - step(freq)).cast("timestamp_ntz"), step(freq)))
+    filled = known.select(*[quoted(s) for s in series], F.posexplode(periods).alias("__place", "ds"), "y")
+    return filled.select(*[quoted(s) for s in series], "ds", F.when(F.col("__place") == 0, F.col("y")).otherwise(F.lit(value)).alias("y"))
 
 
 def resample_daily(df, date, target, series=()):

@@ -178,3 +178,12 @@ def test_trend_forecast_solves_series_in_batches(spark, monkeypatch):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
     rows = out.groupBy("series").agg(F.count("ds").alias("n"), F.max("error").alias("error")).collect()
     assert {r["series"]: (r["n"], r["error"]) for r in rows} == {i: (12, None) if i else (0, "fewer than two observations") for i in range(300)}
+
+
+def test_empty_periods_need_no_join(spark):
+    day = lambda m, d: dt.datetime(2020, m, d)
+    rows = [("a", day(1, 5), 2.0), ("a", day(1, 9), 3.0), ("a", day(4, 1), 5.0), (None, day(2, 1), 1.0), (None, day(4, 30), 1.0), ("b", day(3, 3), 7.0)]
+    out = S.resample(spark.createDataFrame(rows, "series string, ds timestamp_ntz, y double"), "ds", "y", "MS", "sum", ["series"])
+    got = sorted((r["series"] or "", r["ds"].month, r["y"]) for r in out.collect())
+    assert got == [("", 2, 1.0), ("", 3, 0.0), ("", 4, 1.0), ("a", 1, 5.0), ("a", 2, 0.0), ("a", 3, 0.0), ("a", 4, 5.0), ("b", 3, 7.0)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
