@@ -1,8 +1,8 @@
 """Forecasting of many series at once, and the tables derived from a forecast.
 
 A series is an array of its periods, so its size is bounded by the calendar.
-Smoothing runs over the series of an Arrow batch side by side; the trend and
-season model is one small convex problem per series.
+Smoothing and the trend and season model run over the series of an Arrow
+batch side by side; the latter is one small convex problem per series.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tables import join_by, spread_by, union_all
-from .timeseries import DAILY, MONTHLY, WEEKLY, future_dates, per_period, regular_grid_ffill
+from .timeseries import DAILY, MONTHLY, WEEKLY, per_period, regular_grid_ffill
 
 PERIODS = {DAILY: 7, WEEKLY: 52, MONTHLY: 12}
 SMOOTHING = [0.1, 0.3, 0.5, 0.7, 0.9]
