@@ -41,7 +41,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_size:
     kept = stage(df.withColumn("__id", F.monotonically_increasing_id()), "to-split")
     place = F.concat(hash_text(*[quoted(k) for k in key]), F.substring(F.md5(F.col("__id").cast("string")), 1, 4))
     coded = kept.select(quoted(target).alias("__y"), place.alias("__q"), F.substring(place, 1, 4).alias("__r"), "__id")
-    ranges = coded.groupBy("__y", "__r").agg(F.count(F.lit(1)).alias("n"))
+    ranges = stage(coded.groupBy("__y", "__r").agg(F.count(F.lit(1)).alias("n")), "ranges")
     whole = Window.partitionBy("__y")
     borders = ranges.select(
         "__y", "__r", (F.sum("n").over(whole.orderBy("__r")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("size"), "n"
@@ -55,7 +55,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_size:
         ),
         "borders",
     )
-    near = coded.join(border, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__r") == F.col("__range")))
+    near = stage(coded.join(border, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__r") == F.col("__range"))), "near")
     steps = near.groupBy("__class", "left", "__q").agg(F.count(F.lit(1)).alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("__class").orderBy("__q"))
     edges = stage(
@@ -64,7 +64,8 @@ def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_size:
         ),
         "edges",
     )
-    tied = coded.join(edges, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__q") == F.col("__edge")))
+    near = near.drop("__class", "__range", "left")
+    tied = near.join(edges, F.col("__y").eqNullSafe(F.col("__class")) & (F.col("__q") == F.col("__edge")))
     rank = F.row_number().over(Window.partitionBy("__class", "__edge").orderBy("__id"))
     last = stage(tied.withColumn("rank", rank).where("rank = take").select("__class", "__edge", F.col("__id").alias("__last")), "last")
     sides = kept.withColumn("__q", place).join(last, quoted(target).eqNullSafe(F.col("__class")), "left")

@@ -4,10 +4,14 @@ A row holds one byte per column of codes. A number becomes the place of its bin;
 meet in a row, as those of one category column, share a column that says which of them is set. Sums by (node, column, code) give
 every cut of every feature.
 
-A forest grows in two steps. Nodes with more than ``LOCAL_ROWS`` rows are split level by level: tasks add up the sums of
+Rows of the same codes are never told apart by a cut. They are one cell, which has the sums of its rows, and a tree is grown on
+cells: their number is bounded by the bins of the columns, however many rows there are. For a drawn sample a cell's rows of one
+label are drawn together, as a sum of Poisson numbers is one.
+
+A forest grows in two steps. Nodes with more than ``LOCAL_ROWS`` cells are split level by level: tasks add up the sums of
 their blocks, the engine merges them, and the driver gets sums whose number the rows do not change. Smaller nodes of all
-trees are then dealt over the cluster with their rows, and each is grown to its leaves in the task that gets it. These
-subtrees stay a table; scoring deals the rows in the same way and meets them by a join.
+trees are then dealt over the cluster with their cells, and each is grown to its leaves in the task that gets it. These
+subtrees stay a table; scoring deals the cells of the asked rows in the same way, meets them by a join, and joins the rows by their codes.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path, stage
 
-LOCAL_ROWS = 200_000  # of a node that one task grows to its leaves
+LOCAL_ROWS = 400_000  # cells of a node that one task grows to its leaves
+LOCAL_BYTES = 64_000_000  # sums of all columns of such a node's cells, which bound its cells too
 PASS_CELLS = 2_000_000  # sums of one pass
-DEALT_ROWS = 40_000_000  # rows times trees that are dealt at once
+DEALT_ROWS = 40_000_000  # cells times trees that are dealt at once
 PARTITION_ROWS = 250_000
+BLOCK_ROWS = 40_000
 FEATURES_PER_PASS = 40
 ACCURACY = 10_000
 
@@ -274,8 +280,13 @@ def place(codes, indicators, arrays):
         node[live] = child[at] + np.where(own[c], v == code[at], v > code[at])
 
 
-def grow(codes, stats, layout: Codes, rule: Rule, depth: int, random, still: float):
-    """A whole tree of the rows: (arrays, gains by feature). ``stats``: rows, then what values are means of.
+def _kept(used, slot, rows, part, within, means):
+    return slot[used], rows[used], [s[used] for s in part], *(x if x is None else x[..., used] for x in (within, means))
+
+
+def grow(codes, stats, within, layout: Codes, rule: Rule, depth: int, random, still: float):
+    """A whole tree of the cells: (arrays, gains by feature). ``stats``: rows, then sums that values are means of; ``within``: squares of
+    the distances from a cell's mean, None for classes. The child of an end is the place of its value.
 
     Nodes end when they are pure, at ``depth``, or when no feature differs. ``still``: spread of a row that counts as none.
     """
@@ -284,21 +295,26 @@ def grow(codes, stats, layout: Codes, rule: Rule, depth: int, random, still: flo
     size = sum(len(g) for g in layout.groups)
     gained = np.zeros(size)
     column, code, child, value = [], [], [], []
-    live, slot, slots, made = np.arange(len(codes)), np.zeros(len(codes), np.int64), 1, 1
+    part, rows, slot, slots, made, ends = list(stats), codes, np.zeros(len(codes), np.int64), 1, 1, 0
+    means = None if within is None else stats[1:] / stats[0]
     own = np.array(layout.indicators, bool)
     for level in range(depth + 1):
-        part, rows = stats[:, live], codes[live]
         totals = np.stack([np.bincount(slot, s, slots) for s in part], 1)
         mean = totals[:, 1:] / totals[:, :1]
-        spread = sum(np.bincount(slot, part[0] * (part[k + 1] / part[0] - mean[slot, k]) ** 2, slots) for k in range(mean.shape[1]))
+        if within is None:
+            spread = totals[:, 0] - (totals[:, 1:] * mean).sum(1)
+        else:
+            spread = np.bincount(slot, within, slots)
+            for k, m in enumerate(means):
+                spread += np.bincount(slot, part[0] * (m - mean[slot, k]) ** 2, slots)
         open_ = (spread > still * totals[:, 0]) & (level < depth)
         col, cod, chi = np.full(slots, -1, np.int16), np.zeros(slots, np.uint8), np.zeros(slots, np.int32)
         if open_.any():
-            used = open_[slot]
-            live, slot, part, rows = live[used], slot[used], part[:, used], rows[used]
-            renumber = np.cumsum(open_) - 1
             names = np.flatnonzero(open_)
-            slot = renumber[slot]
+            used = np.flatnonzero(open_[slot])
+            if len(used) < len(slot):
+                slot, rows, part, within, means = _kept(used, slot, rows, part, within, means)
+            slot = (np.cumsum(open_) - 1)[slot]
             at, c, v, gain, _ = choose(
                 cells(rows, slot, len(names), part, layout.widths), totals[names], np.ones(len(names), bool), layout, rule, random, mean.shape[1]
             )
@@ -307,21 +323,89 @@ def grow(codes, stats, layout: Codes, rule: Rule, depth: int, random, still: flo
             chi[names[at]] = made + 2 * np.arange(len(at))
             fresh, scol, scod = np.full(len(names), -1), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
             fresh[at], scol[at], scod[at] = np.arange(len(at)), c, v
-            kept = fresh[slot] >= 0
-            live, slot, rows = live[kept], slot[kept], rows[kept]
-            x = rows[np.arange(len(rows)), scol[slot]]
-            right = np.where(own[scol[slot]], x == scod[slot], x > scod[slot])
+            kept = np.flatnonzero(fresh[slot] >= 0)
+            if len(kept) < len(slot):
+                slot, rows, part, within, means = _kept(kept, slot, rows, part, within, means)
+            x, of = rows[np.arange(len(rows)), scol[slot]], scod[slot]
+            right = np.where(own[scol[slot]], x == of, x > of)
             slot = 2 * fresh[slot] + right
             slots = 2 * len(at)
         else:
             slots = 0
-        column.append(col), code.append(cod), child.append(chi), value.append(mean)
+        end = col < 0
+        chi[end] = ends + np.arange(end.sum())
+        ends += end.sum()
+        column.append(col), code.append(cod), child.append(chi), value.append(mean[end])
         made += slots
         if not slots:
             break
     return tuple(np.concatenate(v) for v in (column, code, child, value)), gained
 
 
+def byte_rows(codes):
+    """The rows of a matrix of bytes as an Arrow column."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
+
+
+def group_rows(rows: DataFrame, layout: Codes, by_label: bool) -> DataFrame:
+    """(codes, y, n) of rows (x, y): those of the same codes and label as one, or those of the same codes with the mean of their labels."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([byte_rows(layout.encode(_array(batch.column(0)))), batch.column(1)], ["codes", "y"])
+
+    coded = rows.select("x", "y").mapInArrow(run, "codes binary, y double")
+    if by_label:
+        return coded.groupBy("codes", "y").agg(F.count("*").alias("n"))
+    return coded.groupBy("codes").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+
+
+def pack_cells(spark, equal: DataFrame, width: int) -> tuple[DataFrame, int, int]:
+    """Blocks of a written table (codes, y, n), and how many rows of it and cells they have: codes and first row of each cell, labels and numbers of
+    its rows. The rows of a cell stand together, but for one of very many labels, whose rows are dealt like others.
+    """
+    most = equal.groupBy("codes").agg(F.count("*").alias("k")).agg(F.sum("k").alias("rows"), F.max("k").alias("most")).first()
+    slices = -(-most.most // BLOCK_ROWS)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def block(parts):
+            codes = np.frombuffer(b"".join(b"".join(p.column(0).to_pylist()) for p in parts), np.uint8)
+            told, n = (np.concatenate([np.asarray(p.column(i), dtype=float) for p in parts]) for i in (1, 2))
+            codes = codes.reshape(len(told), width)
+            first = np.r_[True, (codes[1:] != codes[:-1]).any(1)]
+            starts = np.flatnonzero(first)
+            arrays = (codes[starts].tobytes(), starts.tobytes(), told.tobytes(), n.tobytes())
+            names = ["codes", "starts", "told", "n", "cells"]
+            return pa.RecordBatch.from_arrays([*[pa.array([a], pa.binary()) for a in arrays], pa.array([len(starts)], pa.int64())], names)
+
+        parts, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch)
+                rows += batch.num_rows
+                if rows >= BLOCK_ROWS:
+                    yield block(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield block(parts)
+
+    count = partitions(spark, most.rows, most.rows)
+    dealt = equal.repartition(count, F.xxhash64("codes", F.pmod(F.xxhash64("y"), F.lit(slices)))).sortWithinPartitions("codes", "y")
+    blocks = dealt.select("codes", "y", "n").mapInArrow(run, "codes binary, starts binary, told binary, n binary, cells long")
+    packed = stage(blocks.withColumn("block", F.monotonically_increasing_id()), "cells")
+    return packed, most.rows, packed.agg(F.sum("cells")).first()[0]
+
+
 def pack_rows(rows: DataFrame, layout: Codes, label: str) -> DataFrame:
     """(codes, told) of batches of rows with vectors ``x`` and a second column: one row a batch."""
 
@@ -361,10 +445,11 @@ def _blob(arrays) -> list[bytes]:
     return [a.tobytes() for a in arrays]
 
 
-def _weights(n: int, seed: int, tree: int, block: int, bootstrap: bool):
+def _weights(n, seed: int, tree: int, block: int, bootstrap: bool):
+    """How often the rows of a block are in a tree's sample; ``n`` says how many equal rows each stands for."""
     import numpy as np
 
-    return np.random.RandomState([seed, tree, block & 0xFFFFFFFF, block >> 32]).poisson(1.0, n).astype(float) if bootstrap else np.ones(n)
+    return np.random.RandomState([seed, tree, block & 0xFFFFFFFF, block >> 32]).poisson(n).astype(float) if bootstrap else n
 
 
 class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -406,24 +491,40 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
         layout = fit_codes(own, min(self.getOrDefault(self.bins), 256), rule.random)
         width, outputs = len(layout.groups), classes or 1
         base, still = (0.0, 1e-12) if classes else (facts.mean, 1e-14 * (facts.spread or 0.0))
-        packed = stage(pack_rows(own, layout, "double").withColumn("block", F.monotonically_increasing_id()), "forest-rows")
-        blocks = packed.count()
-        dealt = packed.repartition(partitions(spark, facts.rows, blocks), F.xxhash64("block"))
-
-        def goals(told: bytes):
-            y = np.frombuffer(told, float)
-            return np.stack([(y == k).astype(float) for k in range(classes)]) if classes else (y - base)[None]
-
+        packed, rows, size = pack_cells(spark, stage(group_rows(own, layout, True), "forest-rows"), width)
+        columns = ["block", "codes", "starts", "told", "n"]
+        dealt = packed.select(*columns).repartition(partitions(spark, rows, packed.count()), F.xxhash64("block"))
+
+        def samples(codes: bytes, starts: bytes, told: bytes, n: bytes, trees_, block: int):
+            """(tree, codes, stats) of a block's cells for each tree: rows, sums of the goals, and squares of the distances from the cell's mean."""
+            starts, y, n = np.frombuffer(starts, np.int64), np.frombuffer(told), np.frombuffer(n)
+            codes, goal = unpack(codes, len(starts), width), None if classes else y - base
+            cell, last = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(y)])), None
+            for t in trees_:
+                if bootstrap or last is None:
+                    w = _weights(n, seed, t, block, bootstrap)
+                    whole = np.add.reduceat(w, starts)
+                    kept_ = np.flatnonzero(whole > 0)
+                    if classes:
+                        stats = np.stack([whole] + [np.add.reduceat(np.where(y == k, w, 0.0), starts) for k in range(classes)])
+                    else:
+                        sums = np.add.reduceat(w * goal, starts)
+                        apart = goal - (sums / np.maximum(whole, 1.0))[cell]
+                        stats = np.stack([whole, sums, np.add.reduceat(w * apart**2, starts)])
+                    last = (codes, stats) if len(kept_) == len(codes) else (codes[kept_], stats[:, kept_])
+                yield t, *last
+
+        local = max(1, min(LOCAL_ROWS, LOCAL_BYTES // (8 * max(1, width) * (outputs + 2))))
         tops = [Tree(outputs) for _ in range(count)]
         gained = np.zeros((count, sum(len(g) for g in layout.groups)))
         ended: dict[tuple[int, int], object] = {}
-        asked = [(t, 0) for t in range(count)] if facts.rows > LOCAL_ROWS and width else []
+        asked = [(t, 0) for t in range(count)] if size > local and width else []
         if asked:
-            kept = dealt.select("block", "codes", "told").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+            kept = dealt.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
         level, offsets = 0, np.r_[0, np.cumsum(layout.widths)].astype(int)
         while asked and level < depth:
             arrays, following = {t: tops[t].arrays() for t in {t for t, _ in asked}}, []
-            step = max(1, PASS_CELLS // (int(offsets[-1]) * (outputs + 1)))
+            step = max(1, PASS_CELLS // (int(offsets[-1]) * (outputs + 2)))
             for start in range(0, len(asked), step):
                 some = asked[start : start + step]
                 wanted: dict[int, list[int]] = {}
@@ -431,20 +532,19 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
                     wanted.setdefault(t, []).append(node)
 
                 def add(part, wanted=wanted, arrays={t: arrays[t] for t in wanted}, size=len(some)):
-                    sums = np.zeros((size, int(offsets[-1]), outputs + 1))
-                    for block, codes, told in part:
-                        goal, first = goals(told), 0
-                        codes = unpack(codes, goal.shape[1], width)
-                        for t, nodes in wanted.items():
+                    sums = np.zeros((size, int(offsets[-1]), outputs + 2))  # the last: cells
+                    for block, codes, starts, told, n in part:
+                        first = 0
+                        for t, codes_, stats in samples(codes, starts, told, n, wanted, block):
+                            nodes = wanted[t]
                             slots = np.full(len(arrays[t][0]), -1)
-                            slots[nodes] = first + np.arange(len(nodes))
-                            w = _weights(len(codes), seed, t, block, bootstrap)
-                            at = slots[place(codes, layout.indicators, arrays[t])]
-                            used = np.flatnonzero((at >= 0) & (w > 0))
-                            stats, spot = np.vstack([w[used], goal[:, used] * w[used]]), at[used] - first
+                            slots[nodes] = np.arange(len(nodes))
+                            at = slots[place(codes_, layout.indicators, arrays[t])]
+                            used = np.flatnonzero(at >= 0)
+                            spot, stats_ = at[used], [*stats[: outputs + 1, used], None]
                             for c, wide in enumerate(layout.widths):
-                                key = spot * wide + codes[used, c]
-                                for k, s in enumerate(stats):
+                                key = spot * wide + codes_[used, c]
+                                for k, s in enumerate(stats_):
                                     sums[first : first + len(nodes), offsets[c] : offsets[c + 1], k] += np.bincount(key, s, len(nodes) * wide).reshape(-1, wide)
                             first += len(nodes)
                     yield sums
@@ -454,25 +554,25 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
                 totals = sums[:, offsets[0] : offsets[1]].sum(1)
                 parts = []
                 for c, wide in enumerate(layout.widths):
-                    flat = sums[:, offsets[c] : offsets[c + 1]].reshape(-1, outputs + 1)
+                    flat = sums[:, offsets[c] : offsets[c + 1]].reshape(-1, outputs + 2)
                     found = np.flatnonzero(flat[:, 0])
                     parts.append((found, flat[found]))
                 open_ = totals[:, 0] > 0
                 if classes:
-                    open_ &= totals[:, 1:].max(1) < totals[:, 0]
+                    open_ &= totals[:, 1 : outputs + 1].max(1) < totals[:, 0]
                 random = np.random.RandomState([seed, level, start, 1])
                 best = {int(s): (int(c), int(v), g, left) for s, c, v, g, left in zip(*choose(parts, totals, open_, layout, rule, random, outputs))}
                 for s, (t, node) in enumerate(order):
                     if s not in best or (not classes and best[s][2] <= 0):
-                        ended[t, node] = totals[s, 1:] / max(totals[s, 0], 1e-300)
+                        ended[t, node] = totals[s, 1 : outputs + 1] / max(totals[s, 0], 1e-300)
                         continue
                     c, v, gain, left = best[s]
                     gained[t, int(layout.features(np.array([c]), np.array([v]))[0])] += max(gain, 0.0)
                     child = tops[t].split(node, c, v)
                     for place_, side in ((child, left), (child + 1, totals[s] - left)):
                         if level + 1 >= depth:
-                            ended[t, place_] = side[1:] / side[0]
-                        elif side[0] > LOCAL_ROWS:
+                            ended[t, place_] = side[1 : outputs + 1] / side[0]
+                        elif side[-1] > local:
                             following.append((t, place_))
             asked, level = following, level + 1
         if level:
@@ -487,21 +587,17 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
                 import pyarrow as pa
 
                 for batch in batches:
-                    for block, codes, told in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                        y = np.frombuffer(told, float)
-                        codes = unpack(codes, len(y), width)
-                        for t in group:
-                            w = _weights(len(codes), seed, t, block, bootstrap)
-                            at = np.where(w > 0, place(codes, layout.indicators, arrays[t]), -1)
-                            out = []
-                            for node in np.unique(at[at >= 0]):
-                                if node not in done[t]:
-                                    here = np.flatnonzero(at == node)
-                                    out.append((t, int(node), block, codes[here].tobytes(), y[here].tobytes(), w[here].astype(np.uint8).tobytes()))
+                    for block, *packs in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                        for t, codes, stats in samples(*packs, group, block):
+                            at, out = place(codes, layout.indicators, arrays[t]), []
+                            order = at.argsort(kind="stable")
+                            for here in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                                if len(here) and (node := int(at[here[0]])) not in done[t]:
+                                    out.append((t, node, block, codes[here].tobytes(), np.ascontiguousarray(stats[sent_stats, here[:, None]]).tobytes()))
                             if out:
                                 yield pa.RecordBatch.from_arrays(
-                                    [pa.array(v, ty) for v, ty in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                                    ["tree", "node", "block", "codes", "told", "w"],
+                                    [pa.array(v, ty) for v, ty in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                    ["tree", "node", "block", "codes", "stats"],
                                 )
 
             return run
@@ -511,21 +607,24 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
 
             t, node = (k.as_py() for k in key)
             table = table.sort_by("block")
-            y = np.frombuffer(b"".join(table["told"].to_pylist()))
-            w = np.frombuffer(b"".join(table["w"].to_pylist()), np.uint8).astype(float)
-            codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(y), width)
-            goal = np.stack([(y == k).astype(float) for k in range(classes)]) if classes else (y - base)[None]
+            stats = np.frombuffer(b"".join(table["stats"].to_pylist())).reshape(-1, outputs if classes else 3).T
+            codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(stats.shape[1], width)
+            if classes:
+                stats, within = np.vstack([stats.sum(0), stats]), None
+            else:
+                stats, within = stats[:2], stats[2]
             random = np.random.RandomState([seed, t, node, 2])
-            found, gains = grow(codes, np.vstack([w, goal * w]), layout, rule, depth - depths[t][node], random, still)
+            found, gains = grow(codes, stats, within, layout, rule, depth - depths[t][node], random, still)
             columns = [[t], [node], *[[b] for b in _blob(found)], [gains.tolist()]]
             types = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.float64())]
             return pa.table([pa.array(c, ty) for c, ty in zip(columns, types)], names=["tree", "node", "column", "code", "child", "value", "gained"])
 
-        each = max(1, DEALT_ROWS // facts.rows)
+        sent_stats = list(range(1, classes + 1)) if classes else [0, 1, 2]
+        each = max(1, DEALT_ROWS // size)
         for start in range(0, count, each):
             group = list(range(start, min(count, start + each)))
-            parts = max(min(len(group) * blocks, spark.sparkContext.defaultParallelism * 4), -(-facts.rows * len(group) // (4 * PARTITION_ROWS)))
-            sent = dealt.select("block", "codes", "told").mapInArrow(deal(group), "tree int, node int, block long, codes binary, told binary, w binary")
+            parts = max(min(len(group) * 4, spark.sparkContext.defaultParallelism * 4), -(-size * len(group) // PARTITION_ROWS))
+            sent = dealt.mapInArrow(deal(group), "tree int, node int, block long, codes binary, stats binary")
             spread = sent.repartition(parts, "tree", "node")
             spread.groupBy("tree", "node").applyInArrow(finish, schema).write.mode("append").parquet(folder)
         if ended:
@@ -537,7 +636,7 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPa
         shares = gained / np.maximum(gained.sum(1, keepdims=True), 1e-300)
         total = shares.sum()
         document = json.dumps({
-            "cuts": layout.cuts, "groups": layout.groups, "indicators": layout.indicators, "base": base, "classes": classes, "rows": facts.rows,
+            "cuts": layout.cuts, "groups": layout.groups, "indicators": layout.indicators, "base": base, "classes": classes, "cells": size,
             "tops": [[t.column, t.code, t.child] for t in tops], "importances": (shares.sum(0) / (total or 1.0)).tolist(),
         })
         return ForestModel(document=document, folder=folder, featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
@@ -595,23 +694,39 @@ class ForestModel(Transformer, HasFeaturesCol, HasPredictionCol, DefaultParamsRe
         layout, outputs, base = Codes(d["cuts"], d["groups"], d["indicators"]), d["classes"] or 1, d["base"]
         width, trees = len(layout.groups), len(d["tops"])
         tops = [(np.array(a, np.int16), np.array(b, np.uint8), np.array(c, np.int32)) for a, b, c in d["tops"]]
-        rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "to-score")
-        count = rows.count()
-        packed = stage(pack_rows(rows.select(vector_to_array(self.getFeaturesCol()).alias("x"), "__row"), layout, "long"), "score-rows")
-        parts = 1 + count // (4 * d["rows"])  # rows of a subtree in one group are bounded by those it was grown from
+
+        @F.pandas_udf("binary")
+        def coded(vectors):
+            import pandas as pd
+
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            return pd.Series(byte_rows(layout.encode(np.stack(vectors.to_numpy()).astype(float))).to_pylist())
+
+        def pack(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column(0).to_pylist())], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["codes", "cells"])
+
+        rows = stage(df.withColumn("__codes", coded(vector_to_array(self.getFeaturesCol()))), "to-score")
+        cells_ = rows.select("__codes").distinct().repartition(spark.sparkContext.defaultParallelism, F.xxhash64("__codes"))
+        packed = stage(cells_.mapInArrow(pack, "codes binary, cells long").withColumn("block", F.monotonically_increasing_id()), "score-cells")
+        count = packed.agg(F.sum("cells")).first()[0] or 0
+        parts = 1 + count // (4 * d["cells"])  # cells of a subtree in one group are bounded by those it was grown from
 
         def deal(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
-                for codes, told in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                    ids = np.frombuffer(told, np.int64)
-                    codes = unpack(codes, len(ids), width)
+                for codes, size, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    codes = unpack(codes, size, width)
                     for t, top in enumerate(tops):
                         at, out = place(codes, layout.indicators, top), []
                         for node in np.unique(at):
                             here = np.flatnonzero(at == node)
-                            out.append((int(ids[0]), t, int(node), int(ids[0] % parts), here.astype(np.int32).tobytes(), codes[here].tobytes()))
+                            out.append((block, t, int(node), (block + (block >> 33)) % parts, here.astype(np.int32).tobytes(), codes[here].tobytes()))
                         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(zip(*out), types)], ["block", "tree", "node", "part", "rows", "codes"])
 
@@ -626,37 +741,26 @@ class ForestModel(Transformer, HasFeaturesCol, HasPredictionCol, DefaultParamsRe
                 for block, here, codes in zip(*(asked[n].to_pylist() for n in ("block", "rows", "codes"))):
                     n = len(here) // 4
                     codes = np.frombuffer(codes, np.uint8).reshape(n, width)
-                    out.append((block, here, value[place(codes, layout.indicators, tree)].tobytes()))
+                    out.append((block, here, value[tree[2][place(codes, layout.indicators, tree)]].tobytes()))
             columns = list(zip(*out)) if out else [[], [], []]
             return pa.table([pa.array(list(c), ty) for c, ty in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["block", "rows", "values"])
 
-        def total(key, table):
+        def total(found, asked):
             import pyarrow as pa
 
-            ids, sums = None, None
-            for ids_, here, values in zip(*(table[n].to_pylist() for n in ("told", "rows", "values"))):
-                if sums is None:
-                    ids = np.frombuffer(ids_, np.int64)
-                    sums = np.zeros((len(ids), outputs))
+            codes, size = (asked[n].to_pylist()[0] for n in ("codes", "cells"))
+            known, sums = unpack(codes, size, width), np.zeros((size, outputs))
+            for here, values in zip(*(found[n].to_pylist() for n in ("rows", "values"))):
                 sums[np.frombuffer(here, np.int32)] += np.frombuffer(values).reshape(-1, outputs)
-            return pa.table([pa.array(ids), pa.array(list(sums / trees + base), pa.list_(pa.float64()))], names=["__id", "__values"])
+            return pa.table([byte_rows(known), pa.array(list(sums / trees + base), pa.list_(pa.float64()))], names=["__codes", "__values"])
 
-        parts_out = max(spark.sparkContext.defaultParallelism, -(-count * trees // (8 * PARTITION_ROWS)))
+        parts_out = max(spark.sparkContext.defaultParallelism, -(-count * trees // PARTITION_ROWS))
         sent = packed.mapInArrow(deal, "block long, tree int, node int, part int, rows binary, codes binary").repartition(parts_out, "tree", "node", "part")
         subtrees = spark.read.parquet(self.getOrDefault(self.folder)).drop("gained").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         key = ["tree", "node", "part"]
         met = sent.groupBy(*key).cogroup(subtrees.repartition(parts_out, *key).groupBy(*key)).applyInArrow(score, "block long, rows binary, values binary")
-
-        def first(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                told = batch.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x[:8], np.int64)[0]) for x in told], pa.int64()), pa.array(told, pa.binary())], ["block", "told"])
-
-        named = packed.mapInArrow(first, "block long, told binary")
-        sums = met.join(named, "block").groupBy("block").applyInArrow(total, "__id long, __values array<double>")
-        out = rows.join(sums, F.col("__row") == F.col("__id")).drop("__row", "__id")
+        sums = met.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(total, "__codes binary, __values array<double>")
+        out = rows.join(sums, "__codes").drop("__codes")
         if not d["classes"]:
             return out.withColumn(self.getPredictionCol(), F.col("__values")[0]).drop("__values")
         best = (F.array_position("__values", F.array_max("__values")) - 1).cast("double")

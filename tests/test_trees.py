@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -90,3 +92,32 @@ def test_boosted_classes_begin_with_their_shares(table):
     model = BoostedTrees(rounds=0, classes=3).fit(table)
     labels = [r.label for r in table.collect()]
     assert model.transform(table).first().probability.toArray() == pytest.approx([labels.count(k) / len(labels) for k in range(3)])
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_rows_of_the_same_codes_are_one_cell(spark, table, classes, monkeypatch):
+    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("copy")
+    rows = copies.select(vector_to_array("features").alias("x"), F.col("label").alias("y"))
+    layout = trees.fit_codes(rows, 255)
+    equal = trees.group_rows(rows, layout, True).cache()
+    packed, labelled, cells = trees.pack_cells(spark, equal, len(layout.groups))
+    vectors = len({tuple(r.features.toArray()) for r in table.collect()})
+    assert (labelled, cells) == (vectors, vectors) and sum(np.frombuffer(r.n).sum() for r in packed.collect()) == 3_000
+    # One task grows them, though the rows are more than it may have; and copies change no tree.
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 600)
+    own = {tuple(x): p for x, _, p in answers(Forest(classes=classes, depth=4).fit(table), table)}
+    model = Forest(classes=classes, depth=4).fit(copies)
+    assert len(json.loads(model.getOrDefault("document"))["tops"][0][0]) == 1
+    assert {tuple(x): pytest.approx(p) for x, _, p in answers(model, copies)} == own
+
+
+def test_labels_of_one_cell_are_dealt_and_drawn(spark, monkeypatch):
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 50)
+    rows = spark.range(400).selectExpr("array(cast(id % 2 as double)) as x", "cast(id as double) as y")
+    layout = trees.fit_codes(rows, 255)
+    packed, labelled, cells = trees.pack_cells(spark, trees.group_rows(rows, layout, True).cache(), 1)
+    assert labelled == 400 and cells > 2 and packed.count() > 1
+    df = VectorAssembler(inputCols=["v"], outputCol="features").transform(rows.selectExpr("x[0] as v", "y as label"))
+    out = {r.v: r.prediction for r in Forest(trees=30, bootstrap=True).fit(df).transform(df).select("v", "prediction").distinct().collect()}
+    assert out[0.0] == pytest.approx(199.0, abs=10) and out[1.0] == pytest.approx(200.0, abs=10)
+    assert {r.v: r.prediction for r in Forest().fit(df).transform(df).collect()} == pytest.approx({0.0: 199.0, 1.0: 200.0})
