@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -18,7 +18,7 @@ from ..functions.columns import DATETIME, as_double, columns_of_kind, numeric_co
 from . import clean
 from .boosting import BoostedTrees
 from .features import INFREQUENT, fit_categories
-from .transformers import RandomFourier
+from .transformers import FourierMachines, RandomFourier
 from .trees import Forest
 
 SEED = 42
@@ -217,14 +217,11 @@ def _svm(c: FitContext):
     fourier = RandomFourier(
         inputCol="features", outputCol="waves", gamma=1.0 / (size * (spread or 1.0)), components=c.components, size=size, randomSeed=c.seed
     )
-    margin = OneVsRest(
-        featuresCol="waves", rawPredictionCol="rawPrediction", parallelism=4,
-        classifier=LinearSVC(featuresCol="waves", regParam=1.0 / f["rows"], standardization=False),
-    )
+    machines = FourierMachines(fourier, c.classes, 1.0 / f["rows"], f["rows"])
     calibration = LogisticRegression(
         featuresCol="rawPrediction", probabilityCol="probability", predictionCol="calibrated", rawPredictionCol="calibrated_raw"
     )
-    return [fourier, margin, calibration]
+    return [machines, calibration]
 
 
 def _gaussian_bayes(c: FitContext):
@@ -282,8 +279,7 @@ def fit(name: str, context: FitContext) -> PipelineModel:
         raise ValueError(f"unknown model {name!r}")
     stages = make(context)
     if not isinstance(stages[0], (Forest, BoostedTrees)):  # those deal their rows themselves
-        values = context.components if isinstance(stages[0], RandomFourier) else len(context.facts()["low"])
-        parts = partitions_for(context.facts()["rows"], values)
+        parts = partitions_for(context.facts()["rows"], len(context.facts()["low"]))
         if parts > 1:
             return Pipeline(stages=stages).fit(context.train.repartition(parts))
     return Pipeline(stages=stages).fit(context.train)
