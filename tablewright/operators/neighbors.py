@@ -15,12 +15,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.tables import spread_by
 from ..session import stage
 
-PIVOTS = 128  # cells, at least
-BLOCK_ROWS = 2048
+PIVOTS = 128  # cells, at least, in few dimensions
+BLOCK_ROWS = 2048  # training rows of a block, at least
+WIDE_ROWS = 16_384  # in many dimensions, where nearly all blocks are met: fewer of them send rows less often and return fewer
+WIDE_NUMBERS = 1_500_000  # in their vectors, at most
+ASKED_BLOCK_ROWS = 4096
 CELL_ROWS = 512  # in few dimensions, where boxes exclude most cells
 FEW = 8
 TREE_ROWS = 16  # for each cell, that tell where the tree cuts
 TREE_NUMBERS = 4_000_000  # in these rows, at most
+PRODUCT_ROWS = 2048  # training rows of one product
+ASKED_ROWS = 512  # test rows of one product
 
 
 def _tree(x, cells: int):
@@ -103,6 +108,49 @@ def _others(cells, low, high):
     return others
 
 
+def _candidates(x, q, k):
+    """(row, place) of all training rows ``x`` that can be among the k nearest of rows ``q``, and some more.
+
+    Squared distances come from matrix products in single precision, on rows moved to their middle. A row stays if it is no farther than the
+    k-th so far by more than twice the error that these products can have; of those, exact distances decide.
+    """
+    import numpy as np
+
+    if not (np.isfinite(x).all() and np.isfinite(q).all()):
+        return np.divmod(np.arange(len(q) * len(x)), len(x))
+    middle = x.mean(0)
+    x, q = x - middle, q - middle
+    scale = max(float(np.abs(x).max(initial=0)), float(np.abs(q).max(initial=0)), 1e-300)
+    x, q = (x / scale).astype(np.float32), (q / scale).astype(np.float32)
+    of_x, of_q = (x.astype(float) ** 2).sum(1), (q.astype(float) ** 2).sum(1)
+    # Rounding of the rows, of the products and of the sums.
+    slack = (2.0 * (x.shape[1] + 16) * 2.0**-24 * (np.sqrt(of_q) + np.sqrt(of_x.max(initial=0))) ** 2 + 1e-30).astype(np.float32)
+    # The test row's own square is the same for all and is left out.
+    x, q = np.hstack([-2.0 * x, of_x[:, None].astype(np.float32)], dtype=np.float32), np.hstack([q, np.ones((len(q), 1), np.float32)])
+    step = max(k, PRODUCT_ROWS)
+    products = np.empty((len(q), step), np.float32)
+    best, rows, picks, values = np.full((len(q), k), np.inf, np.float32), [], [], []
+    for start in range(0, len(x), step):
+        d = np.matmul(q, x[start : start + step].T, out=products if start + step <= len(x) else None)
+        if not start:
+            near = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            best[:, : near.shape[1]] = near
+        hit = np.flatnonzero(d <= (best.max(1) + 2.0 * slack)[:, None])
+        row, pick = np.divmod(hit, d.shape[1])
+        value = d.ravel()[hit]
+        rows.append(row), picks.append(start + pick), values.append(value)
+        if start and len(row):
+            order = np.lexsort((value, row))
+            first = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+            order, first = order[first < k], first[first < k]
+            more = np.full((len(q), k), np.inf, np.float32)
+            more[row[order], first] = value[order]
+            best = np.sort(np.hstack([best, more]), axis=1)[:, :k]
+    row, pick, value = (np.concatenate(v) if v else np.zeros(0, int) for v in (rows, picks, values))
+    kept = value <= (best.max(1) + 2.0 * slack)[row]
+    return row[kept], pick[kept]
+
+
 def _block_neighbours(k):
     def best(left, right):
         import numpy as np
@@ -114,18 +162,16 @@ def _block_neighbours(k):
         q = np.stack(right["vector"].to_numpy()).astype(float)
         order = left["train_id"].to_numpy().argsort(kind="stable")
         x, ids, labels = x[order], left["train_id"].to_numpy()[order], left["label"].to_numpy()[order]
-        step = max(1, 4_000_000 // max(1, x.size))
         rows, picks, distances = [], [], []
-        for start in range(0, len(q), step):
-            d = np.sqrt(((q[start : start + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-            last = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            row, pick = np.nonzero(~(d > last[:, None]))
-            by = np.lexsort((pick, d[row, pick], row))  # equal distances stay in id order
-            row, pick = row[by], pick[by]
+        for start in range(0, len(q), ASKED_ROWS):
+            row, pick = _candidates(x, q[start : start + ASKED_ROWS], k)
+            row += start
+            step = max(1, 4_000_000 // max(1, x.shape[1]))
+            d = np.concatenate([np.sqrt(((q[row[i : i + step]] - x[pick[i : i + step]]) ** 2).sum(axis=1)) for i in range(0, len(row), step)])
+            by = np.lexsort((pick, d, row))  # equal distances stay in id order
+            row, pick, d = row[by], pick[by], d[by]
             first = np.arange(len(row)) - np.searchsorted(row, row) < k
-            rows.append(start + row[first])
-            picks.append(pick[first])
-            distances.append(d[row[first], pick[first]])
+            rows.append(row[first]), picks.append(pick[first]), distances.append(d[first])
         rows, picks = np.concatenate(rows), np.concatenate(picks)
         return pd.DataFrame(
             {
@@ -139,8 +185,8 @@ def _block_neighbours(k):
 
 def _in_blocks(known: DataFrame, asked: DataFrame, k: int, block_rows: int, types: dict[str, str]) -> DataFrame:
     """The k best of each cell's block for every row of ``asked`` (test_id, vector, cell)."""
-    sizes = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    blocks = stage(sizes(known, "of_train").join(sizes(asked, "of_test"), "cell"), "neighbour-blocks")
+    sizes = lambda rows, most, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = stage(sizes(known, block_rows, "of_train").join(sizes(asked, min(block_rows, ASKED_BLOCK_ROWS), "of_test"), "cell"), "neighbour-blocks")
     dealt = lambda rows, own, name, mine, other, theirs: rows.join(blocks, "cell").select(
         *rows.columns, F.pmod(F.hash(own), mine).alias(name), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other)
     )
@@ -157,7 +203,12 @@ def _nearest(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 
-def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def wide_block(size: int) -> int:
+    """Training rows of a block of vectors of ``size`` numbers."""
+    return BLOCK_ROWS if size <= FEW else max(BLOCK_ROWS, min(WIDE_ROWS, WIDE_NUMBERS // size))
+
+
+def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, pivots: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(test_id, train_id, label, distance, place): the k nearest training rows, ties by train_id.
 
     ``train`` has (id, vector, label), ``test`` has (id, vector); vectors are arrays. ``pivots`` is the least number of cells.
@@ -170,6 +221,8 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, pivots: in
     if not rows:
         raise ValueError("no training rows")
     size = len(known.select("vector").first()[0])
+    block_rows = block_rows or wide_block(size)
+    pivots = pivots or (PIVOTS if size <= FEW else 1)
     cells = max(pivots, math.ceil(rows / (min(CELL_ROWS, block_rows) if size <= FEW else block_rows)))
     wanted = min(TREE_ROWS * cells, TREE_NUMBERS // max(1, size))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // max(1, wanted)))) == 0).select("vector").toPandas()["vector"]

@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tables import spread_by
 from ..session import stage
-from .neighbors import _block_neighbours, nearest_neighbours
+from .neighbors import _block_neighbours, nearest_neighbours, wide_block
 
 SAMPLE = 50_000  # training rows that codebooks are fitted on, at most
 CENTRES = 4_096  # in a codebook, at most
 CELL_ROWS = 64
 CANDIDATES = 1_280
-BLOCK_ROWS = 2_048  # training rows of a cell in one block
 QUERY_ROWS = 4_096  # test rows of a cell in one block
 TRIALS = 200  # test rows whose true neighbours tell how many cells are visited
 WANTED = 0.98  # share of these neighbours that the visited cells hold
@@ -31,14 +30,20 @@ ROUNDS = 12
 SPLITS = 16
 
 
-def fit_codebooks(train: DataFrame, rows: int, seed: int = 42, cell_rows: int = CELL_ROWS):
-    """Two arrays of centres by Lloyd's rounds on a sample of at most ``SAMPLE`` vectors."""
+def codebook_rows(train: DataFrame, seed: int = 42):
+    """Matrix of at most ``SAMPLE`` training vectors, on which codebooks are fitted."""
     import numpy as np
 
     sample = train.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("vector").collect()
     if not sample:
         raise ValueError("no training rows")
-    x = np.array([r["vector"] for r in sample], dtype=float)
+    return np.array([r["vector"] for r in sample], dtype=float)
+
+
+def fit_codebooks(x, rows: int, seed: int = 42, cell_rows: int = CELL_ROWS):
+    """Two arrays of centres by Lloyd's rounds on the matrix ``x``, for cells of about ``cell_rows`` of ``rows`` rows."""
+    import numpy as np
+
     count = min(CENTRES, max(1, math.isqrt(max(1, rows // cell_rows))), len(x))
     half = max(1, x.shape[1] // 2)
     random, books = np.random.RandomState(seed), []
@@ -86,7 +91,7 @@ def _cells(books, probes: int):
     return cells
 
 
-def index_neighbours(train: DataFrame, test: DataFrame, k: int = 5, candidates: int = CANDIDATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def index_neighbours(train: DataFrame, test: DataFrame, k: int = 5, candidates: int = CANDIDATES, block_rows: int | None = None) -> DataFrame:
     """(test_id, train_id, label, distance, place): ``k`` near training rows of each test row, ties by train_id.
 
     Distances are exact, the rows are not all of the nearest: those in other cells than the visited are missed. On tables
@@ -94,20 +99,22 @@ def index_neighbours(train: DataFrame, test: DataFrame, k: int = 5, candidates:
     """
     rows, cell_rows = train.count(), CELL_ROWS
     trials = stage(test.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(TRIALS).select("id", "vector"), "index-trials")
-    told = stage(nearest_neighbours(train, trials, k).select("test_id", "train_id"), "index-told") if rows > candidates else None
+    sample, held = codebook_rows(train), []
+    block_rows = block_rows or wide_block(sample.shape[1])
+    if rows > candidates:  # the true neighbours of the trials, with their vectors
+        told = stage(nearest_neighbours(train, trials, k).select("test_id", "train_id"), "index-told")
+        of_train = train.select(F.col("id").alias("train_id"), F.col("vector").alias("near"))
+        held = told.join(of_train, "train_id").join(trials, F.col("test_id") == F.col("id")).select("vector", "near").collect()
     while True:
-        books = fit_codebooks(train, rows, cell_rows=cell_rows)
-        placed = stage(
-            train.select(F.col("id").alias("train_id"), "vector", "label", F.element_at(_cells(books, 1)("vector"), 1).alias("cell")), "index-cells"
-        )
+        books = fit_codebooks(sample, rows, cell_rows=cell_rows)
         cells = len(books[0]) * len(books[1])
-        probes = max(1, min(cells, -(-candidates // cell_rows)))
-        if told is not None:
-            held = told.join(placed.select("train_id", "cell"), "train_id").join(trials, F.col("test_id") == F.col("id"))
-            probes = max(probes, _probes_for(books, held.select("vector", "cell").collect()))
+        probes = max(1, min(cells, -(-candidates // cell_rows)), _probes_for(books, held))
         if probes <= MOST_PROBES or cells <= MOST_PROBES:
             break
         cell_rows *= 4
+    placed = stage(
+        train.select(F.col("id").alias("train_id"), "vector", "label", F.element_at(_cells(books, 1)("vector"), 1).alias("cell")), "index-cells"
+    )
     asked = stage(test.select(F.col("id").alias("test_id"), "vector", F.explode(_cells(books, probes)("vector")).alias("cell")), "index-probes")
     # A cell's rows of either side are counted in parts and cut in blocks, so that no task gets all rows of a crowded cell.
     left, of_train = _in_parts(placed, "train_id")
@@ -133,14 +140,14 @@ def index_neighbours(train: DataFrame, test: DataFrame, k: int = 5, candidates:
 
 
 def _probes_for(books, held) -> int:
-    """Nearest cells that a row must visit to meet ``WANTED`` of the pairs (vector, cell of a true neighbour)."""
+    """Nearest cells that a row must visit to meet ``WANTED`` of the pairs (vector, vector of a true neighbour)."""
     import numpy as np
 
-    half, count, places = books[0].shape[1], len(books[0]), []
-    for vector, cell in held:
-        x = np.array(vector, dtype=float)[None]
+    half, places = books[0].shape[1], []
+    for vector, near in held:
+        x, y = np.array(vector, dtype=float)[None], np.array(near, dtype=float)[None]
         a, b = _squares(x[:, :half], books[0])[0], _squares(x[:, half:], books[1])[0]
-        reach = a[cell // count] + b[cell % count]
+        reach = a[_squares(y[:, :half], books[0])[0].argmin()] + b[_squares(y[:, half:], books[1])[0].argmin()]
         places.append(np.searchsorted(np.sort(b), reach + 1e-9 * (1.0 + abs(reach)) - a, "right").sum())
     return int(np.sort(places)[max(0, math.ceil(WANTED * len(places)) - 1)]) if places else 1
 

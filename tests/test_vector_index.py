@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from tablewright.operators import neighbors, vector_index
@@ -51,3 +54,38 @@ def test_rows_without_clusters_are_found(spark, monkeypatch):
     found = vector_index.index_neighbours(*frames(spark, x, q), k=5, candidates=160).collect()
     want = brute(x, q, 5)
     assert len({(r.test_id, r.train_id) for r in found} & want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("shape", ["far", "equal", "close", "nan"])
+def test_products_leave_the_exact_neighbours(shape, monkeypatch):
+    monkeypatch.setattr(neighbors, "PRODUCT_ROWS", 64)
+    random = np.random.RandomState(6)
+    x, q = random.normal(size=(500, 12)), random.normal(size=(70, 12))
+    if shape == "far":  # from the origin, where single precision has no digits left
+        x, q = 1e7 + x, 1e7 + q
+    elif shape == "equal":
+        x[100:300], q[:9] = x[0], x[0]
+    elif shape == "close":
+        x[:400] = x[0] + 1e-9 * random.normal(size=(400, 12))
+    else:
+        x[7, 3] = np.nan
+    ids = random.permutation(500)
+    left = pd.DataFrame({"train_id": ids, "vector": list(x), "label": ids % 3})
+    out = neighbors._block_neighbours(5)(left, pd.DataFrame({"test_id": np.arange(70), "vector": list(q)}))
+    by_id = x[ids.argsort()]
+    d = np.sqrt(((q[:, None] - by_id[None]) ** 2).sum(2))
+    want = [(i, int(j), d[i, j]) for i in range(70) for j in np.lexsort((np.arange(500), d[i]))[:5]]
+    assert list(zip(out.test_id, out.train_id, out.distance)) == want
+
+
+def test_a_block_is_compared_by_products():
+    random = np.random.RandomState(7)
+    x, q = random.normal(size=(16_384, 64)), random.normal(size=(1_024, 64))
+    left, right = pd.DataFrame({"train_id": range(len(x)), "vector": list(x), "label": 0}), pd.DataFrame({"test_id": range(len(q)), "vector": list(q)})
+    neighbors._block_neighbours(5)(left[:100], right[:10])
+    start = time.process_time()
+    neighbors._block_neighbours(5)(left, right)
+    took = time.process_time() - start
+    start = time.process_time()
+    np.sqrt(((q[:64, None] - x[None, :2_048]) ** 2).sum(2))  # 1/128 of the pairs, one by one
+    assert took < 64 * (time.process_time() - start)
