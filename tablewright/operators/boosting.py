@@ -1,6 +1,7 @@
 """Boosted trees: histograms of gradients and hessians, leaf weights -G / (H + l2).
 
-Rows hold small codes (`trees.py`) and their predictions, in blocks kept by the engine. A pass over the blocks adds up rows,
+Rows hold small codes (`trees.py`), how many rows of these codes they stand for (for numbers with the mean of their labels, as gradients
+of the squared error add up; for classes by label), and their predictions, in blocks kept by the engine. A pass over the blocks adds up rows,
 gradients and, for classes, hessians by (node, column, code) in each task; the engine merges the tasks' sums, whose number the rows
 do not change, and the driver takes the best cut of each node from them. All nodes of a level share a pass, for classes those of all
 trees of a round.
@@ -25,7 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path, stage
-from .trees import Codes, Rule, Tree, choose, fit_codes, merged, pack_rows, partitions, place, unpack
+from .trees import Codes, Rule, Tree, choose, fit_codes, group_rows, merged, pack_labels, partitions, place, unpack
 
 REFRESH = 20  # trees after which the rows are written again with their predictions
 
@@ -133,11 +134,11 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
         layout = fit_codes(own, min(self.getOrDefault(self.bins), 256))
         width, widths, indicators = len(layout.groups), layout.widths, layout.indicators
         offsets = np.r_[0, np.cumsum(widths)].astype(int)
-        packed = stage(pack_rows(own, layout, "double"), "boosting-rows")
-        blocks = packed.count()
+        packed = stage(pack_labels(group_rows(own, layout, bool(classes)), width), "boosting-rows")
+        size, blocks = packed.agg(F.sum("cells"), F.count("*")).first()
 
         def begin(r):
-            return r.codes, r.told, np.repeat(np.array(base)[:, None], len(r.told) // 8, 1).tobytes()
+            return r.codes, r.told, r.n, np.repeat(np.array(base)[:, None], len(r.told) // 8, 1).tobytes()
 
         def weight(sums) -> list[float]:
             if not classes:
@@ -147,11 +148,11 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
 
         def updated(rows, last):
             def run(part):
-                for codes, told, pred in part:
+                for codes, told, n, pred in part:
                     pred, x = np.frombuffer(pred).reshape(outputs, -1).copy(), unpack(codes, len(told) // 8, width)
                     for k, tree in enumerate(last):
                         pred[k] += tree[3][place(x, indicators, tree), 0]
-                    yield codes, told, pred.tobytes()
+                    yield codes, told, n, pred.tobytes()
 
             return rows.mapPartitions(run, preservesPartitioning=True)
 
@@ -162,8 +163,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
 
             def add(part):
                 sums = np.zeros((size, int(offsets[-1]), entries))
-                for codes, told, pred in part:
-                    y = np.frombuffer(told)
+                for codes, told, n, pred in part:
+                    y, n = np.frombuffer(told), np.frombuffer(n)
                     codes = unpack(codes, len(y), width)
                     g, h = gradients(np.frombuffer(pred).reshape(outputs, -1), y, classes)
                     first = 0
@@ -173,7 +174,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
                             slots[nodes] = np.arange(len(nodes))
                             at = slots[place(codes, indicators, arrays[k])]
                             used = np.flatnonzero(at >= 0)
-                            at, stats = at[used], [None, g[k, used]] + ([h[k, used]] if classes else [])
+                            at, w = at[used], n[used]
+                            stats = [w, w * g[k, used]] + ([w * h[k, used]] if classes else [])
                             for c, wide in enumerate(widths):
                                 key = at * wide + codes[used, c]
                                 for e, s in enumerate(stats):
@@ -181,10 +183,12 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
                         first += len(nodes)
                 yield sums
 
-            return rows.mapPartitions(add).treeReduce(merged, 2)
+            sums = rows.mapPartitions(add)
+            return sums.treeReduce(merged, 2) if count > 8 else sums.reduce(merged)
 
         level = StorageLevel.MEMORY_AND_DISK
-        rows = packed.repartition(partitions(spark, facts.rows, blocks)).rdd.map(begin).persist(level)
+        count = partitions(spark, size, blocks)
+        rows = packed.repartition(count).rdd.map(begin).persist(level)
         trees, before = [[] for _ in range(outputs)], None
         for done in range(self.getOrDefault(self.rounds) if width else 0):
             growing = [Growing(leaves, depth) for _ in range(outputs)]
@@ -215,11 +219,11 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Def
             before, rows = rows, updated(rows, [t.arrays() for t in last])
             if (done + 1) % REFRESH == 0:  # a written table ends the chain of updates
                 path = scratch_path(spark, "boosting-rows")
-                schema = "codes binary, told binary, pred binary"
+                schema = "codes binary, told binary, n binary, pred binary"
                 spark.createDataFrame(rows.map(lambda r: tuple(map(bytearray, r))), schema).write.parquet(path)
                 before.unpersist()
-                before, rows = None, spark.read.schema(schema).parquet(path).repartition(partitions(spark, facts.rows, blocks)).rdd.map(
-                    lambda r: (bytes(r.codes), bytes(r.told), bytes(r.pred))
+                before, rows = None, spark.read.schema(schema).parquet(path).repartition(count).rdd.map(
+                    lambda r: (bytes(r.codes), bytes(r.told), bytes(r.n), bytes(r.pred))
                 )
             rows = rows.persist(level)
         rows.unpersist()

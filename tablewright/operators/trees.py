@@ -406,8 +406,8 @@ def pack_cells(spark, equal: DataFrame, width: int) -> tuple[DataFrame, int, int
     return packed, most.rows, packed.agg(F.sum("cells")).first()[0]
 
 
-def pack_rows(rows: DataFrame, layout: Codes, label: str) -> DataFrame:
-    """(codes, told) of batches of rows with vectors ``x`` and a second column: one row a batch."""
+def pack_labels(equal: DataFrame, width: int) -> DataFrame:
+    """(codes, told, n, cells) of batches of a table (codes, y, n): one row a batch."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -415,11 +415,11 @@ def pack_rows(rows: DataFrame, layout: Codes, label: str) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                told = np.asarray(batch.column(1), dtype=float if label == "double" else np.int64)
-                cells_ = layout.encode(_array(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array([cells_.tobytes()], pa.binary()), pa.array([told.tobytes()], pa.binary())], ["codes", "told"])
+                told, n = (np.asarray(batch.column(i), dtype=float).tobytes() for i in (1, 2))
+                values = [pa.array([v], pa.binary()) for v in (b"".join(batch.column(0).to_pylist()), told, n)]
+                yield pa.RecordBatch.from_arrays([*values, pa.array([batch.num_rows], pa.int64())], ["codes", "told", "n", "cells"])
 
-    return rows.mapInArrow(run, "codes binary, told binary")
+    return equal.select("codes", "y", "n").mapInArrow(run, "codes binary, told binary, n binary, cells long")
 
 
 def unpack(codes: bytes, rows: int, width: int):

@@ -4,6 +4,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tablewright.operators import trees
 from tablewright.operators.boosting import BoostedTrees
 
 
@@ -74,3 +75,20 @@ def test_tables_without_a_split(spark, table):
     assert {r.prediction for r in BoostedTrees(rounds=3).fit(same).transform(df).collect()} == {2.0}
     with pytest.raises(ValueError):
         BoostedTrees().fit(df.limit(0))
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_rows_of_the_same_codes_are_one_row(spark, classes):
+    random = np.random.RandomState(8)
+    x = random.randint(0, 6, (80, 2))
+    y = random.randint(0, 3, 80) if classes else np.round(x.sum(1) + random.normal(size=80), 3)
+    rows = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), v in zip(x, y)], "a double, b double, label double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    own = df.selectExpr("array(a, b) as x", "label as y")
+    layout = trees.fit_codes(own, 255)
+    packed = trees.pack_labels(trees.group_rows(own, layout, bool(classes)), 2).collect()
+    assert sum(r.cells for r in packed) == len({(*v, k) if classes else tuple(v) for v, k in zip(x.tolist(), y.tolist())})
+    assert sum(np.frombuffer(r.n).sum() for r in packed) == 80
+    told = lambda m, d: {(r.a, r.b): r.prediction for r in m.transform(d).collect()}
+    once = told(BoostedTrees(rounds=5, depth=2, l2=0.0, classes=classes).fit(df), df)
+    assert told(BoostedTrees(rounds=5, depth=2, l2=0.0, classes=classes).fit(df.union(df).union(df)), df) == pytest.approx(once)
